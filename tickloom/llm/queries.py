@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import table
 from tickloom.llm.ngram_join import ngram_components
 from tickloom.llm.substrings import substring_dedup
+from tickloom.llm.suffixes import suffix_dedup
 
 
 def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -21,8 +22,15 @@ def op5_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_components(table(spark, folder, "documents"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = suffix_dedup(docs)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -24,17 +24,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.llm.common import settle
-from tickloom.llm.textkit import Rolling, Words, covered, mix, ranges, row_of, signed, slices, text_bytes
+from tickloom.llm.places import PLACE, gather, judge, places, spans_of
+from tickloom.llm.textkit import Rolling, Words, covered, mix, ranges, row_of, slices, text_bytes
 
 ROUNDS = 3
 PHRASE = 3
-PLACE = "mark long, stretch long, doc_id long, start long, windows long, done boolean"
 
 
 def window_marks(names: np.ndarray, rows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,7 +111,7 @@ def stretches(length: int):
             s = start[head]
             whole = Rolling(mix(names, 7), 1).span(s, s + n - 1 + length)
             whole = mix(whole + (at[head] - s).astype(np.uint64) * np.uint64(0x8EBC6AF09C88C6E3))
-            yield places(mark[head], whole, ids[row[head]], s - words.rows[row[head]], n)
+            yield places(mark[head], whole, ids[row[head]], s - words.rows[row[head]], n, at[head] - s)
 
     return run
 
@@ -125,58 +124,25 @@ def windows(length: int):
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             words = Words(*text_bytes(batch.column(1)))
             names = words.hashes()
-            row, first, count = spans_of(batch.column(2))
+            row, first, count, _ = spans_of(batch.column(2))
             first = first + words.rows[row]
             start = ranges(first, count)
             row = np.repeat(row, count)
             if len(start):
                 one, two = Rolling(names), Rolling(mix(names, 7), 1)
-                yield places(one.span(start, start + length), two.span(start, start + length), ids[row], start - words.rows[row], np.ones(len(start), np.int64))
+                ones = np.ones(len(start), np.int64)
+                yield places(one.span(start, start + length), two.span(start, start + length), ids[row], start - words.rows[row], ones, 0 * ones)
 
     return run
 
 
-def spans_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, start and count of the structs in a column of lists (null: none)."""
-    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = column.flatten()
-    return np.repeat(np.arange(len(column)), sizes), flat.field(0).to_numpy(zero_copy_only=False).astype(np.int64), flat.field(1).to_numpy(zero_copy_only=False).astype(np.int64)
-
-
-def places(mark: np.ndarray, whole: np.ndarray, ids: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """Rows of PLACE. Of equal ones in a slice, all but the first are done: they stand earlier, so they needn't be compared elsewhere. Their mark becomes a random one, which spreads them."""
-    order = np.lexsort((start, ids, whole, mark))
-    m, w, i, s = mark[order], whole[order], ids[order], start[order]
-    done = np.zeros(len(order), bool)
-    done[1:] = (m[1:] == m[:-1]) & (w[1:] == w[:-1]) & ~((i[1:] == i[:-1]) & (s[1:] == s[:-1]))
-    m[done] = mix(i[done].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + s[done].astype(np.uint64))
-    return pa.RecordBatch.from_arrays([signed(m), signed(w), i, s, n[order], pa.array(done)], ["mark", "stretch", "doc_id", "start", "windows", "done"])
-
-
 def spans(docs: DataFrame, length: int) -> DataFrame:
     """(doc_id, spans array<struct<start, windows>>): runs of windows whose words stand earlier (smaller doc_id, or earlier in the same document)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    judged = judge(texts.mapInArrow(stretches(length), PLACE)).where("gone or open")
-    judged = settle(judged.select("doc_id", "start", "windows", "gone"))
-    opened = gather(judged.where("not gone"), "opened")
+    judged = settle(judge(texts.mapInArrow(stretches(length), PLACE)).where("gone or open"))
+    opened = gather(judged.where("open"), "opened")
     single = texts.join(opened, "doc_id").select("doc_id", "text", "opened").mapInArrow(windows(length), PLACE)
-    again = judge(single).where("gone").select("doc_id", "start", "windows")
-    return gather(judged.where("gone").select("doc_id", "start", "windows").unionByName(again), "spans")
-
-
-def gather(places: DataFrame, name: str) -> DataFrame:
-    return places.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias(name))
-
-
-def judge(rows: DataFrame) -> DataFrame:
-    """gone: an equal stretch stands earlier. open: the first of its kind, but its mark also stands in a different stretch."""
-    same = Window.partitionBy("mark", "stretch").orderBy("doc_id", "start")
-    mark = Window.partitionBy("mark")
-    return (
-        rows.withColumn("rank", F.rank().over(same))
-        .withColumns({"least": F.min("stretch").over(mark), "most": F.max("stretch").over(mark)})
-        .select("doc_id", "start", "windows", (F.col("done") | (F.col("rank") > 1)).alias("gone"), (~F.col("done") & (F.col("rank") == 1) & (F.col("least") != F.col("most"))).alias("open"))
-    )
+    return gather(judged.where("gone").unionByName(judge(single).where("gone")), "spans")
 
 
 def cut(length: int):
@@ -185,7 +151,7 @@ def cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text"):
             words = Words(*text_bytes(batch.column("__text")))
-            row, start, count = spans_of(batch.column("__spans"))
+            row, start, count, _ = spans_of(batch.column("__spans"))
             start = start + words.rows[row]
             gone = covered(len(words), start, start + count - 1 + length)
             total = np.concatenate(([0], np.cumsum(gone)))
