@@ -55,9 +55,9 @@ def fixture(seed, n=260):
     return rows + [(9001, None), (9002, ""), (9003, " \n"), (9004, rows[0][1])]
 
 
-@pytest.mark.parametrize(("seed", "short", "block"), [(1, 32, 1_000_000), (2, 4, 3_000)])
-def test_like_brute_force(spark, monkeypatch, seed, short, block):
-    monkeypatch.setattr(ngram_join, "SHORT", short)
+@pytest.mark.parametrize(("seed", "long", "block"), [(1, 20_000, 1_000_000), (2, 12, 3_000)])
+def test_like_brute_force(spark, monkeypatch, seed, long, block):
+    monkeypatch.setattr(ngram_join, "LONG", long)
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     rows = fixture(seed)
     docs = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id long, text string, node long, n long").repartition(3)
@@ -71,17 +71,25 @@ def test_empty_null_and_repeated(spark):
     assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in got) == [(0, 1, 0), (5, 1, 5), (5, 3, 5), (5, 3, 5)]
 
 
-def test_postings_across_batches(monkeypatch):
+@pytest.mark.parametrize("long", [7, 100])
+def test_postings_across_batches(monkeypatch, long):
     import pyarrow as pa
 
-    monkeypatch.setattr(ngram_join, "SHORT", 5)
-    grams = [1] * 3 + [2] * 9 + [3] + [4] * 4
-    rows = np.array([grams, [100] * len(grams), range(len(grams))], np.int64)
-    for step in (1, 2, 3, 4, 50):
-        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in rows[:, k : k + step]], ["gram", "n", "node"]) for k in range(0, len(grams), step)]
-        got = sorted({tuple(r.values()) for b in ngram_join.postings(85)(iter(batches)) for r in b.to_pylist()})
-        want = [(a, b, False) for g in (range(3), range(13, 17)) for a in g for b in g if a < b] + [(a, a + 1, True) for a in range(3, 11)]
-        assert got == sorted(want)
+    monkeypatch.setattr(ngram_join, "SHORT", 3)
+    monkeypatch.setattr(ngram_join, "LONG", long)
+    grams = [1] * 3 + [2] * 9 + [3] + [4] * 5 + [5] * 20 + [6]
+    n = len(grams)
+    sketches = [bytes(64) if k % 5 else bytes([255] * 64) for k in range(n)]
+    for step in (1, 2, 3, 4, 11, 50):
+        columns = [pa.array(grams), pa.array([100] * n), pa.array(range(n)), pa.array(sketches, pa.binary())]
+        batches = [pa.RecordBatch.from_arrays([c[k : k + step] for c in columns], ["gram", "n", "node", "sketch"]) for k in range(0, n, step)]
+        label = list(range(n))
+        for b in ngram_join.postings(85)(iter(batches)):
+            for r in b.to_pylist():
+                x, y = label[r["a"]], label[r["b"]]
+                label = [min(x, y) if v in (x, y) else v for v in label]
+        want = [min(j for j in range(n) if grams[j] == grams[k] and (grams.count(grams[k]) >= long or (j % 5 == 0) == (k % 5 == 0))) for k in range(n)]
+        assert label == want, step
 
 
 def test_components(spark):

@@ -5,10 +5,10 @@ Documents with equal n-gram sets are one node. The product is not formed where s
 1. A pair with similarity t shares at least ceil(t * n) n-grams, n being the larger size. So if all n-grams are put in
    one order, it shares one among the first n - ceil(t * n) + 1 of both. These prefixes alone are shuffled. N-grams that a
    bounded table (HEAVY) names as frequent come last in that order, which only keeps lists short.
-2. Each list of nodes that share a prefix n-gram is sorted by size, and only nodes within the size ratio t are paired.
-   Short lists give their pairs, of which those remain whose 512-bit parity sketches allow the needed overlap (the number
-   of differing bits never exceeds that of differing n-grams, so no link is lost). A list of SHORT nodes or more gives one
-   edge for each node to the next one instead of pairs, so a group of g near copies costs g rows.
+2. Each list of nodes that share a prefix n-gram is sorted by size, and nodes within the size ratio t are compared by
+   parity sketches (about a bit for each n-gram, 512 to 8192): the number of differing bits never exceeds that of differing n-grams, so no link is lost. A
+   list gives a spanning forest of the pairs that remain, so a group of g near copies costs g rows, not g * g. A list of
+   LONG nodes or more isn't compared: it gives an edge for each node to the next, which joins all of them.
 3. The connected parts of that candidate graph are the blocks of the matrix product: whole n-gram sets go there once, and
    overlap counts of all pairs of a block are accumulated column by column. Parts of more than BLOCK n-grams are cut into
    block pairs, so that each task's matrix is bounded. A block returns a spanning forest of its links, not all pairs.
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import settle
@@ -33,12 +33,12 @@ from tickloom.llm.components import components
 from tickloom.llm.textkit import Rolling, Words, mix, ranges, row_of, signed, slices, text_bytes
 
 #: N-grams that are put last: at most so many, each in at least this share of the documents.
-HEAVY, HEAVY_SHARE = 20_000, 0.001
-#: Lists of fewer nodes give pairs.
-SHORT = 32
+HEAVY, HEAVY_SHARE = 50_000, 0.0005
+#: Lists of up to SHORT nodes are compared many at a time; lists of LONG nodes or more not at all.
+SHORT, LONG = 8, 20_000
 #: N-grams of a block of the product.
 BLOCK = 1_000_000
-SKETCH = 512
+SKETCH = (512, 8192)
 #: Candidate nodes up to this number (32 bytes each) are broadcast to find their texts; more are joined by a shuffle.
 BROADCAST = 500_000
 
@@ -65,10 +65,52 @@ def fingerprint(own: np.ndarray) -> np.uint64:
 
 
 def sketch(own: np.ndarray) -> bytes:
-    odd = np.bincount((mix(own, 5) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    bits = min(max(1 << (len(own) - 1).bit_length(), SKETCH[0]), SKETCH[1])
+    odd = np.bincount((mix(own, 5) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(bool)).tobytes()
 
 
+class Sketches:
+    """Parity sketches of different widths (in 8-byte words); a wide one folds to any smaller power of two."""
+
+    def __init__(self, width: np.ndarray, begin: np.ndarray, data: np.ndarray):
+        self.width, self.begin, self.data = width, begin, data
+
+    @classmethod
+    def of(cls, values: list[bytes]) -> Sketches:
+        width = np.array([len(v) // 8 for v in values], np.int64)
+        return cls(width, np.cumsum(width) - width, np.frombuffer(b"".join(values), np.uint64))
+
+    @classmethod
+    def joined(cls, parts: list[Sketches]) -> Sketches:
+        shift = np.cumsum([0, *(len(p.data) for p in parts[:-1])])
+        return cls(np.concatenate([p.width for p in parts]), np.concatenate([p.begin + k for p, k in zip(parts, shift)]), np.concatenate([p.data for p in parts]))
+
+    def __getitem__(self, chosen) -> Sketches:
+        return Sketches(self.width[chosen], self.begin[chosen], self.data)
+
+    def copy(self) -> Sketches:
+        """Without the words of those that are no longer in it."""
+        return Sketches(self.width, np.cumsum(self.width) - self.width, self.data[ranges(self.begin, self.width)])
+
+    def folded(self, at: np.ndarray, width: int) -> np.ndarray:
+        out = np.empty((len(at), width), np.uint64)
+        for own in np.unique(self.width[at]):
+            some = self.width[at] == own
+            words = self.data[self.begin[at[some]][:, None] + np.arange(own)]
+            out[some] = np.bitwise_xor.reduce(words.reshape(-1, own // width, width), axis=1)
+        return out
+
+    def differing(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The least number of n-grams in which a and b can differ."""
+        out = np.zeros(len(a), np.int64)
+        least = np.minimum(self.width[a], self.width[b])
+        for width in np.unique(least):
+            some = least == width
+            out[some] = np.bitwise_count(self.folded(a[some], width) ^ self.folded(b[some], width)).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def frequent(size: int, share: float):
     """mapInArrow: the n-grams in at least this share of a slice's documents, with their number. What is that frequent in the corpus is in some slices."""
 
@@ -109,69 +151,97 @@ def profile(size: int, percent: int, heavy: np.ndarray):
     return run
 
 
-def postings(percent: int):
-    """mapInArrow over (gram, n, node), sorted within the partition: pairs of short lists, edges from each node to the next of long ones."""
+def near(n: np.ndarray, sketches: Sketches, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the pairs a, b can be links: neither the sizes nor the sketches rule them out."""
+    x, y = n[a], n[b]
+    ok = 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
+    a, b = a[ok], b[ok]
+    # similar enough: differing n-grams are at most (1 - t) / (1 + t) of both sizes
+    ok[ok] = (100 + percent) * sketches.differing(a, b) <= (100 - percent) * (n[a] + n[b])
+    return ok
+
+
+def one_list(n: np.ndarray, node: np.ndarray, sketches: Sketches, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the possible links of a list that is sorted by size."""
+    label = np.arange(len(n))
+    until = np.searchsorted(percent * n, 100 * n, "right")  # later ones are too large
+    for k in range(0, len(n), 32):
+        rows = np.arange(k, min(k + 32, len(n)))
+        a = np.repeat(rows, until[rows] - rows - 1)
+        b = ranges(rows + 1, until[rows] - rows - 1)
+        open_ = label[a] != label[b]
+        a, b = a[open_], b[open_]
+        ok = near(n, sketches, a, b, percent)
+        label = merged(label, a[ok], b[ok])
+    tied = np.flatnonzero(label != np.arange(len(n)))
+    return node[tied], node[label[tied]]
 
-    def pairs(n: np.ndarray, node: np.ndarray, chain: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if chain:
-            a, b = np.arange(len(n) - 1), np.arange(1, len(n))
-        else:
-            a, b = np.triu_indices(len(n), 1)
-        near = 100 * n[a] >= percent * n[b]
-        return np.minimum(node[a], node[b])[near], np.maximum(node[a], node[b])[near], np.full(near.sum(), chain)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((3, 0), np.int64)  # of the list that isn't complete; of a long one its last row only
-        long = False
-        for batch in batches:
-            rows = np.concatenate((held, np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)])), axis=1)
-            new = np.ones(rows.shape[1], bool)
-            new[1:] = (rows[:, 1:] != rows[:, :-1]).any(axis=0)
-            rows = rows[:, new]
-            yield from emit(rows, long, False)
-            held, long = rest(rows, long)
-        yield from emit(held, long, True)
-
-    def rest(rows: np.ndarray, long: bool) -> tuple[np.ndarray, bool]:
-        if not rows.shape[1]:
-            return rows, False
-        at = int(np.flatnonzero(rows[0] == rows[0, -1])[0])
-        if rows.shape[1] - at >= SHORT or (long and at == 0):
-            return rows[:, -1:], True
-        return rows[:, at:], False
-
-    def emit(rows: np.ndarray, long: bool, final: bool) -> Iterator[pa.RecordBatch]:
-        if not rows.shape[1]:
-            return
-        starts = np.flatnonzero(np.append(True, rows[0, 1:] != rows[0, :-1]))
-        ends = np.append(starts[1:], rows.shape[1])
-        found = []
-        for a, b in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
-            many = b - a >= SHORT or (long and a == 0)
-            if b == rows.shape[1] and not final and not many:
-                break  # the rest of this list may be in the next batch
-            found.append(pairs(rows[1, a:b], rows[2, a:b], many))
+def postings(percent: int):
+    """mapInArrow over (gram, n, node, sketch), sorted by the first three within the partition: edges of the candidate graph."""
+
+    def edges(gram: np.ndarray, n: np.ndarray, node: np.ndarray, sketches: Sketches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        starts = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+        sizes = np.diff(np.append(starts, len(gram)))
+        for d in np.unique(sizes[sizes > 1]):
+            at = starts[sizes == d]
+            if d <= SHORT:
+                i, j = np.triu_indices(d, 1)
+                a, b = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
+                ok = near(n, sketches, a, b, percent)
+                yield node[a[ok]], node[b[ok]]
+            elif d < LONG:
+                for k in at:
+                    yield one_list(n[k : k + d], node[k : k + d], sketches[k : k + d], percent)
+            else:
+                yield from (chain(node[k : k + d]) for k in at)
+
+    def chain(node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return node[:-1], node[1:]
+
+    def batch_of(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         if found:
-            x, y, chain = (np.concatenate(c) for c in zip(*found))
-            new = np.unique(np.stack([x, y, chain]), axis=1)
-            yield pa.RecordBatch.from_arrays([new[0], new[1], pa.array(new[2].astype(bool))], ["x", "y", "chain"])
-
-    return run
-
-
-def allowed(percent: int):
-    """mapInArrow over (x, y, chain, nx, sx, ny, sy): the edges that the sketches don't rule out."""
-    bits = np.array([bin(k).count("1") for k in range(256)], np.int64)
+            a, b = (np.concatenate(x) for x in zip(*found))
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pairs[0], pairs[1]], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple] = []  # what may belong to one list that isn't complete
+        long = False  # its first LONG nodes are dealt with, and parts holds its last node
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sx, sy = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH // 8) for k in (4, 6))
-            total = batch.column(3).to_numpy() + batch.column(5).to_numpy()
-            # similar enough: differing n-grams are at most (1 - t) / (1 + t) of both sizes
-            near = (100 + percent) * bits[sx ^ sy].sum(axis=1) <= (100 - percent) * total
-            yield batch.select([0, 1]).filter(pa.array(near | batch.column(2).to_numpy(zero_copy_only=False)))
+            rows = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)]
+            rows.append(Sketches.of(batch.column(3).to_pylist()))
+            if parts and parts[-1][0][-1] == rows[0][-1] and not long and sum(len(x[0]) for x in parts) + len(rows[0]) < LONG:
+                parts.append(tuple(rows))
+                continue
+            *columns, sketches = zip(*parts, rows)
+            gram, n, node = (np.concatenate(x) for x in columns)
+            sketches = Sketches.joined(sketches)
+            new = np.append(True, (node[1:] != node[:-1]) | (gram[1:] != gram[:-1]))
+            gram, n, node, sketches = gram[new], n[new], node[new], sketches[new]
+            found, begin = [], 0
+            if long:
+                begin = int(np.searchsorted(gram != gram[0], True))
+                found.append(chain(node[:begin]))
+            at = max(begin, int(np.flatnonzero(gram == gram[-1])[0]))
+            found += edges(gram[begin:at], n[begin:at], node[begin:at], sketches[begin:at])
+            if at == len(gram):  # the long list goes on
+                at = len(gram) - 1
+            else:
+                long = len(gram) - at >= LONG
+                if long:
+                    found.append(chain(node[at:]))
+                    at = len(gram) - 1
+            parts = [(gram[at:], n[at:], node[at:], sketches[at:].copy())]
+            yield from batch_of(found)
+        if parts and not long:
+            *columns, sketches = zip(*parts)
+            gram, n, node = (np.concatenate(x) for x in columns)
+            sketches = Sketches.joined(sketches)
+            new = np.append(True, (node[1:] != node[:-1]) | (gram[1:] != gram[:-1]))
+            yield from batch_of(list(edges(gram[new], n[new], node[new], sketches[new])))
 
     return run
 
@@ -226,19 +296,25 @@ def product(node: np.ndarray, values: np.ndarray, sizes: np.ndarray, percent: in
     return forest(node, a[linked], b[linked])
 
 
-def forest(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    label = np.arange(len(node))
+def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Component labels (the smallest index) after the edges a, b are added to those of label."""
+    if not len(a):
+        return label
     while True:
-        low = label.copy()
         least = np.minimum(label[a], label[b])
+        low = label.copy()
         np.minimum.at(low, label[a], least)
         np.minimum.at(low, label[b], least)
         while (low[low] != low).any():
             low = low[low]
         low = low[label]
         if (low == label).all():
-            break
+            return label
         label = low
+
+
+def forest(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    label = merged(np.arange(len(node)), a, b)
     tied = np.flatnonzero(label != np.arange(len(node)))
     return node[tied], node[label[tied]]
 
@@ -283,11 +359,10 @@ def ngram_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataF
 
     rows = settle(texts.mapInArrow(profile(size, percent, np.sort(heavy)), "doc_id long, node long, n long, prefix array<long>, sketch binary"))
     entries = rows.where("prefix is not null").select(F.explode("prefix").alias("gram"), "n", "node")
-    edges = entries.repartition("gram").sortWithinPartitions("gram", "n", "node").mapInArrow(postings(percent), "x long, y long, chain boolean")
-    edges = edges.groupBy("x", "y").agg(F.max("chain").alias("chain"))
-    known = rows.where("sketch is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("s"))
-    edges = edges.join(known.toDF("x", "nx", "sx"), "x").join(known.toDF("y", "ny", "sy"), "y")
-    edges = edges.select("x", "y", "chain", "nx", "sx", "ny", "sy").mapInArrow(allowed(percent), "a long, b long")
+    shared = entries.withColumn("k", F.count("*").over(Window.partitionBy("gram"))).where("k > 1").drop("k")
+    known = rows.where("sketch is not null").groupBy("node").agg(F.first("sketch").alias("sketch"))
+    lists = shared.join(known, "node").select("gram", "n", "node", "sketch")
+    edges = lists.repartition("gram").sortWithinPartitions("gram", "n", "node").mapInArrow(postings(percent), "a long, b long")
     parts = settle(components(edges))
 
     names = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
