@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.textkit import mix, signed
 
-PLACE = "mark long, stretch long, doc_id long, start long, windows long, at long, first boolean, gone boolean"
+PLACE = "mark long, stretch long, doc_id long, start long, windows long, at long, state int"
+#: States: not settled; gone, and standing for no others; gone, but the first of its equals.
+OPEN, LATER, LED = range(3)
 NAMES = [x.split()[0] for x in PLACE.split(", ")]
 
 
@@ -33,29 +35,44 @@ def places(mark: np.ndarray, stretch: np.ndarray, ids: np.ndarray, start: np.nda
     later[1:] &= ~((i[1:] == i[:-1]) & (s[1:] == s[:-1]))
     head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
     later &= (i != i[head]) | (s != s[head])
-    gone = later.copy()
+    state = np.where(later, LATER, OPEN).astype(np.int32)
     if not first_stays:
-        gone[head[later]] = True
+        state[head[later]] = LED
     m[later] = mix(i[later].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + s[later].astype(np.uint64))
-    return pa.RecordBatch.from_arrays([signed(m), signed(w), i, s, windows[order], at[order], pa.array(~later), pa.array(gone)], NAMES)
+    return pa.RecordBatch.from_arrays([signed(m), signed(w), i, s, windows[order], at[order], state], NAMES)
 
 
 def judge(rows: DataFrame, first_stays: bool = True) -> DataFrame:
     """(doc_id, start, windows, at, gone, open). gone: an equal place stands earlier (or, unless first_stays, anywhere else). open: the first of its equals, but its mark also stands in a different stretch."""
+    rows = rows.repartition("mark")  # one exchange, the same for all that is asked of it
     same = Window.partitionBy("mark", "stretch").orderBy("doc_id", "start")
     whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     mark = Window.partitionBy("mark")
     rows = rows.withColumn("rank", F.rank().over(same))
-    elsewhere = F.col("rank") > 1
+    gone = (F.col("state") != OPEN) | (F.col("rank") > 1)
     if not first_stays:
         rows = rows.withColumn("last", F.last(F.struct("doc_id", "start")).over(whole))
-        elsewhere = elsewhere | (F.col("last") != F.struct("doc_id", "start"))
+        gone = gone | (F.col("last") != F.struct("doc_id", "start"))
     rows = rows.withColumns({"least": F.min("stretch").over(mark), "most": F.max("stretch").over(mark)})
-    return rows.select("doc_id", "start", "windows", "at", (F.col("gone") | elsewhere).alias("gone"), (F.col("first") & (F.col("rank") == 1) & (F.col("least") != F.col("most"))).alias("open"))
+    open_ = (F.col("state") != LATER) & (F.col("rank") == 1) & (F.col("least") != F.col("most"))
+    return rows.select("doc_id", "start", "windows", "at", gone.alias("gone"), open_.alias("open"))
 
 
-def gather(rows: DataFrame, name: str) -> DataFrame:
-    return rows.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "at")).alias(name))
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key to join by, which is never null, and the text once more. Rows without a doc_id get keys that none has.
+
+    All joins with texts start from this one frame, with all its columns, so that Spark shuffles the texts once and uses
+    that exchange again.
+    """
+    missing = F.col("doc_id").isNull().cast("int")
+    return docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("__key"), missing.alias("__none"), F.col("text").alias("__text"))
+
+
+def with_places(texts: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """The keyed texts with __spans, an array of the places in them."""
+    spans = rows.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "at")).alias("__spans"))
+    spans = spans.select(F.coalesce("doc_id", F.lit(0)).alias("__key"), F.col("doc_id").isNull().cast("int").alias("__none"), "__spans")
+    return texts.join(spans, ["__key", "__none"], how).select(*texts.columns, "__spans")
 
 
 def spans_of(column: pa.Array) -> tuple[np.ndarray, ...]:

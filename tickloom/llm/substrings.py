@@ -28,8 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.common import settle
-from tickloom.llm.places import PLACE, gather, judge, places, spans_of
+from tickloom.llm.places import PLACE, judge, keyed, places, spans_of, with_places
 from tickloom.llm.textkit import Rolling, Words, covered, mix, ranges, row_of, slices, text_bytes
 
 ROUNDS = 3
@@ -117,32 +116,29 @@ def stretches(length: int):
 
 
 def windows(length: int):
-    """mapInArrow over (doc_id, text, opened): the single windows of the stretches to be opened."""
+    """mapInArrow over keyed texts with __spans: the single windows of the stretches to be opened."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            words = Words(*text_bytes(batch.column(1)))
+        for batch in slices(batches, "__text"):
+            ids = batch.column("__key").to_numpy()
+            words = Words(*text_bytes(batch.column("__text")))
             names = words.hashes()
-            row, first, count, _ = spans_of(batch.column(2))
-            first = first + words.rows[row]
-            start = ranges(first, count)
+            row, first, count, _ = spans_of(batch.column("__spans"))
+            start = ranges(first + words.rows[row], count)
             row = np.repeat(row, count)
             if len(start):
-                one, two = Rolling(names), Rolling(mix(names, 7), 1)
-                ones = np.ones(len(start), np.int64)
+                one, two, ones = Rolling(names), Rolling(mix(names, 7), 1), np.ones(len(start), np.int64)
                 yield places(one.span(start, start + length), two.span(start, start + length), ids[row], start - words.rows[row], ones, 0 * ones)
 
     return run
 
 
-def spans(docs: DataFrame, length: int) -> DataFrame:
-    """(doc_id, spans array<struct<start, windows>>): runs of windows whose words stand earlier (smaller doc_id, or earlier in the same document)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    judged = settle(judge(texts.mapInArrow(stretches(length), PLACE)).where("gone or open"))
-    opened = gather(judged.where("open"), "opened")
-    single = texts.join(opened, "doc_id").select("doc_id", "text", "opened").mapInArrow(windows(length), PLACE)
-    return gather(judged.where("gone").unionByName(judge(single).where("gone")), "spans")
+def repeats(docs: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+    """Places whose windows stand earlier (smaller doc_id, or earlier in the same document)."""
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    judged = judge(plain.mapInArrow(stretches(length), PLACE))
+    single = with_places(texts, judged.where("open"), "inner").mapInArrow(windows(length), PLACE)
+    return judged.where("gone").unionByName(judge(single).where("gone"))
 
 
 def cut(length: int):
@@ -157,7 +153,7 @@ def cut(length: int):
             total = np.concatenate(([0], np.cumsum(gone)))
             removed = total[words.rows[1:]] - total[words.rows[:-1]]
             results = [words.joined(~gone), pa.array(words.per_row()), pa.array(removed)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *results], names=[*batch.schema.names[:-2], *RESULTS])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-4], *results], names=[*batch.schema.names[:-4], *RESULTS])
 
     return run
 
@@ -172,7 +168,7 @@ def substring_dedup(docs: DataFrame, length: int = 20) -> DataFrame:
     document with a smaller doc_id, or earlier in the same one. Windows are judged on the input.
     """
     docs = docs.drop(*RESULTS)
-    found = spans(docs, length).select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
-    joined = docs.withColumn("__text", F.col("text")).join(found, docs["doc_id"].cast("long") == F.col("__id"), "left").drop("__id")
+    texts = keyed(docs)
+    joined = with_places(texts, repeats(docs, texts, length), "left")
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.StringType() if n == "kept_text" else T.LongType()) for n in RESULTS)])
     return joined.mapInArrow(cut(length), schema)

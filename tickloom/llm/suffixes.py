@@ -10,7 +10,8 @@ leaves the sort as soon as it has one member or is known to be equal throughout:
 3. The window itself, for each suffix that is left.
 
 Groups of equal keys after the last pass are exactly the repeated windows; keys are compared by two fingerprints (128
-bits), the digit's and that of all bytes. Passes carry fingerprints and positions only. Texts are read anew for each.
+bits), the digit's and that of all bytes. Passes carry fingerprints and positions only; the texts are shuffled
+once, and each later pass joins its open groups to that exchange.
 
 Null texts are empty. Rows with a null doc_id take no part and keep their bytes. Rows with the same doc_id count as one
 place. An empty table gives an empty result. Columns of docs that have the name of a result column are replaced.
@@ -26,8 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.common import settle
-from tickloom.llm.places import PLACE, gather, judge, places, spans_of
+from tickloom.llm.places import PLACE, judge, keyed, places, spans_of, with_places
 from tickloom.llm.textkit import BYTE_VALUE, Rolling, covered, mix, ranges, row_of, slices, text_bytes
 
 GRAM, CELL = 32, 24
@@ -84,10 +84,10 @@ def next_digit(length: int, cell: int):
     """cell 1: the last digit, each suffix for itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=SLICE):
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            data, rows = text_bytes(batch.column(1))
-            row, first, count, at = spans_of(batch.column(2))
+        for batch in slices(batches, "__text", SLICE):
+            ids = batch.column("__key").to_numpy()
+            data, rows = text_bytes(batch.column("__text"))
+            row, first, count, at = spans_of(batch.column("__spans"))
             first = first + rows[row]
             at = at + first
             low = (first - at) // cell
@@ -106,18 +106,17 @@ def next_digit(length: int, cell: int):
     return run
 
 
-def repeats(docs: DataFrame, length: int) -> DataFrame:
-    """(doc_id, spans): runs of suffixes whose first length bytes also start elsewhere."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+def repeats(docs: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+    """Runs of suffixes whose first length bytes also start elsewhere."""
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     gram = min(GRAM, max(1, length // 2))
-    found = settle(judge(texts.mapInArrow(first_digit(length, gram), PLACE), False).where("gone or open"))
+    found = judge(plain.mapInArrow(first_digit(length, gram), PLACE), False)
     gone = found.where("gone")
     for cell in (min(CELL, max(1, (length - gram) // 4)), 1):
-        opened = gather(found.where("open"), "opened")
-        rows = texts.join(opened, "doc_id").select("doc_id", "text", "opened").mapInArrow(next_digit(length, cell), PLACE)
-        found = settle(judge(rows, False).where("gone or open"))
+        rows = with_places(texts, found.where("open"), "inner").mapInArrow(next_digit(length, cell), PLACE)
+        found = judge(rows, False)
         gone = gone.unionByName(found.where("gone"))
-    return gather(gone, "spans")
+    return gone
 
 
 RESULTS = ("kept", "n_bytes", "n_removed", "removed")
@@ -145,7 +144,7 @@ def cut(length: int):
             kept = np.concatenate(([0], np.cumsum(np.diff(rows) - removed))).astype(np.int32)
             texts = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(kept), pa.py_buffer(data[~gone])])
             results = [texts, pa.array(np.diff(rows)), pa.array(removed), pa.ListArray.from_arrays(pa.array(ends), runs)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *results], names=[*batch.schema.names[:-2], *RESULTS])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-4], *results], names=[*batch.schema.names[:-4], *RESULTS])
 
     return run
 
@@ -157,7 +156,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400) -> DataFrame:
     included. Strings are judged on the input. Every occurrence goes, the first too.
     """
     docs = docs.drop(*RESULTS)
-    found = repeats(docs, length).select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
-    joined = docs.withColumn("__text", F.col("text")).join(found, docs["doc_id"].cast("long") == F.col("__id"), "left").drop("__id")
+    texts = keyed(docs)
+    joined = with_places(texts, repeats(docs, texts, length), "left")
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(RESULTS, TYPES))])
     return joined.mapInArrow(cut(length), schema)
