@@ -8,11 +8,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.bpe import decode, encode
+from tickloom.llm import mixing, quality, urls
+from tickloom.llm.bpe import encode
 from tickloom.llm.common import table
+from tickloom.llm.mixing import mix_sources
 from tickloom.llm.ngram_join import ngram_components
+from tickloom.llm.quality import quality_rules
 from tickloom.llm.substrings import substring_dedup
 from tickloom.llm.suffixes import suffix_dedup
+from tickloom.llm.urls import filter_urls
+
+
+def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality_rules(table(spark, folder, "documents").select("doc_id", "text", "source"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_left")
+
+
+def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mix_sources(table(spark, folder, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,7 +36,7 @@ def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = decode(encode(table(spark, folder, "documents"), path), path)
+    coded = encode(table(spark, folder, "documents"), path, decoded=True)
     ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -37,10 +51,21 @@ def op6_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
+def op7_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_urls(table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_mix_sources": op2_mix_sources,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
+    "op7_url_filters": op7_url_filters,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": quality.ORACLE,
+    "op2_mix_sources": mixing.ORACLE,
+    "op7_url_filters": urls.ORACLE,
 }
-ORACLE_SQL: dict[str, str] = {}
