@@ -8,14 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import mixing, quality, urls
+from tickloom.llm import language, mixing, quality, toxicity, urls
 from tickloom.llm.bpe import encode
 from tickloom.llm.common import table
+from tickloom.llm.language import identify
 from tickloom.llm.mixing import mix_sources
 from tickloom.llm.ngram_join import ngram_components
 from tickloom.llm.quality import quality_rules
 from tickloom.llm.substrings import substring_dedup
 from tickloom.llm.suffixes import suffix_dedup
+from tickloom.llm.toxicity import score_toxicity
 from tickloom.llm.urls import filter_urls
 
 
@@ -55,6 +57,21 @@ def op7_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return filter_urls(table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(5)) == 0
+    labels = table(spark, folder, "labels").select("doc_id", "toxic")
+    scored = score_toxicity(docs, toxicity.fit(docs.where(~held_out).join(labels, "doc_id")))
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(3)) == 1
+    model = language.fit(docs.where(~held_out))
+    return identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mix_sources": op2_mix_sources,
@@ -63,6 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_url_filters": op7_url_filters,
+    "op8_toxicity": op8_toxicity,
+    "op9_language_id": op9_language_id,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality.ORACLE,
