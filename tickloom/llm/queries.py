@@ -13,6 +13,7 @@ from tickloom.llm.bpe import encode
 from tickloom.llm.common import table
 from tickloom.llm.language import identify
 from tickloom.llm.mixing import mix_sources
+from tickloom.llm.neighbours import nearest
 from tickloom.llm.ngram_join import ngram_components
 from tickloom.llm.quality import quality_rules
 from tickloom.llm.substrings import substring_dedup
@@ -72,6 +73,10 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op10_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mix_sources": op2_mix_sources,
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_url_filters": op7_url_filters,
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality.ORACLE,
