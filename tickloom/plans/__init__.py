@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from tickloom.plans import market, reference
+
+QUERIES = {**market.QUERIES, **reference.QUERIES}
+ORACLE_SQL = {**market.ORACLE_SQL, **reference.ORACLE_SQL}
