@@ -5,7 +5,8 @@ Documents with equal n-gram sets are one node. The product is not formed where s
 1. A pair with similarity t shares at least ceil(t * n) n-grams, n being the larger size. So if all n-grams are put in
    one order, it shares one among the first n - ceil(t * n) + 1 of both. These prefixes alone are shuffled. N-grams that a
    bounded table (HEAVY) names as frequent come last in that order, which only keeps lists short.
-2. Each list of nodes that share a prefix n-gram is sorted by size, and nodes within the size ratio t are compared by
+2. Each list of nodes that share a prefix n-gram is sorted by size, nodes without a neighbour within the size ratio t
+   leave it, and those within the size ratio t are compared by
    parity sketches (about a bit for each n-gram, 512 to 8192): the number of differing bits never exceeds that of differing n-grams, so no link is lost. A
    list gives a spanning forest of the pairs that remain, so a group of g near copies costs g rows, not g * g. A list of
    LONG nodes or more isn't compared: it gives an edge for each node to the next, which joins all of them.
@@ -118,7 +119,7 @@ def frequent(size: int, share: float):
         for batch in slices(batches):
             values, rows = grams(Words(*text_bytes(batch.column(1))), size)
             values, counts = np.unique(values, return_counts=True)
-            often = counts >= max(3, share * (len(rows) - 1))
+            often = counts >= max(2, share * (len(rows) - 1))
             yield pa.RecordBatch.from_arrays([signed(values[often]), counts[often]], ["gram", "n"])
 
     return run
@@ -359,7 +360,10 @@ def ngram_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataF
 
     rows = settle(texts.mapInArrow(profile(size, percent, np.sort(heavy)), "doc_id long, node long, n long, prefix array<long>, sketch binary"))
     entries = rows.where("prefix is not null").select(F.explode("prefix").alias("gram"), "n", "node")
-    shared = entries.withColumn("k", F.count("*").over(Window.partitionBy("gram"))).where("k > 1").drop("k")
+    by_size = Window.partitionBy("gram").orderBy("n", "node")
+    shared = entries.withColumn("again", F.lag("node").over(by_size)).where("again is null or again <> node").drop("again")  # a node's copies
+    shared = shared.withColumns({"less": F.lag("n").over(by_size), "more": F.lead("n").over(by_size)})
+    shared = shared.where(f"100 * less >= {percent} * n or 100 * n >= {percent} * more").select("gram", "n", "node")  # the others are paired with none
     known = rows.where("sketch is not null").groupBy("node").agg(F.first("sketch").alias("sketch"))
     lists = shared.join(known, "node").select("gram", "n", "node", "sketch")
     edges = lists.repartition("gram").sortWithinPartitions("gram", "n", "node").mapInArrow(postings(percent), "a long, b long")
