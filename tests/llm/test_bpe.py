@@ -43,6 +43,8 @@ def test_round_trip_like_the_library(spark, monkeypatch, chunk):
     got = bpe.decode(bpe.encode(docs, PATH), PATH).collect()
     encoding = bpe.encoding(PATH)
     key = lambda x: (x[0] if x[0] is not None else -1, x[1])
+    again = bpe.encode(docs, PATH, decoded=True).collect()
+    assert sorted(((r.doc_id, list(r.ids), bytes(r.decoded)) for r in again), key=key) == sorted(((r.doc_id, list(r.ids), bytes(r.decoded)) for r in got), key=key)
     assert sorted(((r.doc_id, list(r.ids), bytes(r.decoded)) for r in got), key=key) == sorted(((i, encoding.encode_ordinary(t or ""), (t or "").encode()) for i, t in rows), key=key)
 
 

@@ -35,6 +35,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Code points of white space (the Unicode property). Fixed values.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 CHUNK, SLICE = 16 << 20, 2 << 20
+#: Ids of an output batch.
+OUT = 1 << 18
 LETTER, NUMBER, OTHER, BLANK = range(4)
 
 
@@ -231,30 +233,36 @@ def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([label] * n, pa.int64()), pa.array([1] * n, pa.int32()), ids, pa.array([len(names)] * n, pa.int64()), pa.array(values, pa.binary())], ["chunk", "kind", "doc_id", "words", "value"])
 
 
-def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow over ids and texts of chunks, sorted by chunk, ids first: the ids of each text in order."""
-    chunk, held, table = None, [], None
-    for batch in batches:
-        docs, lists, total = [], [], 0
-        for label, kind, doc, words, value in zip(*(c.to_pylist() for c in batch.columns)):
-            if label != chunk:
-                chunk, held, table = label, [], None
-            if kind == 0:
-                held.append(unpack(value))
-                continue
-            if table is None:
-                table = joined(held)
-            begin, counts, ids = table
-            if len(begin) != words:
-                raise RuntimeError("a chunk of texts has changed between two readings of the source")
-            codes = unpack(value)[0]
-            docs.append(doc)
-            lists.append(ids[ranges(begin[codes], counts[codes])])
-            total += len(lists[-1])
-            if total >= SLICE:
-                yield from listed(docs, lists)
-                docs, lists, total = [], [], 0
-        yield from listed(docs, lists)
+def assemble(path: str | None):
+    """mapInArrow over ids and texts of chunks, sorted by chunk, ids first: the ids of each text in order; with a path, their bytes too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held, table = None, [], None
+        for batch in batches:
+            docs, lists, total = [], [], 0
+            for k in range(batch.num_rows):
+                label, kind, doc, words = (batch.column(c)[k].as_py() for c in range(4))
+                value = batch.column(4)[k].as_py()
+                if label != chunk:
+                    chunk, held, table = label, [], None
+                if kind == 0:
+                    held.append(unpack(value))
+                    continue
+                if table is None:
+                    table, held = joined(held), []
+                begin, counts, ids = table
+                if len(begin) != words:
+                    raise RuntimeError("a chunk of texts has changed between two readings of the source")
+                codes = unpack(value)[0]
+                docs.append(doc)
+                lists.append(ids[ranges(begin[codes], counts[codes])])
+                total += len(lists[-1])
+                if total >= OUT:
+                    yield from listed(docs, lists, path)
+                    docs, lists, total = [], [], 0
+            yield from listed(docs, lists, path)
+
+    return run
 
 
 def joined(held: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -267,15 +275,37 @@ def joined(held: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.nda
     return begin[first], counts[first].astype(np.int64), ids
 
 
-def listed(docs: list, lists: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+def listed(docs: list, lists: list[np.ndarray], path: str | None) -> Iterator[pa.RecordBatch]:
     if docs:
         ends = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists), pa.int32()))], ["doc_id", "ids"])
+        ids = np.concatenate(lists)
+        columns = [pa.array(docs, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, pa.int32()))]
+        yield pa.RecordBatch.from_arrays(columns + ([token_bytes(path, ids, ends)] if path else []), ["doc_id", "ids", "decoded"][: 3 if path else 2])
+
 
+@cache
+def token_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each token's bytes begin, their number, and all bytes."""
+    tokens = sorted(ranks(path).items(), key=lambda x: x[1])
+    sizes = np.zeros(tokens[-1][1] + 1, np.int64)
+    sizes[[k for _, k in tokens]] = [len(t) for t, _ in tokens]
+    return np.cumsum(sizes) - sizes, sizes, np.frombuffer(b"".join(t for t, _ in tokens), np.uint8)
+
+
+def token_bytes(path: str, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of the tokens of each list of ids, one after another."""
+    begin, sizes, letters = token_table(path)
+    if len(ids) and (ids.min() < 0 or ids.max() >= len(sizes) or not sizes[ids].all()):
+        raise ValueError("an id has no token")
+    at = np.concatenate(([0], np.cumsum(sizes[ids])))[ends].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(at), pa.py_buffer(letters[ranges(begin[ids], sizes[ids])])])
 
-def encode(docs: DataFrame, path: str, parts: int | None = None) -> DataFrame:
+
+def encode(docs: DataFrame, path: str, parts: int | None = None, decoded: bool = False) -> DataFrame:
     """(doc_id, ids) of every row: the ids of its whole text by the ranks in path, without special tokens.
 
+    decoded: also that column, as decode() adds it, while the ids are at hand.
+
     parts: into how many the distinct pre-tokens are dealt; a part's are held in one task, one part at a time. As many
     as shuffle partitions if not given.
     """
@@ -284,32 +314,23 @@ def encode(docs: DataFrame, path: str, parts: int | None = None) -> DataFrame:
     words = texts.mapInArrow(distinct_words(parts), "part long, chunk long, words binary").repartition("part").sortWithinPartitions("part")
     shape = "chunk long, kind int, doc_id long, words long, value binary"
     both = words.mapInArrow(encode_words(path), shape).unionByName(texts.mapInArrow(sequences, shape))
-    return both.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(assemble, "doc_id long, ids array<int>")
+    return both.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(assemble(path if decoded else None), "doc_id long, ids array<int>" + ", decoded binary" * decoded)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """encoded (with a column ids) and decoded, the bytes of its ids in order. An id without a token fails the job."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = sorted(ranks(path).items(), key=lambda x: x[1])
-        sizes = np.zeros(tokens[-1][1] + 1, np.int64)
-        sizes[[k for _, k in tokens]] = [len(t) for t, _ in tokens]
-        letters = np.frombuffer(b"".join(t for t, _ in tokens), np.uint8)
-        begin = np.cumsum(sizes) - sizes
         for batch in batches:
             lists = batch.column("ids")
             count = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
             at = np.concatenate(([0], np.cumsum(count))).astype(np.int64)
             ids = lists.flatten().to_numpy(zero_copy_only=False)
-            part = at // SLICE
-            cuts = [0, *(np.flatnonzero(np.diff(part[:-1])) + 1).tolist(), batch.num_rows]
+            part = at // OUT
+            cuts = [0, *(np.flatnonzero(np.diff(part[:-1])) + 1).tolist(), batch.num_rows] if batch.num_rows else []
             for a, b in zip(cuts, cuts[1:]):
-                own = ids[at[a] : at[b]]
-                if len(own) and (own.min() < 0 or not sizes[own].all()):
-                    raise ValueError("an id has no token")
-                ends = np.concatenate(([0], np.cumsum(sizes[own])))[at[a : b + 1] - at[a]].astype(np.int32)
-                data = letters[ranges(begin[own], sizes[own])]
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends), pa.py_buffer(data)])], [*batch.schema.names, "decoded"])
+                data = token_bytes(path, ids[at[a] : at[b]], at[a : b + 1] - at[a])
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, data], [*batch.schema.names, "decoded"])
 
     encoded = encoded.drop("decoded")
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
