@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickloom import functions as fx
-from tickloom.operators import analytics, book, conflation, instruments, sequence, trades
+from tickloom.operators import analytics, book, conflation, instruments, recovery, sequence, trades
 from tickloom.sources import messages, numbered, order_events, packets, table
 from tickloom.sources import trades as prints
 
@@ -186,7 +186,14 @@ def quotes(s, d):
     return found.withColumn("side", trades.aggressor(F.col("price"), F.col("bid"), F.col("ask")))
 
 
+def heals(s, d):
+    """Messages after losses, every thirtieth being a snapshot."""
+    op = F.when(F.pmod("seq", F.lit(30)) == 0, "snapshot").when(F.col("kind") == "purchase", "statistic").otherwise("book")
+    return recovery.replay(numbered(s, d).withColumn("op", op))
+
+
 QUERIES = {
+    "heal_state": heals,
     "seq_gap_detect": gap_series,
     "ab_dedup": two_feeds,
     "channel_epoch": epochs,
