@@ -6,7 +6,7 @@ documents (its source), and in more than `least`, is boilerplate there and is ta
 (host, line), so a hot host or line is pre-aggregated where it is read; no text is shuffled.
 
 Null texts have no words or lines. A null host is a host of its own. Rows that repeat a doc_id count once for a line and
-share their boilerplate lines; rows with a null doc_id don't count and lose no lines. An empty table gives an empty result.
+share their boilerplate; rows with a null doc_id don't count and lose no lines. An empty table gives an empty result.
 Columns of docs that have the name of a result column are replaced.
 """
 
@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.common import settle
+
 BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 SPLIT = r"[\x20\x09-\x0D]+"
@@ -23,15 +25,16 @@ RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, SPLIT), lambda x: x != "")
+    trimmed = F.btrim(text, F.lit(BLANKS))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPLIT))
 
 
 def normalised(line: Column) -> Column:
-    return F.array_join(words_of(F.translate(line, UPPER, LOWER)), " ")
+    return F.regexp_replace(F.btrim(F.translate(line, UPPER, LOWER), F.lit(BLANKS)), SPLIT, " ")
 
 
 def measures(docs: DataFrame, width: int = 5) -> DataFrame:
-    """docs with the base measures, and __lines: hash and words of each line that has a word."""
+    """docs with the base measures."""
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = docs.withColumn("__words", F.transform(words_of(text), lambda x: F.xxhash64(x)))
     docs = docs.withColumns({"__all": F.filter(F.split(text, "\n"), lambda x: F.translate(x, BLANKS, "") != ""), "n_words": F.size("__words").cast("long")})
@@ -39,7 +42,6 @@ def measures(docs: DataFrame, width: int = 5) -> DataFrame:
     grams = F.transform(F.when(F.col("n_words") >= width, F.sequence(F.lit(0), (F.col("n_words") - width).cast("int"))).otherwise(F.array().cast("array<int>")), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(width))))
     docs = docs.withColumns({
         "__grams": grams,
-        "__lines": F.transform("__all", lambda x: F.struct(F.xxhash64(normalised(x)).alias("h"), F.size(words_of(x)).alias("n"))),
         "word_chars": F.length(F.translate(text, BLANKS, "")).cast("long"),
         "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
         "n_dup_lines": (F.size("__all") - F.size(F.array_distinct("__all"))).cast("long"),
@@ -58,15 +60,16 @@ def measures(docs: DataFrame, width: int = 5) -> DataFrame:
 
 
 def boilerplate(docs: DataFrame, share: float, least: int) -> DataFrame:
-    """(doc_id, __bad): the hashes of those lines of each document that are too frequent in its host."""
+    """(__id, __bad, __gone): the hashes of those lines of each document that are too frequent in its host, and their words."""
     host = F.coalesce(F.col("source"), F.lit("\x00")).alias("host")
-    rows = docs.where("doc_id is not null").select("doc_id", host, F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    size = rows.groupBy("host", "doc_id").count().groupBy("host").agg(F.count("*").alias("docs"))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.translate(x, BLANKS, "") != "")
-    lines = rows.select("doc_id", "host", F.explode(F.array_distinct(F.transform(lines, lambda x: F.xxhash64(normalised(x))))).alias("h"))
-    count = lines.groupBy("host", "h", "doc_id").count().groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > least)
-    frequent = count.join(size, "host").where(F.col("n") > F.lit(share) * F.col("docs")).select("host", "h")
-    return lines.join(frequent, ["host", "h"]).groupBy("doc_id").agg(F.collect_set("h").alias("__bad")).withColumnRenamed("doc_id", "__id")
+    rows = docs.where("doc_id is not null").select("doc_id", host, F.split(F.coalesce(F.col("text"), F.lit("")), "\n").alias("lines"))
+    rows = rows.select("doc_id", "host", F.posexplode("lines").alias("i", "line")).select("doc_id", "host", "i", normalised(F.col("line")).alias("line")).where("line <> ''")
+    lines = settle(rows.select("doc_id", "host", "i", F.xxhash64("line").alias("h"), (F.length("line") - F.length(F.translate("line", " ", "")) + 1).alias("n")))
+    count = lines.groupBy("host", "h", "doc_id").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("k")).where(F.col("k") > least)
+    size = docs.where("doc_id is not null").select("doc_id", host).distinct().groupBy("host").agg(F.count("*").alias("docs"))
+    frequent = count.join(size, "host").where(F.col("k") > F.lit(share) * F.col("docs")).select("host", "h")
+    found = lines.join(frequent, ["host", "h"]).dropDuplicates(["doc_id", "i", "h"])
+    return found.groupBy("doc_id").agg(F.collect_set("h").alias("__bad"), F.sum("n").alias("__gone")).withColumnRenamed("doc_id", "__id")
 
 
 def quality_rules(docs: DataFrame, share: float = 0.03, least: int = 20, remain: float = 0.3) -> DataFrame:
@@ -75,14 +78,12 @@ def quality_rules(docs: DataFrame, share: float = 0.03, least: int = 20, remain:
     bad = boilerplate(docs, share, least)
     measured = measures(docs)
     joined = measured.join(bad, measured["doc_id"] == bad["__id"], "left").drop("__id")
-    none = F.array().cast("array<bigint>")
-    removed = F.aggregate("__lines", F.lit(0), lambda s, x: s + F.when(F.array_contains(F.col("__bad"), x["h"]), x["n"]).otherwise(0))
-    joined = joined.withColumn("n_left", F.col("n_words") - F.when(F.col("__bad").isNull(), F.lit(0)).otherwise(removed).cast("long"))
-    stays = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.coalesce(F.col("__bad"), none), F.xxhash64(normalised(x))))
+    joined = joined.withColumn("n_left", F.greatest(F.col("n_words") - F.coalesce("__gone", F.lit(0)), F.lit(0)))
+    stays = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("__bad"), F.xxhash64(normalised(x))))
     joined = joined.withColumn("kept_text", F.when(F.col("__bad").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n")))
     depleted = F.col("n_left") < remain * F.col("n_words")
     joined = joined.withColumn("kept", ~F.col("base_failed") & ~depleted)
-    return joined.drop("__bad", "__lines")
+    return joined.drop("__bad", "__gone")
 
 
 #: The same in DuckDB, for doc_id, the measures, n_left and kept.
