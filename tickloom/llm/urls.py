@@ -51,7 +51,7 @@ def longest(rules, host: Column, path: Column) -> Column:
 
 
 def alias_key(frame: DataFrame, url: str, name: str) -> DataFrame:
-    """Adds the URL without scheme, fragment, a default page or a slash at the end; null if it has no host."""
+    """Adds the URL without scheme, fragment, empty query or a slash at the end; null if it has no host."""
     split = split_url(frame.drop("host", "path"), url)
     query = F.regexp_extract(F.col(url), r"^[^?#]*(\?[^#]*)?", 1)
     key = F.concat(F.lit("http://"), F.col("host"), F.regexp_replace(F.col("path"), r"/+$", ""), F.when(query == "?", "").otherwise(query))
@@ -80,7 +80,8 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """pages with host, path, rule (null if none fits) and verdict (allow or block)."""
     pages = pages.drop(*RESULTS)
     aliases = components(links(pages))
-    judged = split_url(aliases, "node").withColumn("__won", longest(rules, F.col("host"), F.col("path")))
+    # a URL with and without a slash at its end are aliases, so rules see the slash
+    judged = split_url(aliases, "node").withColumn("__won", longest(rules, F.col("host"), F.concat("path", F.lit("/"))))
     decided = judged.groupBy("root").agg(F.max(F.coalesce(F.col("__won.verdict") == "allow", F.lit(False))).alias("__allow"), F.max(F.coalesce(F.col("__won.verdict") == "block", F.lit(False))).alias("__block"))
     decided = settle(aliases.join(decided.where("__block and not __allow"), "root").select(F.col("node").alias("__node")).distinct())
 
