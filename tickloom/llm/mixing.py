@@ -6,7 +6,7 @@ the table of sources, of which three numbers reach the driver.
 
 A source whose target is a whole number of repetitions and a part gets the whole ones for each document, and one more for
 the documents that come first in a seeded order until the part is filled. For that order documents are dealt by hash to
-65,536 buckets in each source; sums of the buckets' sizes place each bucket, and documents are ordered only inside one.
+4,096 buckets in each source; sums of the buckets' sizes place each bucket, and documents are ordered only inside one.
 So neither the largest source nor any group is in one task.
 
 A null text has size 0, a null source is one of its own (and comes last). Rows that repeat a doc_id are documents of their
@@ -57,7 +57,7 @@ def mix_sources(docs: DataFrame, weight=cyclic, epochs: int = 3, seed: str = "mi
     key = F.coalesce(F.concat(F.lit("+"), F.col("source")), F.lit("-"))
     order = F.md5(F.concat_ws("/", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
     docs = docs.withColumns({"size": F.size(words_of(F.coalesce(F.col("text"), F.lit("")))).cast("long"), "__key": key, "__order": order})
-    docs = docs.withColumn("__bucket", F.substring("__order", 1, 4))
+    docs = docs.withColumn("__bucket", F.substring("__order", 1, 3))
 
     buckets = settle(docs.groupBy("__key", "__bucket").agg(F.max("source").alias("source"), F.sum("size").alias("sum")))
     sources = buckets.groupBy("__key").agg(F.max("source").alias("source"), F.sum("sum").alias("source_size"))
