@@ -43,7 +43,8 @@ def rows(seed, n):
 
 def test_held_out_and_edge_cases(spark):
     shape = "doc_id long, text string, toxic int"
-    model = fit(spark.createDataFrame([*rows(1, 500), (9000, None, 0), (9001, "x", None)], shape).repartition(3))
+    train = spark.createDataFrame([*rows(1, 500), (9000, None, 0), (9001, "x", None)], shape).repartition(3)
+    model = fit(train.select("doc_id", "text"), train.select("doc_id", "toxic"))
     assert {"idiot", "moron"} <= set(model["lexicon"])
     odd = [(1000, None, 0), (1001, "", 0), (1002, "idi0t morno idiot ka moron", 1), (1003, "kano " * 30000, 0), (7, "kano", 0), (None, "kano", 0), (1004, 'she said the word "idiot" kano mopi', 0)]
     docs = spark.createDataFrame([*rows(2, 200), *odd], shape).selectExpr("*", "1 AS __f0", "'x' AS score").repartition(3)
@@ -56,6 +57,6 @@ def test_held_out_and_edge_cases(spark):
 
 def test_without_rows(spark):
     nothing = spark.createDataFrame([], "doc_id long, text string, toxic int")
-    model = fit(nothing)
+    model = fit(nothing, nothing)
     assert score_toxicity(nothing, model).count() == 0
     assert [r.toxicity for r in score_toxicity(spark.createDataFrame([(1, "a")], "doc_id long, text string"), model).collect()] == [0.0]

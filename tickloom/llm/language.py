@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.llm.common import settle
 from tickloom.llm.textkit import BYTE_VALUE, Rolling, Words, slices, text_bytes
 
 SAMPLE, WORDS, GRAMS, LONGEST = 20_000, 20_000, 5_000, 4
@@ -40,7 +41,7 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> dict:
     total = rows.count()
     if total > sample:
         rows = rows.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) < int(1_000_000 * sample / total))
-    counts = word_counts(rows)
+    counts = settle(word_counts(rows))
     own = Window.partitionBy("lang")
     sums = dict(counts.groupBy("lang").agg(F.sum("n")).collect())
     langs = sorted(sums)

@@ -27,7 +27,7 @@ PASSAGE = 50
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = toxicity.fit(docs, labels)
     return toxicity.score_toxicity(docs, model).where("toxicity < 0.5").drop("toxicity")
 
 

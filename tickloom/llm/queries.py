@@ -62,7 +62,7 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(5)) == 0
     labels = table(spark, folder, "labels").select("doc_id", "toxic")
-    scored = score_toxicity(docs, toxicity.fit(docs.where(~held_out).join(labels, "doc_id")))
+    scored = score_toxicity(docs, toxicity.fit(docs, labels.where(~held_out)))
     return scored.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 

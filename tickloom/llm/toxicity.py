@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.llm.common import settle
 from tickloom.llm.textkit import BYTE_VALUE, Rolling, Words, row_of, slices, text_bytes
 
 SAMPLE, TERMS, WINDOW = 20_000, 400, 8
@@ -215,12 +216,13 @@ def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 3
     return mean, spread, w
 
 
-def fit(rows: DataFrame, sample: int = SAMPLE) -> dict:
-    """The model from rows (doc_id, text, toxic)."""
-    rows = rows.where("toxic is not null").select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    total = rows.count()
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
+    """The model from docs (doc_id, text) and labels (doc_id, toxic). The sample of labels is of bounded size, and so sent to where the texts are."""
+    labels = labels.where("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
+    total = labels.count()
     if total > sample:
-        rows = rows.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(1)), F.lit(1_000_000)) < int(1_000_000 * sample / total))
+        labels = labels.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(1)), F.lit(1_000_000)) < int(1_000_000 * sample / total))
+    rows = settle(docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(labels), "doc_id"))
     # terms are learned on one half and weighed on the other, where they aren't known by heart
     half = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(2)), F.lit(2)) == 0
     lexicon = learn_lexicon(rows.where(half))
