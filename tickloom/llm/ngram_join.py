@@ -8,8 +8,9 @@ Documents with equal n-gram sets are one node. The product is not formed where s
 2. Each list of nodes that share a prefix n-gram is sorted by size, nodes without a neighbour within the size ratio t
    leave it, and those within the size ratio t are compared by
    parity sketches (about a bit for each n-gram, 512 to 8192): the number of differing bits never exceeds that of differing n-grams, so no link is lost. A
-   list gives a spanning forest of the pairs that remain, so a group of g near copies costs g rows, not g * g. A list of
-   LONG nodes or more isn't compared: it gives an edge for each node to the next, which joins all of them.
+   list gives a spanning forest of the pairs that remain, so a group of g near copies costs g rows, not g * g. N-grams
+   whose lists have the same nodes share one: lists are named by their content, and if two names agree by chance, their
+   nodes are compared together, so that no pair is lost. A list of LONG nodes or more isn't compared: it gives an edge for each node to the next, which joins all of them.
 3. The connected parts of that candidate graph are the blocks of the matrix product: whole n-gram sets go there once, and
    overlap counts of all pairs of a block are accumulated column by column. Parts of more than BLOCK n-grams are cut into
    block pairs, so that each task's matrix is bounded. A block returns a spanning forest of its links, not all pairs.
@@ -179,7 +180,7 @@ def one_list(n: np.ndarray, node: np.ndarray, sketches: Sketches, percent: int)
 
 
 def postings(percent: int):
-    """mapInArrow over (gram, n, node, sketch), sorted by the first three within the partition: edges of the candidate graph."""
+    """mapInArrow over (list, n, node, sketch), sorted by the first three within the partition: edges of the candidate graph."""
 
     def edges(gram: np.ndarray, n: np.ndarray, node: np.ndarray, sketches: Sketches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         starts = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
@@ -365,8 +366,11 @@ def ngram_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataF
     shared = shared.withColumns({"less": F.lag("n").over(by_size), "more": F.lead("n").over(by_size)})
     shared = shared.where(f"100 * less >= {percent} * n or 100 * n >= {percent} * more").select("gram", "n", "node")  # the others are paired with none
     known = rows.where("sketch is not null").groupBy("node").agg(F.first("sketch").alias("sketch"))
-    lists = shared.join(known, "node").select("gram", "n", "node", "sketch")
-    edges = lists.repartition("gram").sortWithinPartitions("gram", "n", "node").mapInArrow(postings(percent), "a long, b long")
+    whole = Window.partitionBy("gram")
+    shared = shared.withColumn("list", F.xxhash64(F.bit_xor(F.xxhash64("node")).over(whole), F.count("*").over(whole)))
+    once = shared.select("list", "n", "node").repartition("node").dropDuplicates(["list", "node"])  # and the join needs no other exchange
+    lists = once.join(known, "node").select("list", "n", "node", "sketch")
+    edges = lists.repartition("list").sortWithinPartitions("list", "n", "node").mapInArrow(postings(percent), "a long, b long")
     parts = settle(components(edges))
 
     names = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
