@@ -27,6 +27,18 @@ def test_finder(word, how):
     assert Finder({"idiot": 2.0, "lowe*": 1.5}).word(word.encode())[1] == how
 
 
+@pytest.mark.parametrize(("word", "found"), [("scum", (2.0, 1)), ("SCUM,", (2.0, 1)), ("5cum", (2.0, 3)), ("scumm", (2.0, 3)), ("xscum", (2.0, 3)), ("scim", (2.0, 3)), ("xcum", (2.0, 3)), ("sucm", (2.0, 3)), ("scu", (0.0, 0)), ("plum", (0.0, 0))])
+def test_term_of_four_letters(word, found):
+    assert Finder({"scum": 2.0, "idiot": 1.0}).word(word.encode()) == found
+
+
+def test_gate_lets_all_edits_pass():
+    lexicon = {"scum": 2.0, "idiot": 3.0, "trash": 4.0, "moro*": 5.0, "wxyz": 1.0}
+    finder = Finder(lexicon)
+    for word in {e for t in lexicon for e in edits(t.rstrip("*")) | edits(t.rstrip("*") + "ns")} - {w[:3] for w in lexicon}:
+        assert finder.word(word.encode()) == finder.trie.match(word), word
+
+
 def rows(seed, n):
     r = random.Random(seed)
     words = [f"{a}{b}" for a in "ka mo ti ru le".split() for b in "no pi sa tu re".split()]

@@ -92,15 +92,15 @@ class Trie:
         else:
             if node.get("", 0) >= best > 0 or node.get("", 0) > 0:
                 return node[""], 1
-        if how or len(word) < 5:
+        if how or len(word) < 4:
             return best, how
         best = self.near(self.root, word, 0, 1)
         return best, 3 if best else 0
 
     def near(self, node: dict, word: str, at: int, edits: int) -> float:
-        """The best whole term of five letters or more within the edits that are left."""
+        """The best whole term within the edits that are left. No term is found by a drop that leaves less than five letters."""
         if at == len(word):
-            best = node.get("", 0.0) if not edits else max([node.get("", 0.0), *(n.get("", 0.0) for c, n in node.items() if len(c) == 1 and c != "*")])
+            best = node.get("", 0.0) if not edits or len(word) < 5 else max([node.get("", 0.0), *(n.get("", 0.0) for c, n in node.items() if len(c) == 1 and c != "*")])
             return best
         best = 0.0
         follow = node.get(word[at])
@@ -110,7 +110,7 @@ class Trie:
             best = max(best, self.near(node, word, at + 1, 0))  # a letter too many
             for c, other in node.items():
                 if len(c) == 1 and c != "*":
-                    best = max(best, self.near(other, word, at + 1, 0), self.near(other, word, at, 0))  # another letter, or one too few
+                    best = max(best, self.near(other, word, at + 1, 0), self.near(other, word, at, 0) if len(word) >= 5 else 0.0)  # another letter, or one too few
             if at + 1 < len(word) and word[at] != word[at + 1]:
                 swapped = node.get(word[at + 1], {}).get(word[at])
                 if swapped is not None:
@@ -127,11 +127,14 @@ class Finder:
         import regex
 
         self.trie, self.edge, self.known = Trie(lexicon), regex.compile(EDGE), {}
-        whole = [t for t in lexicon if not t.endswith("*") and len(t) >= 5]
-        # a term within one edit shares its first two or its last two letters, or those but one, with the word
-        self.starts = {t[:2] for t in whole} | {t[1:3] for t in whole} | {t[1] + t[0] for t in whole}
-        self.ends = {t[-2:] for t in whole}
-        self.begin = {t[:3] for t in lexicon if t.endswith("*")}
+        # terms have four letters or more; an edit leaves the first two in place (or swaps the second and third), or moves the next two by one at most
+        terms = [t.rstrip("*") for t in lexicon]
+        self.starts = {t[:2] for t in terms} | {t[:1] + t[2:3] for t in terms}
+        self.middles = {t[2:4] for t in terms}
+
+    def possible(self, word: str) -> bool:
+        """Whether any term can be within one edit: never false for a word that has one."""
+        return word[:2] in self.starts or word[2:4] in self.middles or word[1:3] in self.middles or word[3:5] in self.middles
 
     def word(self, raw: bytes) -> tuple[float, int]:
         """As Trie.match(); 4: no term, but a word that reports speech."""
@@ -140,7 +143,7 @@ class Finder:
             word = self.edge.sub("", raw.decode("utf-8", "replace").lower())
             found = (0.0, 4) if word in REPORTING else (0.0, 0)
             plain = word.translate(LOOKALIKES) if not word.isalpha() else word
-            if plain[:2] in self.starts or plain[-2:] in self.ends or plain[:3] in self.begin:
+            if self.possible(plain):
                 weight, how = self.trie.match(plain)
                 if how:
                     found = (weight, 3 if how == 1 and plain != word else how)
