@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tickloom.llm.toxicity import Finder, Trie, fit, score_toxicity
+from tickloom.llm.toxicity import Finder, Trie, fit, learn_lexicon, score_toxicity
 
 
 def edits(word):
@@ -39,6 +39,19 @@ def test_gate_lets_all_edits_pass():
         assert finder.word(word.encode()) == finder.trie.match(word), word
 
 
+@pytest.mark.parametrize(("word", "how"), [("idoit", 3), ("idoitic", 3), ("idot", 3), ("iidiot", 3), ("udioten", 3), ("dioten", 3), ("idiocy", 2), ("idea", 0), ("ideal", 0), ("idle", 0)])
+def test_misspelled_beginning(word, how):
+    assert Finder({"idio*": 2.0}).word(word.encode()) == (2.0 if how else 0.0, how)
+
+
+def test_words_of_a_beginning_stay(spark):
+    forms = ["idiot", "idiots", "idiotic", "idiocy"]
+    texts = [(1, f"kano mopi tire luno {a} {b}") for a in forms for b in forms if a != b for _ in range(3)] + [(0, "kano mopi tire luno")] * 40
+    lexicon = learn_lexicon(spark.createDataFrame(texts, "toxic int, text string"))
+    assert any(t.endswith("*") for t in lexicon) and set(forms) <= set(lexicon)
+    assert Finder(lexicon).word(b"idixts")[1] == 3
+
+
 def rows(seed, n):
     r = random.Random(seed)
     words = [f"{a}{b}" for a in "ka mo ti ru le".split() for b in "no pi sa tu re".split()]

@@ -2,8 +2,8 @@
 
 A lexicon is learned: words, and beginnings of words (a trailing *), that stand in toxic training documents more often
 than chance would have it. For each distinct word of a text, the states of the Levenshtein automaton of distance one are
-carried down the lexicon's trie, so all terms within one edit (a letter changed, dropped, added or swapped) are found in
-one walk; look-alikes (0 for o, 3 for e ...) are read as letters first. Each hit has its term's weight, less if misspelled.
+carried down the lexicon's trie, so all terms within one edit (a letter changed, dropped, added or swapped), words and
+beginnings alike, are found in one walk; look-alikes (0 for o, 3 for e ...) are read as letters first. Each hit has its term's weight, less if misspelled.
 Its context window of WINDOW words to either side decides what it says: quotation marks around it or words that report
 speech count it as quoted; further hits near it make it abuse. Counts and rates of plain, misspelled, beginning, quoted
 and clustered hits are the features of a logistic regression.
@@ -45,7 +45,7 @@ def term_counts(rows: DataFrame) -> DataFrame:
 
 
 def learn_lexicon(rows: DataFrame) -> dict[str, float]:
-    """Terms and their weights (log odds, smoothed): at most TERMS, the surest first."""
+    """Terms and their weights (log odds, smoothed): at most TERMS, the surest first, and the whole words of chosen beginnings (10 * TERMS terms at most)."""
     size = rows.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
     toxic, clean = size.t or 0, (size.n or 0) - (size.t or 0)
     if not toxic or not clean:
@@ -55,17 +55,20 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     sure = sure.withColumn("sure", F.col("odds") * F.sqrt("toxic")).orderBy(F.desc("sure"), F.endswith("term", F.lit("*")), "term").limit(10 * TERMS)
     out: dict[str, float] = {}
     support: dict[str, int] = {}
+    under: dict[str, float] = {}
     for r in sure.collect():
-        # a term adds nothing to a beginning of it that is as sure, nor a beginning to a word that accounts for it
+        # a term adds nothing to a beginning of it that is as sure (but the whole word is what misspellings are held against), nor a beginning to a word that accounts for it
         stem = r.term.rstrip("*")
         if any(stem.startswith(b[:-1]) for b in out if b.endswith("*")):
+            if stem == r.term:
+                under[r.term] = float(r.odds)
             continue
         if r.term.endswith("*") and any(t.startswith(stem) and support[t] >= 0.8 * r.toxic for t in out):
             continue
         out[r.term], support[r.term] = float(r.odds), r.toxic
         if len(out) >= TERMS:
             break
-    return out
+    return out | under
 
 
 class Trie:
@@ -94,28 +97,42 @@ class Trie:
                 return node[""], 1
         if how or len(word) < 4:
             return best, how
-        best = self.near(self.root, word, 0, 1)
+        best = self.near(word)
         return best, 3 if best else 0
 
-    def near(self, node: dict, word: str, at: int, edits: int) -> float:
-        """The best whole term within the edits that are left. No term is found by a drop that leaves less than five letters."""
-        if at == len(word):
-            best = node.get("", 0.0) if not edits or len(word) < 5 else max([node.get("", 0.0), *(n.get("", 0.0) for c, n in node.items() if len(c) == 1 and c != "*")])
-            return best
-        best = 0.0
-        follow = node.get(word[at])
-        if follow is not None:
-            best = self.near(follow, word, at + 1, edits)
-        if edits:
-            best = max(best, self.near(node, word, at + 1, 0))  # a letter too many
-            for c, other in node.items():
-                if len(c) == 1 and c != "*":
-                    best = max(best, self.near(other, word, at + 1, 0), self.near(other, word, at, 0) if len(word) >= 5 else 0.0)  # another letter, or one too few
-            if at + 1 < len(word) and word[at] != word[at + 1]:
-                swapped = node.get(word[at + 1], {}).get(word[at])
+    def near(self, word: str) -> float:
+        """The best term within one edit: whole, or a beginning that the word starts with.
+
+        No whole term is found by a drop that leaves less than five letters. Of a beginning the last letter must be there,
+        for any other letter in its place makes the beginning of other words.
+        """
+        best, node, n = 0.0, self.root, len(word)
+        for at, c in enumerate(word):
+            best = max(best, self.rest(node, word, at + 1))  # a letter too many
+            for d, other in node.items():
+                if len(d) == 1 and d != "*":
+                    if at + 1 == n or word[at + 1] in other:
+                        best = max(best, self.rest(other, word, at + 1))  # another letter
+                    if c in other:
+                        best = max(best, self.rest(other, word, at, n >= 5))  # one too few
+            if at + 1 < n and word[at + 1] != c:
+                swapped = node.get(word[at + 1], {}).get(c)
                 if swapped is not None:
-                    best = max(best, self.near(swapped, word, at + 2, 0))
-        return best
+                    best = max(best, swapped.get("*", 0.0), self.rest(swapped, word, at + 2))
+            node = node.get(c)
+            if node is None:
+                return best
+        return max([best, *(other.get("", 0.0) for d, other in node.items() if n >= 5 and len(d) == 1 and d != "*")])
+
+    def rest(self, node: dict, word: str, at: int, whole: bool = True) -> float:
+        """The best term that the word from at on follows without an edit."""
+        best = 0.0
+        for c in word[at:]:
+            node = node.get(c)
+            if node is None:
+                return best
+            best = max(best, node.get("*", 0.0))
+        return max(best, node.get("", 0.0)) if whole else best
 
 
 class Finder:
