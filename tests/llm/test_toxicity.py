@@ -52,6 +52,11 @@ def test_words_of_a_beginning_stay(spark):
     assert Finder(lexicon).word(b"idixts")[1] == 3
 
 
+@pytest.mark.parametrize(("word", "found"), [("idio*t", (2.0, 2)), ("*idio*t*", (2.0, 2)), ("mo*on", (3.0, 3)), ("m**on", (3.0, 3)), ("m0*on", (3.0, 3)), ("moro*n", (3.0, 3)), ("m*on", (3.0, 3)), ("id*ocy", (2.0, 3)), ("mo*ox", (0.0, 0)), ("d*mn", (4.0, 1)), ("da*n", (0.0, 0)), ("a*b", (0.0, 0)), ("**", (0.0, 0))])
+def test_star_inside_a_word(word, found):
+    assert Finder({"idio*": 2.0, "moron": 3.0, "d*mn": 4.0}).word(word.encode()) == found
+
+
 def rows(seed, n):
     r = random.Random(seed)
     words = [f"{a}{b}" for a in "ka mo ti ru le".split() for b in "no pi sa tu re".split()]

@@ -3,8 +3,8 @@
 A lexicon is learned: words, and beginnings of words (a trailing *), that stand in toxic training documents more often
 than chance would have it. For each distinct word of a text, the states of the Levenshtein automaton of distance one are
 carried down the lexicon's trie, so all terms within one edit (a letter changed, dropped, added or swapped), words and
-beginnings alike, are found in one walk; look-alikes (0 for o, 3 for e ...) are read as letters first. Each hit has its term's weight, less if misspelled.
-Its context window of WINDOW words to either side decides what it says: quotation marks around it or words that report
+beginnings alike, are found in one walk; look-alikes (0 for o, 3 for e ...) are read as letters first, and a * inside a
+word as one unknown letter. Each hit has its term's weight, less if misspelled. Its context window of WINDOW words to either side decides what it says: quotation marks around it or words that report
 speech count it as quoted; further hits near it make it abuse. Counts and rates of plain, misspelled, beginning, quoted
 and clustered hits are the features of a logistic regression.
 
@@ -71,33 +71,45 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     return out | under
 
 
+class Node:
+    """next: nodes by letter, among which * is like any other; whole and begin: weights of the term, and of the beginning, that end here (0: none)."""
+
+    __slots__ = ("next", "whole", "begin")
+
+    def __init__(self):
+        self.next, self.whole, self.begin = {}, 0.0, 0.0
+
+
 class Trie:
-    """The lexicon by letters; all() walks a word's Levenshtein automaton through it."""
+    """The lexicon by letters; near() walks a word's Levenshtein automaton through it."""
 
     def __init__(self, lexicon: dict[str, float]):
-        self.root: dict = {}
+        self.root = Node()
         for term, weight in lexicon.items():
             node = self.root
             for c in term.rstrip("*"):
-                node = node.setdefault(c, {})
-            node["*" if term.endswith("*") else ""] = weight
+                node = node.next.setdefault(c, Node())
+            if term.endswith("*"):
+                node.begin = weight
+            else:
+                node.whole = weight
 
     def match(self, word: str) -> tuple[float, int]:
-        """Weight of the best term, and how it was found: 0 not, 1 whole, 2 as a beginning, 3 misspelled."""
+        """Weight of the best term, and how it was found: 0 not, 1 whole, 2 as a beginning, 3 misspelled or masked."""
         best, how = 0.0, 0
         node = self.root
         for c in word:
-            node = node.get(c)
+            node = node.next.get(c)
             if node is None:
                 break
-            if node.get("*", 0) > best:
-                best, how = node["*"], 2
+            if node.begin > best:
+                best, how = node.begin, 2
         else:
-            if node.get("", 0) >= best > 0 or node.get("", 0) > 0:
-                return node[""], 1
+            if node.whole > 0:
+                return node.whole, 1
         if how or len(word) < 4:
             return best, how
-        best = self.near(word)
+        best = self.masked(self.root, word, 0, word.count("*") == 1) if "*" in word else self.near(word)
         return best, 3 if best else 0
 
     def near(self, word: str) -> float:
@@ -109,30 +121,40 @@ class Trie:
         best, node, n = 0.0, self.root, len(word)
         for at, c in enumerate(word):
             best = max(best, self.rest(node, word, at + 1))  # a letter too many
-            for d, other in node.items():
-                if len(d) == 1 and d != "*":
-                    if at + 1 == n or word[at + 1] in other:
-                        best = max(best, self.rest(other, word, at + 1))  # another letter
-                    if c in other:
-                        best = max(best, self.rest(other, word, at, n >= 5))  # one too few
-            if at + 1 < n and word[at + 1] != c:
-                swapped = node.get(word[at + 1], {}).get(c)
+            for other in node.next.values():
+                if at + 1 == n or word[at + 1] in other.next:
+                    best = max(best, self.rest(other, word, at + 1))  # another letter
+                if c in other.next:
+                    best = max(best, self.rest(other, word, at, n >= 5))  # one too few
+            if at + 1 < n and word[at + 1] != c and word[at + 1] in node.next:
+                swapped = node.next[word[at + 1]].next.get(c)
                 if swapped is not None:
-                    best = max(best, swapped.get("*", 0.0), self.rest(swapped, word, at + 2))
-            node = node.get(c)
+                    best = max(best, swapped.begin, self.rest(swapped, word, at + 2))
+            node = node.next.get(c)
             if node is None:
                 return best
-        return max([best, *(other.get("", 0.0) for d, other in node.items() if n >= 5 and len(d) == 1 and d != "*")])
+        return max([best, *(other.whole for other in node.next.values() if n >= 5)])
 
-    def rest(self, node: dict, word: str, at: int, whole: bool = True) -> float:
+    def rest(self, node: Node, word: str, at: int, whole: bool = True) -> float:
         """The best term that the word from at on follows without an edit."""
         best = 0.0
         for c in word[at:]:
-            node = node.get(c)
+            node = node.next.get(c)
             if node is None:
                 return best
-            best = max(best, node.get("*", 0.0))
-        return max(best, node.get("", 0.0)) if whole else best
+            best = max(best, node.begin)
+        return max(best, node.whole) if whole else best
+
+    def masked(self, node: Node, word: str, at: int, edit: bool) -> float:
+        """The best term for a word in which each * is one unknown letter. edit: besides, the * may be a letter too many, or stand for two."""
+        if at == len(word):
+            return node.whole
+        best = 0.0
+        if word[at] == "*" and edit:
+            best = max([self.masked(node, word, at + 1, False), *(self.masked(other, word, at, False) for other in node.next.values())])
+        for other in node.next.values() if word[at] == "*" else filter(None, [node.next.get(word[at])]):
+            best = max(best, other.begin, self.masked(other, word, at + 1, edit))
+        return best
 
 
 class Finder:
@@ -151,7 +173,7 @@ class Finder:
 
     def possible(self, word: str) -> bool:
         """Whether any term can be within one edit: never false for a word that has one."""
-        return word[:2] in self.starts or word[2:4] in self.middles or word[1:3] in self.middles or word[3:5] in self.middles
+        return "*" in word or word[:2] in self.starts or word[2:4] in self.middles or word[1:3] in self.middles or word[3:5] in self.middles
 
     def word(self, raw: bytes) -> tuple[float, int]:
         """As Trie.match(); 4: no term, but a word that reports speech."""
