@@ -1,5 +1,6 @@
 """Hand-worked cases."""
 
+import os
 import random
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tickloom import functions as fx
 from tickloom.operators import analytics, book, conflation, instruments, recovery, sequence, trades
+from tickloom.plans import QUERIES
 from tickloom.streaming import bars, cadence, first_copies, read_messages
 
 
@@ -162,3 +164,19 @@ def test_median_of_clients(spark):
 def test_small_functions(spark):
     row = spark.range(1).select(fx.maturity_date(F.lit(20240131)).alias("d"), fx.maturity_date(F.lit(20249999)).alias("bad"), fx.trimmed(F.lit("AB \x00 ")).alias("t"), fx.tag_value_checksum(F.lit("8=FIX.4.4")).alias("c"), fx.floor_bucket(F.lit(-1), 5).alias("b")).collect()[0]
     assert (str(row.d), row.bad, row.t, row.c, row.b) == ("2024-01-31", None, "AB", f"{sum(b'8=FIX.4.4') % 256:03d}", -5)
+
+
+FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+def test_phases_of_all_members(spark):
+    parts = sorted((r.p_partkey, r.p_brand, r.p_size % 4) for r in spark.read.parquet(f"{FOLDER}/part.parquet").collect())
+    changes, last = {}, {}
+    for key, brand, status in parts:
+        if last.get(brand) != status:
+            changes.setdefault(brand, []).append((key, status))
+        last[brand] = status
+    want = sorted((seq, status, key) for key, brand, _ in parts for seq, status in changes[brand])
+    got = QUERIES["group_phase_all"](spark, FOLDER).select("seq", "status", "security_id").collect()
+    assert sorted(tuple(r) for r in got) == want
+    assert len({r.security_id for r in got}) == len(parts)

@@ -22,9 +22,13 @@ def members(s, d):
     return table(s, d, "part").select(F.col("p_partkey").alias("security_id"), F.col("p_brand").alias("security_group"))
 
 
+def phase_rows(s, d):
+    return table(s, d, "part").select(F.col("p_partkey").alias("seq"), F.col("p_brand").alias("security_group"), F.pmod("p_size", F.lit(4)).alias("status"))
+
+
 def phases(s, d):
-    rows = table(s, d, "part").select(F.col("p_partkey").alias("seq"), F.col("p_brand").alias("security_group"), F.pmod("p_size", F.lit(4)).alias("status"))
-    return instruments.group_phases(rows, members(s, d).where("security_id <= 20"))
+    """The first twenty securities only, as the SQL has it; all are in group_phase_all."""
+    return instruments.group_phases(phase_rows(s, d), members(s, d).where("security_id <= 20"))
 
 
 def registry(s, d):
@@ -88,6 +92,7 @@ QUERIES = {
     "definition_scd1": lambda s, d: instruments.latest_definitions(definitions(s, d), "security_id", "validity", "seq"),
     "identity_change": identity,
     "group_phase": phases,
+    "group_phase_all": lambda s, d: instruments.group_phases(phase_rows(s, d), members(s, d)),
     "symbol_search": lambda s, d: instruments.search_symbols(table(s, d, "customer").select("c_custkey", "c_name"), "c_name", "CUSTOMER#0000000", 20),
     "symbol_registry": registry,
     "effective_bands": bands,
