@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tickloom import functions as fx
 from tickloom.operators import analytics, book, conflation, instruments, recovery, sequence, trades
 from tickloom.plans import QUERIES
+from tickloom.sources import order_events
 from tickloom.streaming import bars, cadence, first_copies, read_messages
 
 
@@ -180,3 +181,38 @@ def test_phases_of_all_members(spark):
     got = QUERIES["group_phase_all"](spark, FOLDER).select("seq", "status", "security_id").collect()
     assert sorted(tuple(r) for r in got) == want
     assert len({r.security_id for r in got}) == len(parts)
+
+
+def test_routing_to_all_clients(spark):
+    events = [(r.event_id, r.user_id) for r in spark.read.parquet(f"{FOLDER}/events.parquet").collect()]
+    clients = [r.c_custkey for r in spark.read.parquet(f"{FOLDER}/customer.parquet").collect()]
+    count, want = max(u for _, u in events) + 1, {}
+    for c in clients:
+        seen = [seq for seq, user in events if user == c * 7 % count and c % 16 & 1 << seq % 4]
+        if seen:
+            want[c] = (len(seen), min(seen))
+    got = {r.client_id: (r.events, r.first_seq) for r in QUERIES["subscription_routing_all"](spark, FOLDER).collect()}
+    assert got == want
+
+
+def test_route_counts_like_route(spark):
+    r = random.Random(8)
+    rows = spark.createDataFrame([(i, r.randrange(5), 1 << r.randrange(4)) for i in range(200)], "seq long, security_id long, channel_bit int")
+    subscriptions = spark.createDataFrame([(300 + k % 30, r.randrange(7), r.randrange(16)) for k in range(60)], "client_id long, security_id long, flags int")
+    want = conflation.route(rows, subscriptions).groupBy("client_id").agg(F.count("*").alias("events"), F.min("seq").alias("first_seq"))
+    assert sorted(map(tuple, conflation.route_counts(rows, subscriptions).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_levels_of_all_events(spark):
+    rows = [(0, 1, "bid", 2, "new", 100, 5), (1, 1, "bid", 4, "new", 101, 7), (2, 1, "bid", 4, "delete", 101, None), (3, 1, "ask", 1, "trade", 103, 1), (13, 1, "ask", 1, "new", None, 1)]
+    found = events_at(spark, rows)
+    got = conflation.changed_levels(found, book.price_levels(book.live_orders(found))).collect()
+    assert {tuple(r) for r in got} == {(1, "bid", 100, 5, False), (1, "bid", 101, 0, True)}
+    whole = {tuple(r) for r in QUERIES["level_conflation_all"](spark, FOLDER).collect()}
+    touched = order_events(spark, FOLDER).where("action in ('new', 'change', 'delete') and price is not null").select("security_id", "side", "price").distinct()
+    assert {r[:3] for r in whole} == {tuple(r) for r in touched.collect()}
+    assert len(whole) == touched.count() > QUERIES["level_conflation"](spark, FOLDER).count()
+
+
+def events_at(spark, rows):
+    return spark.createDataFrame(rows, "seq long, security_id long, side string, order_id long, action string, price long, qty long")

@@ -41,6 +41,19 @@ def route(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
     return events.join(subscriptions, "security_id").where(F.col("flags").bitwiseAND(F.col("channel_bit")) != 0)
 
 
+def route_counts(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """By client how many events route() gives it, and the first of them. Events are summed by security and bit before the join."""
+    sums = events.groupBy("security_id", "channel_bit").agg(F.count("*").alias("events"), F.min("seq").alias("first_seq"))
+    return route(sums, subscriptions).groupBy("client_id").agg(F.sum("events").alias("events"), F.min("first_seq").alias("first_seq"))
+
+
+def changed_levels(changes: DataFrame, levels: DataFrame) -> DataFrame:
+    """Levels (security_id, side, price) that changes touch, once each, with what is left of them."""
+    dirty = changes.where("action in ('new', 'change', 'delete') and price is not null").select("security_id", "side", "price").distinct()
+    found = dirty.join(levels, ["security_id", "side", "price"], "left")
+    return found.select("security_id", "side", "price", F.coalesce("total_qty", F.lit(0)).alias("total_qty"), F.col("total_qty").isNull().alias("deleted"))
+
+
 def batches(events: DataFrame, keys: list[str]) -> DataFrame:
     """All changes of a window and book side, in order, as one list; nothing is merged."""
     ordered = F.array_sort(F.collect_list(F.struct("seq", "action", "price")))

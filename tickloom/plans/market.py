@@ -144,20 +144,34 @@ def cleared_windows(s, d):
 
 
 def routed(s, d):
+    """200 clients on 150 securities, as the SQL has it; all clients are in subscription_routing_all."""
     bits = F.expr("shiftleft(1, cast(pmod(seq, 4) as int))")
     rows = messages(s, d).select("seq", "security_id", bits.alias("channel_bit"))
     clients = table(s, d, "customer").where("c_custkey <= 200").select(F.col("c_custkey").alias("client_id"), F.pmod(F.col("c_custkey") * 7, F.lit(150)).alias("security_id"), F.pmod("c_custkey", F.lit(16)).cast("int").alias("flags"))
     return conflation.route(rows, clients).groupBy("client_id").agg(F.count("*").alias("events"), F.min("seq").alias("first_seq"))
 
 
+def routed_all(s, d):
+    """All clients, dealt over all securities."""
+    rows = messages(s, d).select("seq", "security_id", F.expr("shiftleft(1, cast(pmod(seq, 4) as int))").alias("channel_bit"))
+    count = rows.agg((F.max("security_id") + 1).alias("securities"))
+    clients = table(s, d, "customer").crossJoin(F.broadcast(count)).select(F.col("c_custkey").alias("client_id"), F.pmod(F.col("c_custkey") * 7, F.col("securities")).alias("security_id"), F.pmod("c_custkey", F.lit(16)).cast("int").alias("flags"))
+    return conflation.route_counts(rows, clients)
+
+
 def level_changes(s, d):
-    """Levels touched in the second half, with what is left of them at the end."""
+    """Levels touched by half of the events (seq modulo 10), as the SQL has it, with what is left of them at the end."""
     rows = order_events(s, d).where("action in ('new', 'change', 'delete') and price is not null and pmod(seq, 10) >= 5")
     dirty = rows.select("security_id", "side", "price").distinct()
     found = dirty.join(levels(s, d), ["security_id", "side", "price"], "left")
     return found.select("security_id", "side", "price", F.coalesce("total_qty", F.lit(0)).alias("total_qty"), F.col("total_qty").isNull().alias("deleted"))
 
 
+def level_changes_all(s, d):
+    """Levels touched by any event, with what is left of them at the end."""
+    return conflation.changed_levels(order_events(s, d), levels(s, d))
+
+
 def snapshot_and_changes(s, d):
     """Live orders at a cutoff, and all later events on top of them: the same as live orders at the end."""
     rows = order_events(s, d)
@@ -228,9 +242,11 @@ QUERIES = {
     "order_conflation": net_orders,
     "trade_coalesce": coalesced,
     "level_conflation": level_changes,
+    "level_conflation_all": level_changes_all,
     "cadence_last_value": cadence,
     "clear_purge": cleared_windows,
     "subscription_routing": routed,
+    "subscription_routing_all": routed_all,
     "snapshot_plus_changes": snapshot_and_changes,
     "fix_batches": fix_batches,
     "traffic_buckets": lambda s, d: analytics.traffic_buckets(packets(s, d), 100),
