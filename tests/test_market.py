@@ -216,3 +216,60 @@ def test_levels_of_all_events(spark):
 
 def events_at(spark, rows):
     return spark.createDataFrame(rows, "seq long, security_id long, side string, order_id long, action string, price long, qty long")
+
+
+def brute_crossing(rows):
+    live, state, out = {}, {}, []
+    for seq, security, side, order, action, price, _ in sorted(rows):
+        own = live.setdefault(security, {})
+        if action == "mass_delete":
+            for key in [k for k in own if side is None or k[0] == side]:
+                del own[key]
+        elif action != "trade":
+            own.pop((side, order), None)
+            if action != "delete" and price is not None:
+                own[side, order] = price
+        bid, ask = max((p for k, p in own.items() if k[0] == "bid"), default=None), min((p for k, p in own.items() if k[0] == "ask"), default=None)
+        now = "normal" if bid is None or ask is None or bid < ask else "locked" if bid == ask else "crossed"
+        if now != state.get(security, "normal"):
+            out.append((seq, security, bid, ask, now))
+        state[security] = now
+    return sorted(out)
+
+
+def test_one_security_over_many_batches(spark):
+    r = random.Random(11)
+    side = lambda action: None if action == "mass_delete" and r.random() < 0.5 else r.choice(["bid", "ask"])
+    actions = [r.choice(["new", "new", "new", "change", "delete", "trade", "mass_delete" if k % 20 == 0 else "new"]) for k in range(3000)]
+    rows = [(i, r.choice([7, 7, 7, 7, 8, 9, None]), side(a), r.randrange(12), a, r.choice([None, *range(95, 106)]), 1) for i, a in enumerate(actions)]
+    rows = [(2**53 + i, s if s else 10, *x) for i, s, *x in rows]
+    ops = [(i, 3 if i % 3 else i % 11, r.choice(["book", "book", "book", "statistic", "snapshot", "reset" if i % 50 == 0 else "book"]), i // 7 + r.choice([0, 0, 0, 1, 2])) for i in range(1500)]
+    state, want = {}, []
+    for seq, security, op, number in ops:
+        book_ = state.setdefault(security, recovery.Book())
+        outcome, low, high = book_.step(op, number)
+        want.append((seq, security, op, outcome, book_.state, low, high))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = book.crossing_series(events_at(spark, rows).repartition(3))
+        healed = recovery.replay(spark.createDataFrame(ops, "seq long, security_id long, op string, rpt_seq long").repartition(3))
+        assert sorted(map(tuple, found.collect())) == brute_crossing(rows)
+        assert sorted(map(tuple, healed.collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for frame in (found, healed):  # no security's rows are put into one frame
+        plan = frame._jdf.queryExecution().toString()
+        assert "MapInArrow" in plan and "InPandas" not in plan
+
+
+def test_book_state_follows_live_orders():
+    state = book.Crossing()
+    for k in range(20_000):
+        state.step("bid", 1, "new", k)
+        state.step("ask", 2, "new", 100_000 - k)
+    assert len(state.live) == 2 and len(state.count) < 3000 and all(len(h) < 3000 for h in state.heaps.values())
+
+
+def test_empty_replay_and_crossing(spark):
+    assert recovery.replay(spark.createDataFrame([], "seq long, security_id long, op string, rpt_seq long")).count() == 0
+    assert book.crossing_series(events(spark, [])).count() == 0

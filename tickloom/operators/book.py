@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,49 +67,83 @@ def tier_transitions(events: DataFrame) -> DataFrame:
     return moves.groupBy("security_id").agg(F.count_if(F.col("was") & F.col("price").isNotNull()).alias("to_priced"), F.count_if(~F.col("was") & F.col("price").isNull()).alias("to_market"))
 
 
-def crossing_series(events: DataFrame, schema: str = "seq long, security_id long, bid_px long, ask_px long, state string") -> DataFrame:
-    """Each change of a book's state after an event: crossed (bid above ask), locked (equal) or normal. An ordered state machine by security."""
-    import heapq
-
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("seq")
-        live: dict[tuple, int] = {}
-        heaps = {"bid": [], "ask": []}
-        count: dict[tuple, int] = {}
-        rows, state = [], "normal"
-
-        def put(side, price, n):
-            key = (side, price)
-            count[key] = count.get(key, 0) + n
-            if n > 0:
-                heapq.heappush(heaps[side], -price if side == "bid" else price)
-
-        def best(side):
-            heap = heaps[side]
-            while heap:
-                price = -heap[0] if side == "bid" else heap[0]
-                if count.get((side, price), 0) > 0:
-                    return price
-                heapq.heappop(heap)
+class Crossing:
+    """Live orders of one book: their best prices, and whether they cross."""
+
+    def __init__(self):
+        self.live: dict[tuple, int] = {}
+        self.heaps: dict[str, list] = {"bid": [], "ask": []}
+        self.count: dict[tuple, int] = {}
+        self.state = "normal"
+
+    def put(self, side: str, price: int, n: int) -> None:
+        key = (side, price)
+        left = self.count.get(key, 0) + n
+        if left > 0:
+            if key not in self.count:
+                heapq.heappush(self.heaps[side], -price if side == "bid" else price)
+            self.count[key] = left
+        else:
+            self.count[key] = 0  # best() takes it away, once it is on top
+
+    def best(self, side: str) -> int | None:
+        heap = self.heaps[side]
+        while heap:
+            price = -heap[0] if side == "bid" else heap[0]
+            if self.count[side, price] > 0:
+                return price
+            heapq.heappop(heap)
+            del self.count[side, price]
+        return None
+
+    def tidy(self) -> None:
+        """Builds a heap again that holds mostly prices without orders, so that it follows the live orders and not the history."""
+        for side, heap in self.heaps.items():
+            if len(heap) > 1000 and len(heap) > 2 * len(self.live):
+                self.heaps[side] = [p for p in heap if self.count[side, -p if side == "bid" else p] > 0]
+                heapq.heapify(self.heaps[side])
+                self.count = {k: n for k, n in self.count.items() if k[0] != side or n > 0}
+
+    def step(self, side: str | None, order: int, action: str, price: int | None) -> tuple[int | None, int | None, str] | None:
+        """Best bid, best ask and state after the event, if the state is another one."""
+        if action == "mass_delete":
+            for key in [k for k in self.live if side not in ("bid", "ask") or k[0] == side]:
+                self.put(key[0], self.live.pop(key), -1)
+        elif action in ("new", "change", "delete"):
+            if (side, order) in self.live:
+                self.put(side, self.live.pop((side, order)), -1)
+            if action != "delete" and price is not None:
+                self.live[side, order] = price
+                self.put(side, price, 1)
+        self.tidy()
+        bid, ask = self.best("bid"), self.best("ask")
+        now = "normal" if bid is None or ask is None or bid < ask else "locked" if bid == ask else "crossed"
+        if now == self.state:
             return None
+        self.state = now
+        return bid, ask, now
+
 
-        for seq, security, side, order, action, price in zip(*(pdf[c] for c in ("seq", "security_id", "side", "order_id", "action", "price"))):
-            if action == "mass_delete":
-                for key in [k for k in live if side not in ("bid", "ask") or k[0] == side]:
-                    put(key[0], live.pop(key), -1)
-            elif action in ("new", "change", "delete"):
-                if (side, order) in live:
-                    put(side, live.pop((side, order)), -1)
-                if action != "delete" and not pd.isna(price):
-                    live[side, order] = int(price)
-                    put(side, int(price), 1)
-            bid, ask = best("bid"), best("ask")
-            now = "normal" if bid is None or ask is None or bid < ask else "locked" if bid == ask else "crossed"
-            if now != state:
-                rows.append((seq, security, bid, ask, now))
-                state = now
-        return pd.DataFrame(rows, columns=["seq", "security_id", "bid_px", "ask_px", "state"]).astype({"bid_px": "Int64", "ask_px": "Int64"})
-
-    return events.select("seq", "security_id", "side", "order_id", "action", "price").groupBy("security_id").applyInPandas(run, schema)
+def crossing_series(events: DataFrame, schema: str = "seq long, security_id long, bid_px long, ask_px long, state string") -> DataFrame:
+    """Each change of a book's state after an event: crossed (bid above ask), locked (equal) or normal. An ordered state machine by security.
+
+    Rows come sorted by security and seq, and only the live orders of one security are carried over batches.
+    """
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book, now = Crossing(), object()
+        for batch in batches:
+            rows = []
+            for seq, security, side, order, action, price in zip(*(c.to_pylist() for c in batch.columns)):
+                if security != now:
+                    book, now = Crossing(), security
+                found = book.step(side, order, action, price)
+                if found:
+                    rows.append((seq, security, *found))
+            columns = zip(*rows) if rows else [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], [f.split()[0] for f in schema.split(", ")])
+
+    events = events.select(F.col("seq").cast("long"), F.col("security_id").cast("long"), "side", "order_id", "action", F.col("price").cast("long"))
+    return events.repartition("security_id").sortWithinPartitions("security_id", "seq").mapInArrow(run, schema)

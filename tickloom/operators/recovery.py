@@ -9,10 +9,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 RESULT = "seq long, security_id long, op string, outcome string, state string, drain_from long, drain_to long"
 
 
+#: Before the first row: no security, not even null.
+_NONE = object()
+
+
 class Book:
     """state: unknown, stale or healthy. seen: highest number of any kind; book: highest applied; least: the number that a snapshot must reach."""
 
@@ -49,18 +54,28 @@ class Book:
 
 
 def replay(rows: DataFrame) -> DataFrame:
-    """Each operation (seq, security_id, op: book, statistic, snapshot or reset; rpt_seq) with what became of it."""
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, book, out = pdf.sort_values("seq"), Book(), []
-        for seq, security, op, number in zip(pdf.seq, pdf.security_id, pdf.op, pdf.rpt_seq):
-            outcome, low, high = book.step(op, int(number))
-            out.append((seq, security, op, outcome, book.state, low, high))
-        frame = pd.DataFrame(out, columns=["seq", "security_id", "op", "outcome", "state", "drain_from", "drain_to"])
-        return frame.astype({"drain_from": "Int64", "drain_to": "Int64"})
-
-    return rows.select("seq", "security_id", "op", "rpt_seq").groupBy("security_id").applyInPandas(run, RESULT)
+    """Each operation (seq, security_id, op: book, statistic, snapshot or reset; rpt_seq) with what became of it.
+
+    Rows come sorted by security and seq, and only the book of one security is carried over batches.
+    """
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book, now = Book(), _NONE
+        for batch in batches:
+            seqs, securities, ops, numbers = (c.to_pylist() for c in batch.columns)
+            out = []
+            for security, op, number in zip(securities, ops, numbers):
+                if security != now:
+                    book, now = Book(), security
+                outcome, low, high = book.step(op, int(number))
+                out.append((outcome, book.state, low, high))
+            columns = zip(*out) if out else [()] * 4
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(seqs, pa.int64()), pa.array(securities, pa.int64()), pa.array(ops, pa.string()), *(pa.array(c, t) for c, t in zip(columns, kinds))], [f.split()[0] for f in RESULT.split(", ")])
+
+    rows = rows.select(F.col("seq").cast("long"), F.col("security_id").cast("long"), F.col("op").cast("string"), F.col("rpt_seq").cast("long"))
+    return rows.repartition("security_id").sortWithinPartitions("security_id", "seq").mapInArrow(run, RESULT)
 
 
 def replay_stream(rows: DataFrame) -> DataFrame:
