@@ -104,3 +104,24 @@ def test_components(spark):
     loops = {a for a, b in edges if a == b}
     assert {k: v for k, v in label.items() if k in got} == got
     assert all(k in got or k in loops for k in label)
+
+
+@pytest.mark.parametrize(("seed", "long", "block"), [(1, 20_000, 1_000_000), (2, 12, 3_000)])
+def test_all_links_count(spark, monkeypatch, seed, long, block):
+    monkeypatch.setattr(ngram_join, "LONG", long)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rows = fixture(seed, 180)
+    rows += rows[:20] + [(None, rows[0][1])]  # repeated in full, and a copy without an id
+    own = [sets(t) for _, t in rows]
+    near = lambda i, j: i != j and own[i] and own[j] and 100 * len(own[i] & own[j]) >= 85 * len(own[i] | own[j])
+    want = sorted((d or 0, len(own[i]), sum(bool(near(i, j)) for j in range(len(rows)))) for i, (d, _) in enumerate(rows))
+    got = ngram_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.n_links) for r in got) == want
+    assert max(n for *_, n in want) > 5
+
+
+def test_links_of_a_chain(spark):
+    words = [f"w{k}" for k in range(120)]
+    rows = [(k, " ".join(words[3 * k : 3 * k + 60])) for k in range(6)]  # neighbours are linked, no others
+    got = {r.doc_id: (r.component_id, r.n_links) for r in ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: (0, 1 if k in (0, 5) else 2) for k in range(6)}

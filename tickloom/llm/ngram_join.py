@@ -13,7 +13,9 @@ Documents with equal n-gram sets are one node. The product is not formed where s
    nodes are compared together, so that no pair is lost. A list of LONG nodes or more isn't compared: it gives an edge for each node to the next, which joins all of them.
 3. The connected parts of that candidate graph are the blocks of the matrix product: whole n-gram sets go there once, and
    overlap counts of all pairs of a block are accumulated column by column. Parts of more than BLOCK n-grams are cut into
-   block pairs, so that each task's matrix is bounded. A block returns a spanning forest of its links, not all pairs.
+   block pairs, so that each task's matrix is bounded. A block returns a spanning forest of its links, and for each node
+   the number of documents that it is linked to; a pair is counted in one block only. So all links count, but not all
+   pairs are rows.
 
 Components of these forests are the classes. Null or wordless texts have an empty set and no links. Rows with a null
 doc_id have a class only through rows with an equal set; else their component_id is null. Rows that repeat a doc_id are
@@ -249,7 +251,7 @@ def postings(percent: int):
 
 
 def whole_sets(size: int):
-    """mapInArrow over (doc_id, text, node, part, cuts): the whole n-gram set of a node, in every block pair that it belongs to."""
+    """mapInArrow over (doc_id, text, node, part, cuts, copies): the whole n-gram set of a node, in every block pair that it belongs to. own: its side of the pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -257,19 +259,23 @@ def whole_sets(size: int):
             node = batch.column(2).to_numpy(zero_copy_only=False)
             part = batch.column(3).to_numpy(zero_copy_only=False)
             cuts = batch.column(4).to_numpy(zero_copy_only=False)
+            copies = batch.column(5).to_numpy(zero_copy_only=False)
             own = (mix(node.view(np.uint64), 8) % np.maximum(cuts, 1).astype(np.uint64)).astype(np.int64)
             for i in range(batch.num_rows):
                 if signed(np.array([fingerprint(values[rows[i] : rows[i + 1]])]))[0] != node[i]:
                     continue  # another text with this doc_id
                 one = pa.array([signed(values[rows[i] : rows[i + 1]])], pa.list_(pa.int64()))
                 for other in range(cuts[i]):
-                    yield pa.RecordBatch.from_arrays([pa.array([part[i]]), pa.array([min(own[i], other)], pa.int64()), pa.array([max(own[i], other)], pa.int64()), pa.array([node[i]]), one], ["part", "i", "j", "node", "grams"])
+                    yield pa.RecordBatch.from_arrays([pa.array([part[i]]), pa.array([min(own[i], other)], pa.int64()), pa.array([max(own[i], other)], pa.int64()), pa.array([node[i]]), one, pa.array([own[i]], pa.int64()), pa.array([copies[i]], pa.int64())], ["part", "i", "j", "node", "grams", "own", "copies"])
 
     return run
 
 
-def product(node: np.ndarray, values: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links of one block: overlap counts of all its pairs, accumulated over the n-grams that at least two share."""
+def product(node: np.ndarray, values: np.ndarray, sizes: np.ndarray, percent: int, side: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A spanning forest of the links of one block, and each node's number of linked documents: overlap counts of all pairs, accumulated over the n-grams that at least two share.
+
+    If the block has two sides, only links from one to the other are counted; those within a side count in its own block.
+    """
     m = len(node)
     who = np.repeat(np.arange(m), sizes)
     order = np.argsort(values, kind="stable")
@@ -295,7 +301,12 @@ def product(node: np.ndarray, values: np.ndarray, sizes: np.ndarray, percent: in
     a, b = np.nonzero(np.triu(overlap.reshape(m, m), 1))
     both = overlap.reshape(m, m)[a, b].astype(np.int64)
     linked = 100 * both >= percent * (sizes[a] + sizes[b] - both)
-    return forest(node, a[linked], b[linked])
+    a, b = a[linked], b[linked]
+    counted = (side[a] != side[b]) | (side.min() == side.max())
+    n = np.zeros(m, np.int64)
+    np.add.at(n, a[counted], copies[b[counted]])
+    np.add.at(n, b[counted], copies[a[counted]])
+    return *forest(node, a, b), n
 
 
 def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -322,7 +333,7 @@ def forest(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
 
 
 def blocks(percent: int):
-    """mapInArrow over (part, i, j, node, grams), sorted within the partition by part, i, j."""
+    """mapInArrow over (part, i, j, node, grams, own, copies), sorted within the partition by part, i, j, node: edges (a, b) of the forests, and (a, null, n) with the number of documents linked to a."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -331,10 +342,17 @@ def blocks(percent: int):
         def close() -> Iterator[pa.RecordBatch]:
             if held:
                 whole = pa.Table.from_batches(held).combine_chunks()
+                node = whole.column("node").to_numpy()
+                new = np.append(True, node[1:] != node[:-1])  # rows that repeat a doc_id bring a set again
+                if not new.all():
+                    whole, node = whole.filter(pa.array(new)).combine_chunks(), node[new]
                 lists = whole.column("grams").combine_chunks()
                 sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-                x, y = product(whole.column("node").to_numpy(), lists.flatten().to_numpy(zero_copy_only=False), sizes, percent)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+                side = whole.column("own").to_numpy() if key[1] != key[2] else np.zeros(len(node), np.int64)
+                x, y, n = product(node, lists.flatten().to_numpy(zero_copy_only=False), sizes, percent, side, whole.column("copies").to_numpy())
+                some = n > 0
+                columns = [np.concatenate((x, node[some])), [*y.tolist(), *[None] * int(some.sum())], [*[None] * len(x), *n[some].tolist()]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "n"])
                 held.clear()
 
         for batch in batches:
@@ -346,14 +364,14 @@ def blocks(percent: int):
                 if tuple(keys[:, a]) != key:
                     yield from close()
                     key = tuple(keys[:, a])
-                held.append(batch.slice(a, b - a).select([3, 4]))
+                held.append(batch.slice(a, b - a).select([3, 4, 5, 6]))
         yield from close()
 
     return run
 
 
 def ngram_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row: the size of its set of word n-grams (words [^\\x20\\x09-\\x0D]+, A-Z lowered), and the smallest doc_id that links of at least percent % similarity reach."""
+    """(doc_id, n_shingles, component_id, n_links) of every row: the size of its set of word n-grams (words [^\\x20\\x09-\\x0D]+, A-Z lowered), the smallest doc_id that links of at least percent % similarity reach, and the number of other rows to which it has such a link itself."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = docs.count()
     counted = texts.mapInArrow(frequent(size, HEAVY_SHARE), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY_SHARE * total)
@@ -373,17 +391,19 @@ def ngram_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataF
     edges = lists.repartition("list").sortWithinPartitions("list", "n", "node").mapInArrow(postings(percent), "a long, b long")
     parts = settle(components(edges))
 
-    names = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    names = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count("*").alias("copies"))
     found = settle(parts.join(names, "node").where("doc_id is not null"))
     cuts = found.groupBy("root").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / BLOCK), F.ceil(F.count("*") / 1000)).cast("long").alias("cuts"))
-    wanted = found.join(cuts, "root").select("doc_id", "node", F.col("root").alias("part"), "cuts")
+    wanted = found.join(cuts, "root").select("doc_id", "node", F.col("root").alias("part"), "cuts", "copies")
     wanted = F.broadcast(wanted) if found.count() <= BROADCAST else wanted
-    chosen = texts.join(wanted, "doc_id").select("doc_id", "text", "node", "part", "cuts")
-    sets = chosen.mapInArrow(whole_sets(size), "part long, i long, j long, node long, grams array<long>")
-    links = sets.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j", "node").mapInArrow(blocks(percent), "a long, b long")
+    chosen = texts.join(wanted, "doc_id").select("doc_id", "text", "node", "part", "cuts", "copies")
+    sets = chosen.mapInArrow(whole_sets(size), "part long, i long, j long, node long, grams array<long>, own long, copies long")
+    links = settle(sets.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j", "node").mapInArrow(blocks(percent), "a long, b long, n long"))
     classes = components(links)
 
-    named = names.select("node", F.col("doc_id").alias("own")).join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    linked = links.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
+    named = names.select("node", "copies", F.col("doc_id").alias("own")).join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("own").alias("component_id"))
-    labels = named.join(least, "root").select("node", "component_id")
-    return rows.join(labels, "node").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    labels = named.join(least, "root").join(linked, "node", "left").select("node", "component_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return rows.join(labels, "node").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.when(F.col("n") > 0, F.col("n_links")).otherwise(F.lit(0)).alias("n_links"))
