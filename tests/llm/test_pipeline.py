@@ -9,6 +9,8 @@ from test_substrings import brute
 
 from tickloom.llm import bpe
 from tickloom.llm.pipeline import drop_near_copies, drop_repeated_passages, mix
+from tickloom.llm.substrings import substring_dedup
+from tickloom.llm.suffixes import suffix_dedup
 
 
 def words(r, n):
@@ -89,3 +91,21 @@ def test_stages_with_odd_rows(spark):
             assert found.count() >= 0
     assert {r.doc_id for r in drop_near_copies(spark, spark.createDataFrame(rows, shape), "").collect()} == {1, 2, 3, 4, None}
     assert {r.doc_id for r in mix(spark, spark.createDataFrame(rows, shape).where(F.col("doc_id") == 4), "").collect()} == {4}
+
+
+def test_one_id_with_different_texts(spark):
+    """Each text is cut by its own places, and each row judged by its own class."""
+    r = random.Random(21)
+    passage, long, short, other, third = words(r, 80), words(r, 200), words(r, 10), words(r, 100), words(r, 90)
+    rows = [(1, " ".join(passage)), (5, " ".join(long[:150] + passage)), (5, " ".join(short)), (7, " ".join(other)), (7, " ".join(third)), (6, " ".join(other)), (8, " ".join(long)), (8, " ".join(long)), (None, "a b c d e f"), (None, "a b c d e f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((x.doc_id or 0, x.n_words, x.n_removed, x.kept_text) for x in substring_dedup(docs, 50).collect())
+    kept = {(1, len(passage)): passage, (5, 230): long[:150], (5, 10): short, (7, 90): third, (6, 100): other}
+    for (doc, n), text in kept.items():
+        assert (doc, n, n - len(text), " ".join(text)) in got, (doc, n)
+    assert (7, 100, 100, "") in got
+    cut = {(x.doc_id, x.n_bytes): bytes(x.kept) for x in suffix_dedup(docs.where("doc_id in (1, 5)"), 300).collect()}
+    assert cut[5, len(rows[2][1])] == rows[2][1].encode()
+    assert cut[1, len(rows[0][1])] == b""
+    left = sorted((x.doc_id or 0, x.text) for x in drop_near_copies(spark, docs, "").collect())
+    assert left == sorted((d or 0, t) for d, t in [rows[0], rows[1], rows[2], rows[4], rows[5], rows[6], rows[8]])

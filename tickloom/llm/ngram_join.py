@@ -150,7 +150,7 @@ def profile(size: int, percent: int, heavy: np.ndarray):
                 prefixes.append(signed(order[:length]))
                 sketches.append(sketch(own))
             sizes = np.diff(rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), signed(nodes), sizes, pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "node", "n", "prefix", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), signed(nodes), sizes, pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), batch.column(2)], ["doc_id", "node", "n", "prefix", "sketch", "text_hash"])
 
     return run
 
@@ -370,14 +370,14 @@ def blocks(percent: int):
     return run
 
 
-def ngram_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) of every row: the size of its set of word n-grams (words [^\\x20\\x09-\\x0D]+, A-Z lowered), the smallest doc_id that links of at least percent % similarity reach, and the number of other rows to which it has such a link itself."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def ngram_components(docs: DataFrame, size: int = 4, percent: int = 85, hashes: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) of every row: the size of its set of word n-grams (words [^\\x20\\x09-\\x0D]+, A-Z lowered), the smallest doc_id that links of at least percent % similarity reach, and the number of other rows to which it has such a link itself. hashes: text_hash besides, xxhash64 of the text."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     total = docs.count()
     counted = texts.mapInArrow(frequent(size, HEAVY_SHARE), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY_SHARE * total)
     heavy = np.array([r.gram for r in counted.orderBy(F.desc("n"), "gram").limit(HEAVY).collect()], np.int64).view(np.uint64)
 
-    rows = settle(texts.mapInArrow(profile(size, percent, np.sort(heavy)), "doc_id long, node long, n long, prefix array<long>, sketch binary"))
+    rows = settle(texts.mapInArrow(profile(size, percent, np.sort(heavy)), "doc_id long, node long, n long, prefix array<long>, sketch binary, text_hash long"))
     entries = rows.where("prefix is not null").select(F.explode("prefix").alias("gram"), "n", "node")
     by_size = Window.partitionBy("gram").orderBy("n", "node")
     shared = entries.withColumn("again", F.lag("node").over(by_size)).where("again is null or again <> node").drop("again")  # a node's copies
@@ -406,4 +406,4 @@ def ngram_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataF
     least = named.groupBy("root").agg(F.min("own").alias("component_id"))
     labels = named.join(least, "root").join(linked, "node", "left").select("node", "component_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return rows.join(labels, "node").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.when(F.col("n") > 0, F.col("n_links")).otherwise(F.lit(0)).alias("n_links"))
+    return rows.join(labels, "node").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.when(F.col("n") > 0, F.col("n_links")).otherwise(F.lit(0)).alias("n_links"), *(["text_hash"] if hashes else []))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm import toxicity
 from tickloom.llm.bpe import encode
-from tickloom.llm.common import table
+from tickloom.llm.common import settle, table
 from tickloom.llm.mixing import mix_sources
 from tickloom.llm.ngram_join import ngram_components
 from tickloom.llm.substrings import substring_dedup
@@ -32,9 +32,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document stays if its class has its doc_id, or it is in none (no doc_id)."""
-    classes = ngram_components(docs, NGRAM, PERCENT).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(classes, "doc_id", "left_anti").select(*docs.columns)
+    """A document stays if its class has its doc_id, or it is in none (no doc_id); of rows with the same doc_id and text one stays."""
+    classes = ngram_components(docs, NGRAM, PERCENT, hashes=True)
+    keys = classes.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.coalesce(F.bool_or(F.col("doc_id") != F.col("component_id")), F.lit(False)).alias("__drop"), F.count("*").alias("n"))
+    keys = settle(keys.where("__drop or n > 1").select("__id", "__hash", "__drop"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
+    again = docs.join(keys.where("not __drop"), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(keys, same, "left_anti").unionByName(again)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

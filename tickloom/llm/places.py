@@ -3,6 +3,9 @@
 A place has a mark (what all its windows contain) and a stretch (a fingerprint of all that its windows cover). Equal
 windows always stand in places with equal marks, so a place whose mark is nowhere else has no equals; one whose stretch
 is elsewhere has equals for all its windows; any other is open: to be compared again in smaller pieces.
+
+A place belongs to a doc_id and a tag, which tells different texts of one doc_id apart and is 0 for all others. In rows of
+PLACE the tag stands above the two lowest bits of state, so that it costs nothing where it is 0.
 """
 
 from __future__ import annotations
@@ -15,64 +18,80 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.textkit import mix, signed
 
+#: Repeated doc_ids up to this number are broadcast; more are joined by a shuffle.
+BROADCAST = 500_000
+
 PLACE = "mark long, stretch long, doc_id long, start long, windows long, at long, state int"
 #: States: not settled; gone, and standing for no others; gone, but the first of its equals.
 OPEN, LATER, LED = range(3)
 NAMES = [x.split()[0] for x in PLACE.split(", ")]
 
 
-def places(mark: np.ndarray, stretch: np.ndarray, ids: np.ndarray, start: np.ndarray, windows: np.ndarray, at: np.ndarray, first_stays: bool = True) -> pa.RecordBatch:
+def places(mark: np.ndarray, stretch: np.ndarray, ids: np.ndarray, tag: np.ndarray, start: np.ndarray, windows: np.ndarray, at: np.ndarray, first_stays: bool = True) -> pa.RecordBatch:
     """Rows of PLACE, with those that are equal within a slice settled here: all but the first are gone, and needn't meet others.
 
     Their mark becomes a random one, which spreads them; so a common passage costs its mark's task one row for a slice.
     first_stays: whether the first of equal places stays.
     """
-    order = np.lexsort((start, ids, stretch, mark))
-    m, w, i, s = mark[order], stretch[order], ids[order], start[order]
+    order = np.lexsort((start, tag, ids, stretch, mark))
+    m, w, i, g, s = mark[order], stretch[order], ids[order], tag[order], start[order]
     same = np.zeros(len(order), bool)
     same[1:] = (m[1:] == m[:-1]) & (w[1:] == w[:-1])
     later = same.copy()
-    later[1:] &= ~((i[1:] == i[:-1]) & (s[1:] == s[:-1]))
+    later[1:] &= ~((i[1:] == i[:-1]) & (g[1:] == g[:-1]) & (s[1:] == s[:-1]))
     head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-    later &= (i != i[head]) | (s != s[head])
+    later &= (i != i[head]) | (g != g[head]) | (s != s[head])
     state = np.where(later, LATER, OPEN).astype(np.int32)
     if not first_stays:
         state[head[later]] = LED
     m[later] = mix(i[later].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + s[later].astype(np.uint64))
-    return pa.RecordBatch.from_arrays([signed(m), signed(w), i, s, windows[order], at[order], state], NAMES)
+    return pa.RecordBatch.from_arrays([signed(m), signed(w), i, s, windows[order], at[order], state | (g << 2).astype(np.int32)], NAMES)
 
 
 def judge(rows: DataFrame, first_stays: bool = True) -> DataFrame:
-    """(doc_id, start, windows, at, gone, open). gone: an equal place stands earlier (or, unless first_stays, anywhere else). open: the first of its equals, but its mark also stands in a different stretch."""
+    """(doc_id, tag, start, windows, at, gone, open). gone: an equal place stands earlier (or, unless first_stays, anywhere else). open: the first of its equals, but its mark also stands in a different stretch."""
     rows = rows.repartition("mark")  # one exchange, the same for all that is asked of it
-    same = Window.partitionBy("mark", "stretch").orderBy("doc_id", "start")
+    rows = rows.withColumns({"tag": F.shiftright("state", 2), "state": F.col("state").bitwiseAND(3)})
+    same = Window.partitionBy("mark", "stretch").orderBy("doc_id", "tag", "start")
     whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     mark = Window.partitionBy("mark")
     rows = rows.withColumn("rank", F.rank().over(same))
     gone = (F.col("state") != OPEN) | (F.col("rank") > 1)
     if not first_stays:
-        rows = rows.withColumn("last", F.last(F.struct("doc_id", "start")).over(whole))
-        gone = gone | (F.col("last") != F.struct("doc_id", "start"))
+        rows = rows.withColumn("last", F.last(F.struct("doc_id", "tag", "start")).over(whole))
+        gone = gone | (F.col("last") != F.struct("doc_id", "tag", "start"))
     rows = rows.withColumns({"least": F.min("stretch").over(mark), "most": F.max("stretch").over(mark)})
     open_ = (F.col("state") != LATER) & (F.col("rank") == 1) & (F.col("least") != F.col("most"))
-    return rows.select("doc_id", "start", "windows", "at", gone.alias("gone"), open_.alias("open"))
+    return rows.select("doc_id", "tag", "start", "windows", "at", gone.alias("gone"), open_.alias("open"))
+
+
+def tagged(docs: DataFrame) -> DataFrame:
+    """docs with __tag: a fingerprint of the text where another row with this doc_id has a different one, else 0."""
+    name = F.xxhash64("text")
+    again = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.min(name).alias("a"), F.max(name).alias("b")).where("a <> b").select("__id")
+    n = again.count()
+    if not n:
+        return docs.withColumn("__tag", F.lit(0))
+    again = F.broadcast(again) if n <= BROADCAST else again
+    tag = F.when(F.col("__id").isNotNull(), 1 + F.pmod(name, F.lit((1 << 29) - 1))).otherwise(0).cast("int")
+    return docs.join(again, F.col("doc_id") == F.col("__id"), "left").select(*docs.columns, tag.alias("__tag"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key to join by, which is never null, and the text once more. Rows without a doc_id get keys that none has.
+    """The tagged docs with a key to join by, which is never null, and the text once more. Rows without a doc_id get keys that none has.
 
     All joins with texts start from this one frame, with all its columns, so that Spark shuffles the texts once and uses
     that exchange again.
     """
     missing = F.col("doc_id").isNull().cast("int")
-    return docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("__key"), missing.alias("__none"), F.col("text").alias("__text"))
+    return docs.select(*(c for c in docs.columns if c != "__tag"), "__tag", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("__key"), missing.alias("__none"), F.col("text").alias("__text"))
 
 
 def with_places(texts: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     """The keyed texts with __spans, an array of the places in them."""
-    spans = rows.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "at")).alias("__spans"))
-    spans = spans.select(F.coalesce("doc_id", F.lit(0)).alias("__key"), F.col("doc_id").isNull().cast("int").alias("__none"), "__spans")
-    return texts.join(spans, ["__key", "__none"], how).select(*texts.columns, "__spans")
+    spans = rows.groupBy("doc_id", F.col("tag").alias("__tag")).agg(F.collect_list(F.struct("start", "windows", "at")).alias("__spans"))
+    spans = spans.select(F.coalesce("doc_id", F.lit(0)).alias("__key"), F.col("doc_id").isNull().cast("int").alias("__none"), "__tag", "__spans")
+    return texts.join(spans, ["__key", "__none", "__tag"], how).select(*texts.columns, "__spans")
 
 
 def spans_of(column: pa.Array) -> tuple[np.ndarray, ...]:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.places import PLACE, judge, keyed, places, spans_of, with_places
+from tickloom.llm.places import PLACE, judge, keyed, places, spans_of, tagged, with_places
 from tickloom.llm.textkit import Rolling, Words, covered, mix, ranges, row_of, slices, text_bytes
 
 ROUNDS = 3
@@ -96,7 +96,7 @@ def stretches(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids, tags = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(2).to_numpy()
             words = Words(*text_bytes(batch.column(1)))
             names = words.hashes()
             start, mark, at = window_marks(names, words.rows, length)
@@ -110,7 +110,7 @@ def stretches(length: int):
             s = start[head]
             whole = Rolling(mix(names, 7), 1).span(s, s + n - 1 + length)
             whole = mix(whole + (at[head] - s).astype(np.uint64) * np.uint64(0x8EBC6AF09C88C6E3))
-            yield places(mark[head], whole, ids[row[head]], s - words.rows[row[head]], n, at[head] - s)
+            yield places(mark[head], whole, ids[row[head]], tags[row[head]], s - words.rows[row[head]], n, at[head] - s)
 
     return run
 
@@ -120,7 +120,7 @@ def windows(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text"):
-            ids = batch.column("__key").to_numpy()
+            ids, tags = batch.column("__key").to_numpy(), batch.column("__tag").to_numpy()
             words = Words(*text_bytes(batch.column("__text")))
             names = words.hashes()
             row, first, count, _ = spans_of(batch.column("__spans"))
@@ -128,14 +128,14 @@ def windows(length: int):
             row = np.repeat(row, count)
             if len(start):
                 one, two, ones = Rolling(names), Rolling(mix(names, 7), 1), np.ones(len(start), np.int64)
-                yield places(one.span(start, start + length), two.span(start, start + length), ids[row], start - words.rows[row], ones, 0 * ones)
+                yield places(one.span(start, start + length), two.span(start, start + length), ids[row], tags[row], start - words.rows[row], ones, 0 * ones)
 
     return run
 
 
 def repeats(docs: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     """Places whose windows stand earlier (smaller doc_id, or earlier in the same document)."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "__tag").where("doc_id is not null and text is not null")
     judged = judge(plain.mapInArrow(stretches(length), PLACE))
     single = with_places(texts, judged.where("open"), "inner").mapInArrow(windows(length), PLACE)
     return judged.where("gone").unionByName(judge(single).where("gone"))
@@ -153,7 +153,7 @@ def cut(length: int):
             total = np.concatenate(([0], np.cumsum(gone)))
             removed = total[words.rows[1:]] - total[words.rows[:-1]]
             results = [words.joined(~gone), pa.array(words.per_row()), pa.array(removed)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-4], *results], names=[*batch.schema.names[:-4], *RESULTS])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-5], *results], names=[*batch.schema.names[:-5], *RESULTS])
 
     return run
 
@@ -168,7 +168,8 @@ def substring_dedup(docs: DataFrame, length: int = 20) -> DataFrame:
     document with a smaller doc_id, or earlier in the same one. Windows are judged on the input.
     """
     docs = docs.drop(*RESULTS)
-    texts = keyed(docs)
-    joined = with_places(texts, repeats(docs, texts, length), "left")
+    rows = tagged(docs)
+    texts = keyed(rows)
+    joined = with_places(texts, repeats(rows, texts, length), "left")
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.StringType() if n == "kept_text" else T.LongType()) for n in RESULTS)])
     return joined.mapInArrow(cut(length), schema)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.places import PLACE, judge, keyed, places, spans_of, with_places
+from tickloom.llm.places import PLACE, judge, keyed, places, spans_of, tagged, with_places
 from tickloom.llm.textkit import BYTE_VALUE, Rolling, covered, mix, ranges, row_of, slices, text_bytes
 
 GRAM, CELL = 32, 24
@@ -53,7 +53,7 @@ def smallest(values: np.ndarray, width: int) -> np.ndarray:
 def first_digit(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=SLICE):
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids, tags = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(2).to_numpy()
             data, rows = text_bytes(batch.column(1))
             count = np.maximum(np.diff(rows) - length + 1, 0)
             if not count.any():
@@ -70,7 +70,7 @@ def first_digit(length: int, gram: int):
             n = np.diff(np.append(head, len(start)))
             s, at = start[head], at[head]
             row = row_of(rows, s)
-            yield places(grams[at], stretch(values, s, s + n - 1 + length, at), ids[row], s - rows[row], n, at - s, False)
+            yield places(grams[at], stretch(values, s, s + n - 1 + length, at), ids[row], tags[row], s - rows[row], n, at - s, False)
 
     return run
 
@@ -85,7 +85,7 @@ def next_digit(length: int, cell: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text", SLICE):
-            ids = batch.column("__key").to_numpy()
+            ids, tags = batch.column("__key").to_numpy(), batch.column("__tag").to_numpy()
             data, rows = text_bytes(batch.column("__text"))
             row, first, count, at = spans_of(batch.column("__spans"))
             first = first + rows[row]
@@ -101,14 +101,14 @@ def next_digit(length: int, cell: int):
             values = BYTE_VALUE[data]
             common = Rolling(values).span(at + (k + 1) * cell - 1, at + k * cell + length)
             digit = mix(common + k.astype(np.uint64))
-            yield places(digit, stretch(values, a, b - 1 + length, at), ids[row], a - rows[row], b - a, at - a, False)
+            yield places(digit, stretch(values, a, b - 1 + length, at), ids[row], tags[row], a - rows[row], b - a, at - a, False)
 
     return run
 
 
 def repeats(docs: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     """Runs of suffixes whose first length bytes also start elsewhere."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "__tag").where("doc_id is not null and text is not null")
     gram = min(GRAM, max(1, length // 2))
     found = judge(plain.mapInArrow(first_digit(length, gram), PLACE), False)
     gone = found.where("gone")
@@ -144,7 +144,7 @@ def cut(length: int):
             kept = np.concatenate(([0], np.cumsum(np.diff(rows) - removed))).astype(np.int32)
             texts = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(kept), pa.py_buffer(data[~gone])])
             results = [texts, pa.array(np.diff(rows)), pa.array(removed), pa.ListArray.from_arrays(pa.array(ends), runs)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-4], *results], names=[*batch.schema.names[:-4], *RESULTS])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-5], *results], names=[*batch.schema.names[:-5], *RESULTS])
 
     return run
 
@@ -156,7 +156,8 @@ def suffix_dedup(docs: DataFrame, length: int = 400) -> DataFrame:
     included. Strings are judged on the input. Every occurrence goes, the first too.
     """
     docs = docs.drop(*RESULTS)
-    texts = keyed(docs)
-    joined = with_places(texts, repeats(docs, texts, length), "left")
+    rows = tagged(docs)
+    texts = keyed(rows)
+    joined = with_places(texts, repeats(rows, texts, length), "left")
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(RESULTS, TYPES))])
     return joined.mapInArrow(cut(length), schema)
