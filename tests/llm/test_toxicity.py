@@ -1,8 +1,10 @@
 import random
 
+import pyarrow as pa
 import pytest
 
-from tickloom.llm.toxicity import Finder, Trie, fit, learn_lexicon, score_toxicity
+from tickloom.llm.textkit import Words, text_bytes
+from tickloom.llm.toxicity import Finder, Trie, fit, learn_lexicon, measured, score_toxicity
 
 
 def edits(word):
@@ -33,10 +35,15 @@ def test_term_of_four_letters(word, found):
 
 
 def test_gate_lets_all_edits_pass():
-    lexicon = {"scum": 2.0, "idiot": 3.0, "trash": 4.0, "moro*": 5.0, "wxyz": 1.0}
+    lexicon = {"scum": 2.0, "idiot": 3.0, "trash": 4.0, "moro*": 5.0, "wxyz": 1.0, "pöbel": 6.0, "d*mn": 1.0}
     finder = Finder(lexicon)
-    for word in {e for t in lexicon for e in edits(t.rstrip("*")) | edits(t.rstrip("*") + "ns")} - {w[:3] for w in lexicon}:
-        assert finder.word(word.encode()) == finder.trie.match(word), word
+    r = random.Random(3)
+    tried = {e for t in lexicon for e in edits(t.rstrip("*")) | edits(t.rstrip("*") + "ns")} | {"said", "quoted", "5cum", "m0r0n", "“idiot”", "(idoit)", "pobel", "id*ot", "kano", "übel", "x"}
+    tried |= {"".join(r.choice("abcdefgmorn") for _ in range(r.randrange(1, 9))) for _ in range(2000)}
+    tried = sorted(w for w in tried if w.strip() == w != "")
+    data, rows = text_bytes(pa.array([" ".join(tried)]))
+    passed = {tried[k] for k in finder.possible(data, Words(data, rows)).tolist()}
+    assert {w for w in tried if finder.word(w.encode())[1]} <= passed and "kano" not in passed
 
 
 @pytest.mark.parametrize(("word", "how"), [("idoit", 3), ("idoitic", 3), ("idot", 3), ("iidiot", 3), ("udioten", 3), ("dioten", 3), ("idiocy", 2), ("idea", 0), ("ideal", 0), ("idle", 0)])
@@ -90,3 +97,13 @@ def test_without_rows(spark):
     model = fit(nothing, nothing)
     assert score_toxicity(nothing, model).count() == 0
     assert [r.toxicity for r in score_toxicity(spark.createDataFrame([(1, "a")], "doc_id long, text string"), model).collect()] == [0.0]
+
+
+def test_quotes_and_reports():
+    """Features 1 (plain), 4 (quoted) and 5 (clustered) of single texts."""
+    finder = Finder({"idiot": 2.0, "moron": 2.0})
+    texts = ["you idiot", 'the "idiot" speaks', "„idiot“ steht da", "«idiot»", "he said idiot", "idiot moron", 'a " b c d e f g h i j idiot "', "idiot's"]
+    x = measured(finder, pa.array(texts))
+    assert [bool(v) for v in x[1]] == [True, False, False, False, False, True, True, False]
+    assert [bool(v) for v in x[4]] == [False, True, True, True, True, False, False, False]
+    assert [bool(v) for v in x[5]] == [False, False, False, False, False, True, False, False]

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that a slice aims for; a longer single text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 MASK = (1 << 64) - 1
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -20,6 +20,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 BYTE_VALUE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64)
 _powers: dict[int, np.ndarray] = {}
+POWERS = 1 << 14
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -34,16 +35,19 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64; kept, as slices have about the same length."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        have = np.full(size, base & MASK, np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        if size <= 2 * SLICE_BYTES:
-            _powers[base] = have
-    return have[:n]
+    """base ** 0 .. base ** (n - 1) modulo 2 ** 64; what is kept between calls is a table of POWERS entries."""
+    low = _powers.get(base)
+    if low is None:
+        low = _powers[base] = run_of(base, POWERS)
+    if n <= POWERS:
+        return low[:n]
+    return np.multiply.outer(run_of(pow(base, POWERS, 1 << 64), -(-n // POWERS)), low).ravel()[:n]
+
+
+def run_of(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base & MASK, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
 
 class Rolling:
@@ -74,12 +78,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str | int = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about limit bytes of text, so that a task's memory doesn't follow the batch size."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False)
+        column = batch.column(text if isinstance(text, int) else batch.schema.get_field_index(text))
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
         part = np.cumsum(sizes.astype(np.int64)) // limit
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):

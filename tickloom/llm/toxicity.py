@@ -8,8 +8,8 @@ word as one unknown letter. Each hit has its term's weight, less if misspelled.
 speech count it as quoted; further hits near it make it abuse. Counts and rates of plain, misspelled, beginning, quoted
 and clustered hits are the features of a logistic regression.
 
-Lexicon and regression are fitted on a bounded sample of labelled rows (SAMPLE, by hash of the doc_id; documented bound);
-scoring covers every whole text. Nothing but the text is looked at. Null and empty texts have no hits and get the score of
+Lexicon and regression are fitted on a bounded sample of labelled rows (SAMPLE, by hash of the doc_id; documented bound; a
+doc_id with both labels is toxic); scoring covers every whole text. Nothing but the text is looked at. Null and empty texts have no hits and get the score of
 a text without hits. Without training rows of both kinds every score is 0. Rows may repeat a doc_id or have none; an empty
 table gives an empty result; other columns are not looked at, or kept as they are.
 """
@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.llm.common import settle
-from tickloom.llm.textkit import BYTE_VALUE, Rolling, Words, row_of, slices, text_bytes
+from tickloom.llm.textkit import Words, row_of, slices, text_bytes
 
 SAMPLE, TERMS, WINDOW = 20_000, 400, 8
+#: Bytes of text of a slice.
+SLICE = 1 << 20
 BEGINNINGS = range(4, 9)
 EDGE = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 #: Characters written for letters, and words around quoted speech. Fixed values.
@@ -157,6 +159,51 @@ class Trie:
         return best
 
 
+#: Codes of bytes in the gate's table: letters (either case, and look-alikes) by number, then a star, a byte of a longer character, and the word's end.
+STAR, LONG, END = 27, 28, 29
+CODE = np.zeros(256, np.int64)
+CODE[0x80:] = LONG
+CODE[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = [*range(1, 27), *range(1, 27)]
+CODE[[*LOOKALIKES]] = [ord(c) - 0x60 if isinstance(c, str) else c - 0x60 for c in LOOKALIKES.values()]
+CODE[0x2A] = STAR
+INNER = np.zeros(256, bool)
+INNER[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+
+
+def edited(start: tuple) -> set[tuple]:
+    """All that one edit can make of a row of codes; None is any code. The edits beyond its end are left out."""
+    n = len(start)
+    out = {start, *(start[:i] + (None,) + start[i + 1 :] for i in range(n)), *(start[:i] + (None,) + start[i:] for i in range(n))}
+    out |= {start[:i] + start[i + 1 :] + (None,) for i in range(n)}
+    return out | {start[:i] + (start[i + 1], start[i]) + start[i + 2 :] for i in range(n - 1)}
+
+
+def place(codes) -> np.ndarray:
+    """Where six codes stand in the table of words (by a hash of 22 bits)."""
+    number = codes[0]
+    for code in codes[1:]:
+        number = number * 32 + code
+    return (number * 0x9E3779B1 & 0xFFFFFFFF) >> 10
+
+
+def gate(lexicon: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Two tables: whether a word that begins with four given codes can be within one edit of a short beginning, and one that begins with six of any other term. Never false for a word that is."""
+    coded = {t: tuple(LONG if ord(c) > 127 else int(CODE[ord(c)]) for c in t.rstrip("*")) for t in [*lexicon, *REPORTING]}
+    short = {c[:5] for t, c in coded.items() if t.endswith("*") and len(c) < 6}
+    begins = np.zeros((32,) * 4, bool)
+    for pattern in {p[:4] for c in short for p in edited(c)}:
+        begins[tuple(slice(None) if c is None else c for c in pattern)] = True
+    starts = {(c if t.endswith("*") else c + (END,) * 7)[:7] for t, c in coded.items() if not (t.endswith("*") and len(c) < 6)}
+    patterns = {p[:6] for c in starts for p in edited(c)}
+    table, any_ = np.zeros(1 << 22, bool), np.arange(32)
+    for at in (None, *range(6)):
+        some = [p for p in patterns if (None if None not in p else p.index(None)) == at]
+        if some:
+            codes = np.array([[0 if c is None else c for c in p] for p in some], np.int64).T[:, :, None]
+            table[place([any_ if k == at else codes[k] for k in range(6)])] = True
+    return begins.ravel(), table
+
+
 class Finder:
     """How each word matches; those of words seen before in the task are kept, up to KEPT."""
 
@@ -166,14 +213,21 @@ class Finder:
         import regex
 
         self.trie, self.edge, self.known = Trie(lexicon), regex.compile(EDGE), {}
-        # terms have four letters or more; an edit leaves the first two in place (or swaps the second and third), or moves the next two by one at most
-        terms = [t.rstrip("*") for t in lexicon]
-        self.starts = {t[:2] for t in terms} | {t[:1] + t[2:3] for t in terms}
-        self.middles = {t[2:4] for t in terms}
-
-    def possible(self, word: str) -> bool:
-        """Whether any term can be within one edit: never false for a word that has one."""
-        return "*" in word or word[:2] in self.starts or word[2:4] in self.middles or word[1:3] in self.middles or word[3:5] in self.middles
+        self.begins, self.table = gate(lexicon)
+
+    def possible(self, data: np.ndarray, words: Words) -> np.ndarray:
+        """Numbers of the words that can have a term within one edit, or report speech: all that do are among them."""
+        inner = np.flatnonzero(INNER[data])
+        low, high = np.searchsorted(inner, words.start), np.searchsorted(inner, words.end)
+        some = np.flatnonzero(high > low)
+        first, last = inner[low[some]], inner[high[some] - 1] + 1
+        some, first, last = (x[last - first >= 4] for x in (some, first, last))
+        stars = np.flatnonzero(data == 0x2A)
+        open_ = np.searchsorted(stars, last) > np.searchsorted(stars, first)
+        codes = [np.where(first + k < last, CODE[data[np.minimum(first + k, len(data) - 1)]], END) for k in range(6)]
+        for code in codes:
+            open_ |= code == LONG
+        return some[open_ | self.begins[((codes[0] * 32 + codes[1]) * 32 + codes[2]) * 32 + codes[3]] | self.table[place(codes)]]
 
     def word(self, raw: bytes) -> tuple[float, int]:
         """As Trie.match(); 4: no term, but a word that reports speech."""
@@ -182,26 +236,35 @@ class Finder:
             word = self.edge.sub("", raw.decode("utf-8", "replace").lower())
             found = (0.0, 4) if word in REPORTING else (0.0, 0)
             plain = word.translate(LOOKALIKES) if not word.isalpha() else word
-            if self.possible(plain):
-                weight, how = self.trie.match(plain)
-                if how:
-                    found = (weight, 3 if how == 1 and plain != word else how)
+            weight, how = self.trie.match(plain)
+            if how:
+                found = (weight, 3 if how == 1 and plain != word else how)
             if len(self.known) >= self.KEPT:
                 self.known.clear()
             self.known[raw] = found
         return found
 
 
-QUOTES = (b'"', "“".encode(), "”".encode(), "«".encode(), "»".encode(), "„".encode(), "‘".encode())
+def quotes(data: np.ndarray) -> np.ndarray:
+    """Where quotation marks begin: straight double ones, guillemets, and curly ones but for the apostrophe."""
+    two, three = np.flatnonzero(data[:-1] == 0xC2), np.flatnonzero(data[:-2] == 0xE2)
+    two = two[np.isin(data[two + 1], [0xAB, 0xBB])]
+    three = three[(data[three + 1] == 0x80) & np.isin(data[three + 2], [0x98, 0x9C, 0x9D, 0x9E])]
+    return np.sort(np.concatenate((np.flatnonzero(data == 0x22), two, three)))
+
+
+def between(places: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """How many of the sorted places lie in low .. high - 1."""
+    return np.searchsorted(places, high) - np.searchsorted(places, low)
 
 
 def features(lexicon: dict[str, float]):
-    """mapInArrow over (..., __text): the features of each text, after the other columns."""
+    """mapInArrow over (toxic, text): toxic and the features of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(lexicon)
-        for batch in slices(batches, "__text", 1 << 20):
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c) for c in measured(finder, batch.column("__text")))], [*batch.schema.names[:-1], *(f"__f{k}" for k in range(FEATURES))])
+        for batch in slices(batches, limit=SLICE):
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in measured(finder, batch.column(1)))], ["toxic", *(f"f{k}" for k in range(FEATURES))])
 
     return run
 
@@ -209,40 +272,31 @@ def features(lexicon: dict[str, float]):
 def measured(finder: Finder, texts: pa.Array) -> np.ndarray:
     data, rows = text_bytes(texts)
     words = Words(data, rows)
-    names = Rolling(BYTE_VALUE[data]).span(words.start, words.end)
-    _, first, number = np.unique(names, return_index=True, return_inverse=True)
-    raw = data.tobytes()
-    weight, how = np.zeros(len(first)), np.zeros(len(first), np.int64)
-    for k, (a, b) in enumerate(zip(words.start[first].tolist(), words.end[first].tolist())):
-        weight[k], how[k] = finder.word(raw[a:b])
-    weight, how = weight[number], how[number]
     n = words.per_row()
     out = np.zeros((FEATURES, len(n)))
-    hits = np.flatnonzero((how > 0) & (how < 4))
+    out[8] = np.log1p(n) / 10
+    at, raw = finder.possible(data, words), data.tobytes()
+    found = [finder.word(raw[a:b]) for a, b in zip(words.start[at].tolist(), words.end[at].tolist())]
+    weight, how = np.array([f[0] for f in found]), np.array([f[1] for f in found], np.int64)
+    is_hit = (how > 0) & (how < 4)
+    hits, reports, weight, how = at[is_hit], at[how == 4], weight[is_hit], how[is_hit]
     if len(hits):
         owner = row_of(words.rows, hits)
         low, high = np.maximum(hits - WINDOW, words.rows[owner]), np.minimum(hits + WINDOW + 1, words.rows[owner + 1])
-        reports = np.concatenate(([0], np.cumsum(how == 4)))
-        toxic = np.concatenate(([0], np.cumsum((how > 0) & (how < 4))))
-        quoted = (reports[high] > reports[low]) | np.array([in_quotes(raw, int(words.start[a]), int(words.end[b - 1]), int(words.start[h]), int(words.end[h])) for a, b, h in zip(low, high, hits)])
-        near = toxic[high] - toxic[low] > 1
-        value = np.where(how[hits] == 3, 0.7, 1.0) * weight[hits]
+        marks, start, end = quotes(data), words.start[hits], words.end[hits]
+        quoted = (between(marks, words.start[low], start + 1) > 0) & (between(marks, np.maximum(end - 4, start + 1), words.end[high - 1]) > 0)
+        quoted |= between(reports, low, high) > 0
+        near = between(hits, low, high) > 1
+        value = np.where(how == 3, 0.7, 1.0) * weight
         total = np.maximum(n, 1)
         np.maximum.at(out[0], owner, np.where(quoted, 0, value))
-        for k, chosen in enumerate(((how[hits] == 1) & ~quoted, (how[hits] == 2) & ~quoted, (how[hits] == 3) & ~quoted, quoted, near & ~quoted), 1):
+        for k, chosen in enumerate(((how == 1) & ~quoted, (how == 2) & ~quoted, (how == 3) & ~quoted, quoted, near & ~quoted), 1):
             out[k] = np.log1p(np.bincount(owner[chosen], value[chosen], len(n)))
         out[6] = np.log1p(100 * np.bincount(owner[~quoted], value[~quoted], len(n)) / total)
-        out[7] = np.log1p(100 * np.bincount(owner[(how[hits] == 2) & ~quoted], value[(how[hits] == 2) & ~quoted], len(n)) / total)
-    out[8] = np.log1p(n) / 10
+        out[7] = np.log1p(100 * np.bincount(owner[(how == 2) & ~quoted], value[(how == 2) & ~quoted], len(n)) / total)
     return out
 
 
-def in_quotes(raw: bytes, low: int, high: int, start: int, end: int) -> bool:
-    """Whether quotation marks stand on both sides in the window."""
-    before, after = raw[low : start + 1], raw[max(end - 2, start) : high]
-    return any(q in before for q in QUOTES) and any(q in after for q in QUOTES)
-
-
 def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Logistic regression by Newton's method on standardised features: mean, spread and weights (the last is the constant)."""
     mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
@@ -260,36 +314,37 @@ def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 3
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     """The model from docs (doc_id, text) and labels (doc_id, toxic). The sample of labels is of bounded size, and so sent to where the texts are."""
-    labels = labels.where("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
+    labels = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     total = labels.count()
     if total > sample:
         labels = labels.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(1)), F.lit(1_000_000)) < int(1_000_000 * sample / total))
     rows = settle(docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(labels), "doc_id"))
     # terms are learned on one half and weighed on the other, where they aren't known by heart
+    # copies of a text count once
+    rows = rows.dropDuplicates(["text", "toxic"])
     half = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(2)), F.lit(2)) == 0
     lexicon = learn_lexicon(rows.where(half))
-    found = rows.where(~half).select("toxic", F.col("text").alias("__text")).mapInArrow(features(lexicon), "toxic int, " + ", ".join(f"__f{k} double" for k in range(FEATURES)))
+    found = rows.where(~half).select("toxic", "text").mapInArrow(features(lexicon), "toxic int, " + ", ".join(f"f{k} double" for k in range(FEATURES)))
     table = np.array([tuple(r) for r in found.collect()], float).reshape(-1, FEATURES + 1)  # sample rows at most
     if not len(table) or len(set(table[:, 0])) < 2:
         return {"lexicon": {}, "weights": None}
     return {"lexicon": lexicon, "weights": fit_weights(table[:, 1:], table[:, 0])}
 
 
-def score_toxicity(docs: DataFrame, model: dict) -> DataFrame:
-    """docs with toxicity, from 0 to 1."""
-    docs = docs.drop("toxicity")
-    lexicon, weights = model["lexicon"], model["weights"]
+def score_toxicity(docs: DataFrame, model: dict, name: str = "toxicity") -> DataFrame:
+    """docs with a score from 0 to 1 in a column of that name (one that is there already is replaced)."""
+    docs = docs.drop(name)
+    lexicon, weights, at = model["lexicon"], model["weights"], docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(lexicon)
-        for batch in slices(batches, "__text", 1 << 20):
-            x = measured(finder, batch.column("__text")).T
+        for batch in slices(batches, at, SLICE):
+            x = measured(finder, batch.column(at)).T
             if weights is None:
                 p = np.zeros(len(x))
             else:
                 mean, spread, w = weights
                 p = 1 / (1 + np.exp(-np.clip(np.column_stack([(x - mean) / spread, np.ones(len(x))]) @ w, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], [*batch.schema.names[:-1], "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, name])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())])
-    return docs.withColumn("__text", F.col("text")).mapInArrow(run, schema)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
