@@ -1,23 +1,37 @@
-"""What the operators share: cutting lineage in the cluster's shared folder, and tables of a data folder."""
+"""What the operators share: cutting lineage in the cluster's shared folder, names that don't clash, tables of a folder."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Runs df once and keeps its rows in the folder of spark.checkpoint.dir, so that what follows neither repeats the work nor is lost with an executor.
 
-    The folder is the session's; only where it is unset (tests, a single machine) a folder of our own is set.
+    The folder is the session's. On local masters, where one machine does it all, one beside the warehouse is set if there
+    is none; on a cluster that is an error, since executors could not read each other's folders.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tickloom-checkpoint-"))
+        if shared is None:
+            if not context.master.split("[")[0] == "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            shared = df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
+        context.setCheckpointDir(shared)
     return df.checkpoint()
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores after it until no column of df has it (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")

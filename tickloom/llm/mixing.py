@@ -6,23 +6,27 @@ the table of sources, of which three numbers reach the driver.
 
 A source whose target is a whole number of repetitions and a part gets the whole ones for each document, and one more for
 the documents that come first in a seeded order until the part is filled. For that order documents are dealt by hash to
-4,096 buckets in each source; sums of the buckets' sizes place each bucket, and documents are ordered only inside one.
+buckets in each source (4,096, or more if there are more than 4 million documents; which doesn't change the order); sums of the buckets' sizes place each bucket, and documents are ordered only inside one.
 So neither the largest source nor any group is in one task.
 
 A null text has size 0, a null source is one of its own (and comes last). Rows that repeat a doc_id are documents of their
-own, next to each other in the order. An empty table gives an empty result. Columns of docs that have the name of a
-result column are replaced.
+own; only rows that are equal in doc_id and text share a place in the order. An empty table gives an empty result. Columns
+of docs that have the name of a result column are replaced (names gives others); all others stay as they are.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import settle
+from tickloom.llm.common import fresh, settle
 from tickloom.llm.quality import words_of
 
 RESULTS = ("size", "source_size", "target", "copies", "taken")
+#: Documents that a bucket, one group of a window, aims for if all are of one source.
+BUCKET = 1000
 
 
 def targets(sources: DataFrame, epochs: int) -> DataFrame:
@@ -48,39 +52,44 @@ def cyclic(number: Column) -> Column:
     return F.pmod(number - 1, F.lit(3)) + 1
 
 
-def mix_sources(docs: DataFrame, weight=cyclic, epochs: int = 3, seed: str = "mix") -> DataFrame:
-    """docs with size (words), source_size, target (of the source), copies and taken (size * copies).
+def mix_sources(docs: DataFrame, weight=cyclic, epochs: int = 3, seed: str = "mix", names: tuple[str, ...] = RESULTS) -> DataFrame:
+    """docs with size (words), source_size, target (of the source), copies and taken (size * copies), under these or other names.
 
     weight: from a source's number by code point (from 1, null last) to its whole-numbered weight.
     """
-    docs = docs.drop(*RESULTS)
-    key = F.coalesce(F.concat(F.lit("+"), F.col("source")), F.lit("-"))
-    order = F.md5(F.concat_ws("/", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
-    docs = docs.withColumns({"size": F.size(words_of(F.coalesce(F.col("text"), F.lit("")))).cast("long"), "__key": key, "__order": order})
-    docs = docs.withColumn("__bucket", F.substring("__order", 1, 3))
-
-    buckets = settle(docs.groupBy("__key", "__bucket").agg(F.max("source").alias("source"), F.sum("size").alias("sum")))
-    sources = buckets.groupBy("__key").agg(F.max("source").alias("source"), F.sum("sum").alias("source_size"))
+    docs = docs.drop(*names)
+    size, source_size, target, copies, taken = names
+    key, order, bucket, before, start, whole, rest = fresh(docs.select("*", *(F.lit(0).alias(n) for n in names)), "key", "order", "bucket", "before", "start", "whole", "rest")
+    named = F.coalesce(F.concat(F.lit("+"), F.col("source")), F.lit("-"))
+    # rows with one doc_id, or none, are told apart by their texts, so that they don't share a bucket
+    hashed = F.md5(F.concat_ws("/", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.md5(F.coalesce(F.col("text"), F.lit("")))))
+    given = docs.columns
+    docs = docs.withColumns({size: F.size(words_of(F.coalesce(F.col("text"), F.lit("")))).cast("long"), key: named, order: hashed})
+    digits = max(3, math.ceil(math.log(max(1, docs.count() / BUCKET), 16)))
+    docs = docs.withColumn(bucket, F.substring(order, 1, digits))
+
+    buckets = settle(docs.groupBy(F.col(key).alias("key"), F.col(bucket).alias("bucket")).agg(F.max("source").alias("source"), F.sum(size).alias("sum")))
+    sources = buckets.groupBy("key").agg(F.max("source").alias("source"), F.sum("sum").alias("source_size"))
     number = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))  # of sources, not of documents
     filled = targets(settle(sources.withColumn("weight", weight(number))), epochs)
-    filled = filled.withColumn("__whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
-    filled = filled.withColumn("__rest", F.col("target") - F.col("__whole") * F.col("source_size"))
-    before = Window.partitionBy("__key").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    placed = buckets.withColumn("__start", F.coalesce(F.sum("sum").over(before), F.lit(0))).join(filled.drop("source", "weight"), "__key")
-    placed = placed.select("__key", "__bucket", "__start", "source_size", "target", "__whole", "__rest")
+    filled = filled.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
+    filled = filled.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    earlier = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    placed = buckets.withColumn("start", F.coalesce(F.sum("sum").over(earlier), F.lit(0))).join(filled.drop("source", "weight"), "key")
+    placed = placed.select(F.col("key").alias(key), F.col("bucket").alias(bucket), F.col("start").alias(start), F.col("source_size").alias(source_size), F.col("target").alias(target), F.col("whole").alias(whole), F.col("rest").alias(rest))
 
-    joined = docs.join(placed, ["__key", "__bucket"])
-    inside = Window.partitionBy("__key", "__bucket").orderBy("__order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    joined = joined.withColumn("__before", F.col("__start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    more = F.col("__before") + F.col("size") / 2 < F.col("__rest")
-    joined = joined.withColumn("copies", (F.col("__whole") + F.when(more, 1).otherwise(0)).cast("int"))
-    return joined.withColumn("taken", F.col("size") * F.col("copies")).drop("__key", "__bucket", "__order", "__start", "__whole", "__rest", "__before")
+    joined = docs.join(placed, [key, bucket])
+    inside = Window.partitionBy(key, bucket).orderBy(order, size).rowsBetween(Window.unboundedPreceding, -1)
+    joined = joined.withColumn(before, F.col(start) + F.coalesce(F.sum(size).over(inside), F.lit(0)))
+    more = F.col(before) + F.col(size) / 2 < F.col(rest)
+    joined = joined.withColumn(copies, (F.col(whole) + F.when(more, 1).otherwise(0)).cast("int"))
+    return joined.select(*given, size, source_size, target, copies, (F.col(size) * F.col(copies)).alias(taken))
 
 
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size,
-         md5('mix/' || coalesce(CAST(doc_id AS VARCHAR), 'none')) AS h
+         md5('mix/' || coalesce(CAST(doc_id AS VARCHAR), 'none') || '/' || md5(coalesce(text, ''))) AS h
   FROM documents
 ), s AS (
   SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight
@@ -98,7 +107,7 @@ WITH d AS (
   SELECT source, source_size, CASE WHEN above THEN CAST(cap AS DOUBLE) ELSE CAST(total - capped AS DOUBLE) * CAST(weight AS DOUBLE) / CAST(open AS DOUBLE) END AS target FROM c, l
 ), p AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN CAST(floor(t.target / t.source_size) AS BIGINT) ELSE 0 END AS whole,
-         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from tickloom.llm import toxicity
 from tickloom.llm.bpe import encode
-from tickloom.llm.common import settle, table
-from tickloom.llm.mixing import mix_sources
+from tickloom.llm.common import fresh, settle, table
+from tickloom.llm.mixing import RESULTS, mix_sources
 from tickloom.llm.ngram_join import ngram_components
 from tickloom.llm.substrings import substring_dedup
 
@@ -28,32 +28,37 @@ PASSAGE = 50
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = toxicity.fit(docs, labels)
-    return toxicity.score_toxicity(docs, model).where("toxicity < 0.5").drop("toxicity")
+    (score,) = fresh(docs, "score")
+    return toxicity.score_toxicity(docs, model, score).where(F.col(score) < 0.5).drop(score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document stays if its class has its doc_id, or it is in none (no doc_id); of rows with the same doc_id and text one stays."""
+    id_, hash_, drop = fresh(docs, "id", "hash", "drop")
     classes = ngram_components(docs, NGRAM, PERCENT, hashes=True)
-    keys = classes.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.coalesce(F.bool_or(F.col("doc_id") != F.col("component_id")), F.lit(False)).alias("__drop"), F.count("*").alias("n"))
-    keys = settle(keys.where("__drop or n > 1").select("__id", "__hash", "__drop"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
-    again = docs.join(keys.where("not __drop"), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    other = F.coalesce(F.bool_or(F.col("doc_id") != F.col("component_id")), F.lit(False))
+    keys = classes.groupBy(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).agg(other.alias(drop), F.count("*").alias("n"))
+    keys = settle(keys.where(F.col(drop) | (F.col("n") > 1)).select(id_, hash_, drop))
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(hash_))
+    again = docs.join(keys.where(~F.col(drop)), same, "left_semi").dropDuplicates(["doc_id", "text"])
     return docs.join(keys, same, "left_anti").unionByName(again)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = substring_dedup(docs, PASSAGE).where("n_removed = 0 or n_removed < n_words")
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    cut = cut.withColumn("text", text)
+    kept, n, removed = fresh(docs, "kept", "n_words", "n_removed")
+    cut = substring_dedup(docs, PASSAGE, (kept, n, removed)).where((F.col(removed) == 0) | (F.col(removed) < F.col(n)))
+    own = {"text": F.when(F.col(removed) > 0, F.col(kept)).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
-    return cut.select(*docs.columns)
+        own["n_chars"] = F.when(F.col(removed) > 0, F.length(kept)).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"])
+    return cut.select(*(own[c].alias(c) if c in own else F.col(c) for c in docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
-    mixed = mix_sources(docs).where("copies > 0")
-    return mixed.withColumn("copies", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    names = tuple(fresh(docs, *RESULTS))
+    copies = names[3]
+    mixed = mix_sources(docs, names=names).where(F.col(copies) > 0)
+    return mixed.withColumn(copies, F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)
 
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,6 +78,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = settle(docs)  # later stages read their input more than once
     return docs

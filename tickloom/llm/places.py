@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.llm.common import fresh
 from tickloom.llm.textkit import mix, signed
 
 #: Repeated doc_ids up to this number are broadcast; more are joined by a shuffle.
@@ -65,33 +66,40 @@ def judge(rows: DataFrame, first_stays: bool = True) -> DataFrame:
     return rows.select("doc_id", "tag", "start", "windows", "at", gone.alias("gone"), open_.alias("open"))
 
 
-def tagged(docs: DataFrame) -> DataFrame:
-    """docs with __tag: a fingerprint of the text where another row with this doc_id has a different one, else 0."""
-    name = F.xxhash64("text")
-    again = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.min(name).alias("a"), F.max(name).alias("b")).where("a <> b").select("__id")
-    n = again.count()
-    if not n:
-        return docs.withColumn("__tag", F.lit(0))
-    again = F.broadcast(again) if n <= BROADCAST else again
-    tag = F.when(F.col("__id").isNotNull(), 1 + F.pmod(name, F.lit((1 << 29) - 1))).otherwise(0).cast("int")
-    return docs.join(again, F.col("doc_id") == F.col("__id"), "left").select(*docs.columns, tag.alias("__tag"))
+class Texts:
+    """docs with a key to join by, which is never null, and a tag that tells different texts of one doc_id apart; the three helper columns come after those of docs, under names that docs hasn't.
 
-
-def keyed(docs: DataFrame) -> DataFrame:
-    """The tagged docs with a key to join by, which is never null, and the text once more. Rows without a doc_id get keys that none has.
-
-    All joins with texts start from this one frame, with all its columns, so that Spark shuffles the texts once and uses
-    that exchange again.
+    tag: a fingerprint of the text where another row with this doc_id has a different one, else 0. Rows without a doc_id get
+    keys that none has. All joins with texts start from the one frame, with all its columns, so that Spark shuffles the
+    texts once and uses that exchange again.
     """
-    missing = F.col("doc_id").isNull().cast("int")
-    return docs.select(*(c for c in docs.columns if c != "__tag"), "__tag", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("__key"), missing.alias("__none"), F.col("text").alias("__text"))
-
 
-def with_places(texts: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-    """The keyed texts with __spans, an array of the places in them."""
-    spans = rows.groupBy("doc_id", F.col("tag").alias("__tag")).agg(F.collect_list(F.struct("start", "windows", "at")).alias("__spans"))
-    spans = spans.select(F.coalesce("doc_id", F.lit(0)).alias("__key"), F.col("doc_id").isNull().cast("int").alias("__none"), "__tag", "__spans")
-    return texts.join(spans, ["__key", "__none", "__tag"], how).select(*texts.columns, "__spans")
+    def __init__(self, docs: DataFrame):
+        self.docs, self.text = docs, docs.columns.index("text")
+        self.key, self.none, self.tag, self.spans = fresh(docs, "key", "none", "tag", "spans")
+        name, id_ = F.xxhash64("text"), *fresh(docs, "id")
+        again = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias(id_)).agg(F.min(name).alias("a"), F.max(name).alias("b")).where("a <> b").select(id_)
+        n = again.count()
+        tag = F.lit(0)
+        if n:
+            docs = docs.join(F.broadcast(again) if n <= BROADCAST else again, F.col("doc_id") == F.col(id_), "left")
+            tag = F.when(F.col(id_).isNotNull(), 1 + F.pmod(name, F.lit((1 << 29) - 1))).otherwise(0).cast("int")
+        key = F.coalesce(F.col("doc_id").cast("long"), name).alias(self.key)
+        self.keyed = docs.select(*self.docs.columns, key, F.col("doc_id").isNull().cast("int").alias(self.none), tag.alias(self.tag))
+
+    def plain(self) -> DataFrame:
+        """(doc_id, text, tag) of the rows that take part."""
+        return self.keyed.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(self.tag).alias("tag"))
+
+    def with_places(self, rows: DataFrame, how: str) -> DataFrame:
+        """The keyed texts with a last column, an array of the places in them."""
+        spans = rows.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "windows", "at")).alias(self.spans))
+        spans = spans.select(F.coalesce("doc_id", F.lit(0)).alias(self.key), F.col("doc_id").isNull().cast("int").alias(self.none), F.col("tag").alias(self.tag), self.spans)
+        return self.keyed.join(spans, [self.key, self.none, self.tag], how).select(*self.keyed.columns, self.spans)
+
+
+#: Where helper columns stand in a batch of with_places(): counted from the end.
+KEY, TAG, SPANS = -4, -2, -1
 
 
 def spans_of(column: pa.Array) -> tuple[np.ndarray, ...]:

@@ -5,8 +5,8 @@ documents (its source), and in more than `least`, is boilerplate there and is ta
 `remain` of the words are left is depleted, and rejected. Counting is a two-step aggregation on (host, line, document) and
 (host, line), so a hot host or line is pre-aggregated where it is read; no text is shuffled.
 
-Null texts have no words or lines. A null host is a host of its own. Rows that repeat a doc_id count once for a line and
-share their boilerplate; rows with a null doc_id don't count and lose no lines. An empty table gives an empty result.
+Null texts have no words or lines. A null host is a host of its own. Rows that repeat a doc_id count once for a line; each
+loses those of its own lines that are boilerplate for any of them; rows with a null doc_id don't count and lose no lines. An empty table gives an empty result.
 Columns of docs that have the name of a result column are replaced.
 """
 
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import settle
+from tickloom.llm.common import fresh, settle
 
 BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -33,57 +33,61 @@ def normalised(line: Column) -> Column:
     return F.regexp_replace(F.btrim(F.translate(line, UPPER, LOWER), F.lit(BLANKS)), SPLIT, " ")
 
 
-def measures(docs: DataFrame, width: int = 5) -> DataFrame:
-    """docs with the base measures."""
+def measures(docs: DataFrame, width: int = 5, names: tuple[str, ...] = RESULTS) -> DataFrame:
+    """docs with the base measures, under the first six of names."""
+    n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed = names[:6]
+    given = docs.columns
+    words, lines, grams, ordered, near, places = fresh(docs.select("*", *(F.lit(0).alias(n) for n in names)), "words", "lines", "grams", "ordered", "near", "places")
     text = F.coalesce(F.col("text"), F.lit(""))
-    docs = docs.withColumn("__words", F.transform(words_of(text), lambda x: F.xxhash64(x)))
-    docs = docs.withColumns({"__all": F.filter(F.split(text, "\n"), lambda x: F.translate(x, BLANKS, "") != ""), "n_words": F.size("__words").cast("long")})
-    w = F.col("__words")
-    grams = F.transform(F.when(F.col("n_words") >= width, F.sequence(F.lit(0), (F.col("n_words") - width).cast("int"))).otherwise(F.array().cast("array<int>")), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(width))))
+    docs = docs.withColumn(words, F.transform(words_of(text), lambda x: F.xxhash64(x)))
+    docs = docs.withColumns({lines: F.filter(F.split(text, "\n"), lambda x: F.translate(x, BLANKS, "") != ""), n_words: F.size(words).cast("long")})
+    w = F.col(words)
+    some = F.when(F.col(n_words) >= width, F.sequence(F.lit(0), (F.col(n_words) - width).cast("int"))).otherwise(F.array().cast("array<int>"))
     docs = docs.withColumns({
-        "__grams": grams,
-        "word_chars": F.length(F.translate(text, BLANKS, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-        "n_dup_lines": (F.size("__all") - F.size(F.array_distinct("__all"))).cast("long"),
+        grams: F.transform(some, lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(width)))),
+        word_chars: F.length(F.translate(text, BLANKS, "")).cast("long"),
+        n_symbols: (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        n_dup_lines: (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
     })
     # places of windows that occur twice or more; each step is a column, since a lambda would work it out for each element
-    twice = F.size(F.array_distinct("__grams")) < F.size("__grams")
-    docs = docs.withColumn("__ordered", F.when(twice, F.array_sort(F.transform("__grams", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))))
-    around = lambda i, x: F.get("__ordered", i - 1)["x"].eqNullSafe(x["x"]) | F.get("__ordered", i + 1)["x"].eqNullSafe(x["x"])
-    docs = docs.withColumn("__near", F.transform("__ordered", lambda x, i: F.when(around(i, x), x["i"])))
-    docs = docs.withColumn("__places", F.array_sort(F.array_compact("__near")))
+    twice = F.size(F.array_distinct(grams)) < F.size(grams)
+    docs = docs.withColumn(ordered, F.when(twice, F.array_sort(F.transform(grams, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))))
+    around = lambda i, x: F.get(ordered, i - 1)["x"].eqNullSafe(x["x"]) | F.get(ordered, i + 1)["x"].eqNullSafe(x["x"])
+    docs = docs.withColumn(near, F.transform(ordered, lambda x, i: F.when(around(i, x), x["i"])))
+    docs = docs.withColumn(places, F.array_sort(F.array_compact(near)))
     start = F.struct(F.lit(0).alias("n"), F.lit(-width).alias("last"))
-    total = F.aggregate("__places", start, lambda s, p: F.struct((s["n"] + F.least(F.lit(width), p - s["last"])).alias("n"), p.alias("last")))
-    docs = docs.withColumn("n_repeat_words", F.coalesce(total["n"], F.lit(0)).cast("long"))
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return docs.withColumn("base_failed", failed).drop("__words", "__all", "__grams", "__ordered", "__near", "__places")
+    total = F.aggregate(places, start, lambda s, p: F.struct((s["n"] + F.least(F.lit(width), p - s["last"])).alias("n"), p.alias("last")))
+    docs = docs.withColumn(n_repeat_words, F.coalesce(total["n"], F.lit(0)).cast("long"))
+    failed = (F.col(n_words) < 10) | (100 * F.col(n_repeat_words) > 20 * F.col(n_words))
+    return docs.select(*given, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed.alias(base_failed))
 
 
 def boilerplate(docs: DataFrame, share: float, least: int) -> DataFrame:
-    """(__id, __bad, __gone): the hashes of those lines of each document that are too frequent in its host, and their words."""
+    """(id, bad): the hashes of those lines of each document that are too frequent in its host."""
     host = F.coalesce(F.col("source"), F.lit("\x00")).alias("host")
-    rows = docs.where("doc_id is not null").select("doc_id", host, F.split(F.coalesce(F.col("text"), F.lit("")), "\n").alias("lines"))
-    rows = rows.select("doc_id", "host", F.posexplode("lines").alias("i", "line")).select("doc_id", "host", "i", normalised(F.col("line")).alias("line")).where("line <> ''")
-    lines = settle(rows.select("doc_id", "host", "i", F.xxhash64("line").alias("h"), (F.length("line") - F.length(F.translate("line", " ", "")) + 1).alias("n")))
+    rows = docs.where("doc_id is not null").select("doc_id", host, F.explode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("line"))
+    rows = rows.select("doc_id", "host", normalised(F.col("line")).alias("line")).where("line <> ''")
+    lines = settle(rows.select("doc_id", "host", F.xxhash64("line").alias("h")))
     count = lines.groupBy("host", "h", "doc_id").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("k")).where(F.col("k") > least)
     size = docs.where("doc_id is not null").select("doc_id", host).distinct().groupBy("host").agg(F.count("*").alias("docs"))
     frequent = count.join(size, "host").where(F.col("k") > F.lit(share) * F.col("docs")).select("host", "h")
-    found = lines.join(frequent, ["host", "h"]).dropDuplicates(["doc_id", "i", "h"])
-    return found.groupBy("doc_id").agg(F.collect_set("h").alias("__bad"), F.sum("n").alias("__gone")).withColumnRenamed("doc_id", "__id")
+    found = lines.join(frequent, ["host", "h"])
+    return found.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("h").alias("bad"))
 
 
-def quality_rules(docs: DataFrame, share: float = 0.03, least: int = 20, remain: float = 0.3) -> DataFrame:
-    """docs with the base measures, base_failed, n_left (words without boilerplate), kept_text (text without it) and kept."""
-    docs = docs.drop(*RESULTS)
-    bad = boilerplate(docs, share, least)
-    measured = measures(docs)
-    joined = measured.join(bad, measured["doc_id"] == bad["__id"], "left").drop("__id")
-    joined = joined.withColumn("n_left", F.greatest(F.col("n_words") - F.coalesce("__gone", F.lit(0)), F.lit(0)))
-    stays = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("__bad"), F.xxhash64(normalised(x))))
-    joined = joined.withColumn("kept_text", F.when(F.col("__bad").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n")))
-    depleted = F.col("n_left") < remain * F.col("n_words")
-    joined = joined.withColumn("kept", ~F.col("base_failed") & ~depleted)
-    return joined.drop("__bad", "__gone")
+def quality_rules(docs: DataFrame, share: float = 0.03, least: int = 5, remain: float = 0.3, names: tuple[str, ...] = RESULTS) -> DataFrame:
+    """docs with the base measures, base_failed, n_left (words without boilerplate), kept_text (text without it) and kept, under these or other names."""
+    docs = docs.drop(*names)
+    n_words, base_failed, (n_left, kept_text, kept) = names[0], names[5], names[6:]
+    id_, bad = fresh(docs.select("*", *(F.lit(0).alias(n) for n in names)), "id", "bad")
+    found = boilerplate(docs, share, least).select(F.col("id").alias(id_), F.col("bad").alias(bad))
+    measured = measures(docs, names=names)
+    joined = measured.join(found, measured["doc_id"] == found[id_], "left")
+    stays = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col(bad), F.xxhash64(normalised(x))))
+    joined = joined.withColumn(kept_text, F.when(F.col(bad).isNull(), F.col("text")).otherwise(F.array_join(stays, "\n")))
+    joined = joined.withColumn(n_left, F.when(F.col(bad).isNull() | F.col("text").isNull(), F.col(n_words)).otherwise(F.size(words_of(F.col(kept_text))).cast("long")))
+    depleted = F.col(n_left) < remain * F.col(n_words)
+    return joined.select(*measured.columns, n_left, kept_text, (~F.col(base_failed) & ~depleted).alias(kept))
 
 
 #: The same in DuckDB, for doc_id, the measures, n_left and kept.
@@ -113,7 +117,7 @@ WITH w AS (
 ), bad AS (
   SELECT k.host, k.h FROM (SELECT host, h, count(DISTINCT doc_id) AS n FROM known GROUP BY host, h) k
   JOIN (SELECT host, count(DISTINCT doc_id) AS docs FROM w GROUP BY host) s ON k.host = s.host
-  WHERE k.n > 20 AND k.n > CAST(0.03 AS DOUBLE) * s.docs
+  WHERE k.n > 5 AND k.n > CAST(0.03 AS DOUBLE) * s.docs
 ), gone AS (
   SELECT k.doc_id, sum(k.n) AS n FROM known k JOIN bad b ON k.host = b.host AND k.h = b.h GROUP BY k.doc_id
 ), all_measures AS (

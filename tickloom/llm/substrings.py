@@ -15,7 +15,8 @@ only first stretches that share their mark with a different stretch are opened i
 count as equal if two fingerprints agree (128 bits).
 
 Rows with a null doc_id or text have no windows. Rows with the same doc_id count as one place: they don't repeat each
-other. Empty tables give empty results. Columns of docs that have the name of a result column are replaced.
+other. Empty tables give empty results. Columns of docs that have the name of a result
+column are replaced (names gives others); all others stay as they are.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.places import PLACE, judge, keyed, places, spans_of, tagged, with_places
+from tickloom.llm.places import KEY, PLACE, SPANS, TAG, Texts, judge, places, spans_of
 from tickloom.llm.textkit import Rolling, Words, covered, mix, ranges, row_of, slices, text_bytes
 
 ROUNDS = 3
@@ -115,15 +116,15 @@ def stretches(length: int):
     return run
 
 
-def windows(length: int):
+def windows(length: int, text: int):
     """mapInArrow over keyed texts with __spans: the single windows of the stretches to be opened."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text"):
-            ids, tags = batch.column("__key").to_numpy(), batch.column("__tag").to_numpy()
-            words = Words(*text_bytes(batch.column("__text")))
+        for batch in slices(batches, text):
+            ids, tags = batch.column(batch.num_columns + KEY).to_numpy(), batch.column(batch.num_columns + TAG).to_numpy()
+            words = Words(*text_bytes(batch.column(text)))
             names = words.hashes()
-            row, first, count, _ = spans_of(batch.column("__spans"))
+            row, first, count, _ = spans_of(batch.column(batch.num_columns + SPANS))
             start = ranges(first + words.rows[row], count)
             row = np.repeat(row, count)
             if len(start):
@@ -133,43 +134,41 @@ def windows(length: int):
     return run
 
 
-def repeats(docs: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+def repeats(texts: Texts, length: int) -> DataFrame:
     """Places whose windows stand earlier (smaller doc_id, or earlier in the same document)."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "__tag").where("doc_id is not null and text is not null")
-    judged = judge(plain.mapInArrow(stretches(length), PLACE))
-    single = with_places(texts, judged.where("open"), "inner").mapInArrow(windows(length), PLACE)
+    judged = judge(texts.plain().mapInArrow(stretches(length), PLACE))
+    single = texts.with_places(judged.where("open"), "inner").mapInArrow(windows(length, texts.text), PLACE)
     return judged.where("gone").unionByName(judge(single).where("gone"))
 
 
-def cut(length: int):
+def cut(length: int, text: int, names: tuple[str, ...]):
     """mapInArrow over (..., text, spans): the kept words of each text, joined by one space, and how many there were."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text"):
-            words = Words(*text_bytes(batch.column("__text")))
-            row, start, count, _ = spans_of(batch.column("__spans"))
+        for batch in slices(batches, text):
+            words = Words(*text_bytes(batch.column(text)))
+            row, start, count, _ = spans_of(batch.column(batch.num_columns + SPANS))
             start = start + words.rows[row]
             gone = covered(len(words), start, start + count - 1 + length)
             total = np.concatenate(([0], np.cumsum(gone)))
             removed = total[words.rows[1:]] - total[words.rows[:-1]]
             results = [words.joined(~gone), pa.array(words.per_row()), pa.array(removed)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-5], *results], names=[*batch.schema.names[:-5], *RESULTS])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-4], *results], names=[*batch.schema.names[:-4], *names])
 
     return run
 
 
 RESULTS = ("kept_text", "n_words", "n_removed")
+TYPES = (T.StringType(), T.LongType(), T.LongType())
 
 
-def substring_dedup(docs: DataFrame, length: int = 20) -> DataFrame:
+def substring_dedup(docs: DataFrame, length: int = 20, names: tuple[str, ...] = RESULTS) -> DataFrame:
     """docs with kept_text (the words that stay, joined by one space), n_words and n_removed.
 
     A word goes if a window of length consecutive words of its document covers it whose words also start earlier: in a
     document with a smaller doc_id, or earlier in the same one. Windows are judged on the input.
     """
-    docs = docs.drop(*RESULTS)
-    rows = tagged(docs)
-    texts = keyed(rows)
-    joined = with_places(texts, repeats(rows, texts, length), "left")
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.StringType() if n == "kept_text" else T.LongType()) for n in RESULTS)])
-    return joined.mapInArrow(cut(length), schema)
+    texts = Texts(docs.drop(*names))
+    joined = texts.with_places(repeats(texts, length), "left")
+    schema = T.StructType([*texts.docs.schema.fields, *(T.StructField(n, t) for n, t in zip(names, TYPES))])
+    return joined.mapInArrow(cut(length, texts.text, names), schema)

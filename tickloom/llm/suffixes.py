@@ -14,7 +14,8 @@ bits), the digit's and that of all bytes. Passes carry fingerprints and position
 once, and each later pass joins its open groups to that exchange.
 
 Null texts are empty. Rows with a null doc_id take no part and keep their bytes. Rows with the same doc_id count as one
-place. An empty table gives an empty result. Columns of docs that have the name of a result column are replaced.
+place. An empty table gives an empty result. Columns of docs that have the name of a result
+column are replaced (names gives others); all others stay as they are.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.places import PLACE, judge, keyed, places, spans_of, tagged, with_places
+from tickloom.llm.places import KEY, PLACE, SPANS, TAG, Texts, judge, places, spans_of
 from tickloom.llm.textkit import BYTE_VALUE, Rolling, covered, mix, ranges, row_of, slices, text_bytes
 
 GRAM, CELL = 32, 24
@@ -80,14 +81,14 @@ def stretch(values: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarr
     return mix(Rolling(values, 1).span(start, end) + (at - start + (1 << 20)).astype(np.uint64) * np.uint64(0x8EBC6AF09C88C6E3))
 
 
-def next_digit(length: int, cell: int):
+def next_digit(length: int, cell: int, text: int):
     """cell 1: the last digit, each suffix for itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text", SLICE):
-            ids, tags = batch.column("__key").to_numpy(), batch.column("__tag").to_numpy()
-            data, rows = text_bytes(batch.column("__text"))
-            row, first, count, at = spans_of(batch.column("__spans"))
+        for batch in slices(batches, text, SLICE):
+            ids, tags = batch.column(batch.num_columns + KEY).to_numpy(), batch.column(batch.num_columns + TAG).to_numpy()
+            data, rows = text_bytes(batch.column(text))
+            row, first, count, at = spans_of(batch.column(batch.num_columns + SPANS))
             first = first + rows[row]
             at = at + first
             low = (first - at) // cell
@@ -106,14 +107,13 @@ def next_digit(length: int, cell: int):
     return run
 
 
-def repeats(docs: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+def repeats(texts: Texts, length: int) -> DataFrame:
     """Runs of suffixes whose first length bytes also start elsewhere."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "__tag").where("doc_id is not null and text is not null")
     gram = min(GRAM, max(1, length // 2))
-    found = judge(plain.mapInArrow(first_digit(length, gram), PLACE), False)
+    found = judge(texts.plain().mapInArrow(first_digit(length, gram), PLACE), False)
     gone = found.where("gone")
     for cell in (min(CELL, max(1, (length - gram) // 4)), 1):
-        rows = with_places(texts, found.where("open"), "inner").mapInArrow(next_digit(length, cell), PLACE)
+        rows = texts.with_places(found.where("open"), "inner").mapInArrow(next_digit(length, cell, texts.text), PLACE)
         found = judge(rows, False)
         gone = gone.unionByName(found.where("gone"))
     return gone
@@ -123,11 +123,11 @@ RESULTS = ("kept", "n_bytes", "n_removed", "removed")
 TYPES = (T.BinaryType(), T.LongType(), T.LongType(), T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))
 
 
-def cut(length: int):
+def cut(length: int, text: int, names: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text", SLICE):
-            data, rows = text_bytes(batch.column("__text"))
-            row, start, count, _ = spans_of(batch.column("__spans"))
+        for batch in slices(batches, text, SLICE):
+            data, rows = text_bytes(batch.column(text))
+            row, start, count, _ = spans_of(batch.column(batch.num_columns + SPANS))
             start = start + rows[row]
             gone = covered(len(data), start, start + count - 1 + length)
             total = np.concatenate(([0], np.cumsum(gone)))
@@ -144,20 +144,18 @@ def cut(length: int):
             kept = np.concatenate(([0], np.cumsum(np.diff(rows) - removed))).astype(np.int32)
             texts = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(kept), pa.py_buffer(data[~gone])])
             results = [texts, pa.array(np.diff(rows)), pa.array(removed), pa.ListArray.from_arrays(pa.array(ends), runs)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-5], *results], names=[*batch.schema.names[:-5], *RESULTS])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-4], *results], names=[*batch.schema.names[:-4], *names])
 
     return run
 
 
-def suffix_dedup(docs: DataFrame, length: int = 400) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 400, names: tuple[str, ...] = RESULTS) -> DataFrame:
     """docs with kept (the bytes that stay), n_bytes, n_removed and removed (the maximal spans that went, in bytes).
 
     A byte goes if a string of length bytes of its text covers it that also starts anywhere else, in any text, its own
     included. Strings are judged on the input. Every occurrence goes, the first too.
     """
-    docs = docs.drop(*RESULTS)
-    rows = tagged(docs)
-    texts = keyed(rows)
-    joined = with_places(texts, repeats(rows, texts, length), "left")
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(RESULTS, TYPES))])
-    return joined.mapInArrow(cut(length), schema)
+    texts = Texts(docs.drop(*names))
+    joined = texts.with_places(repeats(texts, length), "left")
+    schema = T.StructType([*texts.docs.schema.fields, *(T.StructField(n, t) for n, t in zip(names, TYPES))])
+    return joined.mapInArrow(cut(length, texts.text, names), schema)
