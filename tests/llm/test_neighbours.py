@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +37,38 @@ def test_recall_against_brute_force(spark, shard):
     assert all(a[1] > b[1] or (a[1] == b[1] and a[0] < b[0]) for v in got.values() for a, b in zip(v, v[1:]))
 
 
+@pytest.mark.parametrize("lengths", ["equal", "gaussian", "spread"])
+@pytest.mark.parametrize("shard", [32_768, 3000])
+def test_recall_of_the_query_at_64_components(spark, tmp_path, lengths, shard):
+    """The registered query's search (every id divisible by 20), double vectors, one shard for each core or three."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(9000, 64))
+    if lengths != "gaussian":
+        x /= np.sqrt((x**2).sum(axis=1, keepdims=True))
+    if lengths == "spread":
+        x *= r.uniform(0.5, 1.5, size=(9000, 1))
+    table = pa.table({"vec_id": np.arange(9000), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64).cast(pa.list_(pa.float64()))})
+    pq.write_table(table, tmp_path / "embeddings.parquet")
+    frame = spark.read.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {}
+    for row in nearest(frame, F.col("vec_id") % 20 == 0, 20, shard).orderBy("query_id", "rank").collect():
+        got.setdefault(row.query_id, []).append((row.vec_id, row.score))
+    scores = x[::20] @ x.T
+    scores[np.arange(450), np.arange(0, 9000, 20)] = -np.inf
+    want = np.argsort(-scores, axis=1)[:, :20]
+    assert len(got) == 450
+    assert np.mean([len({i for i, _ in got[20 * n]} & set(want[n].tolist())) / 20 for n in range(450)]) >= 0.95
+    assert all(abs(s - x[q] @ x[i]) < 1e-13 for q, v in got.items() for i, s in v)  # not those of single precision
+
+
+def test_different_vectors_of_one_id(spark):
+    shape = "vec_id long, embedding array<double>, own string"
+    rows = [(20, [1.0, 0.0], "a"), (1, [0.5, 0.5], "a"), (1, [0.25, 0.5], "b"), (1, None, "c"), (2, [0.125, 1.0], "d")]
+    for data in (rows, rows[::-1]):
+        got = nearest(spark.createDataFrame(data, shape), F.col("vec_id") % 20 == 0).orderBy("rank").collect()
+        assert [(r.vec_id, r.score) for r in got] == [(1, 0.25), (2, 0.125)]
+
+
 def test_few_and_none(spark):
     shape = "vec_id long, embedding array<float>"
     assert nearest(spark.createDataFrame([], shape), F.col("vec_id") % 20 == 0).count() == 0

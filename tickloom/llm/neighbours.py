@@ -5,13 +5,18 @@ neighbours for each new vector; of these, relaxed distance pruning keeps a neigh
 by the factor ALPHA, so edges point in different directions; edges are also added backwards, and pruned again where a
 vector has too many. Each query runs a beam search in every shard, and the shards' answers are merged.
 
-Nearness is the largest inner product. It becomes the smallest distance if each vector gets one more component that
-brings all to the same length, and queries a zero there; graphs use that distance, results the inner product itself, in
-double precision on the original vectors. Equal vectors are one node with the k + 1 smallest of their ids, which is all
-that any answer can use; so a large group of copies neither fills neighbour lists nor meets in one task.
+Nearness is the largest inner product. Graphs are built by the distance of the vectors brought to length one, so that
+edges lead to vectors of like direction whatever their lengths; searches follow these edges by the inner product with the
+original vectors, and so prefer the longer of them. Results are the inner product in double precision on the original
+vectors. Equal vectors are one node with the k + 1 smallest of their ids, which is all that any answer can use; so a large
+group of copies neither fills neighbour lists nor meets in one task.
+
+A shard holds SHARD vectors at most (by hash, on average), fewer if there are cores enough for smaller ones: its
+vectors, graph and searches take some 100 MB at 64 components.
 
 Vectors that are null or zero, hold null or non-finite components, or have a null id or another length than most, take
-no part. Repeated rows of an id count once. Fewer than k candidates give fewer rows; an empty table gives none.
+no part. Of an id with different vectors the smallest (by component) counts. Fewer than k candidates give fewer rows; an
+empty table gives none; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,18 +30,19 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import settle
 
-SHARD, DEGREE, BUILD, BEAM, ALPHA = 8192, 32, 64, 128, 1.2
+#: LEAST: vectors that a shard has at least, if there is more than one.
+SHARD, LEAST, DEGREE, BUILD, BEAM, ALPHA = 32_768, 4096, 32, 64, 384, 1.2
 #: Searches that run side by side, and beam entries that each expands at a time.
 TOGETHER, EXPAND = 256, 4
 
 
 class Graph:
     def __init__(self, vectors: np.ndarray):
-        """vectors: float32, all of one length after the last component is added."""
-        self.x = vectors
+        self.whole = vectors.astype(np.float32)
+        self.x = (vectors / np.sqrt((vectors**2).sum(axis=1, keepdims=True))).astype(np.float32)
         n = len(vectors)
         self.edges = np.full((n, DEGREE), -1, np.int32)
-        self.start = int(((vectors - vectors.mean(axis=0)) ** 2).sum(axis=1).argmin())
+        self.start = int(((self.x - self.x.mean(axis=0)) ** 2).sum(axis=1).argmin())
         order = np.random.Generator(np.random.PCG64(n)).permutation(n)
         order = np.concatenate(([self.start], order[order != self.start]))
         done = min(n, TOGETHER)
@@ -44,23 +50,26 @@ class Graph:
         self.link(first, np.broadcast_to(first, (done, done)))
         while done < n:
             batch = order[done : done + min(done, TOGETHER)]
-            found, _ = self.search(vectors[batch], BUILD)
-            self.link(batch, found)
+            self.link(batch, self.search(self.x[batch], BUILD, self.distances))
             done += len(batch)
 
     def distances(self, to: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Squared, from each row of to to its row of places."""
+        """Squared, from each row of to to its row of places, all of length one."""
         near = self.x[at]
         return np.maximum((to**2).sum(axis=1)[:, None] + (near**2).sum(axis=2) - 2 * np.matmul(near, to[:, :, None])[:, :, 0], 0)
 
-    def search(self, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """The width nearest that beam searches find, and their distances; -1 and infinity fill up."""
+    def products(self, to: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Inner products with the original vectors, less for more."""
+        return -np.matmul(self.whole[at], to[:, :, None])[:, :, 0]
+
+    def search(self, queries: np.ndarray, width: int, far_from) -> np.ndarray:
+        """The width nearest, by that measure, that beam searches find, nearest first; -1 fills up."""
         q, rows = len(queries), np.arange(len(queries))[:, None]
         beam = np.full((q, width), -1, np.int64)
         far = np.full((q, width), np.inf, np.float32)
         open_ = np.zeros((q, width), bool)
         beam[:, 0], open_[:, 0] = self.start, True
-        far[:, 0] = self.distances(queries, beam[:, :1])[:, 0]
+        far[:, 0] = far_from(queries, beam[:, :1])[:, 0]
         seen = np.zeros((q, len(self.x)), bool)
         seen[:, self.start] = True
         while open_.any():
@@ -76,11 +85,11 @@ class Graph:
             next_[:, 1:][next_[:, 1:] == next_[:, :-1]] = -1  # from two nodes at once
             new = next_ >= 0
             seen[np.nonzero(new)[0], next_[new]] = True
-            away = np.where(new, self.distances(queries, next_), np.inf).astype(np.float32)
+            away = np.where(new, far_from(queries, next_), np.inf).astype(np.float32)
             all_, all_far, all_open = np.concatenate((beam, next_), 1), np.concatenate((far, away), 1), np.concatenate((open_, new), 1)
             best = np.argsort(all_far, axis=1, kind="stable")[:, :width]
             beam, far, open_ = all_[rows, best], all_far[rows, best], all_open[rows, best]
-        return beam, far
+        return beam
 
     def prune(self, nodes: np.ndarray, others: np.ndarray) -> np.ndarray:
         """For each node up to DEGREE of the others (-1: none): the nearest that is left, again and again, each taking out those that it is closer to."""
@@ -129,7 +138,7 @@ class Graph:
                 self.edges[who[~small]] = self.prune(who[~small], both[~small])
 
 
-def shard_search(length: float, k: int):
+def shard_search(k: int):
     """mapInArrow over (shard, query, ids, embedding), sorted by shard, vectors before queries: the k nearest vectors of each query in each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,11 +156,10 @@ def shard_search(length: float, k: int):
                     continue
                 if graph is None:
                     vectors, parts = np.concatenate(parts), []
-                    last = np.sqrt(np.maximum(length**2 - (vectors**2).sum(axis=1), 0))
-                    graph = Graph(np.column_stack([vectors, last]).astype(np.float32))
+                    graph = Graph(vectors)
                 for a in range(0, len(matrix), TOGETHER):
                     own = matrix[a : a + TOGETHER]
-                    found, _ = graph.search(np.column_stack([own, np.zeros(len(own))]).astype(np.float32), max(BEAM, 2 * k))
+                    found = graph.search(own.astype(np.float32), max(BEAM, 2 * k), graph.products)
                     exact = np.where(found >= 0, np.einsum("qd,qnd->qn", own, vectors[found]), -np.inf)
                     order = np.argsort(-exact, axis=1, kind="stable")[:, :k]
                     exact, found = np.take_along_axis(exact, order, 1), np.take_along_axis(found, order, 1)
@@ -172,10 +180,11 @@ def runs_of(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, int, int]]:
 
 def valid(vectors: DataFrame) -> DataFrame:
     """(vec_id, embedding) of those that take part."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).where("vec_id is not null and embedding is not null")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null")
     infinite = F.lit(float("inf"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != infinite))
-    rows = rows.where(finite).where(F.exists("embedding", lambda x: x != 0)).dropDuplicates(["vec_id"])
+    rows = rows.where(finite).where(F.exists("embedding", lambda x: x != 0))
+    rows = settle(rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
     size = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     return rows.where(F.size("embedding") == (size.d if size else 0))
 
@@ -186,17 +195,18 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, shard: int = SHAR
     copies = Window.partitionBy("embedding").orderBy("vec_id")
     some = rows.withColumn("n", F.row_number().over(copies)).where(F.col("n") <= k + 1)
     nodes = settle(some.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")))
-    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    total = nodes.agg(F.count("*").alias("n"), F.max(length).alias("length")).first()
-    shards = max(1, -(-total.n // shard))
+    total = nodes.count()
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    shards = max(1, -(-total // shard), min(-(-total // LEAST), cores))
 
     asked = rows.where(is_query)
     names = asked.join(nodes, "embedding").select("vec_id", F.element_at("ids", 1).alias("own"))
     dealt = nodes.select(F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("query"), "ids", "embedding")
     queries = nodes.join(asked.select("embedding").distinct(), "embedding", "left_semi")
-    queries = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("query"), "ids", "embedding")
-    both = dealt.unionByName(queries).repartition(shards, "shard").sortWithinPartitions("shard", "query")
-    found = both.mapInArrow(shard_search(float(total.length or 0), k + 1), "own long, ids array<long>, score double")
+    queries = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("query"), F.slice("ids", 1, 1).alias("ids"), "embedding")
+    # twice as many partitions as shards, so that few tasks get two
+    both = dealt.unionByName(queries).repartition(2 * shards, "shard").sortWithinPartitions("shard", "query")
+    found = both.mapInArrow(shard_search(k + 1), "own long, ids array<long>, score double")
 
     each = found.select("own", "score", F.explode("ids").alias("vec_id"))
     best = Window.partitionBy("own").orderBy(F.desc("score"), "vec_id")
