@@ -60,6 +60,50 @@ def effective_band(kind: Column, limit: Column, reference: Column, increment: Co
 
 
 def tag_value_checksum(text: Column) -> Column:
-    """Sum of all bytes modulo 256, as three digits."""
-    codes = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.ascii(F.substring(text, i, F.lit(1))))
-    return F.lpad(F.pmod(F.aggregate(codes, F.lit(0), lambda s, x: s + x), F.lit(256)).cast("string"), 3, "0")
+    """Sum of all UTF-8 bytes modulo 256, as three digits."""
+    pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("(..)"), F.lit(1))
+    total = F.aggregate(F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("int")), F.lit(0), lambda s, x: s + x)
+    return F.lpad(F.pmod(total, F.lit(256)).cast("string"), 3, "0")
+
+
+SOH = "\x01"
+
+
+def tag_value(kind: str, fields: dict[int, Column]) -> Column:
+    """A tag=value message: version and body length first, the fields that aren't null in order, the checksum last."""
+    body = F.concat_ws("", F.lit(f"35={kind}{SOH}"), *(F.concat(F.lit(f"{tag}="), value.cast("string"), F.lit(SOH)) for tag, value in fields.items()))
+    whole = F.concat(F.lit(f"8=FIX.4.4{SOH}9="), F.octet_length(body).cast("string"), F.lit(SOH), body)
+    return F.concat(whole, F.lit("10="), tag_value_checksum(whole), F.lit(SOH))
+
+
+def tag_values(message: Column) -> Column:
+    """A message's fields as an array of (tag, value), in order; what isn't tag=value is left out."""
+    parts = F.filter(F.split(message, SOH), lambda x: F.rlike(x, F.lit("^[0-9]+=")))
+    return F.transform(parts, lambda x: F.struct(F.substring_index(x, "=", 1).cast("int").alias("tag"), F.regexp_replace(x, "^[0-9]+=", "").alias("value")))
+
+
+def intact(message: Column) -> Column:
+    """Whether the checksum at the end, and the body length, are those of the message."""
+    body = F.regexp_extract(message, f"^8=[^{SOH}]*{SOH}9=[0-9]+{SOH}(.*)10=[0-9]{{3}}{SOH}$", 1)
+    whole = F.regexp_extract(message, f"^(.*)10=[0-9]{{3}}{SOH}$", 1)
+    length = F.regexp_extract(message, f"{SOH}9=([0-9]+){SOH}", 1).try_cast("int")
+    return F.coalesce((body != "") & (F.octet_length(body) == length) & (tag_value_checksum(whole) == F.regexp_extract(message, f"10=([0-9]{{3}}){SOH}$", 1)), F.lit(False))
+
+
+def decoded(value: Column, length: Column) -> Column:
+    """Latin text of a binary field of fixed width, without the zero bytes and blanks at its end; null if the field is shorter than length says."""
+    return F.when((length >= 0) & (F.octet_length(value) >= length), trimmed(F.decode(F.substring(value, F.lit(1), length), "ISO-8859-1")))
+
+
+def csv_field(value: Column) -> Column:
+    """Quoted if it holds a comma, a quote or a line break; quotes are doubled, null is empty."""
+    text = F.coalesce(value.cast("string"), F.lit(""))
+    return F.when(F.rlike(text, F.lit("[\",\r\n]")), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+
+def utc_stamp(micros: Column) -> Column:
+    """yyyyMMdd-HH:mm:ss.SSS of microseconds since 1970, in UTC whatever the session's zone."""
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(micros / 86400000000).cast("int"))
+    rest = F.pmod(micros, F.lit(86400000000))
+    two = lambda unit, base: F.lpad(F.pmod(F.floor(rest / unit), F.lit(base)).cast("string"), 2, "0")
+    return F.concat(F.date_format(day, "yyyyMMdd"), F.lit("-"), two(3600000000, 24), F.lit(":"), two(60000000, 60), F.lit(":"), two(1000000, 60), F.lit("."), F.lpad(F.pmod(F.floor(rest / 1000), F.lit(1000)).cast("string"), 3, "0"))

@@ -60,8 +60,12 @@ def size_histogram(packets: DataFrame) -> DataFrame:
     return bins.join(found, ["channel", "bin"], "left").select("channel", "bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def channel_summary(packets: DataFrame) -> DataFrame:
-    return packets.groupBy("channel").agg(F.count("*").alias("pkts"), F.sum("size").alias("bytes"), (F.max("ts") - F.min("ts")).alias("duration"))
+def channel_summary(packets: DataFrame, width: int = 100, window: int = 1000) -> DataFrame:
+    """By channel packets, bytes, duration (of ts, in milliseconds), packets a second over it (null if there is none), and the most packets of any bucket of width and of any window."""
+    sums = packets.groupBy("channel").agg(F.count("*").alias("pkts"), F.sum("size").alias("bytes"), (F.max("ts") - F.min("ts")).alias("duration"))
+    buckets = traffic_buckets(packets, width)
+    peaks = buckets.groupBy("channel").agg(F.max("pkts").alias("peak_bucket")).join(rolling_peak(buckets, width, window).withColumnRenamed("peak", "peak_window"), "channel")
+    return sums.withColumn("per_second", F.when(F.col("duration") > 0, F.floor(F.col("pkts") * 1000 / F.col("duration")))).join(peaks, "channel")
 
 
 def compare_baselines(baselines: DataFrame, runs: DataFrame, keys: list[str], value: str, percent: float) -> DataFrame:
@@ -69,3 +73,9 @@ def compare_baselines(baselines: DataFrame, runs: DataFrame, keys: list[str], va
     joined = baselines.join(runs.select(*keys, F.col(value).alias("__now")), keys, "left")
     joined = joined.withColumn("delta", (F.col("__now") - F.col(value)) * 100 / F.col(value))
     return joined.withColumn("verdict", F.when(F.col("__now").isNull(), "MISSING").when(F.col("delta") > percent, "FAIL").otherwise("PASS")).drop("__now")
+
+
+def unhealthy(groups: DataFrame, now: int, limit: int) -> DataFrame:
+    """Groups (name, state, last) that aren't streaming, or were quiet for longer than limit; why."""
+    why = F.when(F.col("state") != "Streaming", "state").when(F.lit(now) - F.col("last") > limit, "quiet")
+    return groups.withColumn("why", why).where("why is not null")

@@ -147,3 +147,45 @@ def crossing_series(events: DataFrame, schema: str = "seq long, security_id long
 
     events = events.select(F.col("seq").cast("long"), F.col("security_id").cast("long"), "side", "order_id", "action", F.col("price").cast("long"))
     return events.repartition("security_id").sortWithinPartitions("security_id", "seq").mapInArrow(run, schema)
+
+
+def replica(events: DataFrame) -> DataFrame:
+    """A client's copy of books from events as for live_orders, and snapshot: an add of a known order replaces it, a change to nothing deletes it, a snapshot (its orders follow as new) clears its side or both."""
+    action = F.when((F.col("action") == "change") & (F.col("qty") <= 0), "delete").when(F.col("action") == "snapshot", "mass_delete").otherwise(F.col("action"))
+    return live_orders(events.withColumn("action", action))
+
+
+def after_reset(events: DataFrame, resets: DataFrame, channel: str) -> DataFrame:
+    """Events after the last reset (seq) of their channel, which clears every book of it."""
+    last = resets.groupBy(channel).agg(F.max("seq").alias("__reset"))
+    return events.join(last, channel, "left").where("__reset is null or seq > __reset").drop("__reset")
+
+
+def compare_ladders(a: DataFrame, b: DataFrame) -> DataFrame:
+    """By security the levels (security_id, side, price, total_qty) that two ladders have in common, that differ in quantity, and that only one has."""
+    key = ["security_id", "side", "price"]
+    both = a.select(*key, F.col("total_qty").alias("x")).join(b.select(*key, F.col("total_qty").alias("y")), key, "full")
+    return both.groupBy("security_id").agg(F.count_if(F.expr("x = y")).alias("same"), F.count_if(F.expr("x <> y")).alias("different"), F.count_if(F.expr("x is null or y is null")).alias("alone"))
+
+
+def findings(orders: DataFrame) -> DataFrame:
+    """By security what is wrong with live orders: orders without quantity, ids on both sides, and whether the best prices cross."""
+    own = orders.groupBy("security_id", "order_id").agg(F.countDistinct("side").alias("sides"), F.count_if(F.expr("qty <= 0")).alias("empty"), F.max(F.when(F.col("side") == "bid", F.col("price"))).alias("bid"), F.min(F.when(F.col("side") == "ask", F.col("price"))).alias("ask"))
+    return own.groupBy("security_id").agg(F.sum("empty").alias("empty"), F.count_if(F.expr("sides > 1")).alias("both_sides"), F.coalesce(F.max("bid") > F.min("ask"), F.lit(False)).alias("crossed"))
+
+
+def level_deltas(events: DataFrame) -> DataFrame:
+    """(seq, security_id, side, price, qty, orders): what each event adds to or takes from a price level. An order's state lives until the next event of it, or the next clear of its side."""
+    rows = events.where("action in ('new', 'change', 'delete', 'mass_delete')")
+    rows = rows.withColumn("side", F.explode(F.when(F.col("side").isin("bid", "ask"), F.array("side")).otherwise(F.array(F.lit("bid"), F.lit("ask")))))
+    clear = F.min(F.when(F.col("action") == "mass_delete", F.col("seq"))).over(Window.partitionBy("security_id", "side").orderBy("seq").rowsBetween(1, Window.unboundedFollowing))
+    rows = rows.withColumn("clear", clear).where("action <> 'mass_delete'")
+    rows = rows.withColumn("until", F.least("clear", F.lead("seq").over(Window.partitionBy(*KEY).orderBy("seq")))).where("action <> 'delete' and price is not null")
+    one = lambda seq, sign: rows.select(F.col(seq).alias("seq"), "security_id", "side", "price", (sign * F.col("qty")).alias("qty"), F.lit(sign).alias("orders"))
+    return one("seq", 1).unionByName(one("until", -1).where("seq is not null"))
+
+
+def summed_levels(deltas: DataFrame) -> DataFrame:
+    """Price levels that deltas add up to."""
+    found = deltas.groupBy("security_id", "side", "price").agg(F.sum("qty").alias("total_qty"), F.sum("orders").alias("order_count"))
+    return found.where("order_count > 0")

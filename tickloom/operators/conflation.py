@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import has_flag
@@ -71,3 +71,76 @@ def chunks(rows: DataFrame, key: str, order: str, size: int) -> DataFrame:
 def valid_flags(flags, allowed: int):
     """A request's flags: at least one, and none but those allowed."""
     return (flags != 0) & ~has_flag(flags, ~allowed)
+
+
+#: Order in which one flush sends its kinds. Fixed values.
+EMISSION = ("Clear", "Order", "Tier", "Trade", "Candle", "Stale", "Level")
+
+
+def emission(kind: Column) -> Column:
+    """Rank of a kind in a flush."""
+    out = F.lit(len(EMISSION))
+    for rank, name in enumerate(EMISSION):
+        out = F.when(kind == name, rank).otherwise(out)
+    return out
+
+
+def tiers(events: DataFrame, keys: list[str]) -> DataFrame:
+    """By window, security and side the last total of market orders: of events (seq, total_qty, order_count)."""
+    return last_of(events, keys, ["total_qty", "order_count"])
+
+
+def stale_flags(states: DataFrame, keys: list[str]) -> DataFrame:
+    """By window and security the last flag of rows (seq, stale), and whether a heal in the window asks for a new snapshot."""
+    return states.groupBy(*keys).agg(F.max_by("stale", "seq").alias("stale"), (F.bool_or("stale") & ~F.max_by("stale", "seq")).alias("snapshot"))
+
+
+def anchored_windows(events: DataFrame, key: str, time: str, length: int, order: str = "seq") -> DataFrame:
+    """events with opened: the time of the first event of their window. A window opens with the first event after the last one was flushed, and takes what comes less than length later (0: each event is its own).
+
+    Each window's start depends on the one before, so this is an ordered state machine by key; one time and one key are
+    carried over batches.
+    """
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    columns = events.columns
+    at = [columns.index(key), columns.index(time)]
+
+    def run(batches):
+        now, opened = object(), 0
+        for batch in batches:
+            keys, times = (batch.column(k).to_pylist() for k in at)
+            out = np.zeros(len(keys), np.int64)
+            for k, (own, moment) in enumerate(zip(keys, times)):
+                if own != now or moment - opened >= length:
+                    now, opened = own, moment
+                out[k] = opened
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "opened"])
+
+    schema = T.StructType([*events.schema.fields, T.StructField("opened", T.LongType())])
+    return events.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, schema)
+
+
+def snapshot_bundle(parts: dict[int, DataFrame], requests: DataFrame) -> DataFrame:
+    """What requests (client_id, security_id, flags) get: (client_id, security_id, part, content), content being the row of a part as JSON. parts: by flag bit, each with a security_id."""
+    every = None
+    for bit, frame in parts.items():
+        content = F.to_json(F.struct(*sorted(c for c in frame.columns if c != "security_id")))
+        one = frame.select("security_id", F.lit(bit).alias("part"), content.alias("content"))
+        every = one if every is None else every.unionByName(one)
+    found = every.join(requests, "security_id").where(F.col("flags").bitwiseAND(F.col("part")) != 0)
+    return found.select("client_id", "security_id", "part", "content")
+
+
+def fragments(news: DataFrame, size: int) -> DataFrame:
+    """Parts (news_id, part_number, part_count, text) of size characters of items (news_id, text); an empty text is one part."""
+    count = F.greatest(F.lit(1), F.ceil(F.length("text") / size)).cast("int")
+    rows = news.withColumn("part_count", count).withColumn("part_number", F.explode(F.sequence(F.lit(1), "part_count")))
+    return rows.select("news_id", "part_number", "part_count", F.substring("text", (F.col("part_number") - 1) * size + 1, F.lit(size)).alias("text"))
+
+
+def valid_cadence(interval, least: int = 100, allowed: tuple[int, ...] = (0, 100, 250, 500)):
+    """Milliseconds of a client's cadence: none, or one of the tiers."""
+    return interval.isin(*allowed) & ((interval == 0) | (interval >= least))

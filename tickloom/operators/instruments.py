@@ -76,3 +76,75 @@ def reassemble_news(parts: DataFrame) -> DataFrame:
     many = many.groupBy("news_id").agg(F.count("*").alias("parts"), F.min("p.part_count").alias("low"), F.max("p.part_count").alias("high"), F.array_sort(F.collect_list(F.struct("part_number", "p.text"))).alias("t"))
     many = many.where("low = high and parts = low")  # 64 parts at most
     return single.unionByName(many.select("news_id", "parts", F.array_join(F.transform("t", lambda x: x["text"]), "").alias("text")))
+
+
+def current_generation(rows: DataFrame, definitions: DataFrame, identity: list[str]) -> DataFrame:
+    """Rows (security_id, seq) that came after their security's identity changed last: a change wipes all state before it. Securities without definitions keep theirs."""
+    found = generations(definitions, "security_id", identity, "seq")
+    since = found.groupBy("security_id").agg(F.max(F.when(F.col("generation") > 0, F.struct("generation", (-F.col("seq")).alias("s")))).alias("g"))
+    since = since.select("security_id", (-F.col("g.s")).alias("__since"))
+    return rows.join(since, "security_id", "left").where("__since is null or seq > __since").drop("__since")
+
+
+def members_of(rows: DataFrame, key: str, group: str, number: str) -> DataFrame:
+    """One row for each member of a repeating group but those with number 0; a row without members stays, with null."""
+    return rows.withColumn(group, F.explode_outer(F.filter(group, lambda x: x[number] != 0))).select(key, f"{group}.*")
+
+
+def effective_status(own: DataFrame, phases: DataFrame, members: DataFrame) -> DataFrame:
+    """(security_id, status, detached): a security follows its group's phase unless event 101 detached it; 102 lets it rejoin, with the phase of that moment.
+
+    own: (seq, security_id, status, event); phases: (seq, security_group, status); members: (security_id, security_group).
+    """
+    state = own.groupBy("security_id").agg(F.max_by("event", F.when(F.col("event").isin(101, 102), F.col("seq"))).alias("way"), F.max_by(F.struct("seq", "status"), F.when(F.col("event") != 102, F.col("seq"))).alias("own"))
+    group = phases.groupBy("security_group").agg(F.max_by(F.struct("seq", "status"), "seq").alias("phase"))
+    rejoined = own.where("event = 102").groupBy("security_id").agg(F.max("seq").alias("rejoined"))
+    found = members.join(group, "security_group", "left").join(state, "security_id", "left").join(rejoined, "security_id", "left")
+    detached = F.coalesce(F.col("way") == 101, F.lit(False))
+    joined = F.greatest(F.col("phase.seq"), F.col("rejoined"))  # the phase counts from then on
+    follows = ~detached & F.col("phase").isNotNull() & (F.col("own").isNull() | (joined > F.col("own.seq")))
+    return found.select("security_id", F.when(follows, F.col("phase.status")).otherwise(F.col("own.status")).alias("status"), detached.alias("detached"))
+
+
+def lookup(instruments: DataFrame, column: str, symbol: str) -> DataFrame:
+    """The instrument of a symbol, which may be in any case and have blanks around it."""
+    return instruments.where(F.col(column) == F.upper(F.trim(F.lit(symbol))))
+
+
+def within_life(parts: DataFrame, life: int, time: str) -> DataFrame:
+    """Parts that come within life of the first of their item; later ones find it gone."""
+    first = F.min(time).over(Window.partitionBy("news_id"))
+    return parts.withColumn("__first", first).where(F.col(time) - F.col("__first") <= life).drop("__first")
+
+
+def delisted(rows: DataFrame, active: DataFrame) -> DataFrame:
+    """Subscriptions (security_id, ...) whose security isn't active any more: to be told and ended."""
+    return rows.join(active.select("security_id").distinct(), "security_id", "left_anti")
+
+
+def presence(columns: list[str]) -> Column:
+    """A mask with a bit for each column, by position, that has a value."""
+    out = F.lit(0).cast("bigint")
+    for bit, name in enumerate(columns):
+        out = out + F.when(F.col(name).isNotNull(), F.lit(1 << bit)).otherwise(0)
+    return out
+
+
+def versions(rows: DataFrame, key: str, groups: dict[str, list[str]], order: str) -> DataFrame:
+    """Adds for each group of columns a counter of its changes (null-safe) up to the row, the first row being version 1; and any_version, of all of them."""
+    own = Window.partitionBy(key).orderBy(order)
+    for name, columns in {**groups, "any_version": [c for g in groups.values() for c in g]}.items():
+        now = F.struct(*columns)
+        rows = rows.withColumn(f"__{name}", F.when((F.row_number().over(own) == 1) | ~F.lag(now).over(own).eqNullSafe(now), 1).otherwise(0))
+    return rows.withColumns({n: F.sum(f"__{n}").over(own) for n in (*groups, "any_version")}).drop(*(f"__{n}" for n in (*groups, "any_version")))
+
+
+def last_values_by_epoch(rows: DataFrame) -> DataFrame:
+    """As last_values, where report numbers start again with each epoch (its version): older values stay until the new epoch brings one."""
+    newest = F.struct("epoch", "rpt_seq", (-F.col("seq")).alias("s"))
+    return rows.groupBy("security_id", "kind").agg(F.max_by("value", newest).alias("value"), F.max("epoch").alias("epoch"), F.max_by("rpt_seq", newest).alias("rpt_seq"))
+
+
+def latest_status(rows: DataFrame) -> DataFrame:
+    """The last administrative status of each security, from rows (seq, security_id, status, event) with event 1 or 2, kept apart from its trading status."""
+    return rows.where("event in (1, 2)").groupBy("security_id").agg(F.max_by("status", "seq").alias("admin_status"), F.max("seq").alias("seq"))

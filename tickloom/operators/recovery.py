@@ -1,16 +1,19 @@
 """Loss and recovery of books: an ordered state machine for each security, in batch and as a stream's state.
 
 A security starts unknown. In sequence it is healthy; a number that skips makes it stale, and from then on book messages
-are held until a snapshot that covers the hole heals it and what is held after the snapshot is replayed.
+are held until a snapshot heals it that reaches at least the last number known to be lost; what is held after the snapshot
+is replayed. So nothing is ever replayed over a hole. A first message that isn't number 1 shows a hole before it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.book import live_orders
+
 RESULT = "seq long, security_id long, op string, outcome string, state string, drain_from long, drain_to long"
 
 
@@ -18,63 +21,86 @@ RESULT = "seq long, security_id long, op string, outcome string, state string, d
 _NONE = object()
 
 
+#: What becomes of messages while a security isn't healthy. A statistic may still show that the book lost something.
+POLICY = {"book": "hold", "statistic": "apply"}
+
+
 class Book:
-    """state: unknown, stale or healthy. seen: highest number of any kind; book: highest applied; least: the number that a snapshot must reach."""
+    """state: unknown, stale or healthy. seen: highest number of any kind; book: highest applied; least: the number that a snapshot must reach; since: when it ceased to be healthy."""
 
-    def __init__(self, state: str = "unknown", seen: int = 0, book: int = 0, least: int = 0):
-        self.state, self.seen, self.book, self.least = state, seen, book, least
+    def __init__(self, state: str = "unknown", seen: int = 0, book: int = 0, least: int = 0, since: int | None = None):
+        self.state, self.seen, self.book, self.least, self.since = state, seen, book, least, since
 
-    def step(self, op: str, number: int) -> tuple[str, int | None, int | None]:
+    def kept(self) -> tuple:
+        return self.state, self.seen, self.book, self.least, self.since
+
+    def step(self, op: str, number: int | None, time: int | None = None, policy: dict[str, str] = POLICY, timeout: int = 0) -> tuple[str, int | None, int | None]:
         """Outcome, and the range of held messages that a heal replays."""
+        if self.since is None and self.state != "healthy":
+            self.since = time
         if op == "reset":
-            self.state, self.seen, self.book, self.least = "unknown", 0, 0, 0
+            self.__init__()
             return "reset", None, None
+        if op == "mark_stale":
+            if self.state == "healthy":
+                self.state, self.least, self.since = "stale", self.seen, time
+            return "marked", None, None
+        if op == "empty_snapshot" or op == "snapshot" and number is None:  # of an illiquid security: no orders, no number
+            if self.state == "healthy":
+                return "skipped", None, None
+            self.state, self.book, self.least, self.since = "healthy", self.seen, 0, None
+            return "emptied", None, None
         if op == "snapshot":
             if self.state == "healthy":
                 return "skipped", None, None
-            if number < self.least:
+            forced = number < self.least
+            if forced and not (timeout and time is not None and self.since is not None and time - self.since > timeout):
                 return "rejected", None, None
             high = max(self.seen, number)
-            self.state, self.book, self.seen, self.least = "healthy", high, high, 0
-            return "healed", (number + 1 if high > number else None), (high if high > number else None)
-        skipped = self.seen > 0 and number - self.seen > 1
-        if skipped and self.state == "healthy":
-            self.state, self.least = "stale", number - 1
-        elif skipped and self.state == "stale":
+            self.state, self.book, self.seen, self.least, self.since = "healthy", high, high, 0, None
+            return "forced" if forced else "healed", (number + 1 if high > number else None), (high if high > number else None)
+        if number - self.seen > 1:
+            if self.state == "healthy":
+                self.state, self.since = "stale", time
             self.least = max(self.least, number - 1)
         old, self.seen = number <= self.seen, max(self.seen, number)
-        if op == "statistic":  # never held; it may still show that the book lost something
-            return ("dropped" if old else "applied"), None, None
         if self.state != "healthy":
-            return ("dropped" if old and number <= self.book else "held"), None, None
+            way = policy.get(op, "hold")
+            if old and number <= self.book or way == "drop":
+                return "dropped", None, None
+            return ("applied" if way == "apply" and not old else "dropped" if way == "apply" else "held"), None, None
+        if op == "statistic":
+            return ("dropped" if old else "applied"), None, None
         if number <= self.book:
             return "dropped", None, None
         self.book = number
         return "applied", None, None
 
 
-def replay(rows: DataFrame) -> DataFrame:
-    """Each operation (seq, security_id, op: book, statistic, snapshot or reset; rpt_seq) with what became of it.
+def replay(rows: DataFrame, policy: dict[str, str] = POLICY, timeout: int = 0) -> DataFrame:
+    """Each operation (seq, security_id, op: book, statistic, snapshot, empty_snapshot, mark_stale or reset; rpt_seq, and ts_us if there is one) with what became of it.
 
-    Rows come sorted by security and seq, and only the book of one security is carried over batches.
+    policy: for each other op hold, apply or drop, while a security isn't healthy. timeout: microseconds after which a
+    snapshot that comes too short is taken all the same (0: never). Rows come sorted by security and seq, and only the
+    book of one security is carried over batches.
     """
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book, now = Book(), _NONE
         for batch in batches:
-            seqs, securities, ops, numbers = (c.to_pylist() for c in batch.columns)
+            seqs, securities, ops, numbers, times = (c.to_pylist() for c in batch.columns)
             out = []
-            for security, op, number in zip(securities, ops, numbers):
+            for security, op, number, time in zip(securities, ops, numbers, times):
                 if security != now:
                     book, now = Book(), security
-                outcome, low, high = book.step(op, int(number))
+                outcome, low, high = book.step(op, number, time, policy, timeout)
                 out.append((outcome, book.state, low, high))
             columns = zip(*out) if out else [()] * 4
             kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(seqs, pa.int64()), pa.array(securities, pa.int64()), pa.array(ops, pa.string()), *(pa.array(c, t) for c, t in zip(columns, kinds))], [f.split()[0] for f in RESULT.split(", ")])
 
-    rows = rows.select(F.col("seq").cast("long"), F.col("security_id").cast("long"), F.col("op").cast("string"), F.col("rpt_seq").cast("long"))
+    rows = rows.select(F.col("seq").cast("long"), F.col("security_id").cast("long"), F.col("op").cast("string"), F.col("rpt_seq").cast("long"), (F.col("ts_us") if "ts_us" in rows.columns else F.lit(None)).cast("long").alias("ts_us"))
     return rows.repartition("security_id").sortWithinPartitions("security_id", "seq").mapInArrow(run, RESULT)
 
 
@@ -88,10 +114,57 @@ def replay_stream(rows: DataFrame) -> DataFrame:
         out = []
         whole = pd.concat(list(parts)).sort_values("seq")
         for seq, op, number in zip(whole.seq, whole.op, whole.rpt_seq):
-            outcome, low, high = book.step(op, int(number))
+            outcome, low, high = book.step(op, int(number) if number == number else None)
             out.append((seq, key[0], op, outcome, book.state, low, high))
-        state.update((book.state, book.seen, book.book, book.least))
+        state.update(book.kept())
         frame = pd.DataFrame(out, columns=["seq", "security_id", "op", "outcome", "state", "drain_from", "drain_to"])
         yield frame.astype({"drain_from": "Int64", "drain_to": "Int64"})
 
-    return rows.groupBy("security_id").applyInPandasWithState(run, RESULT, "state string, seen long, book long, least long", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("security_id").applyInPandasWithState(run, RESULT, "state string, seen long, book long, least long, since long", "append", GroupStateTimeout.NoTimeout)
+
+
+def assemble(headers: DataFrame, entries: DataFrame) -> DataFrame:
+    """headers (security_id, snapshot, bids, asks) with got_bids, got_asks and complete: whether the entries (security_id, snapshot, side) are as many as announced, on both sides."""
+    got = entries.groupBy("security_id", "snapshot").agg(F.count_if(F.col("side") == "bid").alias("got_bids"), F.count_if(F.col("side") == "ask").alias("got_asks"))
+    found = headers.join(got, ["security_id", "snapshot"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("got_bids", "got_asks")})
+    return found.withColumn("complete", (F.col("got_bids") == F.col("bids")) & (F.col("got_asks") == F.col("asks")))
+
+
+def heal_floors(snapshots: DataFrame) -> DataFrame:
+    """Assembled snapshots (security_id, snapshot, rpt_seq, complete) with least: the highest number of those before it that were replaced while incomplete, which it must reach too; and usable."""
+    before = Window.partitionBy("security_id").orderBy("snapshot").rowsBetween(Window.unboundedPreceding, -1)
+    found = snapshots.withColumn("least", F.coalesce(F.max(F.when(~F.col("complete"), F.col("rpt_seq"))).over(before), F.lit(0)))
+    return found.withColumn("usable", F.col("complete") & (F.col("rpt_seq") >= F.col("least")))
+
+
+def last_lost(rows: DataFrame) -> DataFrame:
+    """(security_id, lost, high): the highest number below the highest of rows (security_id, rpt_seq) that isn't among them (0: none), and that highest. Numbers start at 1."""
+    own = Window.partitionBy("security_id").orderBy("rpt_seq")
+    steps = rows.select("security_id", "rpt_seq").distinct().withColumn("before", F.coalesce(F.lag("rpt_seq").over(own), F.lit(0)))
+    lost = F.max(F.when(F.col("rpt_seq") - F.col("before") > 1, F.col("rpt_seq") - 1))
+    return steps.groupBy("security_id").agg(F.coalesce(lost, F.lit(0)).alias("lost"), F.max("rpt_seq").alias("high"))
+
+
+def rebuild(snapshots: DataFrame, orders: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Books from their last usable snapshot and what came after it, and the securities that stay stale.
+
+    snapshots (security_id, snapshot, rpt_seq); orders: their entries (security_id, snapshot, side, order_id, price, qty);
+    events: what was received (as for live_orders, with rpt_seq). A security heals with the newest snapshot that reaches
+    its last lost number; the book is the snapshot's orders with the events after its number. The second table is
+    (security_id, lost, best), best being the highest number of any snapshot.
+    """
+    holes = last_lost(events)
+    best = snapshots.groupBy("security_id").agg(F.max_by("snapshot", "rpt_seq").alias("snapshot"), F.max("rpt_seq").alias("best"))
+    judged = holes.join(best, "security_id", "left")
+    healed = judged.where("best >= lost").select("security_id", "snapshot", "best")
+    shape = ["seq", "security_id", "side", "order_id", "action", "price", "qty"]
+    base = orders.join(healed, ["security_id", "snapshot"]).select(F.lit(-1).cast("bigint").alias("seq"), "security_id", "side", "order_id", F.lit("new").alias("action"), "price", "qty")
+    later = events.join(healed, "security_id").where("rpt_seq > best").select(*shape)
+    return live_orders(base.unionByName(later)), judged.where("best is null or best < lost").select("security_id", "lost", "best")
+
+
+def disagreeing(headers: DataFrame, orders: DataFrame) -> DataFrame:
+    """Headers (security_id, bids, asks) of healthy securities whose live orders are not as many: to be rebuilt. A security without orders has 0."""
+    got = orders.groupBy("security_id").agg(F.count_if(F.col("side") == "bid").alias("got_bids"), F.count_if(F.col("side") == "ask").alias("got_asks"))
+    found = headers.join(got, "security_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("got_bids", "got_asks")})
+    return found.where("bids <> got_bids or asks <> got_asks")

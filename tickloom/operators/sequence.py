@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -41,8 +41,12 @@ def sequence_invariants(rows: DataFrame, key: str, number: str, kind: str, order
 
 def missing_numbers(rows: DataFrame, bounds: DataFrame, key: str, number: str) -> DataFrame:
     """For each key of bounds (key, low, high): the numbers in (low, high] that rows don't have; a replay is complete if there are none."""
-    wanted = bounds.where("high > low").select(key, F.explode(F.sequence(F.col("low") + 1, F.col("high"))).alias(number))
-    return wanted.join(rows.select(key, number).distinct(), [key, number], "left_anti")
+    bounds = bounds.where("high > low").select(key, "low", "high")
+    inside = rows.select(key, number).join(bounds.withColumnRenamed(key, "__key"), F.col(key) == F.col("__key")).where(f"{number} between low + 1 and high").select(key, number)
+    ends = bounds.select(key, F.explode(F.array(F.col("low"), F.col("high") + 1)).alias(number))
+    # only the gaps between neighbours become rows
+    step = inside.unionByName(ends).distinct().withColumn("__next", F.lead(number).over(Window.partitionBy(key).orderBy(number))).where(f"__next - {number} > 1")
+    return step.select(key, F.explode(F.sequence(F.col(number) + 1, F.col("__next") - 1)).alias(number))
 
 
 def bootstrap_ready(rows: DataFrame, channel: str, key: str, total: str, order: str = "seq") -> DataFrame:
@@ -50,3 +54,92 @@ def bootstrap_ready(rows: DataFrame, channel: str, key: str, total: str, order:
     first = rows.groupBy(channel).agg(F.min_by(total, order).alias("__total"))
     new = first_copies(rows, [channel, key], order).withColumn("__seen", F.row_number().over(Window.partitionBy(channel).orderBy(order)))
     return new.join(first, channel).where(F.col("__seen") >= F.col("__total")).groupBy(channel).agg(F.min(order).alias("ready"))
+
+
+def after_bootstrap(rows: DataFrame, ready: DataFrame, channel: str, order: str = "seq") -> DataFrame:
+    """Without what came before its channel was ready (channel, ready); channels that never were have no rows."""
+    return rows.join(ready, channel).where(F.col(order) >= F.col("ready")).drop("ready")
+
+
+class Reorder:
+    """One channel's packets put in order: what is ahead waits, up to a distance or for a time; then the gap is accepted.
+
+    Whoever accepts a gap goes out at once, and waiting packets above it follow; those below it are dropped. The first
+    packet of all seeds the numbering if it is far ahead. Times are in milliseconds.
+    """
+
+    def __init__(self, window: int, stall: int):
+        self.window, self.stall = window, stall
+        self.expected, self.since, self.waiting = 1, None, {}
+
+    def take(self, seq: int, time: int, packet) -> list[tuple]:
+        """(packet, reason) of all packets that this one settles: in, released, gap, duplicate or passed."""
+        if self.since is None:
+            self.since = time
+            if seq - self.expected > self.window:
+                self.expected = seq
+        if seq < self.expected or seq in self.waiting:
+            return [(packet, "duplicate")]
+        if seq > self.expected and seq - self.expected <= self.window and time - self.since < self.stall:
+            self.waiting[seq] = packet
+            return []
+        out = [(packet, "in" if seq == self.expected else "gap")]
+        for number in sorted(n for n in self.waiting if n < seq):
+            out.append((self.waiting.pop(number), "passed"))
+        self.expected, self.since = seq + 1, time
+        while self.expected in self.waiting:
+            out.append((self.waiting.pop(self.expected), "released"))
+            self.expected += 1
+        return out
+
+
+def reordered(rows: DataFrame, window: int = 256, stall: int = 2000) -> DataFrame:
+    """(channel, arrival, seq, position, reason) of packets (channel, arrival, seq, time): in which order they go out, and why; position is null for those that don't (duplicate, passed, or waiting at the end).
+
+    Rows come sorted by channel and arrival; what is carried over batches is the packets that wait in one channel, window
+    of them at most.
+    """
+    import pyarrow as pa
+
+    shape = "channel string, arrival long, seq long, position long, reason string"
+
+    def run(batches):
+        state, now, position = None, object(), 0
+
+        def rest():
+            return [(now, arrival, seq, None, "waiting") for arrival, seq in state.waiting.values()] if state else []
+
+        for batch in batches:
+            out = []
+            for channel, arrival, seq, time in zip(*(c.to_pylist() for c in batch.columns)):
+                if channel != now:
+                    out += rest()
+                    state, now, position = Reorder(window, stall), channel, 0
+                for (a, n), reason in state.take(seq, time, (arrival, seq)):
+                    goes = reason in ("in", "gap", "released")
+                    position += goes
+                    out.append((channel, a, n, position if goes else None, reason))
+            yield of(out)
+        yield of(rest())
+
+    def of(rows):
+        columns = zip(*rows) if rows else [()] * 5
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], [f.split()[0] for f in shape.split(", ")])
+
+    rows = rows.select(F.col("channel").cast("string"), F.col("arrival").cast("long"), F.col("seq").cast("long"), F.col("time").cast("long"))
+    return rows.repartition("channel").sortWithinPartitions("channel", "arrival").mapInArrow(run, shape)
+
+
+def quarantined(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """rows with quarantine: the name of the first check that doesn't hold (a null result doesn't), else null. Bad rows stop nothing."""
+    reason = None
+    for name, holds in checks.items():
+        failed = ~F.coalesce(holds, F.lit(False))
+        reason = F.when(failed, name) if reason is None else reason.when(failed, name)
+    return rows.withColumn("quarantine", F.lit(None).cast("string") if reason is None else reason)
+
+
+def match_flags(rows: DataFrame, key: str, flags: str, end: int, recovery: int) -> DataFrame:
+    """By key the events that end a match, and those that were sent in recovery."""
+    return rows.groupBy(key).agg(F.count_if(F.col(flags).bitwiseAND(F.lit(end)) != 0).alias("ends"), F.count_if(F.col(flags).bitwiseAND(F.lit(recovery)) != 0).alias("recovered"))

@@ -95,3 +95,39 @@ def auction_print(condition: Column, status: Column, opening: int, phases: tuple
 def aggressor(price: Column, bid: Column, ask: Column) -> Column:
     """1: the buyer (at the ask or above), -1: the seller, 0: neither is known."""
     return F.when(ask.isNotNull() & (price >= ask), 1).when(bid.isNotNull() & (price <= bid), -1).otherwise(0)
+
+
+def last_price(trades: DataFrame, bars: DataFrame) -> DataFrame:
+    """The last trade of each security; of one without trades the close of its last candle, with quantity 0 and no seq."""
+    close = bars.groupBy("security_id").agg(F.max_by("close", "time").alias("close"))
+    found = last_trade(trades).join(close, "security_id", "full")
+    return found.select("security_id", F.coalesce("price", "close").alias("price"), F.coalesce("qty", F.lit(0)).alias("qty"), "seq")
+
+
+def display_bars(bars: DataFrame, width: int = 1, most: int = 600) -> DataFrame:
+    """Candles as a chart shows them: opened at the previous close, gaps filled, avg of filled ones being their close."""
+    shown = fill_gaps(continuous(bars.withColumnRenamed("open", "first")), width, most)
+    return shown.withColumn("avg", F.when(F.col("volume") == 0, F.col("close")).otherwise(F.col("avg")))
+
+
+def last_wide_bar(bars: DataFrame, width: int) -> DataFrame:
+    """The newest wider candle of each security, from its own candles alone: avg is weighted by volume (rounded down; the close if there is none)."""
+    wide = floor_bucket(F.col("time"), width)
+    rows = bars.withColumns({"wide": wide, "__last": F.max(wide).over(Window.partitionBy("security_id"))}).where("wide = __last")
+    exact = "decimal(38,0)"
+    found = rows.groupBy("security_id", F.col("wide").alias("time")).agg(
+        F.min_by("open", "time").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "time").alias("close"), F.sum("volume").alias("volume"), F.sum(F.col("avg").cast(exact) * F.col("volume").cast(exact)).alias("paid")
+    )
+    avg = F.when(F.col("volume") > 0, F.expr("paid div volume")).otherwise(F.col("close"))
+    return found.withColumn("avg", avg.cast("bigint")).drop("paid")
+
+
+def bars_at(bars: DataFrame, times: DataFrame, width: int) -> DataFrame:
+    """The candle in whose bucket each (security_id, at) lies, if there is one."""
+    return times.withColumn("time", floor_bucket(F.col("at"), width)).join(bars, ["security_id", "time"])
+
+
+def with_last_trade(instruments: DataFrame, trades: DataFrame) -> DataFrame:
+    """Instruments with last_price and last_qty."""
+    last = last_trade(trades).select("security_id", F.col("price").alias("last_price"), F.col("qty").alias("last_qty"))
+    return instruments.join(last, "security_id", "left")

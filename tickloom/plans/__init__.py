@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickloom.plans import market, reference
+from tickloom.plans import delivery, feed, market, reference
 
-QUERIES = {**market.QUERIES, **reference.QUERIES}
-ORACLE_SQL = {**market.ORACLE_SQL, **reference.ORACLE_SQL}
+QUERIES = {**market.QUERIES, **reference.QUERIES, **feed.QUERIES, **delivery.QUERIES}
+ORACLE_SQL = {**market.ORACLE_SQL, **reference.ORACLE_SQL, **feed.ORACLE_SQL, **delivery.ORACLE_SQL}

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickloom import functions as fx
-from tickloom.operators import analytics, book, conflation, instruments, recovery, sequence, trades
+from tickloom.operators import analytics, book, conflation, instruments, sequence, trades
 from tickloom.sources import messages, numbered, order_events, packets, table
 from tickloom.sources import trades as prints
 
@@ -20,16 +20,23 @@ ORD = EV + """, ord AS (
   SELECT seq, security_id, CASE WHEN kind = 'signup' AND seq % 3 = 0 THEN NULL WHEN qty % 2 = 0 THEN 'bid' ELSE 'ask' END AS side, qty % 10 AS order_id,
          CASE kind WHEN 'click' THEN 'new' WHEN 'view' THEN 'change' WHEN 'error' THEN 'delete' WHEN 'signup' THEN 'mass_delete' ELSE 'trade' END AS action,
          CASE WHEN seq % 11 <> 0 THEN CAST(floor(price / 100000) * 100000 AS BIGINT) END AS price, qty FROM ev)"""
-LIVE = ORD + """, clr AS (
-  SELECT security_id, s.side, max(seq) AS cleared FROM ord JOIN (VALUES ('bid'), ('ask')) AS s(side) ON coalesce(ord.side, s.side) = s.side
+
+
+def live_sql(source: str, name: str = "live", levels: str = "lev") -> str:
+    """Live orders, and price levels, after all events of a CTE."""
+    return f""", {name}_c AS (
+  SELECT security_id, s.side, max(seq) AS cleared FROM {source} JOIN (VALUES ('bid'), ('ask')) AS s(side) ON coalesce({source}.side, s.side) = s.side
   WHERE action = 'mass_delete' GROUP BY ALL
-), lst AS (
-  SELECT security_id, side, order_id, arg_max({'seq': seq, 'action': action, 'price': price, 'qty': qty}, seq) AS e FROM ord WHERE action IN ('new', 'change', 'delete') GROUP BY ALL
-), live AS (
-  SELECT lst.security_id, lst.side, order_id, e.seq AS seq, e.price AS price, e.qty AS qty FROM lst LEFT JOIN clr ON lst.security_id = clr.security_id AND lst.side = clr.side
+), {name}_l AS (
+  SELECT security_id, side, order_id, arg_max({{'seq': seq, 'action': action, 'price': price, 'qty': qty}}, seq) AS e FROM {source} WHERE action IN ('new', 'change', 'delete') GROUP BY ALL
+), {name} AS (
+  SELECT l.security_id, l.side, order_id, e.seq AS seq, e.price AS price, e.qty AS qty FROM {name}_l l LEFT JOIN {name}_c c ON l.security_id = c.security_id AND l.side = c.side
   WHERE e.action <> 'delete' AND (cleared IS NULL OR e.seq > cleared)
-), lev AS (
-  SELECT security_id, side, price, CAST(sum(qty) AS BIGINT) AS total_qty, count(*) AS order_count FROM live WHERE price IS NOT NULL GROUP BY ALL)"""
+), {levels} AS (
+  SELECT security_id, side, price, CAST(sum(qty) AS BIGINT) AS total_qty, count(*) AS order_count FROM {name} WHERE price IS NOT NULL GROUP BY ALL)"""
+
+
+LIVE = ORD + live_sql("ord")
 TRD = EV + """, trd AS (
   SELECT seq, security_id, seq % 5000 AS trade_id, price, qty, second, CAST(seq % 8 AS INTEGER) AS condition, CASE seq % 13 WHEN 0 THEN 'leg' WHEN 1 THEN 'cross' END AS sub_type FROM ev
 ), rep AS (SELECT * FROM trd WHERE condition & 1 = 0 AND (sub_type IS NULL OR sub_type <> 'leg')), bst AS (
@@ -144,14 +151,6 @@ def cleared_windows(s, d):
 
 
 def routed(s, d):
-    """200 clients on 150 securities, as the SQL has it; all clients are in subscription_routing_all."""
-    bits = F.expr("shiftleft(1, cast(pmod(seq, 4) as int))")
-    rows = messages(s, d).select("seq", "security_id", bits.alias("channel_bit"))
-    clients = table(s, d, "customer").where("c_custkey <= 200").select(F.col("c_custkey").alias("client_id"), F.pmod(F.col("c_custkey") * 7, F.lit(150)).alias("security_id"), F.pmod("c_custkey", F.lit(16)).cast("int").alias("flags"))
-    return conflation.route(rows, clients).groupBy("client_id").agg(F.count("*").alias("events"), F.min("seq").alias("first_seq"))
-
-
-def routed_all(s, d):
     """All clients, dealt over all securities."""
     rows = messages(s, d).select("seq", "security_id", F.expr("shiftleft(1, cast(pmod(seq, 4) as int))").alias("channel_bit"))
     count = rows.agg((F.max("security_id") + 1).alias("securities"))
@@ -160,14 +159,6 @@ def routed_all(s, d):
 
 
 def level_changes(s, d):
-    """Levels touched by half of the events (seq modulo 10), as the SQL has it, with what is left of them at the end."""
-    rows = order_events(s, d).where("action in ('new', 'change', 'delete') and price is not null and pmod(seq, 10) >= 5")
-    dirty = rows.select("security_id", "side", "price").distinct()
-    found = dirty.join(levels(s, d), ["security_id", "side", "price"], "left")
-    return found.select("security_id", "side", "price", F.coalesce("total_qty", F.lit(0)).alias("total_qty"), F.col("total_qty").isNull().alias("deleted"))
-
-
-def level_changes_all(s, d):
     """Levels touched by any event, with what is left of them at the end."""
     return conflation.changed_levels(order_events(s, d), levels(s, d))
 
@@ -200,14 +191,7 @@ def quotes(s, d):
     return found.withColumn("side", trades.aggressor(F.col("price"), F.col("bid"), F.col("ask")))
 
 
-def heals(s, d):
-    """Messages after losses, every thirtieth being a snapshot."""
-    op = F.when(F.pmod("seq", F.lit(30)) == 0, "snapshot").when(F.col("kind") == "purchase", "statistic").otherwise("book")
-    return recovery.replay(numbered(s, d).withColumn("op", op))
-
-
 QUERIES = {
-    "heal_state": heals,
     "seq_gap_detect": gap_series,
     "ab_dedup": two_feeds,
     "channel_epoch": epochs,
@@ -223,7 +207,6 @@ QUERIES = {
     "book_validate": lambda s, d: book.orders_on_both_sides(book.live_orders(order_events(s, d).withColumn("side", F.when(F.pmod("seq", F.lit(2)) == 0, "bid").otherwise("ask")))),
     "book_summary": lambda s, d: book.book_summary(live(s, d)),
     "tier_transitions": lambda s, d: book.tier_transitions(order_events(s, d)),
-    "bbo_crossing": lambda s, d: book.crossing_series(order_events(s, d)),
     "trade_filter": reported,
     "recent_trades": lambda s, d: trades.recent(prints(s, d), 5).select("security_id", "n", "seq", "price", "qty"),
     "trade_bust": lambda s, d: trades.without_busted(prints(s, d), busts(s, d)).select("seq", "security_id", "trade_id"),
@@ -242,11 +225,9 @@ QUERIES = {
     "order_conflation": net_orders,
     "trade_coalesce": coalesced,
     "level_conflation": level_changes,
-    "level_conflation_all": level_changes_all,
     "cadence_last_value": cadence,
     "clear_purge": cleared_windows,
     "subscription_routing": routed,
-    "subscription_routing_all": routed_all,
     "snapshot_plus_changes": snapshot_and_changes,
     "fix_batches": fix_batches,
     "traffic_buckets": lambda s, d: analytics.traffic_buckets(packets(s, d), 100),
@@ -323,14 +304,15 @@ ORACLE_SQL = {
       n AS (SELECT w, security_id, order_id, arg_min(k, seq) <> 'Add' AS b, arg_max({{'k': k, 'price': price, 'qty': qty}}, seq) AS l FROM k GROUP BY ALL)
       SELECT w AS "window", security_id, order_id, CASE WHEN b AND l.k <> 'Delete' THEN 'Update' WHEN b THEN 'Delete' ELSE 'Add' END AS kind, l.price AS price, l.qty AS qty FROM n WHERE b OR l.k <> 'Delete'""",
     "trade_coalesce": f"""WITH {TRD} SELECT seq // 1000 AS window, security_id, CAST(floor(price / 100000) * 100000 AS BIGINT) AS price, CAST(sum(qty) AS BIGINT) AS qty, arg_max(trade_id, seq) AS trade_id, bit_or(condition) AS flags FROM trd GROUP BY 1, 2, 3""",
-    "level_conflation": f"""WITH {LIVE}, t AS (SELECT DISTINCT security_id, side, price FROM ord WHERE action IN ('new', 'change', 'delete') AND price IS NOT NULL AND seq % 10 >= 5)
+    "level_conflation": f"""WITH {LIVE}, t AS (SELECT DISTINCT security_id, side, price FROM ord WHERE action IN ('new', 'change', 'delete') AND price IS NOT NULL)
       SELECT t.*, coalesce(total_qty, 0) AS total_qty, total_qty IS NULL AS deleted FROM t LEFT JOIN lev USING (security_id, side, price)""",
     "cadence_last_value": f"""WITH {ORD} SELECT seq // 250 AS window, security_id, side, price, arg_max(action, seq) AS action, arg_max(qty, seq) AS qty, max(seq) AS seq FROM ord
       WHERE action IN ('new', 'change', 'delete') AND price IS NOT NULL GROUP BY 1, 2, 3, 4""",
     "clear_purge": f"""WITH {ORD}, c AS (SELECT *, max(CASE WHEN action = 'mass_delete' THEN seq END) OVER (PARTITION BY seq // 2000, security_id, side) AS c FROM ord WHERE side IS NOT NULL)
       SELECT seq, security_id, side, CASE WHEN action = 'mass_delete' THEN 'Clear' ELSE 'Other' END AS kind, CASE WHEN action = 'mass_delete' THEN 0 ELSE 1 END AS emit_rank FROM c WHERE c IS NULL OR seq >= c""",
-    "subscription_routing": f"""WITH {EV}, c AS (SELECT c_custkey AS client_id, (c_custkey * 7) % 150 AS security_id, CAST(c_custkey % 16 AS INTEGER) AS flags FROM customer WHERE c_custkey <= 200)
-      SELECT client_id, count(*) AS events, min(seq) AS first_seq FROM ev JOIN c USING (security_id) WHERE flags & (1 << CAST(seq % 4 AS INTEGER)) <> 0 GROUP BY ALL""",
+    "subscription_routing": f"""WITH {EV}, b AS (SELECT security_id, 1 << CAST(seq % 4 AS INTEGER) AS bit, count(*) AS n, min(seq) AS f FROM ev GROUP BY 1, 2),
+      c AS (SELECT c_custkey AS client_id, (c_custkey * 7) % (SELECT max(security_id) + 1 FROM ev) AS security_id, CAST(c_custkey % 16 AS INTEGER) AS flags FROM customer)
+      SELECT client_id, CAST(sum(n) AS BIGINT) AS events, min(f) AS first_seq FROM b JOIN c USING (security_id) WHERE flags & bit <> 0 GROUP BY ALL""",
     "snapshot_plus_changes": f"WITH {LIVE} SELECT * FROM live",
     "fix_batches": f"""WITH {ORD} SELECT seq // 2500 AS window, security_id, side, count(*) AS n, string_agg(seq || ':' || action || ':' || price, ',' ORDER BY seq) AS changes FROM ord
       WHERE action IN ('new', 'change', 'delete') AND price IS NOT NULL GROUP BY 1, 2, 3""",
@@ -339,7 +321,11 @@ ORACLE_SQL = {
       SELECT channel, CAST(max(n) AS BIGINT) AS peak FROM r GROUP BY ALL""",
     "size_histogram": f"""WITH {PKT}, b AS (SELECT unnest([80, 128, 192, 256, 384, 512, 768, 1024, 1500, -1]) AS bin), f AS (SELECT channel, coalesce((SELECT min(bin) FROM b WHERE bin >= size), -1) AS bin FROM pkt)
       SELECT c.channel, CAST(b.bin AS INTEGER) AS bin, count(f.bin) AS n FROM (SELECT DISTINCT channel FROM pkt) c CROSS JOIN b LEFT JOIN f ON f.channel = c.channel AND f.bin = b.bin GROUP BY ALL""",
-    "channel_summary": f"WITH {PKT} SELECT channel, count(*) AS pkts, CAST(sum(size) AS BIGINT) AS bytes, max(ts) - min(ts) AS duration FROM pkt GROUP BY ALL",
+    "channel_summary": f"""WITH {PKT}, b AS (SELECT channel, ts - ts % 100 AS bucket, count(*) AS pkts FROM pkt GROUP BY 1, 2),
+      r AS (SELECT channel, pkts, sum(pkts) OVER (PARTITION BY channel ORDER BY bucket RANGE BETWEEN 900 PRECEDING AND CURRENT ROW) AS n FROM b),
+      k AS (SELECT channel, max(pkts) AS peak_bucket, CAST(max(n) AS BIGINT) AS peak_window FROM r GROUP BY ALL),
+      p AS (SELECT channel, count(*) AS pkts, CAST(sum(size) AS BIGINT) AS bytes, max(ts) - min(ts) AS duration FROM pkt GROUP BY ALL)
+      SELECT p.*, CASE WHEN duration > 0 THEN pkts * 1000 // duration END AS per_second, peak_bucket, peak_window FROM p JOIN k USING (channel)""",
     "halt_resume": f"""WITH {EV}, h AS (SELECT seq, security_id, lag(qty % 20) OVER (PARTITION BY security_id ORDER BY seq) AS previous_status, qty % 20 AS new_status, seq % 9 AS e FROM ev)
       SELECT seq, security_id, previous_status, new_status, CASE e WHEN 1 THEN 'halted' ELSE 'resumed' END AS transition FROM h WHERE e IN (1, 2)""",
     "session_stats": f"""WITH {EV}, s AS (SELECT *, CAST(sum(CASE WHEN kind = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY security_id ORDER BY seq) AS BIGINT) AS session FROM ev),

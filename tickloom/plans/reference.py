@@ -26,11 +26,6 @@ def phase_rows(s, d):
     return table(s, d, "part").select(F.col("p_partkey").alias("seq"), F.col("p_brand").alias("security_group"), F.pmod("p_size", F.lit(4)).alias("status"))
 
 
-def phases(s, d):
-    """The first twenty securities only, as the SQL has it; all are in group_phase_all."""
-    return instruments.group_phases(phase_rows(s, d), members(s, d).where("security_id <= 20"))
-
-
 def registry(s, d):
     rows = table(s, d, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("security_id"), F.concat(F.lit("sym"), F.pmod("o_orderkey", F.lit(400)).cast("string")).alias("symbol"))
     return instruments.symbol_registry(rows)
@@ -63,8 +58,9 @@ def bands(s, d):
 
 
 def baselines(s, d):
+    """Lines 1 to 3 of orders are the baseline, later lines the run, which brought nothing of one supplier in seventeen."""
     first = table(s, d, "lineitem").where("l_linenumber <= 3").groupBy("l_suppkey").agg(F.count("*").alias("mean"))
-    now = table(s, d, "lineitem").where("l_linenumber > 3 and l_suppkey > 3").groupBy("l_suppkey").agg(F.count("*").alias("mean"))
+    now = table(s, d, "lineitem").where("l_linenumber > 3 and pmod(l_suppkey * 31, 17) > 0").groupBy("l_suppkey").agg(F.count("*").alias("mean"))
     return analytics.compare_baselines(first, now, ["l_suppkey"], "mean", 10.0).select("l_suppkey", "mean", "verdict")
 
 
@@ -72,12 +68,13 @@ def totals(s, d):
     return table(s, d, "lineitem").groupBy(F.col("l_partkey").alias("security_id")).agg(F.sum(F.floor(F.col("l_extendedprice")).cast("bigint")).alias("amount"), F.sum(F.col("l_quantity").cast("bigint")).alias("volume"), F.count("*").alias("trades"))
 
 
-def recent_events(s, d):
-    return table(s, d, "events").select("event_id", "event_type", "user_id").orderBy(F.desc("event_id")).limit(50)
+def recent_events(s, d, limit: int = 50):
+    """The newest events, 1 to 1000 of them."""
+    return table(s, d, "events").select("event_id", "event_type", "user_id").orderBy(F.desc("event_id")).limit(min(max(limit, 1), 1000))
 
 
 def checksums(s, d):
-    message = F.concat_ws("|", F.concat(F.lit("35=W|55="), F.col("p_name")), F.concat(F.lit("48="), F.col("p_partkey").cast("string")))
+    message = F.concat_ws("|", F.concat(F.lit("35=W|55=é"), F.col("p_name")), F.concat(F.lit("48="), F.col("p_partkey").cast("string")))
     return table(s, d, "part").select("p_partkey", fx.tag_value_checksum(message).alias("checksum"))
 
 
@@ -91,8 +88,7 @@ def scalars(s, d):
 QUERIES = {
     "definition_scd1": lambda s, d: instruments.latest_definitions(definitions(s, d), "security_id", "validity", "seq"),
     "identity_change": identity,
-    "group_phase": phases,
-    "group_phase_all": lambda s, d: instruments.group_phases(phase_rows(s, d), members(s, d)),
+    "group_phase": lambda s, d: instruments.group_phases(phase_rows(s, d), members(s, d)),
     "symbol_search": lambda s, d: instruments.search_symbols(table(s, d, "customer").select("c_custkey", "c_name"), "c_name", "CUSTOMER#0000000", 20),
     "symbol_registry": registry,
     "effective_bands": bands,
@@ -119,7 +115,7 @@ ORACLE_SQL = {
     "identity_change": f"""{DEF}, c AS (SELECT security_id, row_number() OVER w > 1 AND status IS DISTINCT FROM lag(status) OVER w AS changed FROM def WINDOW w AS (PARTITION BY security_id ORDER BY seq))
       SELECT security_id, count(*) FILTER (changed) AS generations FROM c GROUP BY ALL""",
     "group_phase": """WITH p AS (SELECT p_partkey AS seq, p_brand AS security_group, p_size % 4 AS status, lag(p_size % 4) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS l FROM part)
-      SELECT p.security_group, p.seq, p.status, m.p_partkey AS security_id FROM p JOIN part m ON m.p_brand = p.security_group WHERE m.p_partkey <= 20 AND (l IS NULL OR l <> status)""",
+      SELECT p.security_group, p.seq, p.status, m.p_partkey AS security_id FROM p JOIN part m ON m.p_brand = p.security_group WHERE l IS NULL OR l <> status""",
     "symbol_search": "SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), 'customer#0000000') ORDER BY c_name LIMIT 20",
     "symbol_registry": """WITH l AS (SELECT o_custkey AS security_id, 'SYM' || CAST(o_orderkey % 400 AS VARCHAR) AS symbol, o_orderkey AS seq FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1)
       SELECT security_id, symbol FROM l QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY seq DESC) = 1""",
@@ -132,13 +128,13 @@ ORACLE_SQL = {
     "rank_losers": f"{NET} " + RANKED.format(o="ASC", c="<"),
     "outliers_median": """WITH c AS (SELECT c_custkey AS client_id, CAST(floor(abs(c_acctbal)) AS BIGINT) AS pending_bytes FROM customer), m AS (SELECT sum(pending_bytes) AS total, CAST(floor(quantile_cont(pending_bytes, 0.5)) AS BIGINT) AS median FROM c)
       SELECT client_id, pending_bytes, median FROM c, m WHERE total >= 500000 AND pending_bytes > greatest(median, 9000)""",
-    "baseline_compare": """WITH b AS (SELECT l_suppkey, count(*) AS mean FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL), n AS (SELECT l_suppkey, count(*) AS now FROM lineitem WHERE l_linenumber > 3 AND l_suppkey > 3 GROUP BY ALL)
+    "baseline_compare": """WITH b AS (SELECT l_suppkey, count(*) AS mean FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL), n AS (SELECT l_suppkey, count(*) AS now FROM lineitem WHERE l_linenumber > 3 AND (l_suppkey * 31) % 17 > 0 GROUP BY ALL)
       SELECT l_suppkey, mean, CASE WHEN now IS NULL THEN 'MISSING' WHEN (now - mean) * 100.0 / mean > 10 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM b LEFT JOIN n USING (l_suppkey)""",
     "market_totals": "SELECT l_partkey AS security_id, CAST(sum(CAST(floor(l_extendedprice) AS BIGINT)) AS BIGINT) AS amount, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS volume, count(*) AS trades FROM lineitem GROUP BY ALL",
     "recent_events": "SELECT event_id, event_type, user_id FROM events ORDER BY event_id DESC LIMIT 50",
     "frame_stats": "SELECT role, count(*) AS frames, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM conversations GROUP BY ALL",
-    "fix_checksum": """WITH m AS (SELECT p_partkey, '35=W|55=' || p_name || '|48=' || CAST(p_partkey AS VARCHAR) AS t FROM part)
-      SELECT p_partkey, lpad(CAST(list_sum(list_transform(string_split(t, ''), lambda c: ascii(c))) % 256 AS VARCHAR), 3, '0') AS checksum FROM m""",
+    "fix_checksum": """WITH m AS (SELECT p_partkey, '35=W|55=é' || p_name || '|48=' || CAST(p_partkey AS VARCHAR) AS t FROM part)
+      SELECT p_partkey, lpad(CAST(list_sum(list_transform(range(strlen(t)), lambda i: CAST('0x' || substr(hex(encode(t)), 2 * i + 1, 2) AS INTEGER))) % 256 AS VARCHAR), 3, '0') AS checksum FROM m""",
     "scalar_functions": """SELECT p_partkey, CAST((p_partkey - 50) - ((((p_partkey - 50) % 7) + 7) % 7) AS BIGINT) AS bucket, p_partkey & 4 <> 0 AS flag, CAST(p_partkey AS DECIMAL(19, 0)) / 10000 AS price,
       CASE WHEN p_partkey % 2 = 0 THEN 2 WHEN p_partkey = 1 THEN 0 ELSE 4 END AS places, CASE p_partkey % 3 WHEN 0 THEN 'sellers' WHEN 1 THEN 'balanced' ELSE 'buyers' END AS side FROM part""",
 }

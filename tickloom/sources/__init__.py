@@ -56,3 +56,17 @@ def packets(spark: SparkSession, folder: str) -> DataFrame:
     """(channel, ts, size): documents as packets, a millisecond and a half apart in each block of a hundred."""
     docs = table(spark, folder, "documents")
     return docs.select(F.col("lang").alias("channel"), (F.col("doc_id") * 15 + F.floor(F.col("doc_id") / 100) * 4000).cast("bigint").alias("ts"), F.pmod("n_chars", F.lit(2000)).alias("size"))
+
+
+def feeds(spark: SparkSession, path: str) -> DataFrame:
+    """(channel, group, feed, address, port) of multicast configurations in JSON: {"channels": [{"id", "groups": [{"name", "feeds": [{"role", "address", "port"}]}]}]}. What has another shape gives nulls."""
+    feed = "struct<role:string,address:string,port:int>"
+    shape = f"channels array<struct<id:string,groups:array<struct<name:string,feeds:array<{feed}>>>>>"
+    channels = spark.read.schema(shape).json(path, multiLine=True).select(F.explode_outer("channels").alias("c"))
+    groups = channels.select(F.col("c.id").alias("channel"), F.explode_outer("c.groups").alias("g"))
+    return groups.select("channel", F.col("g.name").alias("group"), F.explode_outer("g.feeds").alias("f")).select("channel", "group", F.col("f.role").alias("feed"), "f.address", "f.port")
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """Rows (buckets, histograms) as CSV files with a header, for spreadsheets."""
+    rows.write.mode("overwrite").option("header", True).csv(path)

@@ -10,7 +10,7 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,7 +22,7 @@ LARGEST = 65_535
 SCHEMA, VERSION = 2, 16
 TEMPLATES = (0, 1, 2, 3, 5, 9, 10, 11, 12, 15, 16, 17, 19, 21, 22, 24, 25, 27, 28, 29, 30, 50, 51, 52, 53, 54, 55, 56, 57, 71)
 RECORDS = "file string, n long, ts_us long, size int, port int, payload binary, problem string"
-FRAMES = "frame int, template int, block_length int, schema int, version int, length int"
+FRAMES = "frame int, template int, block_length int, schema int, version int, length int, frame_problem string"
 
 
 def udp_payload(frame: bytes, link: int) -> tuple[int | None, bytes | None]:
@@ -104,7 +104,7 @@ def packet_headers(records: DataFrame, payload: str = "payload") -> DataFrame:
 
 
 def frames(records: DataFrame, payload: str = "payload", skip: int = 16) -> DataFrame:
-    """Messages of each packet, one row each: place, header numbers and length. A frame that is cut or too small ends its packet.
+    """Messages of each packet, one row each: place, header numbers and length. A frame that is cut or too small ends its packet, with a row that has a frame_problem (truncated, malformed) and no numbers.
 
     After skip bytes a packet holds frames: a 4-byte header (its length, itself included, comes first), then the message
     header (block length, template, schema, version).
@@ -112,39 +112,41 @@ def frames(records: DataFrame, payload: str = "payload", skip: int = 16) -> Data
 
     def walk(value: bytes | None) -> list[dict]:
         out, at = [], skip
-        while value is not None and at + 12 <= len(value):
-            length, _, block, template, schema, version = struct.unpack("<6H", value[at : at + 12])
+        while value is not None and at < len(value):
+            length, _, block, template, schema, version = struct.unpack("<6H", value[at : at + 12]) if at + 12 <= len(value) else (1 << 16,) * 6
             if length < 12 or at + length > len(value):
+                out.append({"frame": len(out), "frame_problem": "malformed" if length < 12 else "truncated"})
                 break
             out.append({"frame": len(out), "template": template, "block_length": block, "schema": schema, "version": version, "length": length - 12})
             at += length
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([(x.split()[0], pa.int32()) for x in FRAMES.split(", ")]))
+        kind = pa.list_(pa.struct([(x.split()[0], pa.string() if x.endswith("string") else pa.int32()) for x in FRAMES.split(", ")]))
         for batch in batches:
             values = pa.array([walk(v) for v in batch.column(payload).to_pylist()], kind)
             yield pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, "__frames"])
 
-    item = T.StructType([T.StructField(x.split()[0], T.IntegerType()) for x in FRAMES.split(", ")])
+    item = T.StructType.fromDDL(FRAMES)
     schema = T.StructType([*records.schema.fields, T.StructField("__frames", T.ArrayType(item))])
     found = records.mapInArrow(run, schema)
     return found.select(*records.columns, F.inline("__frames"))
 
 
 def reject_reason(messages: DataFrame) -> DataFrame:
-    """messages (as frames() gives them) with reject_reason: schema, version, block length, unknown template, or null."""
-    reason = F.when(F.col("schema") != SCHEMA, "schema").when(F.col("version") > VERSION, "version").when(F.col("block_length") > F.col("length"), "block length").when(~F.col("template").isin(*TEMPLATES), "unknown template")
+    """messages (as frames() gives them) with reject_reason: truncated, malformed, schema, version, block length, unknown template, or null."""
+    reason = F.when(F.col("frame_problem").isNotNull(), F.col("frame_problem")).when(F.col("schema") != SCHEMA, "schema").when(F.col("version") > VERSION, "version").when(F.col("block_length") > F.col("length"), "block length").when(~F.col("template").isin(*TEMPLATES), "unknown template")
     return messages.withColumn("reject_reason", reason)
 
 
-def merge_by_time(records: DataFrame, group: str) -> DataFrame:
-    """records with replay_us: each group's times moved so that all groups begin at the earliest time there is. Order by it, then file and n."""
-    start = F.min("ts_us").over(Window.partitionBy(group))
-    first = records.agg(F.min("ts_us").alias("__first"))
-    return records.withColumn("__start", start).join(F.broadcast(first)).withColumn("replay_us", F.col("ts_us") - F.col("__start") + F.col("__first")).drop("__start", "__first")  # first: one row
+def reject_counts(messages: DataFrame) -> DataFrame:
+    """How many messages are rejected for each reason, and how many are not (null)."""
+    return reject_reason(messages).groupBy("reject_reason").agg(F.count("*").alias("n"))
 
 
-def lose(records: DataFrame, percent: float, seed: int, *keys: str) -> DataFrame:
-    """A test's packet loss: drops about percent of the records, by a hash of the keys, so that reruns agree."""
-    return records.where(F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1_000_000)) >= int(percent * 10_000))
+def merge_by_time(records: DataFrame, group: str) -> DataFrame:
+    """records with replay_us: each group's times moved so that all groups begin at the earliest time there is. Order by it, then file and n."""
+    starts = records.groupBy(F.col(group).alias("__group")).agg(F.min("ts_us").alias("__start"))
+    starts = starts.join(F.broadcast(starts.agg(F.min("__start").alias("__first"))))  # one row
+    joined = records.join(starts, F.col(group).eqNullSafe(F.col("__group")))
+    return joined.withColumn("replay_us", F.col("ts_us") - F.col("__start") + F.col("__first")).drop("__group", "__start", "__first")
