@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tickloom.llm.suffixes import suffix_dedup
 
@@ -48,9 +49,11 @@ def fixture(seed, scale):
 @pytest.mark.parametrize(("seed", "length"), [(1, 400), (2, 40), (3, 7)])
 def test_like_brute_force(spark, seed, length):
     rows = fixture(seed, length)
-    docs = spark.createDataFrame([(i, t, "clash", 3) for i, t in rows], "doc_id long, text string, kept string, at long").repartition(5)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, [tuple(x) for x in r.removed], bytes(r.kept)) for r in suffix_dedup(docs, length).collect()}
-    assert got == brute(rows, length)
+    docs = spark.createDataFrame([(i, t, "clash", 3, "x", 4, 5) for i, t in rows], "doc_id long, text string, kept string, at long, key string, tag int, spans int").withColumn("__text", F.lit(1)).repartition(5)
+    found = suffix_dedup(docs, length, length * 5 // 8).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, [tuple(x) for x in r.removed], bytes(r.kept)) for r in found} == brute(rows, length)
+    assert {r.doc_id: r.n_noted for r in found} == {i: x[1] for i, x in brute(rows, length * 5 // 8).items()}
+    assert {(r.at, r.key, r.tag, r.spans, r["__text"], r.text) for r in found} == {(3, "x", 4, 5, 1, t) for _, t in rows}
 
 
 def test_empty_null_and_repeated(spark):

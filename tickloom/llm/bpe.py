@@ -6,8 +6,8 @@
 3. Ids go back to the chunks that asked for them and are joined to the texts' sequences, position by position.
 
 A chunk is named by a fingerprint of its distinct pre-tokens. The texts are read twice (for 2 and for 3), which is
-cheaper than to keep the sequences; if a source gave other rows the second time, the chunk would be missing and the job
-fails rather than mix ids up. Decoding joins each id to the token-byte table (the vocabulary, of fixed size) and joins
+cheaper than to keep the sequences. So the rows must come in the same partitions and order both times, which files and
+checkpoints do but shuffles don't: unless the caller says that its texts are settled, they are checkpointed first. Decoding joins each id to the token-byte table (the vocabulary, of fixed size) and joins
 the bytes in order.
 
 Null texts count as empty and have no ids. Rows may repeat a doc_id or have none; each input row gives one output row.
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.llm.common import settle
 from tickloom.llm.textkit import BYTE_VALUE, Rolling, mix, ranges, signed, slices, text_bytes
 
 #: The pre-token pattern that pretokens() finds. Fixed value.
@@ -37,6 +38,8 @@ WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0
 CHUNK, SLICE = 16 << 20, 2 << 20
 #: Ids of an output batch.
 OUT = 1 << 18
+#: Bytes of text for each part of the distinct words, and words whose ids a task keeps at a time (if a part has more, some are encoded again).
+PART, KEPT = 64 << 20, 1_000_000
 LETTER, NUMBER, OTHER, BLANK = range(4)
 
 
@@ -199,7 +202,7 @@ def encode_words(path: str):
     """mapInArrow over (part, chunk, words), sorted by part: each distinct pre-token of a part is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path)._encode_single_piece
+        encode = encoding(path).encode_ordinary  # a pre-token alone is one match of the pattern
         part, known = None, {}
         for batch in batches:
             values = []
@@ -214,7 +217,9 @@ def encode_words(path: str):
                     begin = end
                     have = known.get(word)
                     if have is None:
-                        have = known[word] = encode(word)
+                        if len(known) >= KEPT:
+                            known.clear()
+                        have = known[word] = encode(word.decode())
                     ids += have
                     counts.append(len(have))
                 values.append(pack(places, np.array(counts, np.int32), np.array(ids, np.int32)))
@@ -301,20 +306,27 @@ def token_bytes(path: str, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(at), pa.py_buffer(letters[ranges(begin[ids], sizes[ids])])])
 
 
-def encode(docs: DataFrame, path: str, parts: int | None = None, decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, parts: int | None = None, decoded: bool = False, settled: bool = False) -> DataFrame:
     """(doc_id, ids) of every row: the ids of its whole text by the ranks in path, without special tokens.
 
-    decoded: also that column, as decode() adds it, while the ids are at hand.
+    decoded: also that column, as decode() adds it, while the ids are at hand. settled: docs is read from files or a
+    checkpoint, with nothing but row-wise steps since, and so needs no checkpoint of its own.
 
-    parts: into how many the distinct pre-tokens are dealt; a part's are held in one task, one part at a time. As many
-    as shuffle partitions if not given.
+    parts: into how many the distinct pre-tokens are dealt; a part's are held in one task, one part at a time. If not
+    given one for PART bytes of text, and as many as shuffle partitions at least.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = texts.mapInArrow(distinct_words(parts), "part long, chunk long, words binary").repartition("part").sortWithinPartitions("part")
+    if not settled:
+        texts = settle(texts)
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if parts is None:
+        size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(least, -(-size // PART))
+    dealt = lambda frame, key: (frame.repartition(parts, key) if parts > least else frame.repartition(key))
+    words = dealt(texts.mapInArrow(distinct_words(parts), "part long, chunk long, words binary"), "part").sortWithinPartitions("part")
     shape = "chunk long, kind int, doc_id long, words long, value binary"
     both = words.mapInArrow(encode_words(path), shape).unionByName(texts.mapInArrow(sequences, shape))
-    return both.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(assemble(path if decoded else None), "doc_id long, ids array<int>" + ", decoded binary" * decoded)
+    return dealt(both, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(assemble(path if decoded else None), "doc_id long, ids array<int>" + ", decoded binary" * decoded)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

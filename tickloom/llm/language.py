@@ -3,7 +3,8 @@ longest known character n-grams, from LONGEST characters down to one.
 
 The model is fitted on a bounded sample of the labelled rows (SAMPLE rows, by hash of the doc_id; documented bound), whose
 words are counted by Spark; of each language it holds the WORDS most frequent words and the GRAMS most frequent n-grams of
-each length. It is so of bounded size and sent to the tasks whole. Every document is scored over its whole text.
+each length, each with the languages that have it. So its size is in proportion to the number of languages, and it is sent to
+the tasks whole. Every document is scored over its whole text.
 
 Texts that are null or have no letter get `und` and score 0. A model without languages gives `und` for all. Ties go to the
 language that is first by name. Rows may repeat a doc_id or have none; an empty table gives an empty result; other columns
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import settle
-from tickloom.llm.textkit import BYTE_VALUE, Rolling, Words, slices, text_bytes
+from tickloom.llm.textkit import BYTE_VALUE, Rolling, Words, ranges, row_of, slices, text_bytes
 
 SAMPLE, WORDS, GRAMS, LONGEST = 20_000, 20_000, 5_000, 4
 #: Frequency that an unseen word or n-gram counts as having, in the log.
@@ -46,23 +47,29 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> dict:
     sums = dict(counts.groupBy("lang").agg(F.sum("n")).collect())
     langs = sorted(sums)
     best = counts.where("n > 1").withColumn("rank", F.row_number().over(own.orderBy(F.desc("n"), "word"))).where(F.col("rank") <= WORDS)
-    words = {}
-    for r in best.select("lang", "word", "n").collect():
-        words.setdefault(r.word, np.full(len(langs), FLOOR))[langs.index(r.lang)] = np.log(r.n / sums[r.lang])
+    place = {lang: k for k, lang in enumerate(langs)}
+    words = gathered((r.word, place[r.lang], np.log(r.n / sums[r.lang])) for r in best.select("lang", "word", "n").toLocalIterator())
     edged = F.concat(F.lit("^"), "word", F.lit("$"))
     grams = []
     for size in range(1, LONGEST + 1):
         at = F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.length(edged) - size, F.lit(0))), lambda i: F.substring(edged, i + 1, F.lit(size)))).alias("gram")
         of = counts.select("lang", "n", at).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
         grams.append(of.withColumn("all", F.sum("n").over(own)).withColumn("rank", F.row_number().over(own.orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= GRAMS))
-    parts = {}
-    for size, of in enumerate(grams, 1):
-        part = parts[size] = {}
-        for r in of.select("lang", "gram", "n", "all").collect():
-            part.setdefault(r.gram, np.full(len(langs), FLOOR))[langs.index(r.lang)] = np.log(r.n / r["all"])
+    parts = {size: gathered((r.gram, place[r.lang], np.log(r.n / r["all"])) for r in of.select("lang", "gram", "n", "all").toLocalIterator()) for size, of in enumerate(grams, 1)}
     return {"langs": langs, "words": words, "grams": parts}
 
 
+#: Of a word or n-gram: the languages that have it, and by how much its log frequency there is above FLOOR.
+Entry = tuple[np.ndarray, np.ndarray]
+
+
+def gathered(rows) -> dict[str, Entry]:
+    found: dict[str, list] = {}
+    for name, lang, value in rows:
+        found.setdefault(name, []).append((lang, value - FLOOR))
+    return {name: (np.array([x for x, _ in own], np.int32), np.array([x for _, x in own], np.float32)) for name, own in found.items()}
+
+
 class Scorer:
     """Log frequencies of words in each language; those of words seen before in the task are kept, up to KEPT."""
 
@@ -74,7 +81,8 @@ class Scorer:
         self.langs, self.words, self.grams = model["langs"], model["words"], model["grams"]
         self.edge, self.known = regex.compile(EDGE), {}
 
-    def word(self, raw: bytes) -> np.ndarray | None:
+    def word(self, raw: bytes) -> Entry | None:
+        """None if the word has no letter."""
         if raw in self.known:
             return self.known[raw]
         word = self.edge.sub("", raw.decode("utf-8", "replace").lower())
@@ -88,20 +96,26 @@ class Scorer:
         self.known[raw] = found
         return found
 
-    def unseen(self, word: str) -> np.ndarray:
+    def unseen(self, word: str) -> Entry:
         """The mean over the word of the longest known n-gram at each place, at half weight: it says less than the word."""
-        total, n, at = np.zeros(len(self.langs)), 0, 0
+        langs, values, n, at = [], [], 0, 0
         while at < len(word):
             for size in range(min(LONGEST, len(word) - at), 0, -1):
                 found = self.grams[size].get(word[at : at + size])
                 if found is not None:
-                    total += found
+                    langs.append(found[0])
+                    values.append(found[1])
                     n += 1
                     at += max(1, size - 1)
                     break
             else:
                 at += 1
-        return total / (2 * n) if n else total
+        if not n:
+            return NOTHING
+        return np.concatenate(langs), np.concatenate(values) / np.float32(2 * n)
+
+
+NOTHING: Entry = (np.zeros(0, np.int32), np.zeros(0, np.float32))
 
 
 def score(model: dict):
@@ -110,25 +124,27 @@ def score(model: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         langs = np.array([*model["langs"], "und"])
+        many = len(langs) - 1
         for batch in slices(batches, limit=1 << 20):
             data, rows = text_bytes(batch.column(1))
             words = Words(data, rows)
             names = Rolling(BYTE_VALUE[data]).span(words.start, words.end)
             _, first, number = np.unique(names, return_index=True, return_inverse=True)
-            table = np.zeros((len(first), len(langs) - 1))
-            letter = np.zeros(len(first), bool)
             raw = data.tobytes()
-            for k, (a, b) in enumerate(zip(words.start[first].tolist(), words.end[first].tolist())):
-                found = scorer.word(raw[a:b])
-                if found is not None:
-                    table[k], letter[k] = found, True
-            at = words.rows
-            total = np.concatenate((np.zeros((1, table.shape[1])), np.cumsum(table[number], axis=0)))
+            found = [scorer.word(raw[a:b]) for a, b in zip(words.start[first].tolist(), words.end[first].tolist())]
+            letter = np.array([f is not None for f in found], bool)
+            found = [NOTHING if f is None else f for f in found]
+            size = np.array([len(f[0]) for f in found], np.int64)
+            # entries of all distinct words, one after another; each place of a word adds its entries to its row's sums
+            lang, value = (np.concatenate([f[k] for f in found]) if found else NOTHING[k] for k in range(2))
+            every = ranges((np.cumsum(size) - size)[number], size[number])
+            row = np.repeat(row_of(words.rows, np.arange(len(number))), size[number])
+            sums = np.bincount(row * many + lang[every], value[every], batch.num_rows * many).reshape(batch.num_rows, many) if many else np.zeros((batch.num_rows, 0))
             has = np.concatenate(([0], np.cumsum(letter[number])))
-            sums, n = total[at[1:]] - total[at[:-1]], has[at[1:]] - has[at[:-1]]
-            best, share = np.full(len(sums), len(langs) - 1), np.zeros(len(sums))
+            n = has[words.rows[1:]] - has[words.rows[:-1]]
+            best, share = np.full(batch.num_rows, many), np.zeros(batch.num_rows)
             some = n > 0
-            if some.any() and len(langs) > 1:
+            if some.any() and many:
                 best[some] = sums[some].argmax(axis=1)
                 # of the mean word, so that long texts don't all score 1
                 odds = np.exp((sums[some] - sums[some].max(axis=1, keepdims=True)) / np.sqrt(n[some])[:, None])

@@ -62,7 +62,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), decoded=True).withColumn("decoded", F.col("decoded").cast("string"))
+    """docs must be read from files or a checkpoint, as each stage's docs are."""
+    return encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), decoded=True, settled=True).withColumn("decoded", F.col("decoded").cast("string"))
 
 
 STAGES = [

@@ -1,7 +1,9 @@
-"""Suffix-array dedup over bytes: suffixes are ordered by their first `length` bytes only, by most-significant-digit passes.
+"""Suffix-array dedup over bytes: suffixes are told apart by their first `length` bytes only, in passes; a group leaves as soon
+as it has one member or is known to be equal throughout.
 
-The key of a suffix is its window of `length` bytes. Its digits are read in the order that tells most first, and a group
-leaves the sort as soon as it has one member or is known to be equal throughout:
+The key of a suffix is its window of `length` bytes. A radix sort that starts from the first bytes would shuffle a row for
+each suffix, hundreds of times what the passes here shuffle; so the first pass is no digit of the key but a grouping that
+neighbouring suffixes share:
 
 1. The smallest gram of GRAM bytes in the window (by fingerprint). Suffixes side by side share it, so one row stands for
    about (length - GRAM) / 2 of them. A gram that stands nowhere else ends there; a run of suffixes all of whose bytes
@@ -10,12 +12,12 @@ leaves the sort as soon as it has one member or is known to be equal throughout:
 3. The window itself, for each suffix that is left.
 
 Groups of equal keys after the last pass are exactly the repeated windows; keys are compared by two fingerprints (128
-bits), the digit's and that of all bytes. Passes carry fingerprints and positions only; the texts are shuffled
-once, and each later pass joins its open groups to that exchange.
+bits), the pass's and that of all bytes. Passes carry fingerprints and positions only; the texts are shuffled once, and
+each later pass joins its open groups to that exchange.
 
-Null texts are empty. Rows with a null doc_id take no part and keep their bytes. Rows with the same doc_id count as one
-place. An empty table gives an empty result. Columns of docs that have the name of a result
-column are replaced (names gives others); all others stay as they are.
+Null texts are empty. Rows with a null doc_id take no part and keep their bytes. Rows with the same doc_id and text count
+as one place. An empty table gives an empty result. Columns of docs that have the name of a result column are replaced
+(names gives others); all others stay as they are.
 """
 
 from __future__ import annotations
@@ -119,19 +121,21 @@ def repeats(texts: Texts, length: int) -> DataFrame:
     return gone
 
 
-RESULTS = ("kept", "n_bytes", "n_removed", "removed")
-TYPES = (T.BinaryType(), T.LongType(), T.LongType(), T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))
+RESULTS = ("kept", "n_bytes", "n_removed", "removed", "n_noted")
+TYPES = (T.BinaryType(), T.LongType(), T.LongType(), T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])), T.LongType())
 
 
-def cut(length: int, text: int, names: tuple[str, ...]):
+def cut(length: int, noted: int, text: int, names: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text, SLICE):
             data, rows = text_bytes(batch.column(text))
-            row, start, count, _ = spans_of(batch.column(batch.num_columns + SPANS))
+            row, start, count, only_noted = spans_of(batch.column(batch.num_columns + SPANS))
             start = start + rows[row]
-            gone = covered(len(data), start, start + count - 1 + length)
+            goes = only_noted == 0
+            gone = covered(len(data), start[goes], (start + count - 1 + length)[goes])
             total = np.concatenate(([0], np.cumsum(gone)))
             removed = total[rows[1:]] - total[rows[:-1]]
+            seen = np.concatenate(([0], np.cumsum(covered(len(data), start[~goes], (start + count - 1 + noted)[~goes]))))
             first, last = gone.copy(), gone.copy()
             first[1:] &= ~gone[:-1]
             last[:-1] &= ~gone[1:]
@@ -143,19 +147,23 @@ def cut(length: int, text: int, names: tuple[str, ...]):
             ends = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=batch.num_rows)))).astype(np.int32)
             kept = np.concatenate(([0], np.cumsum(np.diff(rows) - removed))).astype(np.int32)
             texts = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(kept), pa.py_buffer(data[~gone])])
-            results = [texts, pa.array(np.diff(rows)), pa.array(removed), pa.ListArray.from_arrays(pa.array(ends), runs)]
+            results = [texts, pa.array(np.diff(rows)), pa.array(removed), pa.ListArray.from_arrays(pa.array(ends), runs), pa.array(seen[rows[1:]] - seen[rows[:-1]])]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-4], *results], names=[*batch.schema.names[:-4], *names])
 
     return run
 
 
-def suffix_dedup(docs: DataFrame, length: int = 400, names: tuple[str, ...] = RESULTS) -> DataFrame:
-    """docs with kept (the bytes that stay), n_bytes, n_removed and removed (the maximal spans that went, in bytes).
+def suffix_dedup(docs: DataFrame, length: int = 400, noted: int = 0, names: tuple[str, ...] = RESULTS) -> DataFrame:
+    """docs with kept (the bytes that stay), n_bytes, n_removed, removed (the maximal spans that went, in bytes) and n_noted.
 
     A byte goes if a string of length bytes of its text covers it that also starts anywhere else, in any text, its own
-    included. Strings are judged on the input. Every occurrence goes, the first too.
+    included. Strings are judged on the input. Every occurrence goes, the first too. noted: a second, shorter length;
+    bytes that such strings cover are counted as n_noted, but stay (0: none are).
     """
     texts = Texts(docs.drop(*names))
-    joined = texts.with_places(repeats(texts, length), "left")
+    rows = repeats(texts, length).withColumn("at", F.lit(0))
+    if noted:
+        rows = rows.unionByName(repeats(texts, noted).withColumn("at", F.lit(1)))
+    joined = texts.with_places(rows, "left")
     schema = T.StructType([*texts.docs.schema.fields, *(T.StructField(n, t) for n, t in zip(names, TYPES))])
-    return joined.mapInArrow(cut(length, texts.text, names), schema)
+    return joined.mapInArrow(cut(length, noted, texts.text, names), schema)
