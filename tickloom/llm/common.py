@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Runs df once and keeps its rows in the folder of spark.checkpoint.dir, so that what follows neither repeats the work nor is lost with an executor.
 
-    The folder is the session's. On local masters, where one machine does it all, one beside the warehouse is set if there
-    is none; on a cluster that is an error, since executors could not read each other's folders.
+    The folder is the session's. On local masters, where one process does it all, a temporary one is set if there is none;
+    on a cluster that is an error, since executors could not read each other's folders.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir")
         if shared is None:
-            if not context.master.split("[")[0] == "local":
+            if context.master.split("[")[0] != "local":
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            shared = df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
+            shared = tempfile.mkdtemp(prefix="tickloom-checkpoint-")
         context.setCheckpointDir(shared)
     return df.checkpoint()
 

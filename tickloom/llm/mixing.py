@@ -5,7 +5,8 @@ its size; the excess goes to the others by weight, again and again until none is
 the table of sources, of which three numbers reach the driver.
 
 A source whose target is a whole number of repetitions and a part gets the whole ones for each document, and one more for
-the documents that come first in a seeded order until the part is filled. For that order documents are dealt by hash to
+the documents that come first in a seeded order while they fit into the part, and for the one that then comes closest to
+what is left of it. For that order documents are dealt by hash to
 buckets in each source (4,096, or more if there are more than 4 million documents; which doesn't change the order); sums of the buckets' sizes place each bucket, and documents are ordered only inside one.
 So neither the largest source nor any group is in one task.
 
@@ -59,7 +60,7 @@ def mix_sources(docs: DataFrame, weight=cyclic, epochs: int = 3, seed: str = "mi
     """
     docs = docs.drop(*names)
     size, source_size, target, copies, taken = names
-    key, order, bucket, before, start, whole, rest = fresh(docs.select("*", *(F.lit(0).alias(n) for n in names)), "key", "order", "bucket", "before", "start", "whole", "rest")
+    key, order, bucket, before, start, whole, rest, last = fresh(docs.select("*", *(F.lit(0).alias(n) for n in names)), "key", "order", "bucket", "before", "start", "whole", "rest", "last")
     named = F.coalesce(F.concat(F.lit("+"), F.col("source")), F.lit("-"))
     # rows with one doc_id, or none, are told apart by their texts, so that they don't share a bucket
     hashed = F.md5(F.concat_ws("/", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.md5(F.coalesce(F.col("text"), F.lit("")))))
@@ -78,10 +79,16 @@ def mix_sources(docs: DataFrame, weight=cyclic, epochs: int = 3, seed: str = "mi
     placed = buckets.withColumn("start", F.coalesce(F.sum("sum").over(earlier), F.lit(0))).join(filled.drop("source", "weight"), "key")
     placed = placed.select(F.col("key").alias(key), F.col("bucket").alias(bucket), F.col("start").alias(start), F.col("source_size").alias(source_size), F.col("target").alias(target), F.col("whole").alias(whole), F.col("rest").alias(rest))
 
-    joined = docs.join(placed, [key, bucket])
     inside = Window.partitionBy(key, bucket).orderBy(order, size).rowsBetween(Window.unboundedPreceding, -1)
-    joined = joined.withColumn(before, F.col(start) + F.coalesce(F.sum(size).over(inside), F.lit(0)))
-    more = F.col(before) + F.col(size) / 2 < F.col(rest)
+    reaches = F.col(start) + F.coalesce(F.sum(size).over(inside), F.lit(0)) + F.col(size)
+    # what is left of the part is filled by the one document that comes closest to it, if that is closer than none
+    light = docs.select(key, bucket, order, size).join(placed, [key, bucket]).withColumn(before, reaches)
+    left = light.groupBy(key).agg((F.max(rest) - F.coalesce(F.sum(F.when(F.col(before) <= F.col(rest), F.col(size))), F.lit(0))).alias("left"))
+    others = light.where(F.col(before) > F.col(rest)).join(left, key).where(f"`{size}` > 0 and abs(`{size}` - left) < left")
+    one = settle(others.groupBy(F.col(key).alias("key")).agg(F.min(F.struct(F.abs(F.col(size) - F.col("left")).alias("off"), F.col(order).alias("one"))).alias("m")).select("key", "m.one"))
+    joined = docs.join(placed.join(one.select(F.col("key").alias(key), F.col("one").alias(last)), key, "left"), [key, bucket])
+    joined = joined.withColumn(before, reaches)
+    more = (F.col(before) <= F.col(rest)) | F.coalesce(F.col(order) == F.col(last), F.lit(False))
     joined = joined.withColumn(copies, (F.col(whole) + F.when(more, 1).otherwise(0)).cast("int"))
     return joined.select(*given, size, source_size, target, copies, (F.col(size) * F.col(copies)).alias(taken))
 
@@ -106,11 +113,14 @@ WITH d AS (
 ), t AS (
   SELECT source, source_size, CASE WHEN above THEN CAST(cap AS DOUBLE) ELSE CAST(total - capped AS DOUBLE) * CAST(weight AS DOUBLE) / CAST(open AS DOUBLE) END AS target FROM c, l
 ), p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN CAST(floor(t.target / t.source_size) AS BIGINT) ELSE 0 END AS whole,
-         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  SELECT d.doc_id, d.size, h, d.source, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN CAST(floor(t.target / t.source_size) AS BIGINT) ELSE 0 END AS whole, target - CAST(whole * source_size AS DOUBLE) AS rest,
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS reaches
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), f AS (
+  SELECT *, rest - coalesce(sum(CASE WHEN CAST(reaches AS DOUBLE) <= rest THEN size END) OVER (PARTITION BY source), 0) AS gap FROM p
+), one AS (
+  SELECT source, arg_min(h, {'off': abs(size - gap), 'h': h}) AS best FROM f WHERE CAST(reaches AS DOUBLE) > rest AND size > 0 AND abs(size - gap) < gap GROUP BY source
 )
-SELECT doc_id, size, source_size, target,
-       CAST(size * (whole + CASE WHEN CAST(before AS DOUBLE) + CAST(size AS DOUBLE) / 2 < target - CAST(whole * source_size AS DOUBLE) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM p
+SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN CAST(reaches AS DOUBLE) <= rest OR h = best THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM f LEFT JOIN one ON f.source IS NOT DISTINCT FROM one.source
 """

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import settle
@@ -189,6 +189,15 @@ def valid(vectors: DataFrame) -> DataFrame:
     return rows.where(F.size("embedding") == (size.d if size else 0))
 
 
+def labels(spark: SparkSession, shards: int) -> DataFrame:
+    """(number, shard), a row for each shard: labels that repartition() deals to partitions of their own."""
+    label = F.col("id").cast("int")
+    tried = spark.range(64 * shards).select(label.alias("label"), F.pmod(F.hash(label), F.lit(shards)).alias("number"))
+    found = tried.groupBy("number").agg(F.min("label").alias("label"))
+    every = spark.range(shards).select(label.alias("number"))
+    return every.join(found, "number", "left").select("number", F.coalesce("label", -1 - F.col("number")).alias("shard"))
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, shard: int = SHARD) -> DataFrame:
     """(query_id, rank, vec_id, score): for each vector that is_query (of vec_id) picks, the k nearest others that are found."""
     rows = valid(vectors)
@@ -201,11 +210,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, shard: int = SHAR
 
     asked = rows.where(is_query)
     names = asked.join(nodes, "embedding").select("vec_id", F.element_at("ids", 1).alias("own"))
-    dealt = nodes.select(F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("query"), "ids", "embedding")
+    dealt = nodes.select(F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int").alias("number"), F.lit(0).alias("query"), "ids", "embedding")
     queries = nodes.join(asked.select("embedding").distinct(), "embedding", "left_semi")
-    queries = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("query"), F.slice("ids", 1, 1).alias("ids"), "embedding")
-    # twice as many partitions as shards, so that few tasks get two
-    both = dealt.unionByName(queries).repartition(2 * shards, "shard").sortWithinPartitions("shard", "query")
+    queries = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("number"), F.lit(1).alias("query"), F.slice("ids", 1, 1).alias("ids"), "embedding")
+    both = dealt.unionByName(queries).join(F.broadcast(labels(rows.sparkSession, shards)), "number").select("shard", "query", "ids", "embedding")
+    both = both.repartition(shards, "shard").sortWithinPartitions("shard", "query")
     found = both.mapInArrow(shard_search(k + 1), "own long, ids array<long>, score double")
 
     each = found.select("own", "score", F.explode("ids").alias("vec_id"))
