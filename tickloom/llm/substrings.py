@@ -111,7 +111,7 @@ def stretches(length: int):
             s = start[head]
             whole = Rolling(mix(names, 7), 1).span(s, s + n - 1 + length)
             whole = mix(whole + (at[head] - s).astype(np.uint64) * np.uint64(0x8EBC6AF09C88C6E3))
-            yield places(mark[head], whole, ids[row[head]], tags[row[head]], s - words.rows[row[head]], n, at[head] - s)
+            yield places(mark[head], whole, ids[row[head]], tags[row[head]], s - words.rows[row[head]], n, 0 * n)
 
     return run
 
