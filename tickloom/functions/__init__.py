@@ -107,3 +107,25 @@ def utc_stamp(micros: Column) -> Column:
     rest = F.pmod(micros, F.lit(86400000000))
     two = lambda unit, base: F.lpad(F.pmod(F.floor(rest / unit), F.lit(base)).cast("string"), 2, "0")
     return F.concat(F.date_format(day, "yyyyMMdd"), F.lit("-"), two(3600000000, 24), F.lit(":"), two(60000000, 60), F.lit(":"), two(1000000, 60), F.lit("."), F.lpad(F.pmod(F.floor(rest / 1000), F.lit(1000)).cast("string"), 3, "0"))
+
+
+#: Categories of instruments by the first letter of a classification code, and groups of equities by the second. Fixed values.
+CFI_CATEGORIES = {"E": "Equity", "D": "Debt", "R": "Right/Warrant", "O": "Option", "F": "Future", "M": "Others(Multileg)", "S": "Swap"}
+CFI_EQUITIES = {"S": "Common/Ordinary", "P": "Preferred", "C": "Convertible", "F": "Preference", "L": "Limited Partnership", "D": "Depositary Receipt", "Y": "Structured Instrument", "M": "Others"}
+#: Names of price limit types, and of sides of a leg. Fixed values.
+LIMIT_TYPES = {0: "Price Unit", 1: "Ticks", 2: "Percentage"}
+LEG_SIDES = {1: "Buy", 2: "Sell"}
+
+
+def label(value: Column, names: dict) -> Column:
+    """The name of a value, or the value itself as text; null for null."""
+    table = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+    return F.coalesce(table[value], value.cast("string"))
+
+
+def cfi_label(code: Column) -> Column:
+    """Category of a classification code, with the group if it is an equity: the code itself if the category is unknown, null if it has less than two letters."""
+    named = lambda names, letter: F.create_map(*(F.lit(x) for pair in names.items() for x in pair))[letter]
+    category, group = named(CFI_CATEGORIES, F.substring(code, 1, 1)), named(CFI_EQUITIES, F.substring(code, 2, 1))
+    whole = F.when(F.startswith(code, F.lit("E")) & group.isNotNull(), F.concat_ws(" / ", category, group)).otherwise(F.coalesce(category, code))
+    return F.when(F.length(code) >= 2, whole)

@@ -49,11 +49,15 @@ def missing_numbers(rows: DataFrame, bounds: DataFrame, key: str, number: str) -
     return step.select(key, F.explode(F.sequence(F.col(number) + 1, F.col("__next") - 1)).alias(number))
 
 
-def bootstrap_ready(rows: DataFrame, channel: str, key: str, total: str, order: str = "seq") -> DataFrame:
-    """(channel, ready): when the distinct keys seen reach the first total that was announced."""
-    first = rows.groupBy(channel).agg(F.min_by(total, order).alias("__total"))
+def bootstrap_ready(rows: DataFrame, channel: str, key: str, total: str, order: str = "seq", limit: int | None = None) -> DataFrame:
+    """(channel, ready): when the distinct keys seen reach the first total that was announced; with a limit, at the first row that is so much later than the channel's first, if that comes before."""
+    first = rows.groupBy(channel).agg(F.min_by(total, order).alias("__total"), F.min(order).alias("__first"))
     new = first_copies(rows, [channel, key], order).withColumn("__seen", F.row_number().over(Window.partitionBy(channel).orderBy(order)))
-    return new.join(first, channel).where(F.col("__seen") >= F.col("__total")).groupBy(channel).agg(F.min(order).alias("ready"))
+    full = new.join(first, channel).where(F.col("__seen") >= F.col("__total")).groupBy(channel).agg(F.min(order).alias("ready"))
+    if limit is None:
+        return full
+    stuck = rows.join(first, channel).where(F.col(order) - F.col("__first") >= limit).groupBy(channel).agg(F.min(order).alias("ready"))
+    return full.unionByName(stuck).groupBy(channel).agg(F.min("ready").alias("ready"))
 
 
 def after_bootstrap(rows: DataFrame, ready: DataFrame, channel: str, order: str = "seq") -> DataFrame:

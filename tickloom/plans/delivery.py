@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom import functions as fx
-from tickloom.operators import analytics, book, conflation, instruments, trades
+from tickloom.operators import analytics, book, conflation, instruments, sequence, trades
 from tickloom.plans.market import ALL_BARS, EV, LIVE, ORD, PKT, TRD, bars, bars_sql, busts, filled_sql, live, live_sql, levels, reported
 from tickloom.plans.reference import definitions
 from tickloom.sources import messages, order_events, packets, table
@@ -139,6 +139,20 @@ def texts(s, d):
     return table(s, d, "part").select("p_partkey", fx.csv_field(name).alias("field"), fx.utc_stamp(micros).alias("stamp"), fx.decoded(F.encode(F.concat(F.substring("p_name", 1, 6), F.lit("  ")), "UTF-8"), F.when(F.pmod("p_partkey", F.lit(4)) == 0, 99).otherwise(8)).alias("name"))
 
 
+def labels(s, d):
+    """Codes of two letters made from the keys of parts (some of one letter, some null)."""
+    key = F.col("p_partkey")
+    letter = lambda k: F.substring(F.lit("EDROFMSXPCLY"), F.pmod(k, F.lit(12)).cast("int") + 1, F.lit(1))
+    code = F.when(F.pmod(key, F.lit(13)) > 0, F.concat(letter(key), F.when(F.pmod(key, F.lit(17)) > 0, letter(F.floor(key / 12))).otherwise(F.lit(""))))
+    return table(s, d, "part").select("p_partkey", fx.cfi_label(code).alias("cfi"), fx.label(F.pmod(key, F.lit(4)).cast("int"), fx.LIMIT_TYPES).alias("limit_type"), fx.label(F.pmod(key, F.lit(3)).cast("int"), fx.LEG_SIDES).alias("leg_side"))
+
+
+def stuck(s, d):
+    """Channels of kinds that are ready at 10,000 securities, which none reaches, or after 300 messages."""
+    rows = messages(s, d).select("seq", F.col("kind").alias("channel"), "security_id", F.lit(10_000).alias("total"))
+    return sequence.bootstrap_ready(rows, "channel", "security_id", "total", limit=300)
+
+
 def watched(s, d, **columns):
     return instruments.changes(messages(s, d).select("seq", "security_id", *(v.alias(k) for k, v in columns.items())), "security_id", list(columns), "seq")
 
@@ -179,6 +193,8 @@ QUERIES = {
     "fix_encode": encoded,
     "fix_decode": lambda s, d: encoded(s, d).select("p_partkey", fx.intact(F.col("message")).alias("intact"), F.explode(fx.tag_values(F.col("message"))).alias("f")).select("p_partkey", "intact", "f.tag", "f.value"),
     "text_functions": texts,
+    "labels": labels,
+    "bootstrap_stuck": stuck,
 }
 
 
@@ -262,4 +278,10 @@ ORACLE_SQL = {
     "fix_decode": f"""WITH {MESSAGES}, f AS (SELECT p_partkey, unnest(string_split(message, chr(1))) AS f FROM msg) SELECT p_partkey, TRUE AS intact, CAST(regexp_extract(f, '^([0-9]+)=', 1) AS INTEGER) AS tag, regexp_replace(f, '^[0-9]+=', '') AS value FROM f WHERE f <> ''""",
     "text_functions": """WITH t AS (SELECT *, p_name || CASE WHEN p_partkey % 3 = 0 THEN ', "é"' ELSE '' END AS n, make_timestamp(CAST(p_partkey * 86399123457 - 5000000000000 AS BIGINT)) AS ts FROM part)
       SELECT p_partkey, CASE WHEN regexp_matches(n, '[",\r\n]') THEN '"' || replace(n, '"', '""') || '"' ELSE n END AS field, strftime(ts, '%Y%m%d-%H:%M:%S.%g') AS stamp, CASE WHEN p_partkey % 4 > 0 THEN rtrim(substr(p_name, 1, 6)) END AS name FROM t""",
+    "labels": """WITH k AS (SELECT p_partkey, CASE WHEN p_partkey % 13 > 0 THEN substr('EDROFMSXPCLY', CAST(p_partkey % 12 AS INTEGER) + 1, 1) || CASE WHEN p_partkey % 17 > 0 THEN substr('EDROFMSXPCLY', CAST((p_partkey // 12) % 12 AS INTEGER) + 1, 1) ELSE '' END END AS c FROM part),
+      n AS (SELECT *, CASE left(c, 1) WHEN 'E' THEN 'Equity' WHEN 'D' THEN 'Debt' WHEN 'R' THEN 'Right/Warrant' WHEN 'O' THEN 'Option' WHEN 'F' THEN 'Future' WHEN 'M' THEN 'Others(Multileg)' WHEN 'S' THEN 'Swap' END AS cat,
+        CASE substr(c, 2, 1) WHEN 'S' THEN 'Common/Ordinary' WHEN 'P' THEN 'Preferred' WHEN 'C' THEN 'Convertible' WHEN 'F' THEN 'Preference' WHEN 'L' THEN 'Limited Partnership' WHEN 'D' THEN 'Depositary Receipt' WHEN 'Y' THEN 'Structured Instrument' WHEN 'M' THEN 'Others' END AS grp FROM k)
+      SELECT p_partkey, CASE WHEN length(c) >= 2 THEN CASE WHEN cat = 'Equity' AND grp IS NOT NULL THEN 'Equity / ' || grp ELSE coalesce(cat, c) END END AS cfi,
+        CASE p_partkey % 4 WHEN 0 THEN 'Price Unit' WHEN 1 THEN 'Ticks' WHEN 2 THEN 'Percentage' ELSE '3' END AS limit_type, CASE p_partkey % 3 WHEN 1 THEN 'Buy' WHEN 2 THEN 'Sell' ELSE '0' END AS leg_side FROM n""",
+    "bootstrap_stuck": f"WITH {EV}, f AS (SELECT kind, min(seq) AS f FROM ev GROUP BY ALL) SELECT kind AS channel, min(seq) AS ready FROM ev JOIN f USING (kind) WHERE seq - f >= 300 GROUP BY ALL",
 }
