@@ -79,13 +79,17 @@ def quality_rules(docs: DataFrame, share: float = 0.03, least: int = 5, remain:
     """docs with the base measures, base_failed, n_left (words without boilerplate), kept_text (text without it) and kept, under these or other names."""
     docs = docs.drop(*names)
     n_words, base_failed, (n_left, kept_text, kept) = names[0], names[5], names[6:]
-    id_, bad = fresh(docs.select("*", *(F.lit(0).alias(n) for n in names)), "id", "bad")
+    id_, bad, counts = fresh(docs.select("*", *(F.lit(0).alias(n) for n in names)), "id", "bad", "counts")
     found = boilerplate(docs, share, least).select(F.col("id").alias(id_), F.col("bad").alias(bad))
     measured = measures(docs, names=names)
-    joined = measured.join(found, measured["doc_id"] == found[id_], "left")
+    # hashes and words of the lines go through the join, so that texts need not where nobody asks for kept_text
+    lines = F.filter(F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), normalised), lambda x: x != "")
+    sized = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.translate(x, " ", "")) + 1).alias("n")))
+    joined = measured.withColumn(counts, sized).join(found, measured["doc_id"] == found[id_], "left")
     stays = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col(bad), F.xxhash64(normalised(x))))
     joined = joined.withColumn(kept_text, F.when(F.col(bad).isNull(), F.col("text")).otherwise(F.array_join(stays, "\n")))
-    joined = joined.withColumn(n_left, F.when(F.col(bad).isNull() | F.col("text").isNull(), F.col(n_words)).otherwise(F.size(words_of(F.col(kept_text))).cast("long")))
+    gone = F.aggregate(F.filter(counts, lambda x: F.array_contains(F.col(bad), x["h"])), F.lit(0), lambda total, x: total + x["n"])
+    joined = joined.withColumn(n_left, F.col(n_words) - F.coalesce(gone, F.lit(0)).cast("long"))
     depleted = F.col(n_left) < remain * F.col(n_words)
     return joined.select(*measured.columns, n_left, kept_text, (~F.col(base_failed) & ~depleted).alias(kept))
 

@@ -1,14 +1,14 @@
-"""Suffix-array dedup over bytes: suffixes are told apart by their first `length` bytes only, in passes; a group leaves as soon
-as it has one member or is known to be equal throughout.
+"""Suffix-array dedup over bytes: a sparse, depth-limited radix sort of suffixes.
 
-The key of a suffix is its window of `length` bytes. A radix sort that starts from the first bytes would shuffle a row for
-each suffix, hundreds of times what the passes here shuffle; so the first pass is no digit of the key but a grouping that
-neighbouring suffixes share:
+The key of a suffix is its window of `length` bytes. A sort of all suffixes would shuffle a row for each, hundreds of times
+what this one does; so suffixes are sorted by way of anchors that neighbours share, and a group leaves as soon as it has
+one member or is known to be equal throughout:
 
-1. The smallest gram of GRAM bytes in the window (by fingerprint). Suffixes side by side share it, so one row stands for
-   about (length - GRAM) / 2 of them. A gram that stands nowhere else ends there; a run of suffixes all of whose bytes
-   stand elsewhere too is settled as a whole.
-2. Within the rest, the bytes that CELL neighbouring suffixes have in common, cells being counted from that gram.
+1. A window's anchor is the smallest gram of GRAM bytes in it (by fingerprint); equal windows have it at the same offset.
+   The first digit is that of the suffix which starts at the anchor: its first GRAM bytes. Windows side by side share their
+   anchor, so one row stands for about (length - GRAM) / 2 of them. An anchor's digit that stands nowhere else ends there;
+   a run of windows all of whose bytes stand elsewhere too is settled as a whole.
+2. Within the rest, the bytes around the anchor that CELL neighbouring windows have in common, cells being counted from it.
 3. The window itself, for each suffix that is left.
 
 Groups of equal keys after the last pass are exactly the repeated windows; keys are compared by two fingerprints (128
