@@ -62,3 +62,17 @@ def test_empty_null_and_repeated(spark):
     text = " ".join(map(str, range(300)))
     got = suffix_dedup(spark.createDataFrame([(1, text), (1, text), (None, text)], schema)).collect()
     assert [r.n_removed for r in got] == [0, 0, 0]
+
+
+def test_one_long_text_in_pieces(spark, monkeypatch):
+    """A text of many slices is taken piece by piece, with the same result."""
+    import tickloom.llm.suffixes as module
+
+    monkeypatch.setattr(module, "SLICE", 500)
+    r = random.Random(9)
+    passage = "".join(r.choice("abcd ") for _ in range(700))
+    long = "".join(r.choice("abcd ") for _ in range(3000)) + passage + "".join(r.choice("abcd ") for _ in range(900)) + passage[:450] + "ab" * 600
+    rows = [(1, long), (2, "x" + passage[20:]), (3, "".join(r.choice("abcd ") for _ in range(300))), (4, long[2000:5200])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {x.doc_id: (x.n_bytes, x.n_removed, [tuple(y) for y in x.removed], bytes(x.kept)) for x in module.suffix_dedup(docs, 60).collect()}
+    assert got == brute(rows, 60)

@@ -57,29 +57,37 @@ def first_digit(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=SLICE):
             ids, tags = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(2).to_numpy()
-            data, rows = text_bytes(batch.column(1))
-            count = np.maximum(np.diff(rows) - length + 1, 0)
-            if not count.any():
-                continue
-            values = BYTE_VALUE[data]
-            rolling = Rolling(values)
-            begin = np.arange(len(data) - gram + 1)
-            grams = rolling.span(begin, begin + gram)
-            start = ranges(rows[:-1], count)
-            at = smallest(grams, length - gram + 1)[start]
-            new = np.ones(len(start), bool)
-            new[1:] = (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)
-            head = np.flatnonzero(new)
-            n = np.diff(np.append(head, len(start)))
-            s, at = start[head], at[head]
-            row = row_of(rows, s)
-            yield places(grams[at], stretch(values, s, s + n - 1 + length, at), ids[row], tags[row], s - rows[row], n, at - s, False)
+            whole, rows = text_bytes(batch.column(1))
+            if len(rows) > 2:
+                cuts = [(0, len(whole))]
+            else:  # one text: a piece for each SLICE of windows
+                cuts = [(k, min(k + SLICE + length - 1, len(whole))) for k in range(0, max(1, len(whole) - length + 1), SLICE)]
+            for low, high in cuts:
+                yield from digits(whole[low:high], rows if len(rows) > 2 else np.array([0, high - low]), low, ids, tags)
+
+    def digits(data: np.ndarray, rows: np.ndarray, shift: int, ids: np.ndarray, tags: np.ndarray) -> Iterator[pa.RecordBatch]:
+        count = np.maximum(np.diff(rows) - length + 1, 0)
+        if not count.any():
+            return
+        values = BYTE_VALUE[data]
+        rolling = Rolling(values)
+        begin = np.arange(len(data) - gram + 1)
+        grams = rolling.span(begin, begin + gram)
+        start = ranges(rows[:-1], count)
+        at = smallest(grams, length - gram + 1)[start]
+        new = np.ones(len(start), bool)
+        new[1:] = (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)
+        head = np.flatnonzero(new)
+        n = np.diff(np.append(head, len(start)))
+        s, at = start[head], at[head]
+        row = row_of(rows, s)
+        yield places(grams[at], stretch(values, s, s + n - 1 + length, at), ids[row], tags[row], s - rows[row] + shift, n, at - s, False)
 
     return run
 
 
 def stretch(values: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Of all bytes from start to end, and where the gram is in them."""
+    """Of all bytes from start to end, and where the anchor is in them."""
     return mix(Rolling(values, 1).span(start, end) + (at - start + (1 << 20)).astype(np.uint64) * np.uint64(0x8EBC6AF09C88C6E3))
 
 
@@ -91,20 +99,25 @@ def next_digit(length: int, cell: int, text: int):
             ids, tags = batch.column(batch.num_columns + KEY).to_numpy(), batch.column(batch.num_columns + TAG).to_numpy()
             data, rows = text_bytes(batch.column(text))
             row, first, count, at = spans_of(batch.column(batch.num_columns + SPANS))
-            first = first + rows[row]
-            at = at + first
-            low = (first - at) // cell
-            pieces = (first + count - 1 - at) // cell - low + 1
-            k = np.repeat(low, pieces) + ranges(0 * pieces, pieces)
-            row, first, count, at = (np.repeat(x, pieces) for x in (row, first, count, at))
-            a = np.maximum(first, at + k * cell)
-            b = np.minimum(first + count, at + (k + 1) * cell)
-            if not len(a):
-                continue
-            values = BYTE_VALUE[data]
-            common = Rolling(values).span(at + (k + 1) * cell - 1, at + k * cell + length)
-            digit = mix(common + k.astype(np.uint64))
-            yield places(digit, stretch(values, a, b - 1 + length, at), ids[row], tags[row], a - rows[row], b - a, at - a, False)
+            part = first // SLICE if len(rows) == 2 else 0 * first  # of one text only a piece at a time
+            for k in np.unique(part):
+                own = part == k
+                begin = first[own] + rows[row[own]]
+                low, high = int(begin.min()), int((begin + count[own] - 1 + length).max())
+                yield from digits(data[low:high], rows[row[own]] - low, begin - low, count[own], at[own], ids[row[own]], tags[row[own]])
+
+    def digits(data: np.ndarray, origin: np.ndarray, first: np.ndarray, count: np.ndarray, at: np.ndarray, ids: np.ndarray, tags: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at = at + first
+        low = (first - at) // cell
+        pieces = (first + count - 1 - at) // cell - low + 1
+        k = np.repeat(low, pieces) + ranges(0 * pieces, pieces)
+        origin, ids, tags, first, count, at = (np.repeat(x, pieces) for x in (origin, ids, tags, first, count, at))
+        a = np.maximum(first, at + k * cell)
+        b = np.minimum(first + count, at + (k + 1) * cell)
+        values = BYTE_VALUE[data]
+        common = Rolling(values).span(at + (k + 1) * cell - 1, at + k * cell + length)
+        digit = mix(common + k.astype(np.uint64))
+        yield places(digit, stretch(values, a, b - 1 + length, at), ids, tags, a - origin, b - a, at - a, False)
 
     return run
 
