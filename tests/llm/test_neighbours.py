@@ -4,7 +4,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.llm.neighbours import nearest
+from tickloom.llm.neighbours import labels, nearest
 
 
 def brute(rows, k, every):
@@ -74,3 +74,10 @@ def test_few_and_none(spark):
     assert nearest(spark.createDataFrame([], shape), F.col("vec_id") % 20 == 0).count() == 0
     got = nearest(spark.createDataFrame([(20, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])], shape), F.col("vec_id") % 20 == 0).orderBy("rank").collect()
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in got] == [(20, 1, 1, 0.5), (20, 2, 2, 0.5)]
+
+
+def test_a_partition_for_each_shard(spark):
+    for shards in (1, 7, 40):
+        found = labels(spark, shards)
+        assert sorted(r.number for r in found.collect()) == list(range(shards))
+        assert len({r.p for r in found.repartition(shards, "shard").select(F.spark_partition_id().alias("p")).collect()}) == shards

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from test_substrings import brute
 
 from tickloom.llm import bpe
-from tickloom.llm.pipeline import drop_near_copies, drop_repeated_passages, mix
+from tickloom.llm.pipeline import drop_near_copies
 from tickloom.llm.substrings import substring_dedup
 from tickloom.llm.suffixes import suffix_dedup
 
@@ -81,16 +81,40 @@ def test_stages_one_by_one(spark, tmp_path):
     assert sorted((r.doc_id, tuple(r.ids)) for r in again.collect()) == want
 
 
-def test_stages_with_odd_rows(spark):
+OWN = ("size", "source_size", "target", "copies", "taken", "toxicity", "score", "n_words", "n_removed", "kept_text", "kept", "key", "tag", "spans", "none", "id", "hash", "drop", "order", "bucket", "before", "start", "rest", "__text")
+
+
+def test_stages_with_odd_rows(spark, tmp_path):
+    """Each stage keeps the columns, with their values, whatever their names are, and keeps the rows that it should."""
     shape = "doc_id long, text string, lang string, source string, n_chars long"
     rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "one two", "en", "a", 7), (3, "one two", "en", "a", 7), (None, "one two", None, "b", 7), (4, "w " * 5000, "en", None, 10000)]
-    for stage in (drop_near_copies, drop_repeated_passages, mix):
+    spark.createDataFrame([(1, 1, 0), (2, 1, None), (3, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    want = {
+        "toxicity": [1, 2, 3, 3, None, 4],  # a model without labels of both kinds finds nothing
+        "ngram_jaccard_join": [1, 2, 3, None, 4],
+        "substring_dedup": [1, 2, 3, 3, None, 4],
+    }
+    for name, stage in corpus_pipeline.STAGES:
         for data in (rows, []):
-            found = stage(spark, spark.createDataFrame(data, shape), "")
-            assert found.columns == [c.split()[0] for c in shape.split(", ")]
-            assert found.count() >= 0
-    assert {r.doc_id for r in drop_near_copies(spark, spark.createDataFrame(rows, shape), "").collect()} == {1, 2, 3, 4, None}
-    assert {r.doc_id for r in mix(spark, spark.createDataFrame(rows, shape).where(F.col("doc_id") == 4), "").collect()} == {4}
+            docs = spark.createDataFrame(data, shape).select("*", *(F.lit(k).alias(c) for k, c in enumerate(OWN))).repartition(3)
+            if name == "byte_bpe":
+                docs.write.parquet(str(tmp_path / f"docs{len(data)}"))
+                docs = spark.read.parquet(str(tmp_path / f"docs{len(data)}"))
+            found = stage(spark, docs, str(tmp_path))
+            got = found.collect()
+            if name == "byte_bpe":
+                assert sorted((r.doc_id or 0, r.decoded) for r in got) == sorted((i or 0, t or "") for i, t, *_ in data)
+                continue
+            assert found.columns == docs.columns
+            assert all(tuple(r[c] for c in OWN) == tuple(range(len(OWN))) for r in got)
+            texts = {(i, t) for i, t, *_ in data}
+            assert all((r.doc_id, r.text) in texts or r.doc_id == 4 and r.n_chars == len(r.text) < 10000 for r in got)
+            if not data:
+                assert got == []
+            elif name in want:
+                assert sorted(r.doc_id or 0 for r in got) == sorted(i or 0 for i in want[name])
+            else:  # mixing: each source's words, repeats counted, come near to its target, and documents without words may go
+                assert {r.doc_id for r in got} <= {1, 2, 3, 4, None} and 4 in {r.doc_id for r in got}
 
 
 def test_one_id_with_different_texts(spark):
