@@ -8,7 +8,8 @@ one member or is known to be equal throughout:
    The first digit is that of the suffix which starts at the anchor: its first GRAM bytes. Windows side by side share their
    anchor, so one row stands for about (length - GRAM) / 2 of them. An anchor's digit that stands nowhere else ends there;
    a run of windows all of whose bytes stand elsewhere too is settled as a whole.
-2. Within the rest, the bytes around the anchor that CELL neighbouring windows have in common, cells being counted from it.
+2. Within the rest, the bytes around the anchor that 24 neighbouring windows have in common, cells being counted from it;
+   then the same for 5 of them.
 3. The window itself, for each suffix that is left.
 
 Groups of equal keys after the last pass are exactly the repeated windows; keys are compared by two fingerprints (128
@@ -33,7 +34,8 @@ from pyspark.sql import types as T
 from tickloom.llm.places import KEY, PLACE, SPANS, TAG, Texts, judge, places, spans_of
 from tickloom.llm.textkit import BYTE_VALUE, Rolling, covered, mix, ranges, row_of, slices, text_bytes
 
-GRAM, CELL = 32, 24
+#: Bytes of an anchor, and how many neighbouring windows are one in the passes after the first.
+GRAM, CELLS = 32, (24, 5)
 #: Bytes of text of a slice; a dozen 8-byte values are held for each byte.
 SLICE = 1 << 21
 
@@ -127,7 +129,7 @@ def repeats(texts: Texts, length: int) -> DataFrame:
     gram = min(GRAM, max(1, length // 2))
     found = judge(texts.plain().mapInArrow(first_digit(length, gram), PLACE), False)
     gone = found.where("gone")
-    for cell in (min(CELL, max(1, (length - gram) // 4)), 1):
+    for cell in (*(min(c, max(1, (length - gram) // 4)) for c in CELLS), 1):
         rows = texts.with_places(found.where("open"), "inner").mapInArrow(next_digit(length, cell, texts.text), PLACE)
         found = judge(rows, False)
         gone = gone.unionByName(found.where("gone"))
@@ -142,9 +144,9 @@ def cut(length: int, noted: int, text: int, names: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text, SLICE):
             data, rows = text_bytes(batch.column(text))
-            row, start, count, only_noted = spans_of(batch.column(batch.num_columns + SPANS))
+            row, start, count, _ = spans_of(batch.column(batch.num_columns + SPANS))
             start = start + rows[row]
-            goes = only_noted == 0
+            goes, count = count > 0, np.abs(count)
             gone = covered(len(data), start[goes], (start + count - 1 + length)[goes])
             total = np.concatenate(([0], np.cumsum(gone)))
             removed = total[rows[1:]] - total[rows[:-1]]
@@ -174,9 +176,9 @@ def suffix_dedup(docs: DataFrame, length: int = 400, noted: int = 0, names: tupl
     bytes that such strings cover are counted as n_noted, but stay (0: none are).
     """
     texts = Texts(docs.drop(*names))
-    rows = repeats(texts, length).withColumn("at", F.lit(0))
-    if noted:
-        rows = rows.unionByName(repeats(texts, noted).withColumn("at", F.lit(1)))
+    rows = repeats(texts, length)
+    if noted:  # told apart by the sign of windows; all columns of both stay in use, so that their exchanges are used again
+        rows = rows.unionByName(repeats(texts, noted).withColumn("windows", -F.col("windows")))
     joined = texts.with_places(rows, "left")
     schema = T.StructType([*texts.docs.schema.fields, *(T.StructField(n, t) for n, t in zip(names, TYPES))])
     return joined.mapInArrow(cut(length, noted, texts.text, names), schema)
