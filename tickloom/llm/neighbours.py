@@ -214,7 +214,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, shard: int = SHAR
     queries = nodes.join(asked.select("embedding").distinct(), "embedding", "left_semi")
     queries = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("number"), F.lit(1).alias("query"), F.slice("ids", 1, 1).alias("ids"), "embedding")
     both = dealt.unionByName(queries).join(F.broadcast(labels(rows.sparkSession, shards)), "number").select("shard", "query", "ids", "embedding")
-    both = both.repartition(shards, "shard").sortWithinPartitions("shard", "query")
+    both = both.repartition(shards, "shard").sortWithinPartitions("shard", "query", "ids")  # so that reruns build the same graphs
     found = both.mapInArrow(shard_search(k + 1), "own long, ids array<long>, score double")
 
     each = found.select("own", "score", F.explode("ids").alias("vec_id"))

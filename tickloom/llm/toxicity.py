@@ -321,7 +321,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     rows = settle(docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(labels), "doc_id"))
     # terms are learned on one half and weighed on the other, where they aren't known by heart
     # copies of a text count once
-    rows = rows.dropDuplicates(["text", "toxic"])
+    rows = rows.groupBy("text", "toxic").agg(F.min("doc_id").alias("doc_id"))
     half = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(2)), F.lit(2)) == 0
     lexicon = learn_lexicon(rows.where(half))
     found = rows.where(~half).select("toxic", "text").mapInArrow(features(lexicon), "toxic int, " + ", ".join(f"f{k} double" for k in range(FEATURES)))
