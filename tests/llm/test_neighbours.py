@@ -37,8 +37,7 @@ def test_recall_against_brute_force(spark, shard):
     assert all(a[1] > b[1] or (a[1] == b[1] and a[0] < b[0]) for v in got.values() for a, b in zip(v, v[1:]))
 
 
-@pytest.mark.parametrize("lengths", ["equal", "gaussian", "spread"])
-@pytest.mark.parametrize("shard", [32_768, 3000])
+@pytest.mark.parametrize(("lengths", "shard"), [("equal", 32_768), ("gaussian", 32_768), ("spread", 32_768), ("spread", 3000)])
 def test_recall_of_the_query_at_64_components(spark, tmp_path, lengths, shard):
     """The registered query's search (every id divisible by 20), double vectors, one shard for each core or three."""
     r = np.random.default_rng(5)
