@@ -111,7 +111,7 @@ def test_detach_and_rejoin(spark):
 def test_groups_lookup_and_versions(spark):
     rows = spark.createDataFrame([(1, [(0, "x"), (3, "y")]), (2, [])], "id long, legs array<struct<number:int,name:string>>")
     assert sorted(map(tuple, instruments.members_of(rows, "id", "legs", "number").collect())) == [(1, 3, "y"), (2, None, None)]
-    assert instruments.lookup(spark.createDataFrame([("PETR4",)], "symbol string"), "symbol", " petr4 ").count() == 1
+    assert instruments.lookup(spark.createDataFrame([("ABCD4",)], "symbol string"), "symbol", " abcd4 ").count() == 1
     moves = spark.createDataFrame([(1, 1, None, 1), (2, 1, None, 1), (3, 1, 5, 1), (4, 1, 5, 2)], "seq long, k long, a int, b int")
     got = instruments.versions(moves, "k", {"one": ["a"], "two": ["b"]}, "seq").orderBy("seq").collect()
     assert [(r.one, r.two, r.any_version) for r in got] == [(1, 1, 1), (1, 1, 1), (2, 1, 2), (2, 2, 3)]
@@ -133,14 +133,14 @@ def test_fragments_join_again(spark):
 
 
 def test_tag_value(spark):
-    rows = spark.createDataFrame([("PETR4", 7, None), ("é=1", None, "x")], "symbol string, id int, text string")
+    rows = spark.createDataFrame([("ABCD4", 7, None), ("é=1", None, "x")], "symbol string, id int, text string")
     found = rows.select(fx.tag_value("W", {55: F.col("symbol"), 48: F.col("id"), 58: F.col("text")}).alias("m")).select("m", fx.intact(F.col("m")).alias("ok"), fx.tag_values(F.col("m")).alias("f")).collect()
-    for row, fields in zip(found, [[(55, "PETR4"), (48, "7")], [(55, "é=1"), (58, "x")]]):
+    for row, fields in zip(found, [[(55, "ABCD4"), (48, "7")], [(55, "é=1"), (58, "x")]]):
         body = "".join(f"{k}={v}\x01" for k, v in [(35, "W"), *fields])
         head = f"8=FIX.4.4\x019={len(body.encode())}\x01{body}"
         assert row.m == f"{head}10={sum(head.encode()) % 256:03d}\x01" and row.ok
         assert [(x.tag, x.value) for x in row.f][3:-1] == fields
-    bad = spark.createDataFrame([(found[0].m.replace("PETR4", "PETR3"),), ("x",), (None,)], "m string")
+    bad = spark.createDataFrame([(found[0].m.replace("ABCD4", "ABCD3"),), ("x",), (None,)], "m string")
     assert [r.ok for r in bad.select(fx.intact(F.col("m")).alias("ok")).collect()] == [False] * 3
 
 
@@ -158,9 +158,9 @@ def test_last_price_and_wide_bar(spark):
 
 
 def test_configuration_and_csv(spark, tmp_path):
-    config = {"channels": [{"id": "84", "groups": [{"name": "EQT", "feeds": [{"role": "A", "address": "224.0.0.1", "port": 30001}, {"role": "B", "address": "224.0.0.2"}]}]}, {"id": "85"}]}
+    config = {"channels": [{"id": "84", "groups": [{"name": "main", "feeds": [{"role": "A", "address": "224.0.0.1", "port": 30001}, {"role": "B", "address": "224.0.0.2"}]}]}, {"id": "85"}]}
     (tmp_path / "c.json").write_text(json.dumps(config, indent=1))
     found = feeds(spark, str(tmp_path / "c.json"))
-    assert {tuple(r) for r in found.collect()} == {("84", "EQT", "A", "224.0.0.1", 30001), ("84", "EQT", "B", "224.0.0.2", None), ("85", None, None, None, None)}
+    assert {tuple(r) for r in found.collect()} == {("84", "main", "A", "224.0.0.1", 30001), ("84", "main", "B", "224.0.0.2", None), ("85", None, None, None, None)}
     write_csv(found, str(tmp_path / "out"))
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 3
