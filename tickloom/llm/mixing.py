@@ -88,7 +88,7 @@ def mix_sources(docs: DataFrame, weight=cyclic, epochs: int = 3, seed: str = "mi
     one = settle(others.groupBy(F.col(key).alias("key")).agg(F.min(F.struct(F.abs(F.col(size) - F.col("left")).alias("off"), F.col(order).alias("one"))).alias("m")).select("key", "m.one"))
     joined = docs.join(placed.join(one.select(F.col("key").alias(key), F.col("one").alias(last)), key, "left"), [key, bucket])
     joined = joined.withColumn(before, reaches)
-    more = (F.col(before) <= F.col(rest)) | F.coalesce(F.col(order) == F.col(last), F.lit(False))
+    more = ((F.col(rest) > 0) & (F.col(before) <= F.col(rest))) | F.coalesce(F.col(order) == F.col(last), F.lit(False))
     joined = joined.withColumn(copies, (F.col(whole) + F.when(more, 1).otherwise(0)).cast("int"))
     return joined.select(*given, size, source_size, target, copies, (F.col(size) * F.col(copies)).alias(taken))
 
