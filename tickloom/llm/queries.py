@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import language, mixing, quality, toxicity, urls
+from tickloom.llm import conversations, language, mixing, quality, toxicity, urls
 from tickloom.llm.bpe import encode
 from tickloom.llm.common import table
 from tickloom.llm.language import identify
@@ -81,6 +81,11 @@ def op10_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    damaged = conversations.damage(table(spark, folder, "conversations"))
+    return conversations.reports(damaged, F.col("gone")).withColumnRenamed("sha256", "repaired_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mix_sources": op2_mix_sources,
@@ -92,9 +97,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality.ORACLE,
     "op2_mix_sources": mixing.ORACLE,
     "op7_url_filters": urls.ORACLE,
+    "op11_conversation_repair": conversations.ORACLE,
 }
