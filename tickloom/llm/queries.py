@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import conversations, language, mixing, quality, toxicity, urls
+from tickloom.llm import conversations, hard_negatives, language, mixing, quality, toxicity, urls
 from tickloom.llm.bpe import encode
 from tickloom.llm.common import table
 from tickloom.llm.language import identify
@@ -86,6 +86,11 @@ def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.reports(damaged, F.col("gone")).withColumnRenamed("sha256", "repaired_sha256")
 
 
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label=moved)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mix_sources": op2_mix_sources,
@@ -98,10 +103,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_nearest_neighbours": op10_nearest_neighbours,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality.ORACLE,
     "op2_mix_sources": mixing.ORACLE,
     "op7_url_filters": urls.ORACLE,
     "op11_conversation_repair": conversations.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
 }
