@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import conversations, hard_negatives, language, mixing, quality, toxicity, urls
+from tickloom.llm import boosting, conversations, hard_negatives, language, mixing, quality, toxicity, urls
 from tickloom.llm.bpe import encode
 from tickloom.llm.common import table
 from tickloom.llm.language import identify
@@ -91,6 +91,14 @@ def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return hard_negatives.mine(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label=moved)
 
 
+def op13_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(5)) == 0
+    labels = table(spark, folder, "labels").select("doc_id", "quality")
+    scored = boosting.score_quality(docs, boosting.fit(docs, labels.where(~held_out)))
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("quality").alias("score"), (F.col("quality") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mix_sources": op2_mix_sources,
@@ -104,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_nearest_neighbours": op10_nearest_neighbours,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_quality_classifier": op13_quality_classifier,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality.ORACLE,
