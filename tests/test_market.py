@@ -50,6 +50,40 @@ def events(spark, rows):
     return spark.createDataFrame([(i, 1, *r) for i, r in enumerate(rows)], "seq long, security_id long, side string, order_id long, action string, price long, qty long")
 
 
+@pytest.mark.parametrize(
+    ("gone", "want"),
+    [
+        # (time, open, high, low, close, volume, busted)
+        ([1], [(1, 100, 100, 100, 100, 1, 0), (2, 100, 100, 90, 90, 2, 1), (3, 90, 130, 90, 130, 1, 0), (5, 130, 130, 110, 110, 1, 0)]),  # a sibling is left
+        ([3], [(1, 100, 100, 100, 100, 1, 0), (2, 100, 120, 90, 90, 3, 0), (3, 90, 90, 90, 90, 0, 1), (5, 90, 110, 90, 110, 1, 0)]),  # an inner one stays, flat
+        ([1, 2, 3], [(1, 100, 100, 100, 100, 1, 0), (2, 100, 100, 100, 100, 0, 2), (3, 100, 100, 100, 100, 0, 1), (5, 100, 110, 100, 110, 1, 0)]),
+        ([4], [(1, 100, 100, 100, 100, 1, 0), (2, 100, 120, 90, 90, 3, 0), (3, 90, 130, 90, 130, 1, 0)]),  # the last goes
+        ([0], [(1, 100, 100, 100, 100, 0, 1), (2, 100, 120, 90, 90, 3, 0), (3, 90, 130, 90, 130, 1, 0), (5, 130, 130, 110, 110, 1, 0)]),  # nothing before it: its old close
+        ([0, 1, 2], [(1, 100, 100, 100, 100, 0, 1), (2, 100, 100, 100, 100, 0, 2), (3, 100, 130, 100, 130, 1, 0), (5, 130, 130, 110, 110, 1, 0)]),
+        ([3, 4], [(1, 100, 100, 100, 100, 1, 0), (2, 100, 120, 90, 90, 3, 0), (3, 90, 90, 90, 90, 0, 1)]),
+    ],
+)
+def test_candles_after_busts(spark, gone, want):
+    rows = prints(spark, [(100, 1, 1), (120, 1, 2), (90, 2, 2), (130, 1, 3), (110, 1, 5)])
+    busts = spark.createDataFrame([(50 + k, 1, k) for k in gone] + [(0, 1, 4)], "seq long, security_id long, trade_id long")  # one that comes before its trade
+    found = trades.rebuilt(rows, busts).orderBy("time").collect()
+    assert [(r.time, r.open, r.high, r.low, r.close, r.volume, r.busted) for r in found] == want
+
+
+def test_no_busted_bucket_is_lost(spark):
+    folder = "/root/testdata/sf0.01"
+    from tickloom.plans.market import busts
+    from tickloom.sources import trades as table_of_prints
+
+    rows, bad = table_of_prints(spark, folder), busts(spark, folder)
+    clean = trades.without_busted(rows, bad).select("seq")
+    gone = rows.join(clean, "seq", "left_anti").select("security_id", fx.floor_bucket(F.col("second"), 3600).alias("time"))
+    last = rows.groupBy("security_id").agg(F.max(fx.floor_bucket(F.col("second"), 3600)).alias("last"))
+    buckets = {(r.security_id, r.time): r.time == r.last for r in gone.join(last, "security_id").collect()}
+    found = {(r.security_id, r.time) for r in QUERIES["candle_bust_rebuild"](spark, folder).where("busted > 0").collect()}
+    assert len(buckets) == 62 and found <= set(buckets) and all(buckets[b] for b in set(buckets) - found)
+
+
 def test_book(spark):
     live = book.live_orders(events(spark, [("bid", 1, "new", 100, 10), ("bid", 2, "new", 100, 20), ("bid", 3, "new", 99, 5), ("ask", 4, "new", None, 50), ("ask", 4, "change", 103, 50), ("bid", 3, "change", 98, 5)]))
     assert {(r.side, r.price, r.total_qty, r.order_count) for r in book.price_levels(live).collect()} == {("bid", 100, 30, 2), ("bid", 98, 5, 1), ("ask", 103, 50, 1)}

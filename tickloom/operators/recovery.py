@@ -14,78 +14,92 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.book import live_orders
 
-RESULT = "seq long, security_id long, op string, outcome string, state string, drain_from long, drain_to long"
-
+RESULT = "seq long, security_id long, op string, rpt_seq long, outcome string, state string, drain_from long, drain_to long, unsafe long, tail long"
+#: Outcomes after which nothing is held any more.
+CLEARING = ("healed", "forced", "emptied", "reset")
 
 #: Before the first row: no security, not even null.
 _NONE = object()
 
 
-#: What becomes of messages while a security isn't healthy. A statistic may still show that the book lost something.
-POLICY = {"book": "hold", "statistic": "apply"}
+#: What becomes of messages while a security isn't healthy. What is applied is independent of the book, but may still show that the book lost something.
+POLICY = {"book": "hold", "statistic": "apply", "trade": "apply"}
 
 
 class Book:
-    """state: unknown, stale or healthy. seen: highest number of any kind; book: highest applied; least: the number that a snapshot must reach; since: when it ceased to be healthy."""
+    """state: unknown, stale or healthy. seen: highest number of any kind; book: highest applied to the book; top: highest received for it; least: the number that a snapshot must reach; since: when it became stale; marks: highest applied of each kind that doesn't wait for the book."""
 
-    def __init__(self, state: str = "unknown", seen: int = 0, book: int = 0, least: int = 0, since: int | None = None):
-        self.state, self.seen, self.book, self.least, self.since = state, seen, book, least, since
+    def __init__(self, state: str = "unknown", seen: int = 0, book: int = 0, top: int = 0, least: int = 0, since: int | None = None, marks: dict[str, int] | None = None):
+        self.state, self.seen, self.book, self.top, self.least, self.since, self.marks = state, seen, book, top, least, since, dict(marks or {})
+        self.lacks: tuple[int | None, int | None] = (None, None)
 
     def kept(self) -> tuple:
-        return self.state, self.seen, self.book, self.least, self.since
+        return self.state, self.seen, self.book, self.top, self.least, self.since, self.marks
 
     def step(self, op: str, number: int | None, time: int | None = None, policy: dict[str, str] = POLICY, timeout: int = 0) -> tuple[str, int | None, int | None]:
-        """Outcome, and the range of held messages that a heal replays."""
-        if self.since is None and self.state != "healthy":
-            self.since = time
+        """Outcome, and the range of held messages that a heal replays. lacks: of a forced heal how far the snapshot falls short of the last number lost, and of the last received."""
+        self.lacks = (None, None)
         if op == "reset":
             self.__init__()
             return "reset", None, None
         if op == "mark_stale":
             if self.state == "healthy":
-                self.state, self.least, self.since = "stale", self.seen, time
+                self.state, self.least, self.since = "stale", self.top, time
             return "marked", None, None
         if op == "empty_snapshot" or op == "snapshot" and number is None:  # of an illiquid security: no orders, no number
             if self.state == "healthy":
                 return "skipped", None, None
-            self.state, self.book, self.least, self.since = "healthy", self.seen, 0, None
+            self.seen = max(self.seen, self.top, self.least)
+            self.state, self.book, self.top, self.least, self.since = "healthy", self.seen, self.seen, 0, None
             return "emptied", None, None
         if op == "snapshot":
-            if self.state == "healthy":
-                return "skipped", None, None
-            forced = number < self.least
-            if forced and not (timeout and time is not None and self.since is not None and time - self.since > timeout):
-                return "rejected", None, None
-            high = max(self.seen, number)
-            self.state, self.book, self.seen, self.least, self.since = "healthy", high, high, 0, None
-            return "forced" if forced else "healed", (number + 1 if high > number else None), (high if high > number else None)
+            return self.heal(number, time, timeout)
         if number - self.seen > 1:
             if self.state == "healthy":
                 self.state, self.since = "stale", time
             self.least = max(self.least, number - 1)
-        old, self.seen = number <= self.seen, max(self.seen, number)
+        self.seen = max(self.seen, number)
+        way = policy.get(op, "hold")
+        if way == "apply":
+            new = number > self.marks.get(op, 0)
+            self.marks[op] = max(number, self.marks.get(op, 0))
+            return "applied" if new else "dropped", None, None
+        self.top = max(self.top, number)
         if self.state != "healthy":
-            way = policy.get(op, "hold")
-            if old and number <= self.book or way == "drop":
-                return "dropped", None, None
-            return ("applied" if way == "apply" and not old else "dropped" if way == "apply" else "held"), None, None
-        if op == "statistic":
-            return ("dropped" if old else "applied"), None, None
+            return "dropped" if number <= self.book or way == "drop" else "held", None, None
         if number <= self.book:
             return "dropped", None, None
         self.book = number
         return "applied", None, None
 
+    def heal(self, number: int, time: int | None, timeout: int) -> tuple[str, int | None, int | None]:
+        if self.state == "healthy":
+            return "skipped", None, None
+        if number < self.least:
+            overdue = timeout and self.state == "stale" and time is not None and self.since is not None and time - self.since > timeout
+            if not overdue:
+                return "rejected", None, None
+            # what is held can't be joined to the snapshot: it goes, and the book goes on from the snapshot
+            self.lacks = (self.least - number, max(0, self.top - number))
+            self.state, self.book, self.top, self.least, self.since = "healthy", number, number, 0, None
+            return "forced", None, None
+        high = max(self.seen, number)
+        self.state, self.book, self.top, self.seen, self.least, self.since = "healthy", high, high, high, 0, None
+        return "healed", (number + 1 if high > number else None), (high if high > number else None)
+
 
 def replay(rows: DataFrame, policy: dict[str, str] = POLICY, timeout: int = 0) -> DataFrame:
-    """Each operation (seq, security_id, op: book, statistic, snapshot, empty_snapshot, mark_stale or reset; rpt_seq, and ts_us if there is one) with what became of it.
+    """Each operation (seq, security_id, op: book, statistic, trade, snapshot, empty_snapshot, mark_stale or reset; rpt_seq, and ts_us if there is one) with what became of it.
 
-    policy: for each other op hold, apply or drop, while a security isn't healthy. timeout: microseconds after which a
-    snapshot that comes too short is taken all the same (0: never). Rows come sorted by security and seq, and only the
-    book of one security is carried over batches.
+    policy: for each other op hold, apply or drop, while a security isn't healthy; each op that is applied has a watermark of
+    its own. timeout: microseconds of being stale after which a snapshot that comes too short is taken all the same (0:
+    never); unsafe and tail are then what it lacks of the last number lost and of the last received. Rows come sorted by
+    security and seq, and only the book of one security is carried over batches.
     """
     import pyarrow as pa
 
+    kinds = (pa.string(), pa.string(), *[pa.int64()] * 4)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book, now = Book(), _NONE
         for batch in batches:
@@ -95,32 +109,44 @@ def replay(rows: DataFrame, policy: dict[str, str] = POLICY, timeout: int = 0) -
                 if security != now:
                     book, now = Book(), security
                 outcome, low, high = book.step(op, number, time, policy, timeout)
-                out.append((outcome, book.state, low, high))
-            columns = zip(*out) if out else [()] * 4
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(seqs, pa.int64()), pa.array(securities, pa.int64()), pa.array(ops, pa.string()), *(pa.array(c, t) for c, t in zip(columns, kinds))], [f.split()[0] for f in RESULT.split(", ")])
+                out.append((outcome, book.state, low, high, *book.lacks))
+            columns = zip(*out) if out else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(seqs, pa.int64()), pa.array(securities, pa.int64()), pa.array(ops, pa.string()), pa.array(numbers, pa.int64()), *(pa.array(c, t) for c, t in zip(columns, kinds))], [f.split()[0] for f in RESULT.split(", ")])
 
     rows = rows.select(F.col("seq").cast("long"), F.col("security_id").cast("long"), F.col("op").cast("string"), F.col("rpt_seq").cast("long"), (F.col("ts_us") if "ts_us" in rows.columns else F.lit(None)).cast("long").alias("ts_us"))
     return rows.repartition("security_id").sortWithinPartitions("security_id", "seq").mapInArrow(run, RESULT)
 
 
 def replay_stream(rows: DataFrame) -> DataFrame:
-    """The same for a stream: the state of each security is kept between micro-batches; rows of one batch go in order of seq."""
+    """The same for a stream, without times and policy: the state of each security is kept between micro-batches; rows of one batch go in order of seq. streaming.stateful.healed_stream has all of it."""
+    import json
+
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
+    names = [f.split()[0] for f in RESULT.split(", ")]
+
     def run(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        book = Book(*(state.get if state.exists else ()))
-        out = []
+        *kept, marks = state.get if state.exists else (*Book().kept()[:6], "{}")
+        book, out = Book(*kept, json.loads(marks)), []
         whole = pd.concat(list(parts)).sort_values("seq")
         for seq, op, number in zip(whole.seq, whole.op, whole.rpt_seq):
-            outcome, low, high = book.step(op, int(number) if number == number else None)
-            out.append((seq, key[0], op, outcome, book.state, low, high))
-        state.update(book.kept())
-        frame = pd.DataFrame(out, columns=["seq", "security_id", "op", "outcome", "state", "drain_from", "drain_to"])
-        yield frame.astype({"drain_from": "Int64", "drain_to": "Int64"})
-
-    return rows.groupBy("security_id").applyInPandasWithState(run, RESULT, "state string, seen long, book long, least long, since long", "append", GroupStateTimeout.NoTimeout)
+            number = int(number) if number == number else None
+            outcome, low, high = book.step(op, number)
+            out.append((seq, key[0], op, number, outcome, book.state, low, high, *book.lacks))
+        state.update((*book.kept()[:6], json.dumps(book.marks)))
+        yield pd.DataFrame(out, columns=names).astype(dict.fromkeys(("rpt_seq", *names[-4:]), "Int64"))
+
+    return rows.groupBy("security_id").applyInPandasWithState(run, RESULT, "state string, seen long, book long, top long, least long, since long, marks string", "append", GroupStateTimeout.NoTimeout)
+
+
+def replayed(found: DataFrame) -> DataFrame:
+    """(seq, security_id, op, rpt_seq, healed_by) of the held messages of replay() that the next heal replays; healed_by is the seq of its snapshot. Of messages with the same number the first is."""
+    later = Window.partitionBy("security_id").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
+    next_ = F.first(F.when(F.col("outcome").isin(*CLEARING), F.struct("seq", "outcome", "drain_from", "drain_to")), ignorenulls=True).over(later)
+    held = found.withColumn("next", next_).where("outcome = 'held' and next.outcome = 'healed' and rpt_seq between next.drain_from and next.drain_to")
+    first = Window.partitionBy("security_id", "next.seq", "rpt_seq").orderBy("seq")
+    return held.withColumn("n", F.row_number().over(first)).where("n = 1").select("seq", "security_id", "op", "rpt_seq", F.col("next.seq").alias("healed_by"))
 
 
 def assemble(headers: DataFrame, entries: DataFrame) -> DataFrame:

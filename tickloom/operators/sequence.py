@@ -68,28 +68,53 @@ def after_bootstrap(rows: DataFrame, ready: DataFrame, channel: str, order: str
 class Reorder:
     """One channel's packets put in order: what is ahead waits, up to a distance or for a time; then the gap is accepted.
 
-    Whoever accepts a gap goes out at once, and waiting packets above it follow; those below it are dropped. The first
-    packet of all seeds the numbering if it is far ahead. Times are in milliseconds.
+    Whoever accepts a gap goes out at once, and all waiting packets above it follow in order, over further gaps; those below
+    it are dropped. The first packet of all seeds the numbering if it is far ahead. Times are in milliseconds. With timers a
+    stall needs no packet to show: when the time is over, all that waits goes out.
     """
 
-    def __init__(self, window: int, stall: int):
-        self.window, self.stall = window, stall
-        self.expected, self.since, self.waiting = 1, None, {}
+    def __init__(self, window: int, stall: int, timers: bool = False, expected: int = 1, since: int | None = None, waiting: dict | None = None):
+        self.window, self.stall, self.timers = window, stall, timers
+        self.expected, self.since, self.waiting = expected, since, dict(waiting or {})
+
+    def due(self) -> int | None:
+        """When the time of what waits is over; a packet of that moment still comes before."""
+        return self.since + self.stall if self.timers and self.waiting else None
+
+    def expire(self, now: int | None) -> list[tuple]:
+        """(packet, reason) of what goes out because its time was over before now."""
+        due = self.due()
+        if due is None or now is None or now <= due:
+            return []
+        first = min(self.waiting)
+        return [(self.waiting.pop(first), "gap"), *self.released(first, due)]
+
+    def released(self, number: int, time: int) -> list[tuple]:
+        """What goes out, or is dropped, after a gap was accepted at number."""
+        out = []
+        self.expected, self.since = number + 1, time
+        for n in sorted(self.waiting):
+            passed = n < self.expected
+            out.append((self.waiting.pop(n), "passed" if passed else "released"))
+            if not passed:
+                self.expected = n + 1
+        return out
 
     def take(self, seq: int, time: int, packet) -> list[tuple]:
         """(packet, reason) of all packets that this one settles: in, released, gap, duplicate or passed."""
+        before = self.expire(time)
         if self.since is None:
             self.since = time
             if seq - self.expected > self.window:
                 self.expected = seq
         if seq < self.expected or seq in self.waiting:
-            return [(packet, "duplicate")]
-        if seq > self.expected and seq - self.expected <= self.window and time - self.since < self.stall:
-            self.waiting[seq] = packet
-            return []
-        out = [(packet, "in" if seq == self.expected else "gap")]
-        for number in sorted(n for n in self.waiting if n < seq):
-            out.append((self.waiting.pop(number), "passed"))
+            return [*before, (packet, "duplicate")]
+        if seq > self.expected:
+            if seq - self.expected <= self.window and time - self.since < self.stall:
+                self.waiting[seq] = packet
+                return before
+            return [*before, (packet, "gap"), *self.released(seq, time)]
+        out = [*before, (packet, "in")]
         self.expected, self.since = seq + 1, time
         while self.expected in self.waiting:
             out.append((self.waiting.pop(self.expected), "released"))
@@ -97,42 +122,50 @@ class Reorder:
         return out
 
 
-def reordered(rows: DataFrame, window: int = 256, stall: int = 2000) -> DataFrame:
+GOES = ("in", "gap", "released")
+ORDERED = "channel string, arrival long, seq long, position long, reason string"
+
+
+def reordered(rows: DataFrame, window: int = 256, stall: int = 2000, timers: bool = False, until: int | None = None) -> DataFrame:
     """(channel, arrival, seq, position, reason) of packets (channel, arrival, seq, time): in which order they go out, and why; position is null for those that don't (duplicate, passed, or waiting at the end).
 
-    Rows come sorted by channel and arrival; what is carried over batches is the packets that wait in one channel, window
-    of them at most.
+    timers: what waits goes out when the time is over, without a next packet; until: the time up to which that is known at
+    the end. Rows come sorted by channel and arrival; what is carried over batches is the packets that wait in one channel,
+    window of them at most.
     """
     import pyarrow as pa
 
-    shape = "channel string, arrival long, seq long, position long, reason string"
-
     def run(batches):
         state, now, position = None, object(), 0
 
+        def placed(settled):
+            nonlocal position
+            for (arrival, seq), reason in settled:
+                position += reason in GOES
+                yield now, arrival, seq, position if reason in GOES else None, reason
+
         def rest():
-            return [(now, arrival, seq, None, "waiting") for arrival, seq in state.waiting.values()] if state else []
+            if state:
+                yield from placed(state.expire(until))
+                yield from placed((packet, "waiting") for packet in state.waiting.values())
 
         for batch in batches:
             out = []
             for channel, arrival, seq, time in zip(*(c.to_pylist() for c in batch.columns)):
                 if channel != now:
                     out += rest()
-                    state, now, position = Reorder(window, stall), channel, 0
-                for (a, n), reason in state.take(seq, time, (arrival, seq)):
-                    goes = reason in ("in", "gap", "released")
-                    position += goes
-                    out.append((channel, a, n, position if goes else None, reason))
+                    state, now, position = Reorder(window, stall, timers), channel, 0
+                out += placed(state.take(seq, time, (arrival, seq)))
             yield of(out)
-        yield of(rest())
+        yield of([*rest()])
 
     def of(rows):
         columns = zip(*rows) if rows else [()] * 5
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], [f.split()[0] for f in shape.split(", ")])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], [f.split()[0] for f in ORDERED.split(", ")])
 
     rows = rows.select(F.col("channel").cast("string"), F.col("arrival").cast("long"), F.col("seq").cast("long"), F.col("time").cast("long"))
-    return rows.repartition("channel").sortWithinPartitions("channel", "arrival").mapInArrow(run, shape)
+    return rows.repartition("channel").sortWithinPartitions("channel", "arrival").mapInArrow(run, ORDERED)
 
 
 def quarantined(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:

@@ -30,21 +30,48 @@ def last_trade(trades: DataFrame) -> DataFrame:
     return trades.groupBy("security_id").agg(F.max_by(F.struct("price", "qty", "seq"), "seq").alias("t")).select("security_id", "t.price", "t.qty", "t.seq")
 
 
+def in_time(trades: DataFrame, width: int) -> DataFrame:
+    """Trades with time, their bucket; without those in an earlier bucket than a trade before them. avg, if there is none, is the price."""
+    trades = trades.withColumn("time", floor_bucket(F.col("second"), width))
+    if "avg" not in trades.columns:
+        trades = trades.withColumn("avg", F.col("price"))
+    arrival = Window.partitionBy("security_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    return trades.withColumn("__high", F.max("time").over(arrival)).where("__high is null or time >= __high").drop("__high")
+
+
 def candles(trades: DataFrame, width: int = 1) -> DataFrame:
     """(security_id, time, open, high, low, close, volume, avg): a trade in an earlier bucket than one before it is late and ignored.
 
     A candle opens at the previous close, and its high and low include that. avg: of the last trade, if trades have one,
     else its price. The late filter, the aggregate and the continuity need rows by security, so they share one exchange.
     """
-    trades = trades.withColumn("time", floor_bucket(F.col("second"), width))
-    if "avg" not in trades.columns:
-        trades = trades.withColumn("avg", F.col("price"))
-    arrival = Window.partitionBy("security_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    intime = trades.withColumn("__high", F.max("time").over(arrival)).where("__high is null or time >= __high")
-    bars = intime.groupBy("security_id", "time").agg(F.min_by("price", "seq").alias("first"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "seq").alias("close"), F.sum("qty").alias("volume"), F.max_by("avg", "seq").alias("avg"))
+    bars = in_time(trades, width).groupBy("security_id", "time").agg(F.min_by("price", "seq").alias("first"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "seq").alias("close"), F.sum("qty").alias("volume"), F.max_by("avg", "seq").alias("avg"))
     return continuous(bars)
 
 
+def rebuilt(trades: DataFrame, busts: DataFrame, width: int = 1) -> DataFrame:
+    """Candles after busts (seq, security_id, trade_id), with busted: how many trades of the candle were reversed.
+
+    A candle is made again from the trades that are left; which are late is judged before the reversals, and avg stays. One
+    without any is dropped if it is the security's last, else it stays as a flat one at the close before it, without
+    volume; if there is none before it, at its own old close.
+    """
+    last = busts.groupBy("security_id", "trade_id").agg(F.max("seq").alias("__bust"))
+    marked = in_time(trades, width).join(last, ["security_id", "trade_id"], "left").withColumn("__gone", F.coalesce(F.col("__bust") >= F.col("seq"), F.lit(False)))
+    left = lambda c: F.when(~F.col("__gone"), F.col(c))
+    bars = marked.groupBy("security_id", "time").agg(
+        F.min_by("price", left("seq")).alias("first"), F.max(left("price")).alias("high"), F.min(left("price")).alias("low"), F.max_by("price", left("seq")).alias("close"), F.coalesce(F.sum(left("qty")), F.lit(0)).alias("volume"),
+        F.max_by("avg", "seq").alias("avg"), F.max_by("price", "seq").alias("was"), F.count_if("__gone").alias("busted"), F.count_if(~F.col("__gone")).alias("left"),
+    )
+    own = Window.partitionBy("security_id").orderBy("time")
+    bars = bars.withColumn("next", F.lead("time").over(own)).where("`left` > 0 or next is not null")
+    so_far = own.rowsBetween(Window.unboundedPreceding, 0)
+    bars = bars.withColumn("close", F.coalesce(F.last("close", ignorenulls=True).over(so_far), F.first("was").over(so_far)))
+    flat = {c: F.coalesce(c, "close") for c in ("first", "high", "low")}
+    kept = bars.withColumns(flat).withColumn("open", F.when(F.col("left") > 0, F.coalesce(F.lag("close").over(own), "first")).otherwise(F.col("close")))
+    return kept.select("security_id", "time", "open", F.greatest("high", "open").alias("high"), F.least("low", "open").alias("low"), "close", "volume", "avg", "busted")
+
+
 def continuous(bars: DataFrame) -> DataFrame:
     before = F.lag("close").over(Window.partitionBy("security_id").orderBy("time"))
     bars = bars.withColumn("open", F.coalesce(before, F.col("first")))

@@ -10,10 +10,21 @@ from tickloom.plans.market import EV, LIVE, NUM, ORD, STATUS, levels, live, live
 from tickloom.sources import messages, numbered, order_events
 
 
+#: Of heal_state: microseconds of being stale after which any snapshot is taken.
+OVERDUE = 40_000_000_000
+
+
+def operations(s, d):
+    """Messages after losses; some are statistics and trades, some snapshots, a few empty or behind, and now and then a mark or a reset."""
+    marker = F.when(F.pmod("seq", F.lit(901)) == 0, "reset").when(F.pmod("seq", F.lit(307)) == 0, "mark_stale").when(F.pmod("seq", F.lit(211)) == 0, "empty_snapshot").when(F.pmod("seq", F.lit(6)) == 0, "snapshot")
+    op = F.coalesce(marker, F.when(F.col("kind") == "purchase", "statistic").when(F.col("kind") == "signup", "trade"), F.lit("book"))
+    rows = numbered(s, d).withColumn("op", op)
+    behind = F.when(F.col("op") == "snapshot", F.greatest(F.lit(0), F.col("rpt_seq") - F.pmod("seq", F.lit(5)))).when(op.isin("reset", "mark_stale", "empty_snapshot"), F.lit(None)).when(F.col("op") == "trade", F.col("rpt_seq") - F.pmod("seq", F.lit(3))).otherwise(F.col("rpt_seq"))
+    return rows.withColumn("rpt_seq", behind)
+
+
 def heals(s, d):
-    """Messages after losses, every thirtieth being a snapshot."""
-    op = F.when(F.pmod("seq", F.lit(30)) == 0, "snapshot").when(F.col("kind") == "purchase", "statistic").otherwise("book")
-    return recovery.replay(numbered(s, d).withColumn("op", op))
+    return recovery.replay(operations(s, d), timeout=OVERDUE)
 
 
 def late_packets(s, d):
@@ -81,11 +92,13 @@ def client_replica(s, d):
 
 
 def ladders(s, d):
-    return book.compare_ladders(levels(s, d), book.summed_levels(book.level_deltas(order_events(s, d))))
+    """The book's price levels against those that changes add up to at a client that lost some events."""
+    return book.compare_ladders(levels(s, d), book.summed_levels(book.level_deltas(received(s, d)[1])))
 
 
 QUERIES = {
     "heal_state": heals,
+    "heal_replays": lambda s, d: recovery.replayed(heals(s, d)),
     "bounded_reorder": lambda s, d: sequence.reordered(late_packets(s, d), 64, 2000),
     "snapshot_assembly": lambda s, d: assembled(s, d).select("security_id", "snapshot", "bids", "asks", "got_bids", "got_asks", "complete"),
     "snapshot_floor": lambda s, d: recovery.heal_floors(assembled(s, d)).select("security_id", "snapshot", "rpt_seq", "least", "usable"),
@@ -122,21 +135,41 @@ CROSS = ORD + ", " + VERSIONS + """, bst AS (SELECT e.seq, e.security_id, max(CA
   sta AS (SELECT *, CASE WHEN bid_px IS NULL OR ask_px IS NULL OR bid_px < ask_px THEN 'normal' WHEN bid_px = ask_px THEN 'locked' ELSE 'crossed' END AS state FROM bst),
   edg AS (SELECT * FROM (SELECT *, coalesce(lag(state) OVER (PARTITION BY security_id ORDER BY seq), 'normal') AS before FROM sta) WHERE state <> before)"""
 
+#: The state after each operation, one after another. steps: the security's row before, the operation, and what follows from both.
+HEALS = NUM + f""", r0 AS (
+    SELECT *, CASE WHEN seq % 901 = 0 THEN 'reset' WHEN seq % 307 = 0 THEN 'mark_stale' WHEN seq % 211 = 0 THEN 'empty_snapshot' WHEN seq % 6 = 0 THEN 'snapshot' WHEN kind = 'purchase' THEN 'statistic' WHEN kind = 'signup' THEN 'trade' ELSE 'book' END AS op FROM num
+  ), r AS (
+    SELECT seq, security_id, op, ts_us AS t, row_number() OVER (PARTITION BY security_id ORDER BY seq) AS n,
+           CASE WHEN op IN ('reset', 'mark_stale', 'empty_snapshot') THEN NULL WHEN op = 'snapshot' THEN greatest(0, rpt_seq - seq % 5) WHEN op = 'trade' THEN rpt_seq - seq % 3 ELSE rpt_seq END AS x FROM r0
+  ), st AS (
+    SELECT security_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS seq, '' AS op, CAST(NULL AS BIGINT) AS x, '' AS outcome, 'unknown' AS state, CAST(0 AS BIGINT) AS seen, CAST(0 AS BIGINT) AS book, CAST(0 AS BIGINT) AS top, CAST(0 AS BIGINT) AS least,
+           CAST(NULL AS BIGINT) AS since, CAST(0 AS BIGINT) AS stat, CAST(0 AS BIGINT) AS trade, CAST(NULL AS BIGINT) AS drain_from, CAST(NULL AS BIGINT) AS drain_to, CAST(NULL AS BIGINT) AS unsafe, CAST(NULL AS BIGINT) AS tail FROM (SELECT DISTINCT security_id FROM r)
+    UNION ALL
+    SELECT security_id, n, seq, op, x,
+           CASE WHEN op = 'reset' THEN 'reset' WHEN op = 'mark_stale' THEN 'marked' WHEN op IN ('snapshot', 'empty_snapshot') AND was = 'healthy' THEN 'skipped' WHEN op = 'empty_snapshot' THEN 'emptied'
+                WHEN op = 'snapshot' THEN CASE WHEN heals THEN 'healed' WHEN forced THEN 'forced' ELSE 'rejected' END
+                WHEN op = 'statistic' THEN CASE WHEN x > stat THEN 'applied' ELSE 'dropped' END WHEN op = 'trade' THEN CASE WHEN x > trade THEN 'applied' ELSE 'dropped' END
+                WHEN x <= book THEN 'dropped' WHEN now = 'healthy' THEN 'applied' ELSE 'held' END,
+           CASE WHEN op = 'reset' THEN 'unknown' WHEN op = 'mark_stale' AND was = 'healthy' THEN 'stale' WHEN heals OR forced OR empties THEN 'healthy' ELSE now END,
+           CASE WHEN op = 'reset' THEN 0 WHEN empties THEN greatest(seen, top, least) WHEN carries OR heals THEN greatest(seen, x) ELSE seen END,
+           CASE WHEN op = 'reset' THEN 0 WHEN empties THEN greatest(seen, top, least) WHEN heals THEN greatest(seen, x) WHEN forced THEN x WHEN op = 'book' AND now = 'healthy' THEN greatest(book, x) ELSE book END,
+           CASE WHEN op = 'reset' THEN 0 WHEN empties THEN greatest(seen, top, least) WHEN heals THEN greatest(seen, x) WHEN forced THEN x WHEN op = 'book' THEN greatest(top, x) ELSE top END,
+           CASE WHEN op = 'reset' OR heals OR forced OR empties THEN 0 WHEN op = 'mark_stale' AND was = 'healthy' THEN top WHEN skips THEN greatest(least, x - 1) ELSE least END,
+           CASE WHEN op = 'reset' OR heals OR forced OR empties THEN NULL WHEN was = 'healthy' AND (op = 'mark_stale' OR skips) THEN t ELSE since END,
+           CASE WHEN op = 'reset' THEN 0 WHEN op = 'statistic' THEN greatest(stat, x) ELSE stat END, CASE WHEN op = 'reset' THEN 0 WHEN op = 'trade' THEN greatest(trade, x) ELSE trade END,
+           CASE WHEN heals AND seen > x THEN x + 1 END, CASE WHEN heals AND seen > x THEN seen END, CASE WHEN forced THEN least - x END, CASE WHEN forced THEN greatest(0, top - x) END
+    FROM (SELECT *, CASE WHEN skips AND was = 'healthy' THEN 'stale' ELSE was END AS now, op = 'snapshot' AND was <> 'healthy' AND x >= least AS heals, op = 'empty_snapshot' AND was <> 'healthy' AS empties,
+                 coalesce(op = 'snapshot' AND was = 'stale' AND x < least AND t - since > {OVERDUE}, FALSE) AS forced
+          FROM (SELECT r.*, st.state AS was, seen, book, top, least, since, stat, trade, r.op IN ('book', 'statistic', 'trade') AS carries, r.op IN ('book', 'statistic', 'trade') AND r.x - seen > 1 AS skips
+                FROM st JOIN r ON r.security_id = st.security_id AND r.n = st.n + 1))
+  )"""
+
 ORACLE_SQL = {
-    "heal_state": f"""WITH RECURSIVE {NUM}, r AS (
-        SELECT seq, security_id, rpt_seq AS x, CASE WHEN seq % 30 = 0 THEN 'snapshot' WHEN kind = 'purchase' THEN 'statistic' ELSE 'book' END AS op, row_number() OVER (PARTITION BY security_id ORDER BY seq) AS n FROM num
-      ), st AS (
-        SELECT security_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS seq, '' AS op, '' AS outcome, 'unknown' AS state, CAST(0 AS BIGINT) AS seen, CAST(0 AS BIGINT) AS book, CAST(0 AS BIGINT) AS least,
-               CAST(NULL AS BIGINT) AS drain_from, CAST(NULL AS BIGINT) AS drain_to FROM (SELECT DISTINCT security_id FROM r)
-        UNION ALL
-        SELECT security_id, n, seq, op, CASE WHEN op = 'snapshot' THEN CASE WHEN was = 'healthy' THEN 'skipped' WHEN heals THEN 'healed' ELSE 'rejected' END
-                 WHEN op = 'statistic' THEN CASE WHEN x <= seen THEN 'dropped' ELSE 'applied' END WHEN x <= book AND (now = 'healthy' OR x <= seen) THEN 'dropped' WHEN now = 'healthy' THEN 'applied' ELSE 'held' END,
-               CASE WHEN heals THEN 'healthy' ELSE now END, CASE WHEN op <> 'snapshot' OR heals THEN greatest(seen, x) ELSE seen END,
-               CASE WHEN heals THEN greatest(seen, x) WHEN op = 'book' AND now = 'healthy' THEN greatest(book, x) ELSE book END,
-               CASE WHEN heals THEN 0 WHEN skips THEN greatest(least, x - 1) ELSE least END, CASE WHEN heals AND seen > x THEN x + 1 END, CASE WHEN heals AND seen > x THEN seen END
-        FROM (SELECT r.*, st.state AS was, st.seen, st.book, st.least, r.op <> 'snapshot' AND r.x - st.seen > 1 AS skips, r.op = 'snapshot' AND st.state <> 'healthy' AND r.x >= st.least AS heals,
-                     CASE WHEN r.op <> 'snapshot' AND r.x - st.seen > 1 AND st.state = 'healthy' THEN 'stale' ELSE st.state END AS now FROM st JOIN r ON r.security_id = st.security_id AND r.n = st.n + 1)
-      ) SELECT seq, security_id, op, outcome, state, drain_from, drain_to FROM st WHERE n > 0""",
+    "heal_state": f"WITH RECURSIVE {HEALS} SELECT seq, security_id, op, x AS rpt_seq, outcome, state, drain_from, drain_to, unsafe, tail FROM st WHERE n > 0",
+    "heal_replays": f"""WITH RECURSIVE {HEALS}, e AS (SELECT * FROM st WHERE outcome IN ('healed', 'forced', 'emptied', 'reset')),
+      h AS (SELECT st.seq, st.security_id, st.op, st.x, (SELECT min(e.seq) FROM e WHERE e.security_id = st.security_id AND e.seq > st.seq) AS healed_by FROM st WHERE outcome = 'held')
+      SELECT min(h.seq) AS seq, h.security_id, arg_min(h.op, h.seq) AS op, h.x AS rpt_seq, healed_by FROM h JOIN e ON e.seq = healed_by AND e.security_id = h.security_id
+      WHERE e.outcome = 'healed' AND h.x BETWEEN e.drain_from AND e.drain_to GROUP BY h.security_id, h.x, healed_by""",
     "snapshot_assembly": f"WITH {ASM} SELECT security_id, snapshot, bids, asks, got_bids, got_asks, complete FROM asm",
     "snapshot_floor": f"""WITH {ASM}, f AS (SELECT *, coalesce(max(CASE WHEN NOT complete THEN rpt_seq END) OVER (PARTITION BY security_id ORDER BY snapshot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS least FROM asm)
       SELECT security_id, snapshot, rpt_seq, least, complete AND rpt_seq >= least AS usable FROM f""",
@@ -161,6 +194,7 @@ ORACLE_SQL = {
       SELECT * FROM live""",
     "client_replica": f"""WITH {ORD}, rep0 AS (SELECT * REPLACE (qty - 30 AS qty) FROM ord), rep1 AS (SELECT * REPLACE (CASE WHEN action = 'change' AND qty <= 0 THEN 'delete' ELSE action END AS action) FROM rep0){live_sql("rep1")} SELECT * FROM live""",
     "level_deltas": f"""WITH {ORD}, {VERSIONS} SELECT seq, security_id, side, price, qty, 1 AS orders FROM ver UNION ALL SELECT until, security_id, side, price, -qty, -1 FROM ver WHERE until IS NOT NULL""",
-    "ladder_equivalence": f"WITH {LIVE} SELECT security_id, count(*) AS same, CAST(0 AS BIGINT) AS different, CAST(0 AS BIGINT) AS alone FROM lev GROUP BY ALL",
+    "ladder_equivalence": f"""WITH {RCV}{live_sql("ord")}{live_sql("rcv", "got", "gotlev")}, a AS (SELECT security_id, lev.total_qty AS x, gotlev.total_qty AS y FROM lev FULL JOIN gotlev USING (security_id, side, price))
+      SELECT security_id, count(*) FILTER (x = y) AS same, count(*) FILTER (x <> y) AS different, count(*) FILTER (x IS NULL OR y IS NULL) AS alone FROM a GROUP BY ALL""",
     "match_flags": f"WITH {EV} SELECT security_id, count(*) FILTER (qty & 1 <> 0) AS ends, count(*) FILTER (qty & 8 <> 0) AS recovered FROM ev GROUP BY ALL",
 }

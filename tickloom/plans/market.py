@@ -176,10 +176,7 @@ def fix_batches(s, d):
 
 
 def busted_bars(s, d):
-    rows, bad = prints(s, d), busts(s, d)
-    clean = trades.candles(trades.without_busted(rows, bad), 3600)
-    gone = rows.join(trades.without_busted(rows, bad).select("seq"), "seq", "left_anti").groupBy("security_id", fx.floor_bucket(F.col("second"), 3600).alias("time")).agg(F.count("*").alias("busted"))
-    return clean.join(gone, ["security_id", "time"], "left").withColumn("busted", F.coalesce("busted", F.lit(0)))
+    return trades.rebuilt(prints(s, d), busts(s, d), 3600)
 
 
 def quotes(s, d):
@@ -288,8 +285,21 @@ ORACLE_SQL = {
     "latest_candle": f"{ALL_BARS} SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY security_id ORDER BY time DESC) = 1",
     "candles_phase_gated": f"WITH {TRD}{STATUS}{WITH_STATUS}, g AS (SELECT * FROM sta WHERE coalesce(status, 2) = 2), {bars_sql('g', 3600)} SELECT * FROM bars",
     "auction_print": f"WITH {TRD}{STATUS}{WITH_STATUS} SELECT seq, condition & 4 <> 0 OR coalesce(status IN (1, 3), FALSE) AS auction FROM sta",
-    "candle_bust_rebuild": f"""WITH {TRD}{CLEAN.format('trd')}, {bars_sql('cln', 3600)}, g AS (SELECT security_id, second - second % 3600 AS time, count(*) AS busted FROM trd ANTI JOIN cln USING (seq) GROUP BY ALL)
-      SELECT bars.*, coalesce(busted, 0) AS busted FROM bars LEFT JOIN g USING (security_id, time)""",
+    "candle_bust_rebuild": f"""WITH {TRD}, t AS (
+      SELECT trd.*, second - second % 3600 AS time, EXISTS (SELECT 1 FROM bst WHERE bst.security_id = trd.security_id AND bst.trade_id = trd.trade_id AND bst.seq >= trd.seq) AS gone,
+             max(second - second % 3600) OVER (PARTITION BY security_id ORDER BY seq) AS newest FROM trd
+    ), g AS (
+      SELECT security_id, time, count(*) AS all_, count(*) FILTER (gone) AS busted, arg_max(price, seq) AS was FROM t WHERE time = newest GROUP BY ALL
+    ), k AS (
+      SELECT security_id, time, arg_min(price, seq) AS first, arg_max(price, seq) AS close, max(price) AS top, min(price) AS bottom, CAST(sum(qty) AS BIGINT) AS volume FROM t WHERE time = newest AND NOT gone GROUP BY ALL
+    ), e AS (  -- without the last candle of a security if nothing is left of it
+      SELECT g.*, close, (SELECT arg_max(k2.close, k2.time) FROM k k2 WHERE k2.security_id = g.security_id AND k2.time < g.time) AS before,
+             (SELECT arg_min(g2.was, g2.time) FROM g g2 WHERE g2.security_id = g.security_id) AS oldest, (SELECT min(g3.time) FROM g g3 WHERE g3.security_id = g.security_id) AS start
+      FROM g LEFT JOIN k USING (security_id, time) WHERE NOT (busted = all_ AND time = (SELECT max(g4.time) FROM g g4 WHERE g4.security_id = g.security_id))
+    ), o AS (  -- a flat one, and what opens after it: at the last close before, or the old close of the first candle
+      SELECT e.*, k.first, top, bottom, volume, CASE WHEN e.time = start AND e.close IS NOT NULL THEN k.first ELSE coalesce(before, oldest) END AS open FROM e LEFT JOIN k USING (security_id, time)
+    )
+    SELECT security_id, time, open, greatest(top, open) AS high, least(bottom, open) AS low, coalesce(close, open) AS close, coalesce(volume, 0) AS volume, was AS avg, busted FROM o""",
     "candle_resample": f"""{ALL_BARS}, w AS (SELECT security_id, time - time % 14400 AS time, arg_min(open, time) AS f, max(high) AS h, min(low) AS l, arg_max(close, time) AS close, CAST(sum(volume) AS BIGINT) AS volume, arg_max(avg, time) AS avg FROM bars GROUP BY 1, 2),
       o AS (SELECT *, coalesce(lag(close) OVER (PARTITION BY security_id ORDER BY time), f) AS open FROM w), wide AS (SELECT security_id, time, open, greatest(h, open) AS high, least(l, open) AS low, close, volume, avg FROM o),
       {filled_sql('wide', 14400, 600)} SELECT * FROM filled""",
