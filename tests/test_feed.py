@@ -36,6 +36,18 @@ def test_old_snapshot_after_the_timeout():
     assert steps(ops)[0] == ["healed", "held", "rejected", "rejected", "held"]
 
 
+def test_watermark_of_each_kind_and_what_a_forced_heal_lacks():
+    """A statistic numbered below a book message that came first is new; the first snapshot that is taken late gives up what is held."""
+    got, _ = steps([("snapshot", 3), ("book", 5), ("book", 4), ("statistic", 4), ("statistic", 4), ("trade", 4), ("trade", 3), ("trade", 6)])
+    assert got == ["healed", "held", "held", "applied", "dropped", "applied", "dropped", "applied"]
+    state = recovery.Book()
+    for op in [("snapshot", 3, 0), ("book", 5, 100), ("book", 6, 110), ("book", 9, 120)]:
+        state.step(*op, timeout=200)
+    assert state.step("snapshot", 4, 301, timeout=200) == ("forced", None, None) and state.lacks == (8 - 4, 9 - 4) and state.book == 4
+    assert [state.step("book", n, 302)[0] for n in (10, 10)] == ["applied", "dropped"] and state.lacks == (None, None)
+    assert steps([("book", 9, 0), ("snapshot", 4, 900)], timeout=200)[0] == ["held", "rejected"]  # never healed, so never stale
+
+
 def packets(spark, rows):
     return spark.createDataFrame([("a", i, n, t) for i, (n, t) in enumerate(rows)], "channel string, arrival long, seq long, time long")
 

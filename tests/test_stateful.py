@@ -52,7 +52,7 @@ def operations(seed, n=600):
 def test_healing_over_restarts(spark, store, tmp_path):
     rows = operations(3)
     frame = spark.createDataFrame(rows, "seq long, security_id long, op string, rpt_seq long, ts_us long")
-    found = recovery.replay(frame, timeout=1500).cache()
+    found = recovery.detailed(frame, timeout=1500).cache()
     want = found.withColumn("healed_by", F.lit(None).cast("long"))
     more = recovery.replayed(found).select("seq", "security_id", "op", "rpt_seq", F.lit("replayed").alias("outcome"), F.lit("healthy").alias("state"), *(F.lit(None).cast("long").alias(c) for c in ("drain_from", "drain_to", "unsafe", "tail")), "healed_by")
     want = sorted((tuple(r) for r in want.unionByName(more).collect()), key=repr)

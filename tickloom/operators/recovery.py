@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.book import live_orders
 
-RESULT = "seq long, security_id long, op string, rpt_seq long, outcome string, state string, drain_from long, drain_to long, unsafe long, tail long"
+RESULT = "seq long, security_id long, op string, outcome string, state string, drain_from long, drain_to long"
+DETAILED = "seq long, security_id long, op string, rpt_seq long, outcome string, state string, drain_from long, drain_to long, unsafe long, tail long"
 #: Outcomes after which nothing is held any more.
 CLEARING = ("healed", "forced", "emptied", "reset")
 
@@ -88,7 +89,16 @@ class Book:
         return "healed", (number + 1 if high > number else None), (high if high > number else None)
 
 
+def names_of(shape: str) -> list[str]:
+    return [f.split()[0] for f in shape.split(", ")]
+
+
 def replay(rows: DataFrame, policy: dict[str, str] = POLICY, timeout: int = 0) -> DataFrame:
+    """detailed() without the numbers and what forced heals lack."""
+    return detailed(rows, policy, timeout).select(*names_of(RESULT))
+
+
+def detailed(rows: DataFrame, policy: dict[str, str] = POLICY, timeout: int = 0) -> DataFrame:
     """Each operation (seq, security_id, op: book, statistic, trade, snapshot, empty_snapshot, mark_stale or reset; rpt_seq, and ts_us if there is one) with what became of it.
 
     policy: for each other op hold, apply or drop, while a security isn't healthy; each op that is applied has a watermark of
@@ -111,10 +121,10 @@ def replay(rows: DataFrame, policy: dict[str, str] = POLICY, timeout: int = 0) -
                 outcome, low, high = book.step(op, number, time, policy, timeout)
                 out.append((outcome, book.state, low, high, *book.lacks))
             columns = zip(*out) if out else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(seqs, pa.int64()), pa.array(securities, pa.int64()), pa.array(ops, pa.string()), pa.array(numbers, pa.int64()), *(pa.array(c, t) for c, t in zip(columns, kinds))], [f.split()[0] for f in RESULT.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(seqs, pa.int64()), pa.array(securities, pa.int64()), pa.array(ops, pa.string()), pa.array(numbers, pa.int64()), *(pa.array(c, t) for c, t in zip(columns, kinds))], names_of(DETAILED))
 
     rows = rows.select(F.col("seq").cast("long"), F.col("security_id").cast("long"), F.col("op").cast("string"), F.col("rpt_seq").cast("long"), (F.col("ts_us") if "ts_us" in rows.columns else F.lit(None)).cast("long").alias("ts_us"))
-    return rows.repartition("security_id").sortWithinPartitions("security_id", "seq").mapInArrow(run, RESULT)
+    return rows.repartition("security_id").sortWithinPartitions("security_id", "seq").mapInArrow(run, DETAILED)
 
 
 def replay_stream(rows: DataFrame) -> DataFrame:
@@ -124,8 +134,6 @@ def replay_stream(rows: DataFrame) -> DataFrame:
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    names = [f.split()[0] for f in RESULT.split(", ")]
-
     def run(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         *kept, marks = state.get if state.exists else (*Book().kept()[:6], "{}")
         book, out = Book(*kept, json.loads(marks)), []
@@ -133,15 +141,15 @@ def replay_stream(rows: DataFrame) -> DataFrame:
         for seq, op, number in zip(whole.seq, whole.op, whole.rpt_seq):
             number = int(number) if number == number else None
             outcome, low, high = book.step(op, number)
-            out.append((seq, key[0], op, number, outcome, book.state, low, high, *book.lacks))
+            out.append((seq, key[0], op, outcome, book.state, low, high))
         state.update((*book.kept()[:6], json.dumps(book.marks)))
-        yield pd.DataFrame(out, columns=names).astype(dict.fromkeys(("rpt_seq", *names[-4:]), "Int64"))
+        yield pd.DataFrame(out, columns=names_of(RESULT)).astype({"drain_from": "Int64", "drain_to": "Int64"})
 
     return rows.groupBy("security_id").applyInPandasWithState(run, RESULT, "state string, seen long, book long, top long, least long, since long, marks string", "append", GroupStateTimeout.NoTimeout)
 
 
 def replayed(found: DataFrame) -> DataFrame:
-    """(seq, security_id, op, rpt_seq, healed_by) of the held messages of replay() that the next heal replays; healed_by is the seq of its snapshot. Of messages with the same number the first is."""
+    """(seq, security_id, op, rpt_seq, healed_by) of the held messages of detailed() that the next heal replays; healed_by is the seq of its snapshot. Of messages with the same number the first is."""
     later = Window.partitionBy("security_id").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
     next_ = F.first(F.when(F.col("outcome").isin(*CLEARING), F.struct("seq", "outcome", "drain_from", "drain_to")), ignorenulls=True).over(later)
     held = found.withColumn("next", next_).where("outcome = 'held' and next.outcome = 'healed' and rpt_seq between next.drain_from and next.drain_to")

@@ -24,7 +24,7 @@ def operations(s, d):
 
 
 def heals(s, d):
-    return recovery.replay(operations(s, d), timeout=OVERDUE)
+    return recovery.detailed(operations(s, d), timeout=OVERDUE)
 
 
 def late_packets(s, d):

@@ -2,7 +2,7 @@
 
 Both keep what they wait for in Spark's state store (a map of packets, a list of held messages), so a query that is started
 again from its checkpoint goes on where it was; results are those of the batch forms (operators.sequence.reordered,
-operators.recovery.replay and replayed) row for row. Rows of one micro-batch and key are taken in order of arrival or seq.
+operators.recovery.detailed and replayed) row for row. Rows of one micro-batch and key are taken in order of arrival or seq.
 The session needs the RocksDB state store (STORE).
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tickloom.operators.recovery import CLEARING, POLICY, RESULT, Book
+from tickloom.operators.recovery import CLEARING, DETAILED, POLICY, Book
 from tickloom.operators.sequence import GOES, ORDERED, Reorder
 
 if TYPE_CHECKING:
@@ -24,7 +24,7 @@ if TYPE_CHECKING:
 
 #: Setting of the session, and the state store that these operators need.
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-HEALED = RESULT + ", healed_by long"
+HEALED = DETAILED + ", healed_by long"
 
 
 def frame(rows: list[tuple], shape: str) -> pd.DataFrame:
@@ -161,6 +161,6 @@ class Healing(StatefulProcessor):
 
 
 def healed_stream(rows: DataFrame, policy: dict[str, str] = POLICY, timeout: int = 0) -> DataFrame:
-    """recovery.replay() of a stream of operations (seq, security_id, op, rpt_seq, ts_us), and with each heal the held messages that it replays, as rows with outcome replayed and healed_by."""
+    """recovery.detailed() of a stream of operations (seq, security_id, op, rpt_seq, ts_us), and with each heal the held messages that it replays, as rows with outcome replayed and healed_by."""
     rows = rows.select(F.col("seq").cast("long"), F.col("security_id").cast("long"), "op", F.col("rpt_seq").cast("long"), F.col("ts_us").cast("long"))
     return rows.groupBy("security_id").transformWithStateInPandas(Healing(policy, timeout), T.StructType.fromDDL(HEALED), "Append", "None")
