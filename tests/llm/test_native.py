@@ -6,6 +6,7 @@ import re
 from urllib.parse import urldefrag, urljoin, urlsplit
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from tickloom.llm.mixing import mix_sources
@@ -133,3 +134,47 @@ def test_null_ids_share_no_bucket(spark):
     assert {r.copies for r in mixed.collect()} == {1}
     plan = mix_sources(spark.createDataFrame(rows + [(1, "y", "b")] * 500, DOCS)).collect()
     assert len(plan) == 2500 and all(r.taken == r.copies * r["size"] for r in plan)
+
+
+@pytest.mark.parametrize(("rows", "weights"), [
+    ([(1, "w " * 10, "a")] * 1000 + [(2, "w " * 10, "b")] * 1000, (2, 1)),  # a third of them once more
+    ([(k % 3, "w " * 7, "a") for k in range(900)] + [(None, "w w", "b")] * 500 + [(9, None, "c")], (1, 3)),
+])
+def test_equal_rows_meet_the_target(spark, rows, weights):
+    """Of equal rows only one fills what is left: each source is within a document of its target."""
+    mixed = mix_sources(spark.createDataFrame(rows, DOCS).repartition(5), weight=lambda number: F.when(number == 1, weights[0]).when(number == 2, weights[1]).otherwise(1)).collect()
+    assert len(mixed) == len(rows)
+    for source in {r.source for r in mixed}:
+        own = [r for r in mixed if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(r["size"] for r in own) / 2 + 1e-6
+        assert len({r.copies for r in own}) <= 2
+
+
+def test_equal_rows_like_sql(spark, tmp_path):
+    import duckdb
+
+    from tickloom.llm.mixing import ORACLE
+
+    rows = [(1, "w " * 10, "a")] * 100 + [(2, "w " * 10, "b")] * 90 + [(k, "w " * (k % 7), None) for k in range(60)]
+    frame = spark.createDataFrame(rows, DOCS)
+    frame.coalesce(1).write.parquet(str(tmp_path / "d"))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    want = sorted(map(repr, db.sql(f"SELECT doc_id, size, source_size, target, taken FROM ({ORACLE})").fetchall()))
+    got = sorted(repr(tuple(r)) for r in mix_sources(frame.repartition(3)).select("doc_id", "size", "source_size", "target", "taken").collect())
+    assert got == want
+
+
+def test_many_sources_are_numbered_by_name(spark):
+    from tickloom.llm.mixing import numbered, with_starts
+
+    names = [f"s{k:05d}" for k in range(3000)] + [None]
+    got = {r.source: r.number for r in numbered(spark.createDataFrame([(n,) for n in names], "source string").repartition(7)).collect()}
+    assert got == {n: k for k, n in enumerate(names, 1)}
+    r = random.Random(4)
+    rows = [(key, f"{k:03x}", r.randrange(9)) for key in "ab" for k in range(0, 4096, 3)]
+    found = {(x.key, x.bucket): x.start for x in with_starts(spark.createDataFrame(rows, "key string, bucket string, sum long"), 3).collect()}
+    sums = {"a": 0, "b": 0}
+    for key, bucket, n in rows:
+        assert found[key, bucket] == sums[key]
+        sums[key] += n

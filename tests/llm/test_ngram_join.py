@@ -71,6 +71,32 @@ def test_empty_null_and_repeated(spark):
     assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in got) == [(0, 1, 0), (5, 1, 5), (5, 3, 5), (5, 3, 5)]
 
 
+def near_chain():
+    """Three texts, of which neighbours share 0.87 of their shingles and the ends do not."""
+    words = [f"w{k}" for k in range(203)]
+    middle = words[:]
+    first, last = words[:-14] + [f"a{k}" for k in range(14)], [f"z{k}" for k in range(14)] + words[14:]
+    return " ".join(first), " ".join(middle), " ".join(last)
+
+
+@pytest.mark.parametrize(("ids", "want"), [
+    ((1, None, 3), [(1, 1, 1), (3, 1, 1), (None, 1, 2)]), ((1, 2, 3), [(1, 1, 1), (2, 1, 2), (3, 1, 1)]),
+    ((None, 5, None), [(5, 5, 2), (None, 5, 1), (None, 5, 1)]), ((None, None, None), [(None, None, 1), (None, None, 1), (None, None, 2)]),
+])
+def test_links_through_rows_without_an_id(spark, ids, want):
+    rows = list(zip(ids, near_chain())) + [(100 + k, f"other text number {k} of many") for k in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in ngram_components(docs).select("doc_id", "component_id", "n_links").collect()]
+    assert sorted((x for x in got if x[0] is None or x[0] < 100), key=lambda x: (x[0] or 999, x[2])) == sorted(want, key=lambda x: (x[0] or 999, x[2]))
+
+
+def test_copies_without_an_id_count_as_links(spark):
+    first, middle, last = near_chain()
+    rows = [(1, first), (3, last)] + [(None, middle)] * 5
+    got = [tuple(r) for r in ngram_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).select("doc_id", "component_id", "n_links").collect()]
+    assert sorted(got, key=lambda x: x[0] or 999) == [(1, 1, 5), (3, 1, 5)] + [(None, 1, 6)] * 5
+
+
 @pytest.mark.parametrize("long", [7, 100])
 def test_postings_across_batches(monkeypatch, long):
     import pyarrow as pa

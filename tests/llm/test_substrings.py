@@ -2,10 +2,11 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.llm.substrings import substring_dedup
+from tickloom.llm.substrings import stretches, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -56,6 +57,22 @@ def test_like_brute_force(spark, seed, length):
     assert got == brute(rows, length)
 
 
+@pytest.mark.parametrize("length", [20, 5])
+def test_runs_like_brute_force(spark, length):
+    r = random.Random(length)
+    runs = lambda n: " ".join(" ".join(r.choice([["a"], ["a", "b"], ["a", "b", "c"], [f"w{k}" for k in range(9)], [f"v{k}" for k in range(30)]]) * r.randrange(1, n)) for _ in range(3))
+    rows = [(i, runs(2 + 4 * (i % 9))) for i in range(60)] + [(70, "a " * 400), (71, "a b " * 300), (72, "q " + "a " * 90 + "z " + "a " * 200)]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), length).collect()}
+    assert got == brute(rows, length)
+
+
+@pytest.mark.parametrize("text", ["the " * 250_000, "a b c " * 80_000, " ".join(f"w{k}" for k in range(9)) + " " + "x y " * 100_000])
+def test_a_run_costs_few_stretches(text):
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text]), pa.array([0], pa.int32())], ["doc_id", "text", "tag"])
+    found = list(stretches(20)(iter([batch])))
+    assert sum(b.num_rows for b in found) < 1000 and sum(sum(b.column(4).to_pylist()) for b in found) == len(text.split()) - 19
+
+
 def test_empty_and_repeated_rows(spark):
     schema = "doc_id long, text string"
     assert substring_dedup(spark.createDataFrame([], schema)).count() == 0

@@ -1,10 +1,11 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.llm.suffixes import suffix_dedup
+from tickloom.llm.suffixes import first_digit, suffix_dedup
 
 
 def brute(rows, length):
@@ -56,6 +57,25 @@ def test_like_brute_force(spark, seed, length):
     assert {(r.at, r.key, r.tag, r.spans, r["__text"], r.text) for r in found} == {(3, "x", 4, 5, 1, t) for _, t in rows}
 
 
+RUNS = ["ab" * 600, "x" * 900, "abcdefghi" * 150, "q" + "ab" * 300 + "Q", "ab" * 300 + "c" + "ab" * 300, "b" + "x" * 200 + "y" + "x" * 450, "abc" * 70 + "abd" * 70, "abcdefghi" * 40 + "tail"]
+
+
+@pytest.mark.parametrize("length", [400, 60, 7])
+def test_runs_like_brute_force(spark, length):
+    r = random.Random(length)
+    texts = [*RUNS, *("".join(r.choice(["ab", "a", "abc", "x"]) * r.randrange(1, 3 * length) for _ in range(3)) for _ in range(12))]
+    rows = list(enumerate(texts))
+    found = suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), length).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, [tuple(x) for x in r.removed], bytes(r.kept)) for r in found} == brute(rows, length)
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, "abcdefghi" * 120_000, "x" * 300 + "ab" * 500_000])
+def test_a_run_costs_few_places(text):
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text]), pa.array([0], pa.int32())], ["doc_id", "text", "tag"])
+    found = list(first_digit(400, 32)(iter([batch])))
+    assert sum(b.num_rows for b in found) < 1000 and sum(sum(b.column(4).to_pylist()) for b in found) == len(text) - 399
+
+
 def test_empty_null_and_repeated(spark):
     schema = "doc_id long, text string"
     assert suffix_dedup(spark.createDataFrame([], schema)).count() == 0

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -35,5 +36,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def trimmed(word: Column, inside: str) -> Column:
+    """word without what isn't in the class inside (as in a regular expression) at either end; each end in linear time."""
+    edge = f"^[^{inside}]+"
+    return F.reverse(F.regexp_replace(F.reverse(F.regexp_replace(word, edge, "")), edge, ""))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")

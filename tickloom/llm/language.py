@@ -3,7 +3,7 @@ longest known character n-grams, from LONGEST characters down to one.
 
 The model is fitted on a bounded sample of the labelled rows (SAMPLE rows, by hash of the doc_id; documented bound), whose
 words are counted by Spark; of each language it holds the WORDS most frequent words and the GRAMS most frequent n-grams of
-each length, each with the languages that have it. So its size is in proportion to the number of languages, and it is sent to
+each length (parameters of fit(); None holds all), each with the languages that have it. So its size is in proportion to the number of languages, and it is sent to
 the tasks whole. Every document is scored over its whole text.
 
 Texts that are null or have no letter get `und` and score 0. A model without languages gives `und` for all. Ties go to the
@@ -17,27 +17,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import settle
+from tickloom.llm import textkit
+from tickloom.llm.common import settle, trimmed
 from tickloom.llm.textkit import BYTE_VALUE, Rolling, Words, ranges, row_of, slices, text_bytes
 
 SAMPLE, WORDS, GRAMS, LONGEST = 20_000, 20_000, 5_000, 4
 #: Frequency that an unseen word or n-gram counts as having, in the log.
 FLOOR = -14.0
-EDGE = r"^[^\p{L}]+|[^\p{L}]+$"
+#: What a word begins and ends with.
+INSIDE = r"\p{L}"
+#: Times that a word stands in the sample at least.
+LEAST = 2
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
     """(lang, word, n): lower-case words without what is no letter at either end, in rows (lang, text)."""
     words = F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("word")
-    words = rows.select("lang", words).select("lang", F.regexp_replace("word", EDGE, "").alias("word")).where("word <> ''")
+    words = rows.select("lang", words).select("lang", trimmed(F.col("word"), INSIDE).alias("word")).where("word <> ''")
     return words.groupBy("lang", "word").agg(F.count("*").alias("n"))
 
 
-def fit(rows: DataFrame, sample: int = SAMPLE) -> dict:
-    """The model from rows (doc_id, text, lang); null languages are not learned."""
+def fit(rows: DataFrame, sample: int = SAMPLE, words: int | None = WORDS, grams: int | None = GRAMS, least: int = LEAST) -> dict:
+    """The model from rows (doc_id, text, lang); null languages are not learned. words, grams: of a language and, for n-grams, length (None: all of the sample's); least: times that a word must stand in the sample."""
     rows = rows.where("lang is not null and text is not null").select("doc_id", "lang", "text")
     total = rows.count()
     if total > sample:
@@ -46,17 +50,36 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> dict:
     own = Window.partitionBy("lang")
     sums = dict(counts.groupBy("lang").agg(F.sum("n")).collect())
     langs = sorted(sums)
-    best = counts.where("n > 1").withColumn("rank", F.row_number().over(own.orderBy(F.desc("n"), "word"))).where(F.col("rank") <= WORDS)
+    best = most_frequent(counts.where(F.col("n") >= least), "word", words)
     place = {lang: k for k, lang in enumerate(langs)}
-    words = gathered((r.word, place[r.lang], np.log(r.n / sums[r.lang])) for r in best.select("lang", "word", "n").toLocalIterator())
-    edged = F.concat(F.lit("^"), "word", F.lit("$"))
-    grams = []
+    known = gathered((r.word, place[r.lang], np.log(r.n / sums[r.lang])) for r in best.select("lang", "word", "n").toLocalIterator())
+    # of a word's characters, which are taken apart once: a substring would be sought from the word's start each time
+    letters = F.regexp_extract_all(F.concat(F.lit("^"), "word", F.lit("$")), F.lit("(?s)."), F.lit(0))
+    pieces = []
     for size in range(1, LONGEST + 1):
-        at = F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.length(edged) - size, F.lit(0))), lambda i: F.substring(edged, i + 1, F.lit(size)))).alias("gram")
-        of = counts.select("lang", "n", at).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-        grams.append(of.withColumn("all", F.sum("n").over(own)).withColumn("rank", F.row_number().over(own.orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= GRAMS))
-    parts = {size: gathered((r.gram, place[r.lang], np.log(r.n / r["all"])) for r in of.select("lang", "gram", "n", "all").toLocalIterator()) for size, of in enumerate(grams, 1)}
-    return {"langs": langs, "words": words, "grams": parts}
+        of = counts.select("lang", "n", F.explode(F.flatten(F.transform(F.array(letters), runs_of(size)))).alias("gram"))
+        of = of.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        pieces.append(most_frequent(of.withColumn("all", F.sum("n").over(own)), "gram", grams))
+    parts = {size: gathered((r.gram, place[r.lang], np.log(r.n / r["all"])) for r in of.select("lang", "gram", "n", "all").toLocalIterator()) for size, of in enumerate(pieces, 1)}
+    return {"langs": langs, "words": known, "grams": parts}
+
+
+def runs_of(size: int):
+    """From an array of letters to all runs of that many (a shorter word is one)."""
+
+    def run(letters: Column) -> Column:
+        first = F.sequence(F.lit(1), F.greatest(F.size(letters) - size + 1, F.lit(1)))
+        return F.transform(first, lambda i: F.array_join(F.slice(letters, i, F.lit(size)), ""))
+
+    return run
+
+
+def most_frequent(counts: DataFrame, name: str, most: int | None) -> DataFrame:
+    """Of each language the most frequent rows (lang, name, n); None: all."""
+    if most is None:
+        return counts
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), name))
+    return counts.withColumn("rank", rank).where(F.col("rank") <= most)
 
 
 #: Of a word or n-gram: the languages that have it, and by how much its log frequency there is above FLOOR.
@@ -76,16 +99,14 @@ class Scorer:
     KEPT = 200_000
 
     def __init__(self, model: dict):
-        import regex
-
         self.langs, self.words, self.grams = model["langs"], model["words"], model["grams"]
-        self.edge, self.known = regex.compile(EDGE), {}
+        self.known = {}
 
     def word(self, raw: bytes) -> Entry | None:
         """None if the word has no letter."""
         if raw in self.known:
             return self.known[raw]
-        word = self.edge.sub("", raw.decode("utf-8", "replace").lower())
+        word = textkit.trimmed(raw.decode("utf-8", "replace").lower(), str.isalpha)
         found = None
         if word:
             found = self.words.get(word)

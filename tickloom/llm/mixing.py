@@ -8,10 +8,10 @@ A source whose target is a whole number of repetitions and a part gets the whole
 the documents that come first in a seeded order while they fit into the part, and for the one that then comes closest to
 what is left of it. For that order documents are dealt by hash to
 buckets in each source (4,096, or more if there are more than 4 million documents; which doesn't change the order); sums of the buckets' sizes place each bucket, and documents are ordered only inside one.
-So neither the largest source nor any group is in one task.
+So neither the largest source nor any group is in one task, and sources are numbered by ranges of their names.
 
 A null text has size 0, a null source is one of its own (and comes last). Rows that repeat a doc_id are documents of their
-own; only rows that are equal in doc_id and text share a place in the order. An empty table gives an empty result. Columns
+own; those that are equal in doc_id and text are neighbours in the order. An empty table gives an empty result. Columns
 of docs that have the name of a result column are replaced (names gives others); all others stay as they are.
 """
 
@@ -70,29 +70,55 @@ def mix_sources(docs: DataFrame, weight=cyclic, epochs: int = 3, seed: str = "mi
     docs = docs.withColumn(bucket, F.substring(order, 1, digits))
 
     buckets = settle(docs.groupBy(F.col(key).alias("key"), F.col(bucket).alias("bucket")).agg(F.max("source").alias("source"), F.sum(size).alias("sum")))
-    sources = buckets.groupBy("key").agg(F.max("source").alias("source"), F.sum("sum").alias("source_size"))
-    number = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))  # of sources, not of documents
-    filled = targets(settle(sources.withColumn("weight", weight(number))), epochs)
+    sources = numbered(buckets.groupBy("key").agg(F.max("source").alias("source"), F.sum("sum").alias("source_size")))
+    filled = targets(settle(sources.withColumn("weight", weight(F.col("number"))).drop("number")), epochs)
     filled = filled.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     filled = filled.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    earlier = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    placed = buckets.withColumn("start", F.coalesce(F.sum("sum").over(earlier), F.lit(0))).join(filled.drop("source", "weight"), "key")
+    placed = with_starts(buckets, digits).join(filled.drop("source", "weight"), "key")
     placed = placed.select(F.col("key").alias(key), F.col("bucket").alias(bucket), F.col("start").alias(start), F.col("source_size").alias(source_size), F.col("target").alias(target), F.col("whole").alias(whole), F.col("rest").alias(rest))
 
     inside = Window.partitionBy(key, bucket).orderBy(order, size).rowsBetween(Window.unboundedPreceding, -1)
     reaches = F.col(start) + F.coalesce(F.sum(size).over(inside), F.lit(0)) + F.col(size)
-    # what is left of the part is filled by the one document that comes closest to it, if that is closer than none
+    # what is left of the part is filled by the one row that comes closest to it, if that is closer than none; of equal rows
+    # the one that comes first, which its place in the order tells from the others
     light = docs.select(key, bucket, order, size).join(placed, [key, bucket]).withColumn(before, reaches)
     left = light.groupBy(key).agg((F.max(rest) - F.coalesce(F.sum(F.when(F.col(before) <= F.col(rest), F.col(size))), F.lit(0))).alias("left"))
     others = light.where(F.col(before) > F.col(rest)).join(left, key).where(f"`{size}` > 0 and abs(`{size}` - left) < left")
-    one = settle(others.groupBy(F.col(key).alias("key")).agg(F.min(F.struct(F.abs(F.col(size) - F.col("left")).alias("off"), F.col(order).alias("one"))).alias("m")).select("key", "m.one"))
-    joined = docs.join(placed.join(one.select(F.col("key").alias(key), F.col("one").alias(last)), key, "left"), [key, bucket])
+    closest = F.min(F.struct(F.abs(F.col(size) - F.col("left")).alias("off"), F.col(order).alias("one"), F.col(before).alias("at")))
+    one = settle(others.groupBy(F.col(key).alias("key")).agg(closest.alias("m")).select("key", "m.one", "m.at"))
+    joined = docs.join(placed.join(one.select(F.col("key").alias(key), F.struct("one", "at").alias(last)), key, "left"), [key, bucket])
     joined = joined.withColumn(before, reaches)
-    more = ((F.col(rest) > 0) & (F.col(before) <= F.col(rest))) | F.coalesce(F.col(order) == F.col(last), F.lit(False))
+    is_last = F.coalesce((F.col(order) == F.col(last)["one"]) & (F.col(before) == F.col(last)["at"]) & (F.col(size) > 0), F.lit(False))
+    more = ((F.col(rest) > 0) & (F.col(before) <= F.col(rest))) | is_last
     joined = joined.withColumn(copies, (F.col(whole) + F.when(more, 1).otherwise(0)).cast("int"))
     return joined.select(*given, size, source_size, target, copies, (F.col(size) * F.col(copies)).alias(taken))
 
 
+def numbered(sources: DataFrame) -> DataFrame:
+    """sources with number, from 1 by source (null last): counted within ranges of sources, to which the ranges before are added, so that no task has all."""
+    placed = sources.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
+    placed = settle(placed.withColumn("place", F.monotonically_increasing_id()))
+    part = F.shiftright("place", 33)
+    counts = placed.groupBy(part.alias("part")).count().orderBy("part").collect()  # a row for each partition
+    first, starts = 1, []
+    for r in counts:
+        starts += [F.lit(r.part).cast("long"), F.lit(first).cast("long")]
+        first += r["count"]
+    inside = F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    number = F.element_at(F.create_map(*starts), part) + inside if starts else F.lit(0)
+    return placed.withColumn("number", number.cast("long")).drop("place")
+
+
+def with_starts(buckets: DataFrame, digits: int) -> DataFrame:
+    """buckets with start: the sum of those before in their source. Groups of buckets come first (by half of the digits), then buckets in a group, so that no task has all buckets of a source."""
+    group = F.substring("bucket", 1, digits // 2)
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    groups = buckets.groupBy("key", group.alias("group")).agg(F.sum("sum").alias("all"))
+    groups = groups.select("key", "group", F.coalesce(F.sum("all").over(before("key").orderBy("group")), F.lit(0)).alias("first"))
+    inside = F.coalesce(F.sum("sum").over(before("key", "group").orderBy("bucket")), F.lit(0))
+    return buckets.withColumn("group", group).withColumn("inside", inside).join(groups, ["key", "group"]).withColumn("start", F.col("first") + F.col("inside")).drop("group", "first", "inside")
+
+
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size,
@@ -119,8 +145,8 @@ WITH d AS (
 ), f AS (
   SELECT *, rest - coalesce(sum(CASE WHEN CAST(reaches AS DOUBLE) <= rest THEN size END) OVER (PARTITION BY source), 0) AS gap FROM p
 ), one AS (
-  SELECT source, arg_min(h, {'off': abs(size - gap), 'h': h}) AS best FROM f WHERE CAST(reaches AS DOUBLE) > rest AND size > 0 AND abs(size - gap) < gap GROUP BY source
+  SELECT source, min({'off': abs(size - gap), 'h': h, 'r': reaches}) AS best FROM f WHERE CAST(reaches AS DOUBLE) > rest AND size > 0 AND abs(size - gap) < gap GROUP BY source
 )
-SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN CAST(reaches AS DOUBLE) <= rest OR h = best THEN 1 ELSE 0 END) AS BIGINT) AS taken
+SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN CAST(reaches AS DOUBLE) <= rest OR (size > 0 AND h = best.h AND reaches = best.r) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM f LEFT JOIN one ON f.source IS NOT DISTINCT FROM one.source
 """

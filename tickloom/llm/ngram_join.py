@@ -18,7 +18,7 @@ Documents with equal n-gram sets are one node. The product is not formed where s
    pairs are rows.
 
 Components of these forests are the classes. Null or wordless texts have an empty set and no links. Rows with a null
-doc_id have a class only through rows with an equal set; else their component_id is null. Rows that repeat a doc_id are
+doc_id link as others do; the component_id of a class without any doc_id is null. Rows that repeat a doc_id are
 judged each by its own text. Two sets with the same 64-bit fingerprint and size count as equal. An empty table gives an
 empty result; other columns of docs are not looked at.
 """
@@ -391,12 +391,17 @@ def ngram_components(docs: DataFrame, size: int = 4, percent: int = 85, hashes:
     edges = lists.repartition("list").sortWithinPartitions("list", "n", "node").mapInArrow(postings(percent), "a long, b long")
     parts = settle(components(edges))
 
-    names = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count("*").alias("copies"))
-    found = settle(parts.join(names, "node").where("doc_id is not null"))
+    # a node's text is found by its smallest doc_id; of rows without one, by the text's hash
+    names = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash"), F.max("n").alias("n"), F.count("*").alias("copies"))
+    found = settle(parts.join(names, "node"))
     cuts = found.groupBy("root").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / BLOCK), F.ceil(F.count("*") / 1000)).cast("long").alias("cuts"))
-    wanted = found.join(cuts, "root").select("doc_id", "node", F.col("root").alias("part"), "cuts", "copies")
-    wanted = F.broadcast(wanted) if found.count() <= BROADCAST else wanted
-    chosen = texts.join(wanted, "doc_id").select("doc_id", "text", "node", "part", "cuts", "copies")
+    wanted = found.join(cuts, "root").select("doc_id", "text_hash", "node", F.col("root").alias("part"), "cuts", "copies")
+    size_of = found.agg(F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("nameless")).first()
+    small = (lambda df: F.broadcast(df)) if size_of.n <= BROADCAST else (lambda df: df)
+    chosen = texts.join(small(wanted.where("doc_id is not null").drop("text_hash")), "doc_id").select("doc_id", "text", "node", "part", "cuts", "copies")
+    if size_of.nameless:
+        own = texts.where("doc_id is null").join(small(wanted.where("doc_id is null").drop("doc_id")), "text_hash")
+        chosen = chosen.unionByName(own.dropDuplicates(["text_hash"]).select(*chosen.columns))
     sets = chosen.mapInArrow(whole_sets(size), "part long, i long, j long, node long, grams array<long>, own long, copies long")
     links = settle(sets.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j", "node").mapInArrow(blocks(percent), "a long, b long, n long"))
     classes = components(links)

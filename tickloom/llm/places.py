@@ -49,6 +49,17 @@ def places(mark: np.ndarray, stretch: np.ndarray, ids: np.ndarray, tag: np.ndarr
     return pa.RecordBatch.from_arrays([signed(m), signed(w), i, s, windows[order], at[order], state | (g << 2).astype(np.int32)], NAMES)
 
 
+def settled_runs(ids: np.ndarray, tag: np.ndarray, start: np.ndarray, windows: np.ndarray, at: np.ndarray, run: np.ndarray) -> pa.RecordBatch:
+    """One row of PLACE for each run of places that are gone and stand for no others (run: which places; those side by side are one run)."""
+    first = np.flatnonzero(run & ~np.append(False, run[:-1]))
+    last = np.flatnonzero(run & ~np.append(run[1:], False))
+    total = np.concatenate(([0], np.cumsum(windows)))
+    n = total[last + 1] - total[first]
+    mark = mix(ids[first].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start[first].astype(np.uint64), 1)
+    state = np.full(len(first), LATER, np.int32) | (tag[first] << 2).astype(np.int32)
+    return pa.RecordBatch.from_arrays([signed(mark), signed(mark), ids[first], start[first], n, at[first], state], NAMES)
+
+
 def judge(rows: DataFrame, first_stays: bool = True) -> DataFrame:
     """(doc_id, tag, start, windows, at, gone, open). gone: an equal place stands earlier (or, unless first_stays, anywhere else). open: the first of its equals, but its mark also stands in a different stretch."""
     rows = rows.repartition("mark")  # one exchange, the same for all that is asked of it

@@ -22,10 +22,6 @@ from tickloom.llm.toxicity import score_toxicity
 from tickloom.llm.urls import filter_urls
 
 
-#: Bytes of a passage of some fifty short words: repeated ones are counted as n_passage, also where they are shorter than the 400 that are removed.
-PASSAGE_BYTES = 250
-
-
 def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality_rules(table(spark, folder, "documents").select("doc_id", "text", "source"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_left")
@@ -54,8 +50,7 @@ def op5_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    found = suffix_dedup(docs, noted=PASSAGE_BYTES)
-    return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2(F.col("kept"), 256).alias("kept_sha256"), F.col("n_noted").alias("n_passage"))
+    return suffix_dedup(docs).select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
 def op7_url_filters(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,7 +10,7 @@ After ROUNDS rounds each window of `length` words is represented by a *mark*: th
 row among those that are certain whatever stands outside the window (of single words, if long runs leave no such phrase).
 Equal windows have equal marks at the same offset, so windows need comparing only where a mark is shared. Neighbouring
 windows with the same mark form a *stretch* (mark, fingerprint of all its words). One row per stretch is shuffled, about
-one for six words: a stretch that stands earlier is removed as a whole, a mark that stands nowhere else ends there, and
+one for six words (and a few for a run of the same passage over and over): a stretch that stands earlier is removed as a whole, a mark that stands nowhere else ends there, and
 only first stretches that share their mark with a different stretch are opened into single windows. Windows and stretches
 count as equal if two fingerprints agree (128 bits).
 
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.places import KEY, PLACE, SPANS, TAG, Texts, judge, places, spans_of
+from tickloom.llm.places import KEY, PLACE, SPANS, TAG, Texts, judge, places, settled_runs, spans_of
 from tickloom.llm.textkit import Rolling, Words, covered, mix, ranges, row_of, slices, text_bytes
 
 ROUNDS = 3
@@ -109,13 +109,36 @@ def stretches(length: int):
             head = np.flatnonzero(new)
             n = np.diff(np.append(head, len(start)))
             s = start[head]
-            whole = Rolling(mix(names, 7), 1).span(s, s + n - 1 + length)
+            two = Rolling(mix(names, 7), 1)
+            run = periodic(Rolling(names), two, mark[head], s, n, at[head], row[head], length)
+            place = ids[row[head]], tags[row[head]], s - words.rows[row[head]], n, 0 * n
+            if run.any():
+                yield settled_runs(*place, run)
+            keep = ~run
+            whole = two.span(s, s + n - 1 + length)
             whole = mix(whole + (at[head] - s).astype(np.uint64) * np.uint64(0x8EBC6AF09C88C6E3))
-            yield places(mark[head], whole, ids[row[head]], tags[row[head]], s - words.rows[row[head]], n, 0 * n)
+            yield places(mark[head][keep], whole[keep], *(x[keep] for x in place))
 
     return run
 
 
+def periodic(one: Rolling, two: Rolling, mark: np.ndarray, s: np.ndarray, n: np.ndarray, at: np.ndarray, row: np.ndarray, length: int) -> np.ndarray:
+    """Which stretches are inside a run that repeats itself: all their windows start in the stretch before too, and that one's in the one before it.
+
+    The first two stretches of a run stay, which have all its windows; so a run of any length costs a few stretches.
+    """
+    again = np.zeros(len(s), bool)
+    if len(s) > 2:
+        step = at[1:] - at[:-1]
+        near = (row[1:] == row[:-1]) & (s[1:] == s[:-1] + n[:-1]) & (mark[1:] == mark[:-1]) & (step > 0)
+        # shifted back by the step they lie in the stretch before
+        near &= (s[1:] - step >= s[:-1]) & (s[1:] + n[1:] - step <= s[1:])
+        k = np.flatnonzero(near) + 1
+        begin, end, step = s[k], s[k] + n[k] - 1 + length, step[k - 1]
+        again[k] = (one.span(begin, end) == one.span(begin - step, end - step)) & (two.span(begin, end) == two.span(begin - step, end - step))
+    return again & np.append(False, again[:-1])
+
+
 def windows(length: int, text: int):
     """mapInArrow over keyed texts with __spans: the single windows of the stretches to be opened."""
 

@@ -7,7 +7,8 @@ one member or is known to be equal throughout:
 1. A window's anchor is the smallest gram of GRAM bytes in it (by fingerprint); equal windows have it at the same offset.
    The first digit is that of the suffix which starts at the anchor: its first GRAM bytes. Windows side by side share their
    anchor, so one row stands for about (length - GRAM) / 2 of them. An anchor's digit that stands nowhere else ends there;
-   a run of windows all of whose bytes stand elsewhere too is settled as a whole.
+   a run of windows all of whose bytes stand elsewhere too is settled as a whole. Inside a run of equal bytes, or of any
+   shorter passage over and over, windows stand again a few bytes on; such a run costs a few rows, whatever its length.
 2. Within the rest, the bytes around the anchor that 24 neighbouring windows have in common, cells being counted from it;
    then the same for 5 of them.
 3. The window itself, for each suffix that is left.
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.places import KEY, PLACE, SPANS, TAG, Texts, judge, places, spans_of
+from tickloom.llm.places import KEY, PLACE, SPANS, TAG, Texts, judge, places, settled_runs, spans_of
 from tickloom.llm.textkit import BYTE_VALUE, Rolling, covered, mix, ranges, row_of, slices, text_bytes
 
 #: Bytes of an anchor, and how many neighbouring windows are one in the passes after the first.
@@ -83,11 +84,33 @@ def first_digit(length: int, gram: int):
         n = np.diff(np.append(head, len(start)))
         s, at = start[head], at[head]
         row = row_of(rows, s)
-        yield places(grams[at], stretch(values, s, s + n - 1 + length, at), ids[row], tags[row], s - rows[row] + shift, n, at - s, False)
+        run = periodic(Rolling(values, 1), rolling, grams, s, n, at, row, length)
+        place = ids[row], tags[row], s - rows[row] + shift, n, at - s
+        if run.any():
+            yield settled_runs(*place, run)
+        keep = ~run
+        yield places(grams[at[keep]], stretch(values, s[keep], (s + n - 1 + length)[keep], at[keep]), *(x[keep] for x in place), False)
 
     return run
 
 
+def periodic(one: Rolling, two: Rolling, grams: np.ndarray, s: np.ndarray, n: np.ndarray, at: np.ndarray, row: np.ndarray, length: int) -> np.ndarray:
+    """Which places are inside a run that repeats itself: all their windows start again in the next place, and that one's in the one after.
+
+    The last two places of a run stay, which have all its windows; so a run of any length costs a few places.
+    """
+    again = np.zeros(len(s), bool)
+    if len(s) > 2:
+        a, step = slice(None, -1), at[1:] - at[:-1]
+        near = (row[1:] == row[:-1]) & (s[1:] == s[:-1] + n[:-1]) & (grams[at[1:]] == grams[at[:-1]]) & (step > 0)
+        # shifted by the step they lie in the next place
+        near &= (s[a] + step + n[a] <= s[1:] + n[1:])
+        k = np.flatnonzero(near)
+        begin, end, step = s[k], s[k] + n[k] - 1 + length, step[k]
+        again[k] = (one.span(begin, end) == one.span(begin + step, end + step)) & (two.span(begin, end) == two.span(begin + step, end + step))
+    return again & np.append(again[1:], False)
+
+
 def stretch(values: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Of all bytes from start to end, and where the anchor is in them."""
     return mix(Rolling(values, 1).span(start, end) + (at - start + (1 << 20)).astype(np.uint64) * np.uint64(0x8EBC6AF09C88C6E3))

@@ -135,6 +135,16 @@ class Words:
         return pa.StringArray.from_buffers(len(lengths), pa.py_buffer(offsets), pa.py_buffer(out))
 
 
+def trimmed(word: str, inside) -> str:
+    """word without what isn't inside at either end, by position: in linear time, whatever stands between."""
+    low, high = 0, len(word)
+    while low < high and not inside(word[low]):
+        low += 1
+    while high > low and not inside(word[high - 1]):
+        high -= 1
+    return word[low:high]
+
+
 def row_of(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The row to which each position belongs."""
     return np.searchsorted(rows, at, "right") - 1

@@ -20,18 +20,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.common import settle
+from tickloom.llm import textkit
+from tickloom.llm.common import settle, trimmed
 from tickloom.llm.textkit import Words, row_of, slices, text_bytes
 
 SAMPLE, TERMS, WINDOW = 20_000, 400, 8
 #: Bytes of text of a slice.
 SLICE = 1 << 20
 BEGINNINGS = range(4, 9)
-EDGE = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+#: What a word begins and ends with.
+INSIDE = r"\p{L}\p{N}"
+#: Toxic documents that a term of the lexicon stands in at least, and its log odds.
+LEAST, ODDS = 4, 1.5
 #: Characters written for letters, and words around quoted speech. Fixed values.
 LOOKALIKES = str.maketrans("013457@$!", "oieastasi")
 REPORTING = frozenset("said says saying wrote writes called calls quote quoted quotes reported claimed alleged word words term".split())
@@ -40,21 +44,27 @@ FEATURES = 9
 
 def term_counts(rows: DataFrame) -> DataFrame:
     """(term, toxic, clean): in how many documents of rows (toxic, text) each word, and each beginning of words, stands."""
-    words = F.array_distinct(F.transform(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: F.regexp_replace(w, EDGE, "")))
-    terms = F.array_distinct(F.concat(F.col("w"), *(F.transform(F.filter("w", lambda w, k=k: F.length(w) > k), lambda w, k=k: F.concat(F.substring(w, 1, k), F.lit("*"))) for k in BEGINNINGS)))
+    words = F.array_distinct(F.transform(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: trimmed(w, INSIDE)))
+    terms = F.array_distinct(F.concat(F.col("w"), *(beginnings("w", k) for k in BEGINNINGS)))
     each = rows.select("toxic", words.alias("w")).select("toxic", F.explode(terms).alias("term")).where("length(term) >= 4")
     return each.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum(F.lit(1) - F.col("toxic")).alias("clean"))
 
 
-def learn_lexicon(rows: DataFrame) -> dict[str, float]:
-    """Terms and their weights (log odds, smoothed): at most TERMS, the surest first, and the whole words of chosen beginnings (10 * TERMS terms at most)."""
+def beginnings(words: str, k: int) -> Column:
+    """The first k letters, and *, of the words that are longer."""
+    return F.transform(F.filter(words, lambda w: F.length(w) > k), lambda w: F.concat(F.substring(w, 1, k), F.lit("*")))
+
+
+def learn_lexicon(rows: DataFrame, terms: int | None = TERMS, least: int = LEAST, odds_over: float = ODDS) -> dict[str, float]:
+    """Terms and their weights (log odds, smoothed): at most terms, the surest first, and the whole words of chosen beginnings (10 * terms at most; None: all of the sample's)."""
     size = rows.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
     toxic, clean = size.t or 0, (size.n or 0) - (size.t or 0)
     if not toxic or not clean:
         return {}
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
-    sure = term_counts(rows).where("toxic >= 4").withColumn("odds", odds).where("odds > 1.5")
-    sure = sure.withColumn("sure", F.col("odds") * F.sqrt("toxic")).orderBy(F.desc("sure"), F.endswith("term", F.lit("*")), "term").limit(10 * TERMS)
+    sure = term_counts(rows).where(F.col("toxic") >= least).withColumn("odds", odds).where(F.col("odds") > odds_over)
+    sure = sure.withColumn("sure", F.col("odds") * F.sqrt("toxic")).orderBy(F.desc("sure"), F.endswith("term", F.lit("*")), "term")
+    sure = sure if terms is None else sure.limit(10 * terms)
     out: dict[str, float] = {}
     support: dict[str, int] = {}
     under: dict[str, float] = {}
@@ -68,7 +78,7 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
         if r.term.endswith("*") and any(t.startswith(stem) and support[t] >= 0.8 * r.toxic for t in out):
             continue
         out[r.term], support[r.term] = float(r.odds), r.toxic
-        if len(out) >= TERMS:
+        if terms is not None and len(out) >= terms:
             break
     return out | under
 
@@ -210,9 +220,7 @@ class Finder:
     KEPT = 200_000
 
     def __init__(self, lexicon: dict[str, float]):
-        import regex
-
-        self.trie, self.edge, self.known = Trie(lexicon), regex.compile(EDGE), {}
+        self.trie, self.known = Trie(lexicon), {}
         self.begins, self.table = gate(lexicon)
 
     def possible(self, data: np.ndarray, words: Words) -> np.ndarray:
@@ -233,7 +241,7 @@ class Finder:
         """As Trie.match(); 4: no term, but a word that reports speech."""
         found = self.known.get(raw)
         if found is None:
-            word = self.edge.sub("", raw.decode("utf-8", "replace").lower())
+            word = textkit.trimmed(raw.decode("utf-8", "replace").lower(), str.isalnum)
             found = (0.0, 4) if word in REPORTING else (0.0, 0)
             plain = word.translate(LOOKALIKES) if not word.isalpha() else word
             weight, how = self.trie.match(plain)
@@ -312,8 +320,8 @@ def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 3
     return mean, spread, w
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
-    """The model from docs (doc_id, text) and labels (doc_id, toxic). The sample of labels is of bounded size, and so sent to where the texts are."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int | None = TERMS, least: int = LEAST, odds: float = ODDS) -> dict:
+    """The model from docs (doc_id, text) and labels (doc_id, toxic); terms, least and odds are learn_lexicon()'s. The sample of labels is of bounded size, and so sent to where the texts are."""
     labels = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     total = labels.count()
     if total > sample:
@@ -323,7 +331,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     # copies of a text count once
     rows = rows.groupBy("text", "toxic").agg(F.min("doc_id").alias("doc_id"))
     half = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(2)), F.lit(2)) == 0
-    lexicon = learn_lexicon(rows.where(half))
+    lexicon = learn_lexicon(rows.where(half), terms, least, odds)
     found = rows.where(~half).select("toxic", "text").mapInArrow(features(lexicon), "toxic int, " + ", ".join(f"f{k} double" for k in range(FEATURES)))
     table = np.array([tuple(r) for r in found.collect()], float).reshape(-1, FEATURES + 1)  # sample rows at most
     if not len(table) or len(set(table[:, 0])) < 2:
