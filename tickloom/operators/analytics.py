@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import floor_bucket
+from tickloom.operators import scan
 
 #: Upper bounds of the packet size histogram; larger ones count as -1. Fixed values.
 SIZES = (80, 128, 192, 256, 384, 512, 768, 1024, 1500)
@@ -34,8 +35,8 @@ def slow_clients(clients: DataFrame, budget: int, pressure: float, factor: int,
 def hysteresis(rows: DataFrame, key: str, value: str, high: float, low: float, order: str) -> DataFrame:
     """Adds engaged: from reaching high until falling to low."""
     event = F.when(F.col(value) >= high, True).when(F.col(value) <= low, False)
-    so_far = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("engaged", F.coalesce(F.last(event, ignorenulls=True).over(so_far), F.lit(False)))
+    found = scan.prefix(rows, key, [order], {"engaged": ("last", event)})
+    return found.withColumn("engaged", F.coalesce("engaged", F.lit(False)))
 
 
 def traffic_buckets(packets: DataFrame, width: int) -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators import scan
+
 
 def classify_gaps(rows: DataFrame, key: str, number: str, order: str = "seq") -> DataFrame:
     """Adds expected and result: in, dup or gap. A gap is jumped over; numbers start at 1."""
-    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("expected", F.coalesce(F.max(number).over(before), F.lit(0)) + 1)
+    rows = scan.prefix(rows, key, [order], {"expected": ("max", F.col(number))}, inclusive=False)
+    rows = rows.withColumn("expected", F.coalesce("expected", F.lit(0)) + 1)
     return rows.withColumn("result", F.when(F.col(number) == F.col("expected"), "in").when(F.col(number) < F.col("expected"), "dup").otherwise("gap"))
 
 
@@ -20,8 +22,7 @@ def first_copies(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def current_epoch(rows: DataFrame, key: str, version: str, order: str = "seq") -> DataFrame:
     """Drops version 0 and rows of a version lower than one seen before; adds epoch, the highest so far."""
-    so_far = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.where(F.col(version) > 0).withColumn("epoch", F.max(version).over(so_far)).where(F.col(version) == F.col("epoch"))
+    return scan.prefix(rows.where(F.col(version) > 0), key, [order], {"epoch": ("max", F.col(version))}).where(F.col(version) == F.col("epoch"))
 
 
 def gap_statistics(rows: DataFrame, key: str, number: str, kind: str, order: str = "seq") -> DataFrame:

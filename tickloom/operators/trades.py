@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import floor_bucket, has_flag
+from tickloom.operators import scan
 
 OUT_OF_SEQUENCE = 1
 
@@ -35,8 +36,7 @@ def in_time(trades: DataFrame, width: int) -> DataFrame:
     trades = trades.withColumn("time", floor_bucket(F.col("second"), width))
     if "avg" not in trades.columns:
         trades = trades.withColumn("avg", F.col("price"))
-    arrival = Window.partitionBy("security_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return trades.withColumn("__high", F.max("time").over(arrival)).where("__high is null or time >= __high").drop("__high")
+    return scan.prefix(trades, "security_id", ["seq"], {"high_time": ("max", F.col("time"))}, inclusive=False).where("high_time is null or time >= high_time").drop("high_time")
 
 
 def candles(trades: DataFrame, width: int = 1) -> DataFrame:
@@ -105,8 +105,7 @@ def as_of(rows: DataFrame, facts: DataFrame, columns: list[str], key: str = "sec
     names = [c for c in rows.columns if c not in (key, order)]
     left = rows.select(key, order, F.lit(1).alias("__kind"), F.struct(*names).alias("__row"), *(F.lit(None).cast(dict(facts.dtypes)[c]).alias(c) for c in columns))
     right = facts.select(key, order, F.lit(0).alias("__kind"), F.lit(None).cast(left.schema["__row"].dataType).alias("__row"), *columns)
-    so_far = Window.partitionBy(key).orderBy(order, "__kind").rowsBetween(Window.unboundedPreceding, 0)
-    both = left.unionByName(right).withColumns({c: F.last(c, ignorenulls=True).over(so_far) for c in columns})
+    both = scan.prefix(left.unionByName(right), key, [order, "__kind"], {c: ("last", F.col(c)) for c in columns})
     return both.where("__kind = 1").select(key, order, "__row.*", *columns)
 
 

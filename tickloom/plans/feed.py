@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tickloom.operators import book, recovery, sequence, trades
+from tickloom.operators import book, intervals, recovery, sequence, trades
 from tickloom.plans.market import EV, LIVE, NUM, ORD, STATUS, levels, live, live_sql, statuses
-from tickloom.sources import messages, numbered, order_events
+from tickloom.sources import messages, numbered, order_events, table
 
 
 #: Of heal_state: microseconds of being stale after which any snapshot is taken.
@@ -96,7 +96,18 @@ def ladders(s, d):
     return book.compare_ladders(levels(s, d), book.summed_levels(book.level_deltas(received(s, d)[1])))
 
 
+def client_books(s, d):
+    """What each customer sees of one book, at a message of its own."""
+    events = order_events(s, d)
+    bounds = events.agg((F.max("security_id") + 1).alias("securities"), (F.max("seq") + 1).alias("n"))  # one row
+    clients = table(s, d, "customer").crossJoin(F.broadcast(bounds)).select(F.col("c_custkey").alias("client_id"), F.pmod(F.col("c_custkey") * 7, "securities").alias("security_id"), F.pmod(F.col("c_custkey") * 7919, "n").alias("cutoff"))
+    return intervals.books_at(events, clients)
+
+
 QUERIES = {
+    "bbo_series": lambda s, d: intervals.best_prices(order_events(s, d)),
+    "crossing_intervals": lambda s, d: intervals.crossings(order_events(s, d)),
+    "client_books": client_books,
     "heal_state": heals,
     "heal_replays": lambda s, d: recovery.replayed(heals(s, d)),
     "bounded_reorder": lambda s, d: sequence.reordered(late_packets(s, d), 64, 2000),
@@ -196,5 +207,12 @@ ORACLE_SQL = {
     "level_deltas": f"""WITH {ORD}, {VERSIONS} SELECT seq, security_id, side, price, qty, 1 AS orders FROM ver UNION ALL SELECT until, security_id, side, price, -qty, -1 FROM ver WHERE until IS NOT NULL""",
     "ladder_equivalence": f"""WITH {RCV}{live_sql("ord")}{live_sql("rcv", "got", "gotlev")}, a AS (SELECT security_id, lev.total_qty AS x, gotlev.total_qty AS y FROM lev FULL JOIN gotlev USING (security_id, side, price))
       SELECT security_id, count(*) FILTER (x = y) AS same, count(*) FILTER (x <> y) AS different, count(*) FILTER (x IS NULL OR y IS NULL) AS alone FROM a GROUP BY ALL""",
+    "bbo_series": f"WITH {CROSS} SELECT seq, security_id, bid_px, ask_px FROM bst",
+    "crossing_intervals": f"WITH {CROSS} SELECT seq, security_id, bid_px, ask_px, state FROM edg",
+    "client_books": f"""WITH {ORD}, c AS (SELECT c_custkey AS client_id, (c_custkey * 7) % (SELECT max(security_id) + 1 FROM ord) AS security_id, (c_custkey * 7919) % (SELECT max(seq) + 1 FROM ord) AS cutoff FROM customer),
+      e AS (SELECT client_id, cutoff, ord.* FROM c JOIN ord ON ord.security_id = c.security_id AND seq <= cutoff),
+      l AS (SELECT client_id, security_id, side, order_id, arg_max({{'seq': seq, 'action': action, 'price': price, 'qty': qty}}, seq) AS e FROM e WHERE action IN ('new', 'change', 'delete') GROUP BY ALL),
+      m AS (SELECT client_id, s.side, max(seq) AS cleared FROM e JOIN (VALUES ('bid'), ('ask')) AS s(side) ON coalesce(e.side, s.side) = s.side WHERE action = 'mass_delete' GROUP BY ALL)
+      SELECT l.client_id, security_id, l.side, order_id, e.price AS price, e.qty AS qty FROM l LEFT JOIN m ON m.client_id = l.client_id AND m.side = l.side WHERE e.action <> 'delete' AND (cleared IS NULL OR e.seq > cleared)""",
     "match_flags": f"WITH {EV} SELECT security_id, count(*) FILTER (qty & 1 <> 0) AS ends, count(*) FILTER (qty & 8 <> 0) AS recovered FROM ev GROUP BY ALL",
 }
