@@ -83,7 +83,9 @@ def mix_sources(docs: DataFrame, weight=cyclic, epochs: int = 3, seed: str = "mi
     # the one that comes first, which its place in the order tells from the others
     light = docs.select(key, bucket, order, size).join(placed, [key, bucket]).withColumn(before, reaches)
     left = light.groupBy(key).agg((F.max(rest) - F.coalesce(F.sum(F.when(F.col(before) <= F.col(rest), F.col(size))), F.lit(0))).alias("left"))
-    others = light.where(F.col(before) > F.col(rest)).join(left, key).where(f"`{size}` > 0 and abs(`{size}` - left) < left")
+    # joined by bucket, not to a source's documents in one place
+    again = docs.select(key, bucket, order, size).join(placed.join(left, key), [key, bucket]).withColumn(before, reaches)
+    others = again.where(F.col(before) > F.col(rest)).where(f"`{size}` > 0 and abs(`{size}` - left) < left")
     closest = F.min(F.struct(F.abs(F.col(size) - F.col("left")).alias("off"), F.col(order).alias("one"), F.col(before).alias("at")))
     one = settle(others.groupBy(F.col(key).alias("key")).agg(closest.alias("m")).select("key", "m.one", "m.at"))
     joined = docs.join(placed.join(one.select(F.col("key").alias(key), F.struct("one", "at").alias(last)), key, "left"), [key, bucket])
