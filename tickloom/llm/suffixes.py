@@ -38,7 +38,7 @@ from tickloom.llm.textkit import BYTE_VALUE, Rolling, covered, mix, ranges, row_
 #: Bytes of an anchor, and how many neighbouring windows are one in the passes after the first.
 GRAM, CELLS = 32, (24, 5)
 #: Bytes of text of a slice; a dozen 8-byte values are held for each byte.
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 
 def smallest(values: np.ndarray, width: int) -> np.ndarray:
