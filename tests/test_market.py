@@ -196,6 +196,28 @@ def test_median_of_clients(spark):
     assert [(r.client_id, r.median) for r in found] == [(4, 2)]
 
 
+@pytest.mark.parametrize("values", [[5], [1, 2], [3, 3, 3, 3], [-(2**63), 2**63 - 1, 0], [-7, -7, 4, None], [], [None], "many", "wide"])
+def test_exact_median_by_histograms(spark, values):
+    r = random.Random(8)
+    if values in ("many", "wide"):
+        values = [r.randrange(-10 if values == "many" else -(2**62), 5000 if values == "many" else 2**62) for _ in range(999)]
+    rows = spark.createDataFrame([(v,) for v in values], "v long").repartition(3)
+    known = sorted(v for v in values if v is not None)
+    want = (known[(len(known) - 1) // 2] + known[len(known) // 2]) // 2 if known else None
+    assert analytics.whole_median(rows, "v") == want
+    assert analytics.nth(rows, "v", len(known)) is None
+    if known:
+        assert [analytics.nth(rows, "v", k) for k in (0, len(known) - 1)] == [known[0], known[-1]]
+
+
+def test_phases_are_looked_up(spark):
+    phases = spark.createDataFrame([(1, "g", 2), (5, "g", 2), (7, "g", 3), (4, "h", 1)], "seq long, security_group string, status int")
+    assert sorted(map(tuple, instruments.phase_intervals(phases).collect())) == [("g", 2, 1, 7), ("g", 3, 7, None), ("h", 1, 4, None)]
+    members = spark.createDataFrame([(10, "g"), (11, "g"), (20, "h")], "security_id long, security_group string")
+    rows = spark.createDataFrame([(0, 10), (6, 10), (7, 11), (9, 20), (9, 99)], "seq long, security_id long")
+    assert sorted((r.seq, r.security_id, r.status) for r in instruments.phase_at(rows, members, phases).collect()) == [(0, 10, None), (6, 10, 2), (7, 11, 3), (9, 20, 1)]
+
+
 def test_small_functions(spark):
     row = spark.range(1).select(fx.maturity_date(F.lit(20240131)).alias("d"), fx.maturity_date(F.lit(20249999)).alias("bad"), fx.trimmed(F.lit("AB \x00 ")).alias("t"), fx.tag_value_checksum(F.lit("8=FIX.4.4")).alias("c"), fx.floor_bucket(F.lit(-1), 5).alias("b")).collect()[0]
     assert (str(row.d), row.bad, row.t, row.c, row.b) == ("2024-01-31", None, "AB", f"{sum(b'8=FIX.4.4') % 256:03d}", -5)

@@ -25,11 +25,48 @@ def recovery_progress(states: DataFrame) -> DataFrame:
     return states.groupingSets([["kind"], []], "kind").agg(F.countDistinct("security_id").alias("known"), F.countDistinct(F.when(F.col("stale"), F.col("security_id"))).alias("stale"))
 
 
+#: Buckets of a histogram; the driver gets as many counts in a round.
+BUCKETS = 1024
+
+
+def nth(rows: DataFrame, column: str, rank: int) -> int | None:
+    """The value of that rank (from 0) of a column of whole numbers, nulls left out; None beyond the last.
+
+    Each round counts the values in BUCKETS ranges between two bounds, and goes on in the range that holds the rank: seven
+    rounds at most for 64 bits, and no buffer but one histogram.
+    """
+    value = F.col(column).cast("decimal(38,0)")
+    ends = rows.agg(F.min(value), F.max(value), F.count(column)).first()
+    if rank < 0 or rank >= ends[2]:
+        return None
+    low, high = int(ends[0]), int(ends[1])
+    while low < high:
+        width = -(-(high - low + 1) // BUCKETS)
+        at = F.expr(f"(cast(`{column}` as decimal(38,0)) - cast('{low}' as decimal(38,0))) div cast('{width}' as decimal(38,0))")
+        counts = rows.where(value.between(F.lit(low).cast("decimal(38,0)"), F.lit(high).cast("decimal(38,0)"))).groupBy(at.alias("at")).count().orderBy("at").collect()
+        for r in counts:
+            if rank < r["count"]:
+                low, high = low + r["at"] * width, min(high, low + (r["at"] + 1) * width - 1)
+                break
+            rank -= r["count"]
+    return low
+
+
+def whole_median(rows: DataFrame, column: str) -> int | None:
+    """The median of whole numbers, rounded down; of an even number of them, of the mean of the two in the middle."""
+    n = rows.agg(F.count(column)).first()[0]
+    if not n:
+        return None
+    low = nth(rows, column, (n - 1) // 2)
+    return low if n % 2 else (low + nth(rows, column, n // 2)) // 2
+
+
 def slow_clients(clients: DataFrame, budget: int, pressure: float, factor: int, floor: int) -> DataFrame:
-    """Clients (client_id, pending_bytes) above factor * median and floor, if all together press on the budget. The median is whole."""
-    stats = clients.agg(F.sum("pending_bytes").alias("total"), F.floor(F.percentile("pending_bytes", 0.5)).alias("median"))
-    limit = F.greatest(F.col("median") * factor, F.lit(floor))
-    return clients.join(F.broadcast(stats)).where((F.col("total") >= pressure * budget) & (F.col("pending_bytes") > limit)).select("client_id", "pending_bytes", "median")  # stats: one row
+    """Clients (client_id, pending_bytes) above factor * median and floor, if all together press on the budget. The median is whole, and exact."""
+    total = clients.agg(F.sum("pending_bytes")).first()[0] or 0
+    median = F.lit(whole_median(clients, "pending_bytes")).cast("long")
+    limit = F.greatest(median * factor, F.lit(floor))
+    return clients.where(F.lit(total >= pressure * budget) & (F.col("pending_bytes") > limit)).select("client_id", "pending_bytes", median.alias("median"))
 
 
 def hysteresis(rows: DataFrame, key: str, value: str, high: float, low: float, order: str) -> DataFrame:

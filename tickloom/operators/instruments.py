@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.trades import as_of
+
 
 def latest_definitions(rows: DataFrame, key: str, validity: str, order: str) -> DataFrame:
     """The last accepted row of each key: one whose validity doesn't advance on what was accepted before is skipped."""
@@ -53,6 +55,19 @@ def group_phases(phases: DataFrame, members: DataFrame) -> DataFrame:
     return changes(phases, "security_group", ["status"], "seq").join(members, "security_group")
 
 
+def phase_intervals(phases: DataFrame) -> DataFrame:
+    """(security_group, status, since, until): each phase of a group once, from one change (seq) to the next (until null: still). Members look it up; nothing is copied to them."""
+    found = changes(phases, "security_group", ["status"], "seq")
+    until = F.lead("seq").over(Window.partitionBy("security_group").orderBy("seq"))
+    return found.select("security_group", "status", F.col("seq").alias("since"), until.alias("until"))
+
+
+def phase_at(rows: DataFrame, members: DataFrame, phases: DataFrame) -> DataFrame:
+    """rows (seq, security_id) with security_group, and the status that their group has by then: a lookup as of seq, by group."""
+    grouped = rows.join(members.select("security_id", "security_group"), "security_id")
+    return as_of(grouped, phases.select("seq", "security_group", "status"), ["status"], "security_group")
+
+
 def search_symbols(instruments: DataFrame, column: str, text: str, limit: int = 20) -> DataFrame:
     """Case-insensitive contains, in order; 1 to 100 of them."""
     return instruments.where(F.contains(F.lower(column), F.lit(text.lower()))).orderBy(column).limit(min(max(limit, 1), 100))

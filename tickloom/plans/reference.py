@@ -26,6 +26,12 @@ def phase_rows(s, d):
     return table(s, d, "part").select(F.col("p_partkey").alias("seq"), F.col("p_brand").alias("security_group"), F.pmod("p_size", F.lit(4)).alias("status"))
 
 
+def traded_phases(s, d):
+    """Trades with the phase of their part's group."""
+    rows = table(s, d, "lineitem").select(F.col("l_orderkey").alias("seq"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("security_id"))
+    return instruments.phase_at(rows, members(s, d), phase_rows(s, d).withColumn("seq", F.col("seq") * 3))
+
+
 def registry(s, d):
     rows = table(s, d, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("security_id"), F.concat(F.lit("sym"), F.pmod("o_orderkey", F.lit(400)).cast("string")).alias("symbol"))
     return instruments.symbol_registry(rows)
@@ -88,6 +94,8 @@ def scalars(s, d):
 QUERIES = {
     "definition_scd1": lambda s, d: instruments.latest_definitions(definitions(s, d), "security_id", "validity", "seq"),
     "identity_change": identity,
+    "phase_intervals": lambda s, d: instruments.phase_intervals(phase_rows(s, d)),
+    "phase_of_trades": traded_phases,
     "group_phase": lambda s, d: instruments.group_phases(phase_rows(s, d), members(s, d)),
     "symbol_search": lambda s, d: instruments.search_symbols(table(s, d, "customer").select("c_custkey", "c_name"), "c_name", "CUSTOMER#0000000", 20),
     "symbol_registry": registry,
@@ -114,6 +122,10 @@ ORACLE_SQL = {
       SELECT security_id, seq, validity, status FROM b WHERE before IS NULL OR validity > before QUALIFY row_number() OVER (PARTITION BY security_id ORDER BY seq DESC) = 1""",
     "identity_change": f"""{DEF}, c AS (SELECT security_id, row_number() OVER w > 1 AND status IS DISTINCT FROM lag(status) OVER w AS changed FROM def WINDOW w AS (PARTITION BY security_id ORDER BY seq))
       SELECT security_id, count(*) FILTER (changed) AS generations FROM c GROUP BY ALL""",
+    "phase_intervals": """WITH p AS (SELECT p_partkey AS seq, p_brand AS security_group, p_size % 4 AS status, lag(p_size % 4) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS l FROM part)
+      SELECT security_group, status, seq AS since, lead(seq) OVER (PARTITION BY security_group ORDER BY seq) AS until FROM p WHERE l IS NULL OR l <> status""",
+    "phase_of_trades": """WITH p AS (SELECT p_partkey * 3 AS seq, p_brand AS security_group, p_size % 4 AS status FROM part), t AS (SELECT l_orderkey AS seq, l_linenumber AS line, l_partkey AS security_id, p_brand AS security_group FROM lineitem JOIN part ON p_partkey = l_partkey)
+      SELECT t.*, p.status FROM t ASOF LEFT JOIN p ON p.security_group = t.security_group AND t.seq >= p.seq""",
     "group_phase": """WITH p AS (SELECT p_partkey AS seq, p_brand AS security_group, p_size % 4 AS status, lag(p_size % 4) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS l FROM part)
       SELECT p.security_group, p.seq, p.status, m.p_partkey AS security_id FROM p JOIN part m ON m.p_brand = p.security_group WHERE l IS NULL OR l <> status""",
     "symbol_search": "SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), 'customer#0000000') ORDER BY c_name LIMIT 20",
