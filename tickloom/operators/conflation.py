@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import has_flag
+from tickloom.operators import jumps, scan
 
 
 def orders(events: DataFrame, keys: list[str]) -> DataFrame:
@@ -95,32 +96,25 @@ def stale_flags(states: DataFrame, keys: list[str]) -> DataFrame:
     return states.groupBy(*keys).agg(F.max_by("stale", "seq").alias("stale"), (F.bool_or("stale") & ~F.max_by("stale", "seq")).alias("snapshot"))
 
 
-def anchored_windows(events: DataFrame, key: str, time: str, length: int, order: str = "seq") -> DataFrame:
+def anchored_windows(events: DataFrame, key: str, time: str, length: int, order: str = "seq", hot: int = scan.HOT) -> DataFrame:
     """events with opened: the time of the first event of their window. A window opens with the first event after the last one was flushed, and takes what comes less than length later (0: each event is its own).
 
-    Each window's start depends on the one before, so this is an ordered state machine by key; one time and one key are
-    carried over batches.
+    A window's start depends on the one before. Only an event later than all before it can open one; the next opens with the
+    first that is length or more after it. An event that comes that long after all others opens one in any case; from these
+    the openers between are found by jumps. What has no time, or goes back, belongs to the window that is open (null: none yet).
     """
-    import numpy as np
-    import pyarrow as pa
-    from pyspark.sql import types as T
-
-    columns = events.columns
-    at = [columns.index(key), columns.index(time)]
-
-    def run(batches):
-        now, opened = object(), 0
-        for batch in batches:
-            keys, times = (batch.column(k).to_pylist() for k in at)
-            out = np.zeros(len(keys), np.int64)
-            for k, (own, moment) in enumerate(zip(keys, times)):
-                if own != now or moment - opened >= length:
-                    now, opened = own, moment
-                out[k] = opened
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "opened"])
-
-    schema = T.StructType([*events.schema.fields, T.StructField("opened", T.LongType())])
-    return events.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, schema)
+    moment = F.col(time).cast("long")
+    rows = scan.prefix(events, key, [order], {"__before": ("max", moment)}, inclusive=False, hot=hot).withColumn("__most", F.greatest("__before", moment))
+    if length <= 0:
+        return rows.withColumn("opened", F.col("__most")).drop("__before", "__most")
+    later = rows.where((F.col("__before").isNull() & moment.isNotNull()) | (moment > F.col("__before"))).select(F.col(key), moment.alias("place"), "__before")
+    points = later.select(key, "place", F.col("place").alias("value"))
+    steps = jumps.first_after(later.select(key, "place", (F.col("place") + length).alias("due")), points, key, "due", "to", hot=hot)
+    roots = later.where(F.col("__before").isNull() | (F.col("place") - F.col("__before") >= length))
+    opened = jumps.reached(steps, roots, key).select(key, F.col("place").alias("__most"), F.col("place").alias("__opener"), F.lit(0).alias("__turn"))
+    both = rows.withColumn("__turn", F.lit(1)).unionByName(opened, allowMissingColumns=True)
+    found = scan.prefix(both, key, ["__most", "__turn"], {"opened": ("max", F.col("__opener"))}, hot=hot).where("__turn = 1")
+    return found.select(*events.columns, "opened")
 
 
 def snapshot_bundle(parts: dict[int, DataFrame], requests: DataFrame) -> DataFrame:
