@@ -107,7 +107,7 @@ def anchored_windows(events: DataFrame, key: str, time: str, length: int, order:
     rows = scan.prefix(events, key, [order], {"__before": ("max", moment)}, inclusive=False, hot=hot).withColumn("__most", F.greatest("__before", moment))
     if length <= 0:
         return rows.withColumn("opened", F.col("__most")).drop("__before", "__most")
-    later = rows.where((F.col("__before").isNull() & moment.isNotNull()) | (moment > F.col("__before"))).select(F.col(key), moment.alias("place"), "__before")
+    later = jumps.settled(rows.where((F.col("__before").isNull() & moment.isNotNull()) | (moment > F.col("__before"))).select(F.col(key), moment.alias("place"), "__before"))
     points = later.select(key, "place", F.col("place").alias("value"))
     steps = jumps.first_after(later.select(key, "place", (F.col("place") + length).alias("due")), points, key, "due", "to", hot=hot)
     roots = later.where(F.col("__before").isNull() | (F.col("place") - F.col("__before") >= length))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tickloom.operators import book, intervals, recovery, sequence, trades
+from tickloom.operators import book, episodes, intervals, jumps, recovery, sequence, trades
 from tickloom.plans.market import EV, LIVE, NUM, ORD, STATUS, levels, live, live_sql, statuses
 from tickloom.sources import messages, numbered, order_events, table
 
@@ -104,7 +104,26 @@ def client_books(s, d):
     return intervals.books_at(events, clients)
 
 
+def snapshots_among(s, d):
+    """Order events after losses; every tenth message is a snapshot instead, now and then a reset."""
+    every, got = received(s, d)
+    op = F.when(F.pmod("seq", F.lit(901)) == 0, "reset").when(F.pmod("seq", F.lit(10)) == 0, "snapshot").otherwise("book")
+    rows = got.withColumn("op", op)
+    return every, rows.withColumn("rpt_seq", F.when(F.col("op") == "snapshot", F.greatest(F.lit(0), F.col("rpt_seq") - F.pmod("seq", F.lit(3)))).otherwise(F.col("rpt_seq")))
+
+
+def episode_books(s, d):
+    """Snapshots hold the whole book at their number."""
+    every, rows = snapshots_among(s, d)
+    found = jumps.settled(episodes.episodes(rows))
+    asked = found.select(F.col("healed_seq").alias("client_id"), "security_id", F.col("number").alias("cutoff"))
+    orders = intervals.books_at(every.withColumn("seq", F.col("rpt_seq")), asked).withColumnRenamed("client_id", "healed_seq")
+    return episodes.episode_books(found, orders, rows)
+
+
 QUERIES = {
+    "heal_episodes": lambda s, d: episodes.episodes(operations(s, d).where("op not in ('mark_stale', 'empty_snapshot')")),
+    "episode_books": episode_books,
     "bbo_series": lambda s, d: intervals.best_prices(order_events(s, d)),
     "crossing_intervals": lambda s, d: intervals.crossings(order_events(s, d)),
     "client_books": client_books,
@@ -146,12 +165,16 @@ CROSS = ORD + ", " + VERSIONS + """, bst AS (SELECT e.seq, e.security_id, max(CA
   sta AS (SELECT *, CASE WHEN bid_px IS NULL OR ask_px IS NULL OR bid_px < ask_px THEN 'normal' WHEN bid_px = ask_px THEN 'locked' ELSE 'crossed' END AS state FROM bst),
   edg AS (SELECT * FROM (SELECT *, coalesce(lag(state) OVER (PARTITION BY security_id ORDER BY seq), 'normal') AS before FROM sta) WHERE state <> before)"""
 
-#: The state after each operation, one after another. steps: the security's row before, the operation, and what follows from both.
-HEALS = NUM + f""", r0 AS (
-    SELECT *, CASE WHEN seq % 901 = 0 THEN 'reset' WHEN seq % 307 = 0 THEN 'mark_stale' WHEN seq % 211 = 0 THEN 'empty_snapshot' WHEN seq % 6 = 0 THEN 'snapshot' WHEN kind = 'purchase' THEN 'statistic' WHEN kind = 'signup' THEN 'trade' ELSE 'book' END AS op FROM num
-  ), r AS (
-    SELECT seq, security_id, op, ts_us AS t, row_number() OVER (PARTITION BY security_id ORDER BY seq) AS n,
-           CASE WHEN op IN ('reset', 'mark_stale', 'empty_snapshot') THEN NULL WHEN op = 'snapshot' THEN greatest(0, rpt_seq - seq % 5) WHEN op = 'trade' THEN rpt_seq - seq % 3 ELSE rpt_seq END AS x FROM r0
+#: The operations of heal_state.
+OPERATIONS = """SELECT seq, security_id, op, ts_us AS t,
+           CASE WHEN op IN ('reset', 'mark_stale', 'empty_snapshot') THEN NULL WHEN op = 'snapshot' THEN greatest(0, rpt_seq - seq % 5) WHEN op = 'trade' THEN rpt_seq - seq % 3 ELSE rpt_seq END AS x FROM (
+    SELECT *, CASE WHEN seq % 901 = 0 THEN 'reset' WHEN seq % 307 = 0 THEN 'mark_stale' WHEN seq % 211 = 0 THEN 'empty_snapshot' WHEN seq % 6 = 0 THEN 'snapshot' WHEN kind = 'purchase' THEN 'statistic' WHEN kind = 'signup' THEN 'trade' ELSE 'book' END AS op FROM num)"""
+
+
+def heals_sql(before: str, operations: str, overdue: int) -> str:
+    """The state after each operation, one after another. steps: the security's row before, the operation, and what follows from both."""
+    return before + f""", r AS (
+    SELECT *, row_number() OVER (PARTITION BY security_id ORDER BY seq) AS n FROM ({operations})
   ), st AS (
     SELECT security_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS seq, '' AS op, CAST(NULL AS BIGINT) AS x, '' AS outcome, 'unknown' AS state, CAST(0 AS BIGINT) AS seen, CAST(0 AS BIGINT) AS book, CAST(0 AS BIGINT) AS top, CAST(0 AS BIGINT) AS least,
            CAST(NULL AS BIGINT) AS since, CAST(0 AS BIGINT) AS stat, CAST(0 AS BIGINT) AS trade, CAST(NULL AS BIGINT) AS drain_from, CAST(NULL AS BIGINT) AS drain_to, CAST(NULL AS BIGINT) AS unsafe, CAST(NULL AS BIGINT) AS tail FROM (SELECT DISTINCT security_id FROM r)
@@ -170,12 +193,29 @@ HEALS = NUM + f""", r0 AS (
            CASE WHEN op = 'reset' THEN 0 WHEN op = 'statistic' THEN greatest(stat, x) ELSE stat END, CASE WHEN op = 'reset' THEN 0 WHEN op = 'trade' THEN greatest(trade, x) ELSE trade END,
            CASE WHEN heals AND seen > x THEN x + 1 END, CASE WHEN heals AND seen > x THEN seen END, CASE WHEN forced THEN least - x END, CASE WHEN forced THEN greatest(0, top - x) END
     FROM (SELECT *, CASE WHEN skips AND was = 'healthy' THEN 'stale' ELSE was END AS now, op = 'snapshot' AND was <> 'healthy' AND x >= least AS heals, op = 'empty_snapshot' AND was <> 'healthy' AS empties,
-                 coalesce(op = 'snapshot' AND was = 'stale' AND x < least AND t - since > {OVERDUE}, FALSE) AS forced
+                 coalesce(op = 'snapshot' AND was = 'stale' AND x < least AND t - since > {overdue}, FALSE) AS forced
           FROM (SELECT r.*, st.state AS was, seen, book, top, least, since, stat, trade, r.op IN ('book', 'statistic', 'trade') AS carries, r.op IN ('book', 'statistic', 'trade') AND r.x - seen > 1 AS skips
                 FROM st JOIN r ON r.security_id = st.security_id AND r.n = st.n + 1))
   )"""
 
+
+HEALS = heals_sql(NUM, OPERATIONS, OVERDUE)
+NEVER = 10**18
+#: Healthy rows by the heal that they follow; what ends them is the next row of the same security that isn't healthy.
+EPISODES = """, lif AS (SELECT *, CAST(count(*) FILTER (op = 'reset') OVER w AS BIGINT) AS resets, max(CASE WHEN outcome = 'healed' THEN seq END) OVER w AS healed_seq FROM st WHERE n > 0 WINDOW w AS (PARTITION BY security_id ORDER BY seq)),
+  eps AS (SELECT security_id, any_value(resets) FILTER (state = 'healthy') AS resets, healed_seq, arg_min(x, seq) AS number, arg_min(seen, seq) AS high, arg_min({'seq': seq, 'op': op}, seq) FILTER (state <> 'healthy') AS l, arg_max(seen, seq) FILTER (state = 'healthy') AS last_number FROM lif WHERE healed_seq IS NOT NULL GROUP BY security_id, healed_seq)"""
+AMONG = """SELECT seq, security_id, op, 0 AS t, CASE WHEN op = 'snapshot' THEN greatest(0, rpt_seq - seq % 3) ELSE rpt_seq END AS x FROM (
+    SELECT *, CASE WHEN seq % 901 = 0 THEN 'reset' WHEN seq % 10 = 0 THEN 'snapshot' ELSE 'book' END AS op FROM rcv)"""
+
 ORACLE_SQL = {
+    "heal_episodes": f"""WITH RECURSIVE {heals_sql(NUM, OPERATIONS + " WHERE op NOT IN ('mark_stale', 'empty_snapshot')", NEVER)}{EPISODES}
+      SELECT security_id, resets, healed_seq, number, high, CASE WHEN l.op <> 'reset' THEN l.seq END AS lost_seq, last_number FROM eps""",
+    # the whole feed's book at the episode's last number
+    "episode_books": f"""WITH RECURSIVE {heals_sql(RCV, AMONG, NEVER)}{EPISODES},
+      e AS (SELECT healed_seq, last_number, f.* FROM eps JOIN rcv0 f ON f.security_id = eps.security_id AND f.rpt_seq <= last_number),
+      l AS (SELECT healed_seq, security_id, side, order_id, arg_max({{'seq': seq, 'action': action, 'price': price, 'qty': qty}}, seq) AS e FROM e WHERE action IN ('new', 'change', 'delete') GROUP BY ALL),
+      m AS (SELECT healed_seq, s.side, max(seq) AS cleared FROM e JOIN (VALUES ('bid'), ('ask')) AS s(side) ON coalesce(e.side, s.side) = s.side WHERE action = 'mass_delete' GROUP BY ALL)
+      SELECT security_id, l.healed_seq, l.side, order_id, e.price AS price, e.qty AS qty FROM l LEFT JOIN m ON m.healed_seq = l.healed_seq AND m.side = l.side WHERE e.action <> 'delete' AND (cleared IS NULL OR e.seq > cleared)""",
     "heal_state": f"WITH RECURSIVE {HEALS} SELECT seq, security_id, op, x AS rpt_seq, outcome, state, drain_from, drain_to, unsafe, tail FROM st WHERE n > 0",
     "heal_replays": f"""WITH RECURSIVE {HEALS}, e AS (SELECT * FROM st WHERE outcome IN ('healed', 'forced', 'emptied', 'reset')),
       h AS (SELECT st.seq, st.security_id, st.op, st.x, (SELECT min(e.seq) FROM e WHERE e.security_id = st.security_id AND e.seq > st.seq) AS healed_by FROM st WHERE outcome = 'held')
