@@ -1,6 +1,9 @@
+import heapq
+import random
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from tickloom.sources import capture
 
@@ -53,3 +56,65 @@ def test_merge(spark):
 @pytest.mark.parametrize("data", [b"", b"\xd4\xc3\xb2\xa1", file("<", 1, [])[:24] + struct.pack("<IIII", 1, 1, 70000, 70000)])
 def test_bad_files_end(data):
     assert [r[4] for r in capture.records_of(data)] in (["no capture"], ["malformed"])
+
+
+def mixed(seed, order, nano, tail=b""):
+    """Records of all lengths; some payloads hold what looks like records, some are long."""
+    r = random.Random(seed)
+    fake = file(order, 1, [bytes(k) for k in (9, 30, 4, 7, 12, 3, 8)], nano)[24:]
+    frames = [r.choice([b"", r.randbytes(r.randrange(1, 90)), frame(r.randbytes(40)), fake, fake[5:], r.randbytes(3000)]) for _ in range(30)]
+    return file(order, 1, frames, nano) + tail
+
+
+@pytest.mark.parametrize("size", [900, 1 << 20])
+def test_ranges_like_one_walk(spark, tmp_path, size):
+    contents = {
+        "a.pcap": mixed(1, "<", False),
+        "b.pcap": mixed(2, ">", True, b"cut"),
+        "c.pcap": mixed(3, "<", False, struct.pack("<IIII", 1, 1, 70000, 70000) + bytes(900)),
+        "d.pcap": mixed(4, "<", False, struct.pack("<IIII", 1, 1, 60000, 60000) + bytes(2000)),
+        "e.pcap": b"",
+        "f.pcap": bytes(2000),
+        "g.pcap": file("<", 1, []),
+    }
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    got = {}
+    for x in capture.read_captures(spark, str(tmp_path), size).collect():
+        got.setdefault(x.file[-6:], []).append((x.n, x.ts_us, x["size"], x.port, x.payload, x.problem))
+    for name, content in contents.items():
+        want = [(n, *row) for n, row in enumerate(capture.records_of(content))] if content else []
+        assert sorted(got.get(name, [])) == want, name
+
+
+def test_guesses_are_mostly_right(spark, tmp_path):
+    """Of true captures, ranges find their first record themselves, and many tasks read one file."""
+    r = random.Random(5)
+    (tmp_path / "a.pcap").write_bytes(file("<", 1, [frame(r.randbytes(r.randrange(20, 400))) for _ in range(4000)]))
+    ranges = spark.read.format("binaryFile").load(str(tmp_path)).select(F.col("path").alias("file"), "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length"), F.lit(50_000).cast("long"))).alias("low"), F.lit(None).cast("long").alias("entry"))
+    found = capture.boundaries(ranges, 50_000).orderBy("low").collect()
+    assert len(found) > 15 and all(a.exit == b.entry for a, b in zip(found, found[1:]))
+    rows = capture.read_captures(spark, str(tmp_path), 50_000)
+    assert rows.count() == 4000 and rows.select(F.spark_partition_id().alias("p")).distinct().count() > 5
+
+
+def test_merge_like_a_heap(spark):
+    r = random.Random(6)
+    files, rows = {}, []
+    for name, group in (("x", "g"), ("y", "h"), ("z", "g")):
+        now = r.randrange(100)
+        for n in range(200):
+            now += r.choice([0, 0, 1, 2, 3, -4])
+            files.setdefault(name, []).append((now, group))
+            rows.append((name, n, now, group))
+    start = {g: min(t for _, _, t, h in rows if h == g) for g in "gh"}
+    heads = [(files[f][0][0] - start[files[f][0][1]], f, 0) for f in files]
+    heapq.heapify(heads)
+    want = []
+    while heads:
+        _, f, n = heapq.heappop(heads)
+        want.append((f, n))
+        if n + 1 < len(files[f]):
+            heapq.heappush(heads, (files[f][n + 1][0] - start[files[f][n + 1][1]], f, n + 1))
+    got = capture.merged_in_order(spark.createDataFrame(rows, "file string, n long, ts_us long, g string").repartition(5), "g").collect()
+    assert [(x.file, x.n) for x in got] == want and [x.position for x in got] == list(range(1, 601))
