@@ -117,3 +117,16 @@ def unhealthy(groups: DataFrame, now: int, limit: int) -> DataFrame:
     """Groups (name, state, last) that aren't streaming, or were quiet for longer than limit; why."""
     why = F.when(F.col("state") != "Streaming", "state").when(F.lit(now) - F.col("last") > limit, "quiet")
     return groups.withColumn("why", why).where("why is not null")
+
+
+def heaviest(rows: DataFrame, key: str, part: str, n: int = 10, m: int = 8) -> DataFrame:
+    """(key, total, rank, part, count, part_rank): the n keys with most rows, and of each the m parts (templates) with most; ties go to the smaller.
+
+    Counts by (key, part) combine before the shuffle, and totals are made of them; only the n keys are joined back. Rows
+    without a key aren't counted, a null part is one like others and comes first among equals.
+    """
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key, part).agg(F.count("*").alias("count"))
+    top = counts.groupBy(key).agg(F.sum("count").alias("total")).orderBy(F.desc("total"), key).limit(n)
+    top = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total"), key)))  # n rows
+    own = Window.partitionBy(key).orderBy(F.desc("count"), part)
+    return counts.join(F.broadcast(top), key).withColumn("part_rank", F.row_number().over(own)).where(F.col("part_rank") <= m).select(key, "total", "rank", part, "count", "part_rank")

@@ -40,6 +40,13 @@ def sequence_invariants(rows: DataFrame, key: str, number: str, kind: str, order
     )
 
 
+def packet_invariants(rows: DataFrame, packet: str, key: str, number: str, order: str = "seq") -> DataFrame:
+    """By packet: messages, and those whose number isn't above that of the message before of the same key in the packet. Messages without a number are only counted."""
+    last = Window.partitionBy(packet, key).orderBy(order)
+    before = F.last(number, ignorenulls=True).over(last.rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("__back", F.col(number) <= before).groupBy(packet).agg(F.count("*").alias("n"), F.count_if("__back").alias("back"))
+
+
 def missing_numbers(rows: DataFrame, bounds: DataFrame, key: str, number: str) -> DataFrame:
     """For each key of bounds (key, low, high): the numbers in (low, high] that rows don't have; a replay is complete if there are none."""
     bounds = bounds.where("high > low").select(key, "low", "high")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tickloom.operators import book, episodes, intervals, jumps, recovery, sequence, trades
+from tickloom.operators import analytics, book, episodes, intervals, jumps, recovery, sequence, trades
 from tickloom.plans.market import EV, LIVE, NUM, ORD, STATUS, levels, live, live_sql, statuses
-from tickloom.sources import messages, numbered, order_events, table
+from tickloom.sources import capture, messages, numbered, order_events, table
 
 
 #: Of heal_state: microseconds of being stale after which any snapshot is taken.
@@ -121,7 +121,17 @@ def episode_books(s, d):
     return episodes.episode_books(found, orders, rows)
 
 
+def merged(s, d):
+    """Messages of each kind as a capture of two groups; some times go back."""
+    back = F.when(F.pmod("seq", F.lit(17)) == 0, 90_000_000_000).otherwise(0)
+    rows = messages(s, d).select(F.col("kind").alias("file"), F.col("seq").alias("n"), (F.floor(F.col("ts_us") / 60_000_000) * 60_000_000 - back).alias("ts_us"), F.col("kind").isin("click", "view").alias("orders"))
+    return capture.merged_in_order(rows, "orders").select("file", "n", "replay_us", "position")
+
+
 QUERIES = {
+    "captures_merged": merged,
+    "packet_invariants": lambda s, d: sequence.packet_invariants(numbered(s, d).select("seq", F.floor(F.col("seq") / 500).alias("packet"), "security_id", (F.col("rpt_seq") - F.pmod(F.col("seq") * 31, F.lit(4))).alias("rpt_seq")), "packet", "security_id", "rpt_seq"),
+    "heaviest_securities": lambda s, d: analytics.heaviest(messages(s, d), "security_id", "kind"),
     "heal_episodes": lambda s, d: episodes.episodes(operations(s, d).where("op not in ('mark_stale', 'empty_snapshot')")),
     "episode_books": episode_books,
     "bbo_series": lambda s, d: intervals.best_prices(order_events(s, d)),
@@ -208,6 +218,13 @@ AMONG = """SELECT seq, security_id, op, 0 AS t, CASE WHEN op = 'snapshot' THEN g
     SELECT *, CASE WHEN seq % 901 = 0 THEN 'reset' WHEN seq % 10 = 0 THEN 'snapshot' ELSE 'book' END AS op FROM rcv)"""
 
 ORACLE_SQL = {
+    "captures_merged": f"""WITH {EV}, r AS (SELECT kind AS file, seq AS n, ts_us // 60000000 * 60000000 - CASE WHEN seq % 17 = 0 THEN 90000000000 ELSE 0 END AS t, kind IN ('click', 'view') AS g FROM ev),
+      m AS (SELECT file, n, t - min(t) OVER (PARTITION BY g) + min(t) OVER () AS replay_us FROM r), w AS (SELECT *, max(replay_us) OVER (PARTITION BY file ORDER BY n) AS due FROM m)
+      SELECT file, n, replay_us, row_number() OVER (ORDER BY due, file, n) AS position FROM w""",
+    "packet_invariants": f"""WITH {NUM}, p AS (SELECT seq, seq // 500 AS packet, security_id, rpt_seq - (seq * 31) % 4 AS x FROM num), b AS (SELECT *, lag(x) OVER (PARTITION BY packet, security_id ORDER BY seq) AS y FROM p)
+      SELECT packet, count(*) AS n, count(*) FILTER (x <= y) AS back FROM b GROUP BY packet""",
+    "heaviest_securities": f"""WITH {EV}, c AS (SELECT security_id, kind, count(*) AS "count" FROM ev GROUP BY ALL), t AS (SELECT security_id, CAST(sum("count") AS BIGINT) AS total FROM c GROUP BY ALL ORDER BY total DESC, security_id LIMIT 10)
+      SELECT security_id, total, CAST(dense_rank() OVER (ORDER BY total DESC, security_id) AS INTEGER) AS rank, kind, "count", CAST(row_number() OVER (PARTITION BY security_id ORDER BY "count" DESC, kind) AS INTEGER) AS part_rank FROM c JOIN t USING (security_id) QUALIFY part_rank <= 8""",
     "heal_episodes": f"""WITH RECURSIVE {heals_sql(NUM, OPERATIONS + " WHERE op NOT IN ('mark_stale', 'empty_snapshot')", NEVER)}{EPISODES}
       SELECT security_id, resets, healed_seq, number, high, CASE WHEN l.op <> 'reset' THEN l.seq END AS lost_seq, last_number FROM eps""",
     # the whole feed's book at the episode's last number
