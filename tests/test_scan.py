@@ -115,6 +115,17 @@ def test_books_by_intervals(spark, monkeypatch, hot):
     assert all(got.get(c, {}) == live_at(rows, s, t) for c, s, t in clients)
 
 
+def test_exploded_rows_are_not_broadcast(spark, capsys, tmp_path):
+    # from files, whose sizes are known and small
+    spark.createDataFrame(order_rows(5, 300), EVENTS).write.parquet(f"{tmp_path}/events")
+    spark.createDataFrame([(1, 7, 200)], "client_id long, security_id long, cutoff long").write.parquet(f"{tmp_path}/asked")
+    events, asked = spark.read.parquet(f"{tmp_path}/events"), spark.read.parquet(f"{tmp_path}/asked")
+    for found in (intervals.best_prices(events), intervals.crossings(events), intervals.books_at(events, asked)):
+        found.explain()
+        plan = capsys.readouterr().out
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_nothing(spark):
     none = spark.createDataFrame([], EVENTS)
     assert intervals.best_prices(none).count() == intervals.crossings(none).count() == 0

@@ -36,6 +36,11 @@ def moments(rows: DataFrame, at: str, levels: int) -> DataFrame:
     return rows.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("piece", F.call_function("shiftright", F.col(at), F.col("level")))
 
 
+def meet(points: DataFrame, cut: DataFrame) -> DataFrame:
+    """moments() of books joined to pieces() of the same books. Never by a broadcast: an estimate of rows doesn't know how often they were exploded, so one of some MB can be of hundreds."""
+    return points.hint("merge").join(cut, ["security_id", "level", "piece"])
+
+
 def versions(events: DataFrame) -> DataFrame:
     """(seq, security_id, side, order_id, price, qty, until): what each event makes of its order, until (null: never) the order's next event or the next clear of its side."""
     rows = events.where("action in ('new', 'change', 'delete', 'mass_delete')")
@@ -63,7 +68,7 @@ def best_prices(events: DataFrame) -> DataFrame:
     lives = versions(events).where("price is not null").withColumn("until", F.coalesce("until", F.lit(end + 1)))
     rank = F.when(F.col("side") == "bid", F.col("price")).otherwise(-F.col("price"))  # the best is the largest
     best = pieces(lives, "seq", "until", levels).groupBy("security_id", "level", "piece").agg(*(F.max(F.when(F.col("side") == side, rank)).alias(side) for side in ("bid", "ask")))
-    points = moments(events.select("seq", "security_id"), "seq", levels).join(best, ["security_id", "level", "piece"])
+    points = meet(moments(events.select("seq", "security_id"), "seq", levels), best)
     none = F.lit(None).cast("long")
     every = points.select("seq", "security_id", "bid", "ask").unionByName(events.select("seq", "security_id", none.alias("bid"), none.alias("ask")))
     return every.groupBy("seq", "security_id").agg(F.max("bid").alias("bid_px"), (-F.max("ask")).alias("ask_px"))
@@ -83,4 +88,4 @@ def books_at(events: DataFrame, cutoffs: DataFrame) -> DataFrame:
     levels = levels_for(end + 1)
     lives = pieces(versions(events).withColumn("until", F.coalesce("until", F.lit(end + 1))), "seq", "until", levels)
     asked = moments(cutoffs.where("cutoff >= 0").select("client_id", "security_id", "cutoff"), "cutoff", levels)
-    return asked.join(lives, ["security_id", "level", "piece"]).select("client_id", *KEY, "price", "qty")
+    return meet(asked, lives).select("client_id", *KEY, "price", "qty")
