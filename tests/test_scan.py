@@ -126,6 +126,20 @@ def test_exploded_rows_are_not_broadcast(spark, capsys, tmp_path):
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_levels_follow_the_longest_book(spark, monkeypatch):
+    levels, counted = [], []
+    moments, cuts = intervals.moments, scan.cuts
+    monkeypatch.setattr(intervals, "moments", lambda rows, at, n: levels.append(n) or moments(rows, at, n))
+    monkeypatch.setattr(scan, "cuts", lambda rows, *rest: counted.append(rows.columns) or cuts(rows, *rest))
+    events = spark.createDataFrame([(seq * 10**9, *rest) for seq, *rest in order_rows(6, 600)], EVENTS)
+    assert sorted(map(tuple, intervals.crossings(events).collect())) == sorted(map(tuple, crossing_series(events).collect()))
+    assert levels == [levels[0]] and levels[0] <= (600).bit_length()
+    # busy books are found in the events, not by making all best prices once more
+    assert counted and not any("bid_px" in columns for columns in counted)
+    twice = spark.createDataFrame([(5, 1), (5, 1), (9, 1), (9, 2)], "seq long, security_id long")
+    assert sorted((r.security_id, r.seq, r.place) for r in intervals.placed(twice).collect()) == [(1, 5, 0), (1, 5, 0), (1, 9, 2), (2, 9, 0)]
+
+
 def test_nothing(spark):
     none = spark.createDataFrame([], EVENTS)
     assert intervals.best_prices(none).count() == intervals.crossings(none).count() == 0

@@ -57,18 +57,26 @@ def last_of(events: DataFrame) -> int:
     return events.agg(F.max("seq")).first()[0] or 0
 
 
+def placed(events: DataFrame) -> DataFrame:
+    """events with place: how many events of the book come before (events of the same seq share it)."""
+    rows = scan.prefix(events, "security_id", ["seq"], {"place": ("sum", F.lit(1).cast("long"))}, inclusive=False)
+    return rows.withColumn("place", F.min(F.coalesce("place", F.lit(0).cast("long"))).over(Window.partitionBy("security_id", "seq")))
+
+
 def best_prices(events: DataFrame) -> DataFrame:
     """(seq, security_id, bid_px, ask_px) after every event: the highest live bid and the lowest live ask, null without one.
 
     Orders' prices go to the pieces of their lives, where only the best of each side stays; an event looks at the pieces that
-    hold it. Nothing runs along a book, so a busy book is many tasks, and a mass delete costs what it ends.
+    hold it. Time is the place in the book, so levels are as many as the longest book needs, not the feed. Past places, nothing
+    runs along a book, so a busy book is many tasks, and a mass delete costs what it ends.
     """
-    end = last_of(events)
-    levels = levels_for(end + 1)
-    lives = versions(events).where("price is not null").withColumn("until", F.coalesce("until", F.lit(end + 1)))
+    end = events.groupBy("security_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    levels = levels_for(end)
+    rows = placed(events)
+    lives = versions(rows.withColumn("seq", F.col("place"))).where("price is not null").withColumn("until", F.coalesce("until", F.lit(end)))
     rank = F.when(F.col("side") == "bid", F.col("price")).otherwise(-F.col("price"))  # the best is the largest
     best = pieces(lives, "seq", "until", levels).groupBy("security_id", "level", "piece").agg(*(F.max(F.when(F.col("side") == side, rank)).alias(side) for side in ("bid", "ask")))
-    points = meet(moments(events.select("seq", "security_id"), "seq", levels), best)
+    points = meet(moments(rows.select("seq", "security_id", "place"), "place", levels), best)
     none = F.lit(None).cast("long")
     every = points.select("seq", "security_id", "bid", "ask").unionByName(events.select("seq", "security_id", none.alias("bid"), none.alias("ask")))
     return every.groupBy("seq", "security_id").agg(F.max("bid").alias("bid_px"), (-F.max("ask")).alias("ask_px"))
@@ -78,7 +86,7 @@ def crossings(events: DataFrame) -> DataFrame:
     """As book.crossing_series(), from best_prices(): each change of a book's state (crossed, locked or normal)."""
     locked, crossed = F.col("bid_px") == F.col("ask_px"), F.col("bid_px") > F.col("ask_px")
     rows = best_prices(events).withColumn("state", F.when(crossed, "crossed").when(locked, "locked").otherwise("normal"))
-    rows = scan.prefix(rows, "security_id", ["seq"], {"before": ("last", F.col("state"))}, inclusive=False)
+    rows = scan.prefix(rows, "security_id", ["seq"], {"before": ("last", F.col("state"))}, inclusive=False, like=events)
     return rows.where(F.col("state") != F.coalesce("before", F.lit("normal"))).drop("before")
 
 

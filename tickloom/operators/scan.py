@@ -31,13 +31,16 @@ def cuts(rows: DataFrame, key: str, order: str, hot: int, parts: int) -> DataFra
     return spark.createDataFrame(found.collect(), found.schema)
 
 
-def prefix(rows: DataFrame, key: str, order: list[str], columns: dict[str, tuple[str, Column]], inclusive: bool = True, hot: int = HOT, parts: int = PARTS) -> DataFrame:
-    """rows with columns (name: (kind, value)): of each key, up to each row in order (itself included, or not), the max, the sum, or the last value that isn't null. Null where there is none."""
+def prefix(rows: DataFrame, key: str, order: list[str], columns: dict[str, tuple[str, Column]], inclusive: bool = True, hot: int = HOT, parts: int = PARTS, *, like: DataFrame | None = None) -> DataFrame:
+    """rows with columns (name: (kind, value)): of each key, up to each row in order (itself included, or not), the max, the sum, or the last value that isn't null. Null where there is none.
+
+    like: rows of about the same keys and order that cost less to make; busy keys and their cuts are then found in these.
+    """
     rows = rows.withColumns({f"__{name}": value for name, (_, value) in columns.items()})
     names = {name: f"__{name}" for name in columns}
     end = 0 if inclusive else -1
     run = {"max": F.max, "sum": F.sum, "last": lambda c: F.last(c, ignorenulls=True)}
-    found = cuts(rows, key, order[0], hot, parts)
+    found = cuts(rows if like is None else like, key, order[0], hot, parts)
     if found is None:
         own = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
         return rows.withColumns({name: run[kind](names[name]).over(own) for name, (kind, _) in columns.items()}).drop(*names.values())
