@@ -239,6 +239,22 @@ def test_phases_of_all_members(spark):
     assert len({r.security_id for r in got}) == len(parts)
 
 
+def test_a_large_group_is_many_tasks(spark):
+    r = random.Random(12)
+    phases = [(k, r.choice(["g", "g", "g", "h", None]), r.randrange(3)) for k in range(400)]
+    members = [(k, r.choice(["g", "g", "g", "h", "i", None]), k % 7) for k in range(200)]
+    found = instruments.group_phases(spark.createDataFrame(phases, "seq long, security_group string, status int"), spark.createDataFrame(members, "security_id long, security_group string, board int"), block=16, lot=16)
+    assert found.columns == ["security_group", "seq", "status", "security_id", "board"]
+    want, last = [], {}
+    for seq, group, status in phases:
+        if group and last.get(group) != status:
+            want += [(group, seq, status, k, board) for k, own, board in members if own == group]
+        last[group] = status
+    assert sorted(tuple(x) for x in found.collect()) == sorted(want)
+    busy = [x["count"] for x in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(busy) < len(want) / 4
+
+
 def test_routing_to_all_clients(spark):
     events = [(r.event_id, r.user_id) for r in spark.read.parquet(f"{FOLDER}/events.parquet").collect()]
     clients = [r.c_custkey for r in spark.read.parquet(f"{FOLDER}/customer.parquet").collect()]
